@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The protocol evaluates a finished error cube in batch and explicitly does not
+treat the data as a stream, so there is no streaming operator to rebuild.
+"""

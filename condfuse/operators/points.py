@@ -118,6 +118,14 @@ def split_by_label(points: DataFrame) -> DataFrame:
             .withColumn("state", state_of(F.col("label"))))
 
 
-def limit_points(points: DataFrame, n: int) -> DataFrame:
-    """First ``n`` points by index (trial-run sampling)."""
-    return points.orderBy("global_index").limit(n)
+def limit_points(points: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """First ``n`` points by index (trial-run sampling), per group of ``by``.
+
+    The grouped form is a ``row_number`` filter, which Spark plans as a
+    per-partition group limit before the shuffle."""
+    if not by:
+        return points.orderBy("global_index").limit(n)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy("global_index")
+    return points.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

@@ -72,13 +72,13 @@ def make_weights(sums: DataFrame, measures: Sequence[str] = MEASURES, mode: str
     df = shift_scores(sums, measures, keys, min_zero)
     n = F.count(F.lit(1)).over(grp)
     df = df.withColumn("_k", _k_column(mode, n, fraction))
-    for s in scores:
-        pos = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(s).desc(), F.col("config_index").asc()))
-        df = df.withColumn(s, F.when(F.col("_k").isNull() | (pos <= F.col("_k")), F.col(s)).otherwise(F.lit(0)).cast("bigint"))
+    # position in the order of the last measure, taken before its cut
     last = scores[-1]
-    # the cut keeps the order of the last column, so ranking the cut scores gives the same positions
     df = df.withColumn("last_rank", F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.col(last).desc(), F.col("config_index").asc())))
+    for s in scores:
+        pos = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(s).desc(), F.col("config_index").asc()))
+        df = df.withColumn(s, F.when(F.col("_k").isNull() | (pos <= F.col("_k")), F.col(s)).otherwise(F.lit(0)).cast("bigint"))
     df = df.withColumns({w: F.when(F.sum(s).over(grp) != 0, F.col(s) / F.sum(s).over(grp))
                          for s, w in zip(scores, weights)})
     return df.drop("_k")

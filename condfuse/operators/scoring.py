@@ -198,7 +198,11 @@ def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (
         mem = usable.groupBy("global_index").agg(F.collect_list(key).alias("keys"))
     else:
         mem = usable.select("global_index", F.array(key).alias("keys"))
-    return cube.join(mem, "global_index")
+    # The membership side is the hash-join build side: narrow rows, split by
+    # the join's partitioning. The cube side is only streamed, never
+    # broadcast, even when its size is misjudged (e.g. arrays computed after
+    # a narrow shuffle look small to adaptive execution).
+    return cube.join(mem.hint("shuffle_hash"), "global_index")
 
 
 def fold_sums(cube: DataFrame, points: DataFrame, measures: Sequence[str] = MEASURES, order: str = "raw",
@@ -212,30 +216,29 @@ def train_sums(sums: DataFrame, k: int | DataFrame, measures: Sequence[str] = ME
     """Fold complement: training sums of every fold from per-fold sums.
 
     ``sums`` is the output of ``fold_sums``; ``k`` is the fold count, or a
-    small run table ``(run..., cv_fold_nr)`` when runs differ in fold count. Returns ``(run..., fold, state,
+    small run table ``(run..., cv_fold_nr)`` when runs differ in fold count.
+    Each fold's sums are scattered to the training sets they belong to (every
+    other fold, under the own class and under ``merged``) and added up, so
+    the small sum table is read once. Returns ``(run..., fold, state,
     config_index, n_points, score_*)`` with states labelled / non_labelled /
-    merged. States without training points have no rows. All inputs are
-    small (#runs x k x 2 x n_config rows).
+    merged; training sets without points have no rows. Inputs and output are
+    small (#runs x k x 2 x n_config rows in, k-1 times that before the sum).
     """
     scores = score_cols(measures)
     run_cols = list(run_cols)
-    tot = sums.groupBy(*run_cols, "label", "config_index").agg(
-        F.sum("n_points").alias("_tn"), *[F.sum(s).alias("_t_" + s) for s in scores])
     if isinstance(k, int):
-        grid = tot.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold"))
+        src, kcol = sums, F.lit(k)
     else:
         runs = F.broadcast(k.select(*run_cols, F.col("cv_fold_nr").alias("_k")))
-        grid = tot.join(runs, run_cols).select("*", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("fold")).drop("_k")
-    j = grid.join(sums, [*run_cols, "fold", "label", "config_index"], "left")
-    own = j.select(
-        *run_cols, F.col("fold").cast("int").alias("fold"), state_of(F.col("label")).alias("state"), "config_index",
-        (F.col("_tn") - F.coalesce(F.col("n_points"), F.lit(0))).alias("n_points"),
-        *[(F.col("_t_" + s) - F.coalesce(F.col(s), F.lit(0))).cast("bigint").alias(s) for s in scores],
-    ).filter(F.col("n_points") > 0)
-    merged = (own.groupBy(*run_cols, "fold", "config_index")
-              .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).cast("bigint").alias(s) for s in scores])
-              .select(*run_cols, "fold", F.lit(STATE_MERGED).alias("state"), "config_index", "n_points", *scores))
-    return own.unionByName(merged)
+        src, kcol = sums.join(runs, run_cols), F.col("_k")
+    others = F.filter(F.sequence(F.lit(1), kcol), lambda f: f != F.col("fold"))
+    own = state_of(F.col("label"))
+    targets = F.flatten(F.transform(others, lambda f: F.array(
+        F.struct(f.alias("tf"), own.alias("state")), F.struct(f.alias("tf"), F.lit(STATE_MERGED).alias("state")))))
+    spread = src.select(*run_cols, "config_index", "n_points", *scores, F.explode(targets).alias("_t"))
+    return (spread.groupBy(*run_cols, F.col("_t.tf").cast("int").alias("fold"), F.col("_t.state").alias("state"),
+                           "config_index")
+            .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).cast("bigint").alias(s) for s in scores]))
 
 
 def train_sums_direct(cube: DataFrame, points: DataFrame, k: int, measures: Sequence[str] = MEASURES,

@@ -62,21 +62,30 @@ def weighted_errors(rows: DataFrame, warrays: DataFrame, measures: Sequence[str]
 
     ``rows``: array-form cube rows with (run..., fold, label); ``warrays``:
     ``weight_arrays`` output keyed by (run..., extra weight keys, fold, state).
-    ``weight_rows_bound`` is the caller's upper bound on the weight table's
-    row count (#runs x #modes x k x 3, known from the parameters); the table
-    is broadcast only when that bound is within ``BROADCAST_WEIGHT_ROWS``,
-    otherwise it is joined by shuffle.
+    The weight vectors of one (run, fold) -- every state and extra key such
+    as the top-k mode -- are gathered into one row first (at most
+    3 x #modes entries), so each test row joins exactly one weight row and
+    computes all its dot products in place; only the small scalar results
+    are exploded. ``weight_rows_bound`` is the caller's upper bound on the
+    weight table's row count (#runs x #modes x k x 3, known from the
+    parameters); the gathered table is broadcast only when that bound is
+    within ``BROADCAST_WEIGHT_ROWS``, otherwise joined by shuffle.
     Returns ``(global_index, run..., extra keys, fold, label, kind, weighted_err_*)``.
     """
     wc, out = weight_cols(measures), weighted_cols(measures)
-    kinds = F.array(F.struct(F.lit("own").alias("kind"), state_of(F.col("label")).alias("state")),
-                    F.struct(F.lit("merged").alias("kind"), F.lit(STATE_MERGED).alias("state")))
-    both = rows.select("*", F.explode(kinds).alias("_k")).select(
-        "*", F.col("_k.kind").alias("kind"), F.col("_k.state").alias("state")).drop("_k")
-    side = F.broadcast(warrays) if weight_rows_bound <= BROADCAST_WEIGHT_ROWS else warrays
-    j = both.join(side, [*run_cols, "fold", "state"])
-    return j.select("global_index", *run_cols, *weight_keys, "fold", "label", "kind",
-                    *[dot(F.col(w), F.col(m)).alias(o) for w, m, o in zip(wc, measures, out)])
+    entry = F.struct(F.col("state"), *[F.col(k) for k in weight_keys], *[F.col(w) for w in wc])
+    per_fold = warrays.groupBy(*run_cols, "fold").agg(F.collect_list(entry).alias("_ws"))
+    side = F.broadcast(per_fold) if weight_rows_bound <= BROADCAST_WEIGHT_ROWS else per_fold
+    j = rows.join(side, [*run_cols, "fold"])
+    own = state_of(F.col("label"))
+    picked = F.filter("_ws", lambda x: (x["state"] == own) | (x["state"] == F.lit(STATE_MERGED)))
+    results = F.transform(picked, lambda x: F.struct(
+        F.when(x["state"] == F.lit(STATE_MERGED), F.lit("merged")).otherwise(F.lit("own")).alias("kind"),
+        *[x[k].alias(k) for k in weight_keys],
+        *[dot(x[w], F.col(m)).alias(o) for w, m, o in zip(wc, measures, out)]))
+    return (j.select("global_index", *run_cols, "fold", "label", F.explode(results).alias("_r"))
+            .select("global_index", *run_cols, *[F.col("_r")[k].alias(k) for k in weight_keys], "fold", "label",
+                    F.col("_r.kind").alias("kind"), *[F.col("_r")[o].alias(o) for o in out]))
 
 
 def report_states(pred: DataFrame) -> DataFrame:

@@ -95,6 +95,26 @@ def b_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES)
     return b_cube_from(o.repartition(compute_partitions(spark), F.col("o_orderkey")), measures)
 
 
+def b_cube_wide(spark: SparkSession, sf_dir: str, n_config: int, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Stand-in B with any config count (320 gives the protocol's own cube
+    shape: 2,560 values per point). Same formula as ``b_cube`` with the bias
+    ``n_config-1-c`` for anomalous points; arrays come from ``transform`` over
+    a config sequence, so the expression size does not grow with n_config."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    o = o.repartition(compute_partitions(spark), F.col("o_orderkey"))
+    key, anom = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+
+    def measure(j):
+        def err(c):
+            frac = ((key * (c + 7) * (j + 3)) % F.lit(B_MOD)) / F.lit(float(B_MOD))
+            bias = F.when(anom, F.lit(n_config - 1) - c).otherwise(c)
+            return (frac + bias * F.lit(0.01)).cast("float")
+        return err
+
+    cfg = F.sequence(F.lit(0), F.lit(n_config - 1))
+    return o.select(key.alias("global_index"), *[F.transform(cfg, measure(j)).alias(m) for j, m in enumerate(measures)])
+
+
 def b_label(status: Column) -> Column:
     return F.when(status == "F", 1).when(status == "O", 0).otherwise(3).cast("int")
 

@@ -49,7 +49,7 @@ def _narrow(lo: int, hi: int, filters) -> tuple[int, int, list]:
     """Applies pushed index filters to [lo, hi); returns the filters it could not use."""
     rest = []
     for f in filters:
-        if getattr(f, "attribute", None) != ("global_index",):
+        if getattr(f, "attribute", None) != ("global_index",) or not hasattr(f, "value"):
             rest.append(f)
             continue
         v = f.value

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from condfuse.functions.columns import MEASURES, weight_cols, weighted_cols
 from condfuse.model import LABEL_ANOMALOUS, LABEL_NORMAL, STATE_MERGED
 from condfuse.operators.points import state_of
+from condfuse._ship import by_value
+
+by_value(__import__(__name__, fromlist=["_"]))
 
 # Rows of the weight-array table up to which it is broadcast. The table has
 # #runs x #modes x k x 3 rows (k <= 10), each n_config x #measures doubles.
@@ -111,3 +114,111 @@ def prediction_table(pred: DataFrame, measures: Sequence[str] = MEASURES, keys:
 
 def usable(points: DataFrame) -> DataFrame:
     return points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & (F.col("missing") == 0))
+
+
+# ---------------------------------------------------------------- Arrow test pass
+
+# Bytes of weight vectors up to which they are shipped to tasks as a Spark
+# broadcast variable for the Arrow test pass; above it the JVM join is used.
+BROADCAST_WEIGHT_BYTES = 256 << 20
+
+
+def collect_weights(warrays: DataFrame, measures: Sequence[str], run_cols: Sequence[str],
+                    weight_keys: Sequence[str], weight_rows_bound: int):
+    """Weight vectors as {(run..., fold, state): [(extra keys, (n, measures) array)]},
+    or None when they exceed the broadcast budget. The row count is bounded
+    by the parameters (checked before anything is collected)."""
+    import numpy as np
+
+    if weight_rows_bound > BROADCAST_WEIGHT_ROWS:
+        return None
+    wc = weight_cols(measures)
+    rows = warrays.select(*run_cols, *weight_keys, "fold", "state", *wc).collect()
+    if not rows:
+        return {}
+    n = len(rows[0][wc[0]])
+    if len(rows) * n * len(wc) * 8 > BROADCAST_WEIGHT_BYTES:
+        return None
+    table: dict = {}
+    for r in rows:
+        key = (*[int(r[c]) for c in run_cols], int(r["fold"]), r["state"])
+        mat = np.array([[np.nan if v is None else v for v in r[w]] for w in wc], dtype=np.float64).T
+        table.setdefault(key, []).append((tuple(r[k] for k in weight_keys), mat))
+    return table
+
+
+def weighted_errors_arrow(keyed: DataFrame, table, measures: Sequence[str] = MEASURES,
+                          run_cols: Sequence[str] = (), weight_keys: Sequence[str] = ()) -> DataFrame:
+    """Test pass as one ``mapInArrow`` over the array-form cube rows with
+    memberships (``scoring_rows`` output): per Arrow batch and membership
+    group, one matrix product per measure gives every (kind, mode) weighted
+    error at once. NaN/null products are skipped as in the JVM path."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    from condfuse.operators.scoring import list_matrix
+
+    out = weighted_cols(measures)
+    bc = keyed.sparkSession.sparkContext.broadcast(table)
+    fields = [*run_cols, "fold", "label"]
+    schema = T.StructType(
+        [T.StructField("global_index", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in run_cols]
+        + [T.StructField(k, T.StringType()) for k in weight_keys]
+        + [T.StructField("fold", T.IntegerType()), T.StructField("label", T.IntegerType()),
+           T.StructField("kind", T.StringType())] + [T.StructField(o, T.DoubleType()) for o in out])
+    arrow_schema = pa.schema([(f.name, {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),
+                                        T.StringType(): pa.string(), T.DoubleType(): pa.float64()}[f.dataType])
+                              for f in schema.fields])
+    state = {1: "labelled", 0: "non_labelled"}
+
+    def fn(batches):
+        wt = bc.value
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            mem = b.column("keys")
+            lens = pc.fill_null(pc.list_value_length(mem), 0).to_numpy(zero_copy_only=False)
+            parent = np.repeat(np.arange(b.num_rows), lens)
+            if len(parent) == 0:
+                continue
+            flat = mem.flatten()
+            keys = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
+            errs = np.stack([list_matrix(b.column(m)).astype(np.float64) for m in measures], axis=2)  # (rows, n, M)
+            gi = b.column("global_index").to_numpy(zero_copy_only=False)
+            uniq, inv = np.unique(keys, axis=0, return_inverse=True)
+            inv = inv.reshape(-1)
+            cols = {f.name: [] for f in schema.fields}
+            for u_i, u in enumerate(uniq):
+                run, fold, label = tuple(int(x) for x in u[:-2]), int(u[-2]), int(u[-1])
+                entries = [("own", e) for e in wt.get((*run, fold, state.get(label)), [])] + \
+                          [("merged", e) for e in wt.get((*run, fold, "merged"), [])]
+                if not entries:
+                    continue
+                rows_idx = parent[inv == u_i]
+                E = errs[rows_idx]  # (g, n, M)
+                bad = ~np.isfinite(E).all(axis=(1, 2))
+                for kind, (extra, Wm) in entries:  # Wm (n, M)
+                    res = np.einsum("gnm,nm->gm", np.where(np.isnan(E), 0.0, E), np.nan_to_num(Wm, nan=0.0))
+                    if bad.any():
+                        prod = E[bad] * Wm[None, :, :]
+                        res[bad] = np.nansum(prod, axis=1)
+                    g = len(rows_idx)
+                    cols["global_index"].append(gi[rows_idx])
+                    for i, c in enumerate(run_cols):
+                        cols[c].append(np.full(g, run[i], np.int32))
+                    for i, k in enumerate(weight_keys):
+                        cols[k].append(np.full(g, extra[i], dtype=object))
+                    cols["fold"].append(np.full(g, fold, np.int32))
+                    cols["label"].append(np.full(g, label, np.int32))
+                    cols["kind"].append(np.full(g, kind, dtype=object))
+                    for j, o in enumerate(out):
+                        cols[o].append(res[:, j])
+            if not cols["global_index"]:
+                continue
+            arrays = [pa.array(np.concatenate(cols[f.name]), type=arrow_schema.field(f.name).type)
+                      for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+
+    return keyed.select("global_index", "keys", *measures).mapInArrow(fn, schema)

@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condfuse.model import Protocol, top_mode_name
-from condfuse.operators.evaluate import report_states, test_rows, weighted_errors
+from condfuse.operators.evaluate import (
+    collect_weights,
+    report_states,
+    test_rows,
+    weighted_errors,
+    weighted_errors_arrow,
+)
 from condfuse.operators.folds import stratified_folds
 from condfuse.operators.metrics import error_metrics, fold_average, metrics_long
-from condfuse.operators.scoring import fold_sums, train_sums, train_sums_direct
+from condfuse.operators.scoring import fold_sums, scoring_rows, train_sums, train_sums_direct
 from condfuse.operators.weights import make_weights, weight_arrays
 
 
@@ -49,16 +55,30 @@ def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), en
     return make_weights(tr, p.measures, p.mode, p.fraction, p.min_zero)
 
 
-def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol()) -> DataFrame:
-    """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``."""
+def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol(),
+                  engine: str = "arrow") -> DataFrame:
+    """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``.
+
+    ``arrow``: the weight vectors (at most 3k rows of n_config x #measures
+    values) are computed, collected under a size check and broadcast, and
+    the test pass multiplies them per Arrow batch. ``sql`` (or weights over
+    the budget): broadcast join plus built-in array lambdas, fully lazy."""
     pts = with_folds(points, p)
     warr = weight_arrays(weights, p.measures, ("fold", "state"), p.align)
-    return weighted_errors(test_rows(cube, pts), warr, p.measures, weight_rows_bound=3 * p.folds)
+    return _test_pass(cube, pts, warr, p, (), (), 3 * p.folds, engine)
+
+
+def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine):
+    if engine == "arrow":
+        table = collect_weights(warr, p.measures, runs, weight_keys, bound)
+        if table is not None:
+            return weighted_errors_arrow(scoring_rows(cube, pts, runs), table, p.measures, runs, weight_keys)
+    return weighted_errors(test_rows(cube, pts, runs), warr, p.measures, runs, weight_keys, bound)
 
 
 def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow") -> DataFrame:
     pts = with_folds(points, p)
-    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine), p)
+    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine), p, engine)
 
 
 def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
@@ -102,7 +122,7 @@ def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[in
     w = make_weights(tr, p.measures, F.col("mode"), fraction, p.min_zero, keys=keys)
     warr = weight_arrays(w, p.measures, keys, p.align)
     bound = len(scenario_ids) * len(fold_counts) * len(modes) * max(fold_counts) * 3
-    pred = weighted_errors(test_rows(cube, pts, runs), warr, p.measures, runs, ("mode",), bound)
+    pred = _test_pass(cube, pts, warr, p, runs, ("mode",), bound, engine)
     met = error_metrics(report_states(pred), p.measures, keys=(*runs, "mode", "fold", "label_state"))
     long = metrics_long(met, p.measures, None, keys=("scenario", "mode"))
     return fold_average(long, p.measures, keys=("scenario", "mode"))

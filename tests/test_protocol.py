@@ -173,3 +173,40 @@ def test_protocol_validation():
         Protocol(score_method="Reciprocal_Square")
     assert Protocol(mode=6, fraction=0.3).mode == "TopXPercent"
     assert top_k("Top25Percent", 320) == 80 and top_k("TopXPercent", 32, 0.4) == 12 and top_k("All", 5) is None
+
+
+def test_test_pass_engines_agree(spark):
+    cube, pts = _inputs(spark, SF_MID)
+    for align in ("config", "last_rank"):
+        p = Protocol(folds=3, seed=42, align=align)
+        w = pr.fit_weights(cube, pts, p)
+        a = pr.apply_weights(cube, pts, w, p, engine="arrow")
+        b = pr.apply_weights(cube, pts, w, p, engine="sql")
+        key = ["global_index", "fold", "kind"]
+        ra = {tuple(r[k] for k in key): [r[o] for o in O] for r in a.collect()}
+        rb = {tuple(r[k] for k in key): [r[o] for o in O] for r in b.collect()}
+        assert ra.keys() == rb.keys()
+        assert all(np.allclose(ra[k], rb[k], atol=1e-12) for k in ra)
+
+
+def test_sweep_equals_single_runs(spark):
+    d = SF_MID
+    cube = st.b_cube(spark, d)
+    scen = st.b_scenario_points(spark, d)
+    res = pr.sweep(cube, scen, [1, 2, 3], [2, 3], ["Top25Percent", "Top3"], Protocol(seed=42))
+    got = {(r["scenario"], r["mode"], r["cv_fold_nr"], r["label"], r["metric"]): r["weighted_err_speed4"]
+           for r in res.collect()}
+    for s, k, mode in ((2, 3, "Top3"), (3, 2, "Top25Percent")):
+        pts = fo.stratified_folds(scen.filter(F.col("scenario") == s).drop("scenario"), k, 42)
+        one = me.fold_average(pr.evaluate(cube, pts, Protocol(folds=k, seed=42, mode=mode)))
+        for r in one.collect():
+            assert abs(got[(s, mode, k, r["label"], r["metric"])] - r["weighted_err_speed4"]) < 1e-9
+
+
+def test_trial_limit_uses_explicit_lists(spark):
+    cube, pts = _inputs(spark)
+    p = Protocol(folds=3, seed=42)
+    lim = pr.fit_weights(cube, pts, p, limit=5)
+    n = {(r["fold"], r["state"]): r["n_points"] for r in lim.select("fold", "state", "n_points").distinct().collect()}
+    assert all(v == 5 for (f, s), v in n.items() if s != "merged")
+    assert all(v == 10 for (f, s), v in n.items() if s == "merged")

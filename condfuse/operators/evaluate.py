@@ -102,14 +102,20 @@ def report_states(pred: DataFrame) -> DataFrame:
     return pred.select("*", F.explode(expr).alias("label_state"))
 
 
-def prediction_table(pred: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = ()) -> DataFrame:
-    """Per-point predictions of the four non-overlapping states."""
+def prediction_table(pred: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = (),
+                     params: Sequence[int | str] | None = None) -> DataFrame:
+    """Per-point predictions of the four non-overlapping states; ``params``
+    (fold count, anomaly method, score method, search mode, top-k mode ids)
+    are joined with ``_`` into a ``param_string`` column."""
+    from condfuse.functions.columns import param_string
+
     expr = None
     for (kind, label), state in PREDICTION_STATES.items():
         cond = (F.col("kind") == kind) & (F.col("label") == label)
         expr = F.when(cond, F.lit(state)) if expr is None else expr.when(cond, F.lit(state))
+    extra = [param_string(*[F.lit(x) for x in params]).alias("param_string")] if params is not None else []
     return pred.select(F.col("global_index").alias("test_index"), *keys, "fold",
-                       expr.alias("label_state"), *weighted_cols(measures))
+                       expr.alias("label_state"), *weighted_cols(measures), *extra)
 
 
 def usable(points: DataFrame) -> DataFrame:

@@ -358,8 +358,9 @@ def oracle_sql() -> dict[str, str]:
                  (SELECT CAST(range + 1 AS INTEGER) AS fold FROM range({R.A_FOLDS})) k,
                  (VALUES ('test'), ('train')) r(role)
             GROUP BY ALL""",
-        "prediction_table": select_round(f"SELECT global_index AS test_index, fold, {pstate} AS label_state, {', '.join(O)} FROM ({pred}) p",
-                                         ["test_index", "fold", "label_state"], O),
+        "prediction_table": select_round(f"SELECT global_index AS test_index, fold, {pstate} AS label_state, {', '.join(O)}, "
+                                         f"'{'_'.join(str(x) for x in R.PREDICTION_PARAMS)}' AS param_string FROM ({pred}) p",
+                                         ["test_index", "fold", "label_state", "param_string"], O),
         "report_states": f"SELECT CAST(fold AS INTEGER) AS cv_fold_order, label_state, CAST(count(*) AS BIGINT) AS n_points, "
                          f"round(CAST(sum(weighted_err_flow1) AS DOUBLE), 6) AS sum_flow1 FROM ({states}) s GROUP BY ALL",
         "fold_average": select_round(fold_avg(a_long_metrics(R.A_FOLDS_AVG)), ["label", "metric", "cv_fold_nr"], O),

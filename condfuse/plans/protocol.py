@@ -116,7 +116,9 @@ def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[in
     pts = pts.select("*", F.explode(F.array(*[F.lit(int(k)) for k in fold_counts])).alias("cv_fold_nr"))
     pts = stratified_folds(pts, F.col("cv_fold_nr"), p.seed, group_cols=runs)
     sums = fold_sums(cube, pts, p.measures, p.order, run_cols=runs, engine=engine)
-    tr = train_sums(sums, sums.select(*runs).distinct(), p.measures, run_cols=runs)
+    run_table = scenario_points.sparkSession.createDataFrame(
+        [(int(sid), int(k)) for sid in scenario_ids for k in fold_counts], "scenario int, cv_fold_nr int")
+    tr = train_sums(sums, run_table, p.measures, run_cols=runs)
     tr = tr.select("*", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
     keys = (*runs, "mode", "fold", "state")
     w = make_weights(tr, p.measures, F.col("mode"), fraction, p.min_zero, keys=keys)

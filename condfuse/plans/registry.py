@@ -32,6 +32,8 @@ B_FOLDS = 3
 TOPX_FRACTION = 0.4
 SWEEP_FOLDS = (2, 3)
 SWEEP_MODES = ("Top25Percent", "Top3", "All")
+# fold count, anomaly method, score method, search mode and top-k mode ids of the A runs
+PREDICTION_PARAMS = (A_FOLDS, 0, 0, 0, 0)
 
 PA = Protocol(folds=A_FOLDS, seed=SEED)
 PB = Protocol(folds=B_FOLDS, seed=SEED)
@@ -212,7 +214,7 @@ def q_split_sizes(spark, d):
 
 
 def q_prediction_table(spark, d):
-    return _r(ev.prediction_table(_a_pred(spark, d)), O)
+    return _r(ev.prediction_table(_a_pred(spark, d), params=PREDICTION_PARAMS), O)
 
 
 def q_report_states(spark, d):

@@ -25,8 +25,11 @@ def cube_schema(measures: Sequence[str] = MEASURES) -> T.StructType:
 
 
 def read_cube(spark: SparkSession, path: str, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Reads an array-form cube from Parquet (only the listed measures)."""
-    return spark.read.parquet(path).select("global_index", *measures)
+    """Reads an array-form cube (only the listed measures) from a Parquet
+    folder, or from a catalog table when ``path`` has no slash (for example
+    a bucketed cube written by ``write_cube(..., table=..., buckets=...)``)."""
+    df = spark.table(path) if "/" not in path else spark.read.parquet(path)
+    return df.select("global_index", *measures)
 
 
 def write_cube(cube: DataFrame, path: str, measures: Sequence[str] = MEASURES,

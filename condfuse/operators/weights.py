@@ -28,15 +28,15 @@ DEFAULT_KEYS = ("fold", "state")
 def _k_column(mode: str | Column, n: Column, fraction: float | Column | None) -> Column:
     """Kept configs for a fixed mode name or a ``mode`` column; null = keep all."""
     if isinstance(mode, str):
-        k = top_k(mode, 1, fraction) if mode == "TopXPercent" else None  # validates the fraction
         mode = top_mode_name(mode)
         if mode == "All":
             return F.lit(None).cast("long")
         if mode in TOP_COUNTS:
             return F.lit(TOP_COUNTS[mode]).cast("long")
-        frac = F.lit(TOP_FRACTIONS[mode]) if mode in TOP_FRACTIONS else F.lit(float(fraction))
-        del k
-        return F.floor(n * frac).cast("long")
+        if mode == "TopXPercent":
+            top_k(mode, 1, fraction)  # validates the fraction
+            return F.floor(n * F.lit(float(fraction))).cast("long")
+        return F.floor(n * F.lit(TOP_FRACTIONS[mode])).cast("long")
     frac = F.lit(None).cast("double") if fraction is None else (
         fraction if isinstance(fraction, Column) else F.lit(float(fraction)))
     expr = F.when(mode == "All", F.lit(None).cast("long"))

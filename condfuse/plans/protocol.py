@@ -56,19 +56,30 @@ def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), en
 
 
 def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol(),
-                  engine: str = "arrow") -> DataFrame:
+                  engine: str = "auto") -> DataFrame:
     """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``.
 
-    ``arrow``: the weight vectors (at most 3k rows of n_config x #measures
-    values) are computed, collected under a size check and broadcast, and
-    the test pass multiplies them per Arrow batch. ``sql`` (or weights over
-    the budget): broadcast join plus built-in array lambdas, fully lazy."""
+    ``sql``: broadcast join of the weight arrays plus built-in array lambdas,
+    one lazy plan. ``arrow``: the weight vectors (at most 3k rows of n_config
+    x #measures values) are computed, collected under a size check and
+    broadcast, and the test pass multiplies them per Arrow batch (falls back
+    to ``sql`` over the budget). ``auto`` picks by dot products per point."""
     pts = with_folds(points, p)
     warr = weight_arrays(weights, p.measures, ("fold", "state"), p.align)
     return _test_pass(cube, pts, warr, p, (), (), 3 * p.folds, engine)
 
 
-def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine):
+# Dot products per point (per measure) above which the Arrow test pass is
+# used by ``test_engine="auto"``. Measured at sf0.1: a single run (2 per
+# point) is faster as one lazy plan with the JVM join, since both cube passes
+# then share one exchange; an 18-run sweep with 3 modes (36 per point) is
+# faster with the per-batch matrix products.
+AUTO_ARROW_DOTS = 8
+
+
+def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine, dots_per_point=2):
+    if engine == "auto":
+        engine = "arrow" if dots_per_point > AUTO_ARROW_DOTS else "sql"
     if engine == "arrow":
         table = collect_weights(warr, p.measures, runs, weight_keys, bound)
         if table is not None:
@@ -76,17 +87,22 @@ def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine):
     return weighted_errors(test_rows(cube, pts, runs), warr, p.measures, runs, weight_keys, bound)
 
 
-def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow") -> DataFrame:
+def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
+                test_engine: str | None = None) -> DataFrame:
+    """``engine`` picks the ranking engine (``arrow`` / ``sql``);
+    ``test_engine`` the test pass (``auto`` / ``sql`` / ``arrow``; default
+    ``auto``, or ``sql`` when the ranking engine is ``sql``)."""
     pts = with_folds(points, p)
-    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine), p, engine)
+    te = test_engine or ("sql" if engine == "sql" else "auto")
+    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine), p, te)
 
 
 def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-             wide: bool = False) -> DataFrame:
+             wide: bool = False, test_engine: str | None = None) -> DataFrame:
     """Flagship: metrics per fold and report state, in report rows
     ``(label, metric, cv_fold_order, cv_fold_nr, weighted_err_*)``
     (or the wide per-fold table with ``wide=True``)."""
-    pred = predictions(cube, points, p, engine)
+    pred = predictions(cube, points, p, engine, test_engine)
     w = error_metrics(report_states(pred), p.measures)
     return w if wide else metrics_long(w, p.measures, p.folds)
 
@@ -99,7 +115,7 @@ def cv_report(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engi
 
 def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[int], fold_counts: Sequence[int],
           modes: Sequence[str], p: Protocol = Protocol(), fraction: float | None = None,
-          engine: str = "arrow") -> DataFrame:
+          engine: str = "arrow", test_engine: str | None = None) -> DataFrame:
     """Fold-averaged metrics for every (scenario, cv_fold_nr, mode) in one job.
 
     ``scenario_points``: ``(scenario, global_index, label, missing)``, one
@@ -124,7 +140,9 @@ def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[in
     w = make_weights(tr, p.measures, F.col("mode"), fraction, p.min_zero, keys=keys)
     warr = weight_arrays(w, p.measures, keys, p.align)
     bound = len(scenario_ids) * len(fold_counts) * len(modes) * max(fold_counts) * 3
-    pred = _test_pass(cube, pts, warr, p, runs, ("mode",), bound, engine)
+    te = test_engine or ("sql" if engine == "sql" else "auto")
+    dots = 2 * len(modes) * len(scenario_ids) * len(fold_counts)
+    pred = _test_pass(cube, pts, warr, p, runs, ("mode",), bound, te, dots)
     met = error_metrics(report_states(pred), p.measures, keys=(*runs, "mode", "fold", "label_state"))
     long = metrics_long(met, p.measures, None, keys=("scenario", "mode"))
     return fold_average(long, p.measures, keys=("scenario", "mode"))

@@ -32,8 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; set to a new local folder only if unset."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = tempfile.mkdtemp(prefix="condfuse-ckpt-")
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="condfuse-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

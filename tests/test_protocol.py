@@ -222,15 +222,15 @@ def test_partitioning_does_not_change_results(spark):
     assert norm(a) == norm(b)
 
 
-@pytest.mark.parametrize("engine", ["arrow", "sql"])
-def test_nan_cube_against_brute_force(spark, engine):
+@pytest.mark.parametrize("engine,test_engine", [("arrow", "arrow"), ("arrow", "sql"), ("sql", "sql")])
+def test_nan_cube_against_brute_force(spark, engine, test_engine):
     from condfuse.plans.registry import _a_cube_nan
 
     cube = _a_cube_nan(spark, SF_SMALL)
     pts = fo.stratified_folds(st.a_points(spark, SF_SMALL), 3, 42)
     p = Protocol(folds=3, seed=42)
     got = {(r["fold"], r["global_index"], r["kind"]): np.array([r[o] for o in O])
-           for r in pr.predictions(cube, pts, p, engine=engine).collect()}
+           for r in pr.predictions(cube, pts, p, engine=engine, test_engine=test_engine).collect()}
     rows = {r["global_index"]: np.stack([np.array([np.nan if v is None else v for v in r[m]], dtype=float)
                                          for m in MEASURES], axis=1) for r in cube.collect()}
     prow = {r["global_index"]: r for r in pts.collect()}

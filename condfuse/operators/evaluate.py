@@ -47,12 +47,12 @@ def dot(w: Column, e: Column) -> Column:
                        lambda acc, x: acc + F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x))
 
 
-def test_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
+def test_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (), join: str = "shuffle_hash") -> DataFrame:
     """Cube rows of usable points with (run..., fold, label), one row per
     run membership."""
     from condfuse.operators.scoring import scoring_rows
 
-    keyed = scoring_rows(cube, points, run_cols)
+    keyed = scoring_rows(cube, points, run_cols, join)
     fields = [*run_cols, "fold", "label"]
     return (keyed.select("*", F.explode("keys").alias("_m")).drop("keys")
             .select("*", *[F.col("_m").getField(f).alias(f) for f in fields]).drop("_m"))

@@ -194,7 +194,23 @@ def membership_sums(keyed: DataFrame, key_col: str = "keys", measures: Sequence[
             .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).alias(s) for s in scores]))
 
 
-def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
+# Budget for broadcasting the point-membership side of the cube join; the
+# estimate is a checked row count times an upper bound on the row size.
+BROADCAST_POINT_BYTES = 64 << 20
+
+
+def point_join_strategy(points: DataFrame, run_cols: Sequence[str] = ()) -> str:
+    """``broadcast`` when the usable points fit the broadcast budget (checked
+    with one count over the narrow point table), else ``shuffle_hash``."""
+    usable = points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & (F.col("missing") == 0))
+    row_bytes = 48 + 16 * (len(run_cols) + 2)
+    limit = BROADCAST_POINT_BYTES // row_bytes
+    n = usable.limit(limit + 1).count()
+    return "broadcast" if n <= limit else "shuffle_hash"
+
+
+def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (),
+                 join: str = "shuffle_hash") -> DataFrame:
     """Cube rows of the points that enter scoring (label 0/1, not missing),
     each with its memberships ``keys = [(run..., fold, label)]``.
 
@@ -208,17 +224,22 @@ def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (
         mem = usable.groupBy("global_index").agg(F.collect_list(key).alias("keys"))
     else:
         mem = usable.select("global_index", F.array(key).alias("keys"))
-    # The membership side is the hash-join build side: narrow rows, split by
-    # the join's partitioning. The cube side is only streamed, never
+    # The membership side is the build side: broadcast when its checked size
+    # allows (the cube is then read in place, no shuffle), else hashed per
+    # partition of a shuffled join. The cube side is only streamed, never
     # broadcast, even when its size is misjudged (e.g. arrays computed after
     # a narrow shuffle look small to adaptive execution).
+    if join == "broadcast":
+        return cube.join(F.broadcast(mem), "global_index")
+    if join != "shuffle_hash":
+        raise ValueError(f"unknown join {join!r}")
     return cube.join(mem.hint("shuffle_hash"), "global_index")
 
 
 def fold_sums(cube: DataFrame, points: DataFrame, measures: Sequence[str] = MEASURES, order: str = "raw",
-              run_cols: Sequence[str] = (), engine: str = "arrow") -> DataFrame:
+              run_cols: Sequence[str] = (), engine: str = "arrow", join: str = "shuffle_hash") -> DataFrame:
     """Score sums per (run..., fold, label, config_index) over the points of each fold."""
-    return membership_sums(scoring_rows(cube, points, run_cols), "keys", measures, order, engine)
+    return membership_sums(scoring_rows(cube, points, run_cols, join), "keys", measures, order, engine)
 
 
 def train_sums(sums: DataFrame, k: int | DataFrame, measures: Sequence[str] = MEASURES,

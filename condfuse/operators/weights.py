@@ -66,22 +66,26 @@ def make_weights(sums: DataFrame, measures: Sequence[str] = MEASURES, mode: str
     last measure's score (used by the ``last_rank`` alignment).
     ``mode`` is a mode name, or a column (e.g. ``F.col("mode")``) when one
     table holds several modes; then the mode column must be part of ``keys``.
+
+    Two projections: the shift is a constant per group, so positions can be
+    taken on the raw sums, and shift, cut and position all come out of one
+    select; the normalising sums need the cut values, hence the second.
     """
     scores, weights = score_cols(measures), weight_cols(measures)
     grp = Window.partitionBy(*keys)
-    df = shift_scores(sums, measures, keys, min_zero)
-    n = F.count(F.lit(1)).over(grp)
-    df = df.withColumn("_k", _k_column(mode, n, fraction))
-    # position in the order of the last measure, taken before its cut
-    last = scores[-1]
-    df = df.withColumn("last_rank", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.col(last).desc(), F.col("config_index").asc())))
+
+    def pos(s):
+        return F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(s).desc(), F.col("config_index").asc()))
+
+    k = _k_column(mode, F.count(F.lit(1)).over(grp), fraction)
+    others = [c for c in sums.columns if c not in scores]
+    cut = []
     for s in scores:
-        pos = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(s).desc(), F.col("config_index").asc()))
-        df = df.withColumn(s, F.when(F.col("_k").isNull() | (pos <= F.col("_k")), F.col(s)).otherwise(F.lit(0)).cast("bigint"))
-    df = df.withColumns({w: F.when(F.sum(s).over(grp) != 0, F.col(s) / F.sum(s).over(grp))
-                         for s, w in zip(scores, weights)})
-    return df.drop("_k")
+        shifted = (F.col(s) - F.min(s).over(grp)) if min_zero else F.col(s)
+        cut.append(F.when(k.isNull() | (pos(s) <= k), shifted).otherwise(F.lit(0)).cast("bigint").alias(s))
+    df = sums.select(*others, pos(scores[-1]).alias("last_rank"), *cut)
+    return df.select("*", *[F.when(F.sum(s).over(grp) != 0, F.col(s) / F.sum(s).over(grp)).alias(w)
+                            for s, w in zip(scores, weights)])
 
 
 def weight_arrays(weights: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = DEFAULT_KEYS,

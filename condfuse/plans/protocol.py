@@ -40,7 +40,7 @@ def with_folds(points: DataFrame, p: Protocol, group_cols: Sequence[str] = ()) -
 
 
 def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-                limit: int | None = None) -> DataFrame:
+                limit: int | None = None, join: str = "shuffle_hash") -> DataFrame:
     """Weights per (fold, state, config_index) for the training set of every fold.
 
     ``limit`` cuts each training list to its first points (trial runs); the
@@ -49,14 +49,14 @@ def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), en
     """
     pts = with_folds(points, p)
     if limit is None:
-        tr = train_sums(fold_sums(cube, pts, p.measures, p.order, engine=engine), p.folds, p.measures)
+        tr = train_sums(fold_sums(cube, pts, p.measures, p.order, engine=engine, join=join), p.folds, p.measures)
     else:
         tr = train_sums_direct(cube, pts, p.folds, p.measures, p.order, limit=limit, engine=engine)
     return make_weights(tr, p.measures, p.mode, p.fraction, p.min_zero)
 
 
 def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol(),
-                  engine: str = "auto") -> DataFrame:
+                  engine: str = "auto", join: str = "shuffle_hash") -> DataFrame:
     """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``.
 
     ``sql``: broadcast join of the weight arrays plus built-in array lambdas,
@@ -66,7 +66,7 @@ def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Pro
     to ``sql`` over the budget). ``auto`` picks by dot products per point."""
     pts = with_folds(points, p)
     warr = weight_arrays(weights, p.measures, ("fold", "state"), p.align)
-    return _test_pass(cube, pts, warr, p, (), (), 3 * p.folds, engine)
+    return _test_pass(cube, pts, warr, p, (), (), 3 * p.folds, engine, join=join)
 
 
 # Dot products per point (per measure) above which the Arrow test pass is
@@ -77,32 +77,36 @@ def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Pro
 AUTO_ARROW_DOTS = 8
 
 
-def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine, dots_per_point=2):
+def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine, dots_per_point=2, join="shuffle_hash"):
     if engine == "auto":
         engine = "arrow" if dots_per_point > AUTO_ARROW_DOTS else "sql"
     if engine == "arrow":
         table = collect_weights(warr, p.measures, runs, weight_keys, bound)
         if table is not None:
-            return weighted_errors_arrow(scoring_rows(cube, pts, runs), table, p.measures, runs, weight_keys)
-    return weighted_errors(test_rows(cube, pts, runs), warr, p.measures, runs, weight_keys, bound)
+            return weighted_errors_arrow(scoring_rows(cube, pts, runs, join), table, p.measures, runs, weight_keys)
+    return weighted_errors(test_rows(cube, pts, runs, join), warr, p.measures, runs, weight_keys, bound)
 
 
 def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-                test_engine: str | None = None) -> DataFrame:
+                test_engine: str | None = None, join: str = "shuffle_hash") -> DataFrame:
     """``engine`` picks the ranking engine (``arrow`` / ``sql``);
     ``test_engine`` the test pass (``auto`` / ``sql`` / ``arrow``; default
-    ``auto``, or ``sql`` when the ranking engine is ``sql``)."""
+    ``auto``, or ``sql`` when the ranking engine is ``sql``). ``join`` is the
+    cube-to-points join: ``shuffle_hash`` (default; point side hashed, cube
+    streamed, no cube shuffle for a bucketed cube) or ``broadcast`` (point
+    side broadcast; only for point tables known to be small, see
+    ``scoring.point_join_strategy`` for a checked choice)."""
     pts = with_folds(points, p)
     te = test_engine or ("sql" if engine == "sql" else "auto")
-    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine), p, te)
+    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine, join=join), p, te, join=join)
 
 
 def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-             wide: bool = False, test_engine: str | None = None) -> DataFrame:
+             wide: bool = False, test_engine: str | None = None, join: str = "shuffle_hash") -> DataFrame:
     """Flagship: metrics per fold and report state, in report rows
     ``(label, metric, cv_fold_order, cv_fold_nr, weighted_err_*)``
     (or the wide per-fold table with ``wide=True``)."""
-    pred = predictions(cube, points, p, engine, test_engine)
+    pred = predictions(cube, points, p, engine, test_engine, join)
     w = error_metrics(report_states(pred), p.measures)
     return w if wide else metrics_long(w, p.measures, p.folds)
 
@@ -131,7 +135,8 @@ def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[in
     pts = scenario_points.filter(F.col("scenario").isin(*[int(i) for i in scenario_ids]))
     pts = pts.select("*", F.explode(F.array(*[F.lit(int(k)) for k in fold_counts])).alias("cv_fold_nr"))
     pts = stratified_folds(pts, F.col("cv_fold_nr"), p.seed, group_cols=runs)
-    sums = fold_sums(cube, pts, p.measures, p.order, run_cols=runs, engine=engine)
+    join = "shuffle_hash"
+    sums = fold_sums(cube, pts, p.measures, p.order, run_cols=runs, engine=engine, join=join)
     run_table = scenario_points.sparkSession.createDataFrame(
         [(int(sid), int(k)) for sid in scenario_ids for k in fold_counts], "scenario int, cv_fold_nr int")
     tr = train_sums(sums, run_table, p.measures, run_cols=runs)
@@ -142,7 +147,7 @@ def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[in
     bound = len(scenario_ids) * len(fold_counts) * len(modes) * max(fold_counts) * 3
     te = test_engine or ("sql" if engine == "sql" else "auto")
     dots = 2 * len(modes) * len(scenario_ids) * len(fold_counts)
-    pred = _test_pass(cube, pts, warr, p, runs, ("mode",), bound, te, dots)
+    pred = _test_pass(cube, pts, warr, p, runs, ("mode",), bound, te, dots, join)
     met = error_metrics(report_states(pred), p.measures, keys=(*runs, "mode", "fold", "label_state"))
     long = metrics_long(met, p.measures, None, keys=("scenario", "mode"))
     return fold_average(long, p.measures, keys=("scenario", "mode"))

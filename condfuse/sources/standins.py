@@ -72,18 +72,31 @@ def a_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- stand-in B
 
-def b_error(key: Column, c: int, j: int, anomalous: Column) -> Column:
-    frac = ((key * F.lit(c + 7) * F.lit(j + 3)) % F.lit(B_MOD)) / F.lit(float(B_MOD))
-    bias = F.when(anomalous, F.lit(B_CONFIGS - 1 - c)).otherwise(F.lit(c))
-    return (frac + bias * F.lit(0.01)).cast("float")
+def b_cube_from(orders: DataFrame, measures: Sequence[str] = MEASURES, n_config: int = B_CONFIGS) -> DataFrame:
+    """Array-form cube built from (already projected) orders rows: one
+    ``transform`` over the config sequence per measure, so the plan stays
+    small whatever the config count."""
+    key, anom = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
 
+    def measure(j):
+        def err(c):
+            frac = ((key * (c + 7) * (j + 3)) % F.lit(B_MOD)) / F.lit(float(B_MOD))
+            bias = F.when(anom, F.lit(n_config - 1) - c).otherwise(c)
+            return (frac + bias * F.lit(0.01)).cast("float")
+        return err
 
-def b_cube_from(orders: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Array-form cube built from (already projected) orders rows."""
-    key, anom = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
-    return orders.select(F.col("o_orderkey").alias("global_index"),
-                         *[F.array(*[b_error(key, c, j, anom) for c in range(B_CONFIGS)]).alias(m)
-                           for j, m in enumerate(measures)])
+    cfg = F.sequence(F.lit(0), F.lit(n_config - 1))
+    return orders.select(key.alias("global_index"), *[F.transform(cfg, measure(j)).alias(m) for j, m in enumerate(measures)])
+
+
+def b_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow orders columns the B stand-ins need, hash-distributed by
+    key over the cluster's cores. Cube, points and scenario points all start
+    from this, so one plan shares the exchange and every derived column
+    (array building, fold hashing) is computed in parallel even though the
+    source file is a single row group."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return o.repartition(compute_partitions(spark), F.col("o_orderkey"))
 
 
 def b_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -93,28 +106,13 @@ def b_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES)
     already partitioned by it). The partition count is explicit: the key
     rows are narrow, and adaptive execution would otherwise merge them into
     one task, sizing by bytes what is really compute-heavy."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return b_cube_from(o.repartition(compute_partitions(spark), F.col("o_orderkey")), measures)
+    return b_cube_from(b_orders(spark, sf_dir), measures)
 
 
 def b_cube_wide(spark: SparkSession, sf_dir: str, n_config: int, measures: Sequence[str] = MEASURES) -> DataFrame:
     """Stand-in B with any config count (320 gives the protocol's own cube
-    shape: 2,560 values per point). Same formula as ``b_cube`` with the bias
-    ``n_config-1-c`` for anomalous points; arrays come from ``transform`` over
-    a config sequence, so the expression size does not grow with n_config."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    o = o.repartition(compute_partitions(spark), F.col("o_orderkey"))
-    key, anom = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
-
-    def measure(j):
-        def err(c):
-            frac = ((key * (c + 7) * (j + 3)) % F.lit(B_MOD)) / F.lit(float(B_MOD))
-            bias = F.when(anom, F.lit(n_config - 1) - c).otherwise(c)
-            return (frac + bias * F.lit(0.01)).cast("float")
-        return err
-
-    cfg = F.sequence(F.lit(0), F.lit(n_config - 1))
-    return o.select(key.alias("global_index"), *[F.transform(cfg, measure(j)).alias(m) for j, m in enumerate(measures)])
+    shape: 2,560 values per point), bias ``n_config-1-c`` for anomalous points."""
+    return b_cube_from(b_orders(spark, sf_dir), measures, n_config)
 
 
 def b_label(status: Column) -> Column:
@@ -122,7 +120,7 @@ def b_label(status: Column) -> Column:
 
 
 def b_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders")
+    o = b_orders(spark, sf_dir)
     flags = o.select(F.col("o_orderkey").alias("global_index"), F.lit(0).alias("missing"),
                      b_label(F.col("o_orderstatus")).alias("label"))
     return prepare_points(flags, B_TRIM)
@@ -137,7 +135,7 @@ def b_scenario_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked point tables of the three stand-in B scenarios: anomalous =
     status F / status P / priority starting with '1'; every other order is
     normal (label 0)."""
-    o = _table(spark, sf_dir, "orders").filter(F.col("o_orderkey") >= B_TRIM)
+    o = b_orders(spark, sf_dir).filter(F.col("o_orderkey") >= B_TRIM)
     flags = F.array(
         F.struct(F.lit(1).alias("scenario"), (F.col("o_orderstatus") == "F").alias("a")),
         F.struct(F.lit(2).alias("scenario"), (F.col("o_orderstatus") == "P").alias("a")),

@@ -240,3 +240,15 @@ def test_nan_cube_against_brute_force(spark, engine, test_engine):
     assert set(got) == set(want)
     for key, v in want.items():
         assert np.allclose(got[key], v, atol=1e-9), key
+
+
+def test_broadcast_point_join_same_results(spark):
+    from condfuse.operators.scoring import point_join_strategy
+
+    cube, pts = _inputs(spark)
+    assert point_join_strategy(pts) == "broadcast"
+    p = Protocol(folds=3, seed=42)
+    a = pr.evaluate(cube, pts, p, join="broadcast").collect()
+    b = pr.evaluate(cube, pts, p, join="shuffle_hash").collect()
+    norm = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+    assert norm(a) == norm(b)

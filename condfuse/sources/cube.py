@@ -46,7 +46,9 @@ def write_cube(cube: DataFrame, path: str, measures: Sequence[str] = MEASURES,
     if table is not None:
         if not buckets:
             raise ValueError("a bucketed cube table needs a bucket count")
-        (out.write.mode("overwrite").format("parquet").option("path", path)
+        # hash-partition by the bucket key first: each task then writes one
+        # file per bucket instead of a file into every bucket
+        (out.repartition(buckets, "global_index").write.mode("overwrite").format("parquet").option("path", path)
             .bucketBy(buckets, "global_index").sortBy("global_index").saveAsTable(table))
         return
     if files:

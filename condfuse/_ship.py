@@ -20,3 +20,12 @@ def by_value(module: types.ModuleType) -> None:
         cloudpickle.register_pickle_by_value(module)
     except (ValueError, AttributeError):  # already registered / old cloudpickle
         pass
+
+
+def has_context(spark) -> bool:
+    """True for a classic session (a SparkContext is reachable); False under
+    Spark Connect, where broadcast variables and the context are absent."""
+    try:
+        return spark.sparkContext is not None
+    except Exception:  # Spark Connect raises on sparkContext
+        return False

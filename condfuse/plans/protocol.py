@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condfuse._ship import has_context
 from condfuse.model import Protocol, top_mode_name
 from condfuse.operators.evaluate import (
     collect_weights,
@@ -80,6 +81,8 @@ AUTO_ARROW_DOTS = 8
 def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine, dots_per_point=2, join="shuffle_hash"):
     if engine == "auto":
         engine = "arrow" if dots_per_point > AUTO_ARROW_DOTS else "sql"
+    if engine == "arrow" and not has_context(cube.sparkSession):
+        engine = "sql"  # no broadcast variables without a SparkContext (Spark Connect)
     if engine == "arrow":
         table = collect_weights(warr, p.measures, runs, weight_keys, bound)
         if table is not None:

@@ -31,6 +31,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; set to a new local folder only if unset."""
+    from condfuse._ship import has_context
+
+    if not has_context(spark):  # Spark Connect: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:

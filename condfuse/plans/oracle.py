@@ -377,6 +377,8 @@ def oracle_sql() -> dict[str, str]:
         "topk_weights_top3": b_weights_sql("Top3"),
         "topk_weights_top10": b_weights_sql("Top10"),
         "topk_weights_topx": b_weights_sql("TopXPercent", R.TOPX_FRACTION),
+        "config_grid": f"SELECT g.* FROM (SELECT DISTINCT config_index FROM ({b_cube_long()}) c) u "
+                       f"JOIN ({config_grid_sql()}) g ON g.config_index = u.config_index",
         "stratified_folds": f"SELECT global_index, label, fold FROM ({b_folded()}) f",
         "train_test_split": f"""
             SELECT k.fold AS cv_fold, CASE WHEN k.fold = u.fold THEN 'test' ELSE 'train' END AS role, u.label,

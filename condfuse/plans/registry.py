@@ -258,6 +258,14 @@ def _b_weights(mode, fraction=None):
     return q
 
 
+def q_config_grid(spark, d):
+    """Parameters of the configs present in the stand-in B cube (config dimension join)."""
+    cube = st.b_cube(spark, d)
+    used = cube.select(F.posexplode("err_flow1").alias("config_index", "_e")) \
+        .select(F.col("config_index").cast("int")).distinct()
+    return used.join(F.broadcast(config_grid(spark)), "config_index")
+
+
 def q_stratified_folds(spark, d):
     _, pts = b_inputs(spark, d)
     return pts.select("global_index", "label", "fold")
@@ -328,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_weights_top3": _b_weights("Top3"),
     "topk_weights_top10": _b_weights("Top10"),
     "topk_weights_topx": _b_weights("TopXPercent", TOPX_FRACTION),
+    "config_grid": q_config_grid,
     "stratified_folds": q_stratified_folds,
     "train_test_split": q_train_test_split,
     "condition_aware_cv": q_condition_aware_cv,

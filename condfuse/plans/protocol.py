@@ -26,7 +26,9 @@ from condfuse.operators.evaluate import (
     weighted_errors,
     weighted_errors_arrow,
 )
+from condfuse.operators.evaluate import usable
 from condfuse.operators.folds import stratified_folds
+from condfuse.operators.points import limit_points
 from condfuse.operators.metrics import error_metrics, fold_average, metrics_long
 from condfuse.operators.scoring import fold_sums, scoring_rows, train_sums, train_sums_direct
 from condfuse.operators.weights import make_weights, weight_arrays
@@ -91,25 +93,33 @@ def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine, dots_per_po
 
 
 def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-                test_engine: str | None = None, join: str = "shuffle_hash") -> DataFrame:
+                test_engine: str | None = None, join: str = "shuffle_hash",
+                limit: int | None = None, test_limit: int | None = None) -> DataFrame:
     """``engine`` picks the ranking engine (``arrow`` / ``sql``);
     ``test_engine`` the test pass (``auto`` / ``sql`` / ``arrow``; default
     ``auto``, or ``sql`` when the ranking engine is ``sql``). ``join`` is the
     cube-to-points join: ``shuffle_hash`` (default; point side hashed, cube
     streamed, no cube shuffle for a bucketed cube) or ``broadcast`` (point
     side broadcast; only for point tables known to be small, see
-    ``scoring.point_join_strategy`` for a checked choice)."""
+    ``scoring.point_join_strategy`` for a checked choice).
+
+    Trial runs: ``limit`` keeps the first points (by index) of every
+    training list, ``test_limit`` those of every test list, per fold and
+    class; both are row_number filters planned as group limits."""
     pts = with_folds(points, p)
     te = test_engine or ("sql" if engine == "sql" else "auto")
-    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine, join=join), p, te, join=join)
+    weights = fit_weights(cube, pts, p, engine, limit=limit, join=join)
+    tests = pts if test_limit is None else limit_points(usable(pts), test_limit, by=("fold", "label"))
+    return apply_weights(cube, tests, weights, p, te, join=join)
 
 
 def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-             wide: bool = False, test_engine: str | None = None, join: str = "shuffle_hash") -> DataFrame:
+             wide: bool = False, test_engine: str | None = None, join: str = "shuffle_hash",
+             limit: int | None = None, test_limit: int | None = None) -> DataFrame:
     """Flagship: metrics per fold and report state, in report rows
     ``(label, metric, cv_fold_order, cv_fold_nr, weighted_err_*)``
     (or the wide per-fold table with ``wide=True``)."""
-    pred = predictions(cube, points, p, engine, test_engine, join)
+    pred = predictions(cube, points, p, engine, test_engine, join, limit, test_limit)
     w = error_metrics(report_states(pred), p.measures)
     return w if wide else metrics_long(w, p.measures, p.folds)
 

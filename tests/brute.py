@@ -42,7 +42,8 @@ def weights(sums: np.ndarray, k_keep: int | None, min_zero: bool = True):
 
 
 def evaluate(errors: dict[int, np.ndarray], labels: dict[int, int], missing: dict[int, int], fold: dict[int, int],
-             k: int, k_keep, align: str = "config", order: str = "raw"):
+             k: int, k_keep, align: str = "config", order: str = "raw", limit: int | None = None,
+             test_limit: int | None = None):
     """errors: gi -> (configs, measures). Returns {(fold, gi, kind): weighted errors array}."""
     usable = [g for g in errors if labels[g] in (0, 1) and missing[g] == 0]
     sc = {g: np.stack([ranks(errors[g][:, m][None, :], order)[0] for m in range(errors[g].shape[1])], axis=1)
@@ -51,7 +52,7 @@ def evaluate(errors: dict[int, np.ndarray], labels: dict[int, int], missing: dic
     for f in range(1, k + 1):
         wts = {}
         for lab in (0, 1):
-            tr = [g for g in usable if fold[g] != f and labels[g] == lab]
+            tr = sorted(g for g in usable if fold[g] != f and labels[g] == lab)[:limit]
             if tr:
                 wts[lab] = sum(sc[g] for g in tr)
         if not wts:
@@ -59,8 +60,11 @@ def evaluate(errors: dict[int, np.ndarray], labels: dict[int, int], missing: dic
         merged = sum(wts.values())
         fitted = {lab: weights(s, k_keep) for lab, s in wts.items()}
         fitted["merged"] = weights(merged, k_keep)
+        tested = set()
+        for lab in (0, 1):
+            tested.update(sorted(g for g in usable if fold[g] == f and labels[g] == lab)[:test_limit])
         for g in usable:
-            if fold[g] != f:
+            if g not in tested:
                 continue
             for kind, key in (("own", labels[g]), ("merged", "merged")):
                 if key not in fitted:

@@ -252,3 +252,18 @@ def test_broadcast_point_join_same_results(spark):
     b = pr.evaluate(cube, pts, p, join="shuffle_hash").collect()
     norm = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
     assert norm(a) == norm(b)
+
+
+def test_trial_limits_against_brute_force(spark):
+    cube, pts = _inputs(spark)
+    p = Protocol(folds=3, seed=42)
+    got = {(r["fold"], r["global_index"], r["kind"]): np.array([r[o] for o in O])
+           for r in pr.predictions(cube, pts, p, limit=6, test_limit=4).collect()}
+    rows = {r["global_index"]: np.stack([np.array(r[m], dtype=float) for m in MEASURES], axis=1) for r in cube.collect()}
+    prow = {r["global_index"]: r for r in pts.collect()}
+    want = brute.evaluate({g: rows[g] for g in prow}, {g: r["label"] for g, r in prow.items()},
+                          {g: r["missing"] for g, r in prow.items()}, {g: r["fold"] for g, r in prow.items()},
+                          3, top_k("Top25Percent", 8), limit=6, test_limit=4)
+    assert set(got) == set(want) and len(want) == 3 * 2 * 4 * 2
+    for key, v in want.items():
+        assert np.allclose(got[key], v, atol=1e-9), key

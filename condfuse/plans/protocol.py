@@ -23,13 +23,13 @@ from condfuse.operators.evaluate import (
     collect_weights,
     report_states,
     test_rows,
+    usable,
     weighted_errors,
     weighted_errors_arrow,
 )
-from condfuse.operators.evaluate import usable
 from condfuse.operators.folds import stratified_folds
-from condfuse.operators.points import limit_points
 from condfuse.operators.metrics import error_metrics, fold_average, metrics_long
+from condfuse.operators.points import limit_points
 from condfuse.operators.scoring import fold_sums, scoring_rows, train_sums, train_sums_direct
 from condfuse.operators.weights import make_weights, weight_arrays
 

@@ -138,18 +138,22 @@ def collect_weights(warrays: DataFrame, measures: Sequence[str], run_cols: Seque
 
     if weight_rows_bound > BROADCAST_WEIGHT_ROWS:
         return None
+    from condfuse.operators.scoring import list_matrix
+
     wc = weight_cols(measures)
-    rows = warrays.select(*run_cols, *weight_keys, "fold", "state", *wc).collect()
-    if not rows:
+    keys = [*run_cols, *weight_keys, "fold", "state"]
+    # Arrow collection: the weight vectors arrive as columnar float64 buffers
+    tbl = warrays.select(*keys, *wc).toArrow()
+    if tbl.num_rows == 0:
         return {}
-    n = len(rows[0][wc[0]])
-    if len(rows) * n * len(wc) * 8 > BROADCAST_WEIGHT_BYTES:
+    mats = np.stack([list_matrix(tbl.column(w)).astype(np.float64) for w in wc], axis=2)  # (rows, n, M)
+    if mats.nbytes > BROADCAST_WEIGHT_BYTES:
         return None
+    kv = {c: tbl.column(c).to_pylist() for c in keys}
     table: dict = {}
-    for r in rows:
-        key = (*[int(r[c]) for c in run_cols], int(r["fold"]), r["state"])
-        mat = np.array([[np.nan if v is None else v for v in r[w]] for w in wc], dtype=np.float64).T
-        table.setdefault(key, []).append((tuple(r[k] for k in weight_keys), mat))
+    for i in range(tbl.num_rows):
+        key = (*[int(kv[c][i]) for c in run_cols], int(kv["fold"][i]), kv["state"][i])
+        table.setdefault(key, []).append((tuple(kv[k][i] for k in weight_keys), mats[i]))
     return table
 
 

@@ -91,6 +91,7 @@ def b_cube_from(orders: DataFrame, measures: Sequence[str] = MEASURES, n_config:
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = ["global_index", *measures]
     n_meas = len(measures)
@@ -101,7 +102,7 @@ def b_cube_from(orders: DataFrame, measures: Sequence[str] = MEASURES, n_config:
             if b.num_rows == 0:
                 continue
             key = b.column("o_orderkey").to_numpy(zero_copy_only=False).astype(np.int64)
-            anom = np.asarray(b.column("o_orderstatus").to_pylist(), dtype=object) == "F"
+            anom = pc.fill_null(pc.equal(b.column("o_orderstatus"), "F"), False).to_numpy(zero_copy_only=False)
             bias = np.where(anom[:, None], (n_config - 1) - c[None, :], c[None, :]).astype(np.float64)
             offsets = pa.array(np.arange(0, (len(key) + 1) * n_config, n_config, dtype=np.int32))
             cols = [pa.array(key)]

@@ -195,7 +195,7 @@ def weighted_errors_arrow(keyed: DataFrame, table, measures: Sequence[str] = MEA
                 continue
             flat = mem.flatten()
             keys = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
-            errs = np.stack([list_matrix(b.column(m)).astype(np.float64) for m in measures], axis=2)  # (rows, n, M)
+            mats = [list_matrix(b.column(m)) for m in measures]  # one (rows, n) float32 block per measure
             gi = b.column("global_index").to_numpy(zero_copy_only=False)
             uniq, inv = np.unique(keys, axis=0, return_inverse=True)
             inv = inv.reshape(-1)
@@ -207,14 +207,16 @@ def weighted_errors_arrow(keyed: DataFrame, table, measures: Sequence[str] = MEA
                 if not entries:
                     continue
                 rows_idx = parent[inv == u_i]
-                E = errs[rows_idx]  # (g, n, M)
-                bad = ~np.isfinite(E).all(axis=(1, 2))
-                for kind, (extra, Wm) in entries:  # Wm (n, M)
-                    res = np.einsum("gnm,nm->gm", np.where(np.isnan(E), 0.0, E), np.nan_to_num(Wm, nan=0.0))
-                    if bad.any():
-                        prod = E[bad] * Wm[None, :, :]
-                        res[bad] = np.nansum(prod, axis=1)
-                    g = len(rows_idx)
+                g, n_ent = len(rows_idx), len(entries)
+                res = np.empty((n_ent, g, len(measures)))
+                for j in range(len(measures)):
+                    E = mats[j][rows_idx].astype(np.float64)  # (g, n)
+                    Wj = np.stack([wm[:, j] for _, (_, wm) in entries], axis=1)  # (n, entries)
+                    res[:, :, j] = (np.where(np.isnan(E), 0.0, E) @ np.nan_to_num(Wj, nan=0.0)).T
+                    bad = ~np.isfinite(E).all(axis=1)
+                    if bad.any():  # exact skip-NaN sums where a product may be NaN (NaN or inf errors)
+                        res[:, bad, j] = np.nansum(E[bad][None, :, :] * Wj.T[:, None, :], axis=2)
+                for r, (kind, (extra, _)) in enumerate(entries):
                     cols["global_index"].append(gi[rows_idx])
                     for i, c in enumerate(run_cols):
                         cols[c].append(np.full(g, run[i], np.int32))
@@ -224,7 +226,7 @@ def weighted_errors_arrow(keyed: DataFrame, table, measures: Sequence[str] = MEA
                     cols["label"].append(np.full(g, label, np.int32))
                     cols["kind"].append(np.full(g, kind, dtype=object))
                     for j, o in enumerate(out):
-                        cols[o].append(res[:, j])
+                        cols[o].append(res[r, :, j])
             if not cols["global_index"]:
                 continue
             arrays = [pa.array(np.concatenate(cols[f.name]), type=arrow_schema.field(f.name).type)

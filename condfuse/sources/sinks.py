@@ -41,6 +41,15 @@ def materialize_scores(spark: SparkSession, base: str, params: dict, build: Call
     return spark.read.parquet(path)
 
 
+def run_name(params: Sequence[int | str], started: str | None = None) -> str:
+    """Folder name of one run's outputs: ``started_<yyyyMMdd_HHmmss>_param_<p1_p2_...>``
+    (UTC start stamp plus the run parameters joined with ``_``)."""
+    import datetime
+
+    stamp = started or datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    return f"started_{stamp}_param_{'_'.join(str(p) for p in params)}"
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
     """Writes a report table as Parquet or CSV (with header). Reports are
     small; ``single_file`` coalesces them into one file."""

@@ -140,3 +140,9 @@ def test_validate_inputs(spark):
         validate_inputs(cube.filter("global_index > 100"), pts, Protocol(folds=3))
     with pytest.raises(ProtocolError):
         validate_inputs(cube, pts, Protocol(folds=3), min_points=10_000)
+
+
+def test_run_name():
+    assert sk.run_name([3, 2, 0, 0, 1], started="20180710_120000") == "started_20180710_120000_param_3_2_0_0_1"
+    name = sk.run_name([3])
+    assert name.startswith("started_") and name.endswith("_param_3") and len(name.split("_")[1]) == 8

@@ -115,10 +115,19 @@ def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), en
 
 def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
              wide: bool = False, test_engine: str | None = None, join: str = "shuffle_hash",
-             limit: int | None = None, test_limit: int | None = None) -> DataFrame:
+             limit: int | None = None, test_limit: int | None = None, validate: bool = False) -> DataFrame:
     """Flagship: metrics per fold and report state, in report rows
     ``(label, metric, cv_fold_order, cv_fold_nr, weighted_err_*)``
-    (or the wide per-fold table with ``wide=True``)."""
+    (or the wide per-fold table with ``wide=True``). ``validate`` first runs
+    the input checks (a few aggregates; raises ``ProtocolError``, warns on
+    gaps and small classes)."""
+    if validate:
+        import warnings
+
+        from condfuse.operators.validate import validate_inputs
+
+        for w in validate_inputs(cube, points, p):
+            warnings.warn(w, stacklevel=2)
     pred = predictions(cube, points, p, engine, test_engine, join, limit, test_limit)
     w = error_metrics(report_states(pred), p.measures)
     return w if wide else metrics_long(w, p.measures, p.folds)

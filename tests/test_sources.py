@@ -146,3 +146,13 @@ def test_run_name():
     assert sk.run_name([3, 2, 0, 0, 1], started="20180710_120000") == "started_20180710_120000_param_3_2_0_0_1"
     name = sk.run_name([3])
     assert name.startswith("started_") and name.endswith("_param_3") and len(name.split("_")[1]) == 8
+
+
+def test_evaluate_validates_on_request(spark):
+    cube = st.a_cube(spark, SF_SMALL)
+    pts = st.a_points(spark, SF_SMALL)
+    with pytest.raises(ProtocolError):
+        pr.evaluate(cube.filter("global_index > 100"), pts, Protocol(folds=3, seed=42), validate=True)
+    with pytest.warns(UserWarning):
+        pr.evaluate(cube.filter("global_index % 50 <> 7"), pts.filter("global_index % 50 <> 7"),
+                    Protocol(folds=3, seed=42), validate=True)

@@ -156,3 +156,29 @@ def test_evaluate_validates_on_request(spark):
     with pytest.warns(UserWarning):
         pr.evaluate(cube.filter("global_index % 50 <> 7"), pts.filter("global_index % 50 <> 7"),
                     Protocol(folds=3, seed=42), validate=True)
+
+
+def test_cli_run_on_binary_files(spark):
+    from condfuse.plans import cli
+    from condfuse.sources.configs import SCENARIOS
+
+    d = _local(spark, "cli")
+    cube = st.a_cube(spark, SF_SMALL)
+    rows = sorted(cube.collect(), key=lambda r: r["global_index"])
+    block = np.stack([np.stack([np.array(r[m], dtype=np.float32) for m in MEASURES], axis=1) for r in rows])
+    _, cube_file, flag_file = SCENARIOS[2]
+    block.astype(np.float32).tofile(os.path.join(d, cube_file))
+    gi = np.array([r["global_index"] for r in rows])
+    labels = {r["global_index"]: r["label"] for r in st.a_flags(spark, SF_SMALL).collect()}
+    np.save(os.path.join(d, flag_file), np.array([labels[g] if labels[g] in (0, 1) else 0 for g in gi]))
+    np.save(os.path.join(d, "missing.npy"), (gi % 37 == 0).astype(np.int64))
+    a = cli.parse(["3", "2", "0", "0", "0", "--cube-dir", d, "--flag-dir", d, "--missing-flags",
+                   os.path.join(d, "missing.npy"), "--out", os.path.join(d, "out"), "--n-config", "8",
+                   "--days", "9", "--per-day", "50"])
+    out = cli.run(spark, a)
+    summary = spark.read.parquet(os.path.join(out, "avg_results_of_all_folds"))
+    assert summary.count() == 21
+    assert summary.select("anomaly_method").distinct().first()[0] == "Ground_Truth_Incident"
+    assert spark.read.option("header", True).csv(os.path.join(out, "avg_results_of_all_folds_csv")).count() == 21
+    with pytest.raises(ProtocolError):
+        cli.run(spark, cli.parse(["3", "99", "--cube-dir", d, "--flag-dir", d, "--missing-flags", "x", "--out", d]))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm import exact, mixing, sharding, warc
+from condfuse.llm import exact, langid, mixing, secrets, sharding, simhash, warc
 from condfuse.llm.common import read_table, shared_dir
 
 
@@ -21,10 +21,23 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/corpus/warc-{uuid.uuid4().hex}")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +45,10 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_warc": op2_warc,
+    "op3_simhash": op3_simhash,
     "op5_shard": op5_shard,
+    "op6_secrets": op6_secrets,
+    "op7_langid": op7_langid,
     "op8_exact": op8_exact,
 }
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm import exact, langid, mixing, secrets, sharding, simhash, warc
+from condfuse.llm import exact, langid, mixing, packing, secrets, sharding, simhash, warc
 from condfuse.llm.common import read_table, shared_dir
 
 
@@ -42,6 +42,10 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), capacity=2048)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_warc": op2_warc,
@@ -50,6 +54,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_langid": op7_langid,
     "op8_exact": op8_exact,
+    "op9_pack": op9_pack,
 }
 
 ORACLE_SQL = {

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm import exact, langid, mixing, packing, secrets, sharding, simhash, warc
+from condfuse.llm import embeddup, exact, langid, mixing, packing, secrets, sharding, simhash, warc
 from condfuse.llm.common import read_table, shared_dir
 
 
@@ -46,6 +46,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_warc": op2_warc,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_langid": op7_langid,
     "op8_exact": op8_exact,
     "op9_pack": op9_pack,
+    "op10_vectors": op10_vectors,
 }
 
 ORACLE_SQL = {

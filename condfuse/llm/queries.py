@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm import embeddup, exact, langid, mixing, packing, secrets, sharding, simhash, warc
+from condfuse.llm import embeddup, exact, langid, linedup, mixing, packing, secrets, sharding, simhash, warc
 from condfuse.llm.common import read_table, shared_dir
 
 
@@ -25,6 +25,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linedup.line_dedup(docs, min_words=50).select("doc_id", "n_lines", "n_removed", "words_removed", "found_in", "text")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_lines": op4_lines,
     "op5_shard": op5_shard,
     "op6_secrets": op6_secrets,
     "op7_langid": op7_langid,

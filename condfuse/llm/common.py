@@ -18,6 +18,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that no column of it can clash with a name of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def released(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns out of ``row`` again, some of them ``changed``."""
+    return df.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 

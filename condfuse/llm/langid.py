@@ -65,7 +65,7 @@ def fit(docs: DataFrame, *, sample: int = 2048, landmarks: int = 128, ridge: flo
     gives an equal part of both, its rows with the smallest id hash.  None if no row is labelled.
     """
     spark = docs.sparkSession
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
+    rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").count().limit(sample + 1).collect()  # one row per language
     if not counts:
         return None
@@ -108,16 +108,16 @@ def _kernel(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return (x @ points.T) / np.sqrt(np.maximum(np.outer(x.sum(1), points.sum(1)), 1))
 
 
-def identify(docs: DataFrame, model: dict | None = None, **bounds) -> DataFrame:
+def identify(docs: DataFrame, model: dict | None = None, *, names: tuple[str, str, str] = ("held_out", "lang_pred", "score"), **bounds) -> DataFrame:
     """``docs`` and ``held_out, lang_pred, score``; the model is fitted on ``docs`` unless given.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 for a text that is null or has no letter, and
     for every text if nothing could be learned.  Equal scores go to the first language in code-point order.
     ``score`` is the regression value, held to 0 to 1.  Rows are independent, repeated rows give repeated results, an empty table
-    none; columns of these three names are replaced, the others pass through.
+    none; columns of the three ``names`` are replaced, the others pass through.
     """
     model = model or fit(docs, **bounds)
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = docs.drop(*names)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = np.unpackbits(model["points"], axis=1).astype(np.float32) if model else None
@@ -135,8 +135,8 @@ def identify(docs: DataFrame, model: dict | None = None, **bounds) -> DataFrame:
                     score = [float(values[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
                 else:
                     lang, score = [UNKNOWN] * len(known), [0.0] * len(known)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names[1:]])
 
-    rows = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    rows = docs.withColumn(names[0], held_out(F.col("doc_id")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(predict, f"{kinds}, `{names[1]}` string, `{names[2]}` double")

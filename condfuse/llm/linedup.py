@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condfuse.llm.common import cut
+from condfuse.llm.common import SPACE, carried, cut, released
 
 PER_TASK = 256  # later documents that one copy of an earlier document meets
 
@@ -23,11 +23,10 @@ def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
     after = np.searchsorted(ends, ends[:-1] + min_words)  # first end that reaches the words
     before = np.searchsorted(ends, ends[1:] - min_words, side="right") - 1
     for i in range(n):
-        if words[i]:
-            if after[i] <= n:
-                out.add((i, int(after[i])))
-            if before[i] >= 0:
-                out.add((int(before[i]), i + 1))
+        if after[i] <= n:
+            out.add((i, int(after[i])))
+        if before[i] >= 0:
+            out.add((int(before[i]), i + 1))
     return sorted(out)
 
 
@@ -205,16 +204,23 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     new = ["n_lines", "n_removed", "words_removed", "found_in"]
     docs = docs.drop(*new)
-    # blocks of two early documents may overlap: lines are counted once, from the merged runs
-    gone = common_lines(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_runs"), F.array_sort(F.collect_set("f_id")).alias("found_in")
+    # blocks of two early documents may overlap; a line is in any of them or in none
+    gone = common_lines(docs, min_words).groupBy("doc_id", "th").agg(
+        F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"), F.array_sort(F.collect_set("f_id")).alias("found_in")
     )
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left").drop("_id", "_th", "_text_hash")
-    lines = F.split("text", "\n", -1)
-    dead = lambda i: F.exists("_runs", lambda r: (r["lo"] <= i) & (i < r["hi"]))
+    text = F.col("row.text")
+    rows = carried(docs).withColumn("h", F.xxhash64(text)).join(gone, (F.col("row.doc_id") == F.col("doc_id")) & (F.col("h") == F.col("th")), "left")
+    lines = F.split(text, "\n", -1)
+    dead = lambda i: F.exists("runs", lambda r: (r["lo"] <= i) & (i < r["hi"]))
     kept = F.array_join(F.filter(lines, lambda _, i: ~dead(i)), "\n")
     lost = F.filter(lines, lambda _, i: dead(i))
-    some = F.col("_runs").isNotNull()
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_removed", F.when(some, F.size(lost)).otherwise(0))
-    rows = rows.withColumn("words_removed", F.when(some, F.regexp_count(F.array_join(lost, "\n"), F.lit("[^ \\x09-\\x0D]+"))).otherwise(0))
-    return rows.withColumn("text", F.when(some, kept).otherwise(F.col("text"))).drop("_runs")
+    some = F.col("runs").isNotNull()
+    found = [
+        F.when(some, kept).otherwise(text).alias("text"),
+        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
+        F.when(some, F.size(lost)).otherwise(0).alias("n_removed"),
+        F.when(some, F.regexp_count(F.array_join(lost, "\n"), F.lit(f"[^{SPACE}]+"))).otherwise(0).alias("words_removed"),
+        F.col("found_in"),
+    ]
+    rows = rows.select("row", F.struct(*found).alias("new"))
+    return released(rows, [*docs.columns, *new], **{c: F.col(f"new.{c}") for c in ("text", *new)})

@@ -16,13 +16,14 @@ def shard_rows(docs: DataFrame, shards: int = 24, *, rounds: int = 8, links: lis
     ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Documents with an equal link key are linked: equal texts, and equal values of each column named in
-    ``links``.  Every document starts in the shard that the hash of its link picks, or of its text if it has none.  In each
-    round a link counts its members by shard (pre-aggregated, so a hot link costs each task a few
-    rows), every linked document adds up the counts of its links, and wants the shard with most of its
-    neighbours among those with room.  Arrivals fill a shard's room in hash order by counted
-    buckets; who does not fit stays and looks for another shard in the next round, so a link larger than a shard
-    spreads over as few as hold it.  Rounds end when no document moves.  Then documents that have no
-    links fill every shard to its exact quota.
+    ``links``.  A linked document belongs to a unit, the members of its largest link or, where that is
+    large, a part of them of about a quarter shard; a unit starts in the shard that the hash of the link picks, the
+    parts of a large link in as many shards as hold it.  In each round a link counts its members by
+    shard (pre-aggregated, so a hot link costs each task a few rows), every linked document adds up
+    the counts of its links, and wants the shard with most of its neighbours among its own and those
+    with room.  Arrivals fill the room by counted hash buckets of units; who does not fit stays, or without a shard
+    tries another one in the next round.  Rounds end when no document moves.  Then documents without links, and
+    what found no shard, fill every shard to its exact quota.
 
     ``size`` is the UTF-8 length plus 8, ``slot`` a gapless number inside the shard, ``grown_shard`` null.  A null
     text has size 8 and is linked with nothing, empty texts are equal texts.  Repeated rows are rows like others.
@@ -40,48 +41,48 @@ def shard_rows(docs: DataFrame, shards: int = 24, *, rounds: int = 8, links: lis
     total = facts.count()
     room = total // shards
     # links with one member link nothing
-    shared = facts.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    member = cut(facts.select("row", F.explode("keys").alias("key")).join(shared, "key"), "shard-links")
-    start = F.pmod(F.xxhash64(F.min("key")), F.lit(shards)).cast("int")
-    state = cut(member.groupBy("row").agg(start.alias("shard")), "shard-state")
-    state = _fit(state, state.withColumn("want", F.col("shard")).withColumn("shard", F.lit(None).cast("int")), room, shards)
+    shared = facts.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = cut(facts.select("row", F.explode("keys").alias("key")).join(cut(shared, "shard-shared"), "key"), "shard-links")
+    main = member.groupBy("row").agg(F.max(F.struct("n", "key")).alias("m")).select("row", "m.n", "m.key")
+    quarters = F.when(F.col("n") * 4 > room, F.ceil(F.col("n") / F.lit(max(1, room))) * 4).otherwise(1)
+    part = F.pmod(F.xxhash64("row"), quarters)
+    unit = F.xxhash64("key", part)
+    first = F.pmod(F.xxhash64("key") + F.floor(part / 4), F.lit(shards)).cast("int")
+    units = cut(main.select("row", unit.alias("unit"), F.lit(None).cast("int").alias("shard"), first.alias("want")), "shard-units")
+    state = _fit(units.drop("want"), units, {}, room, shards)
     for _ in range(rounds):
         loads = dict(state.where("shard IS NOT NULL").groupBy("shard").count().collect())  # one row per shard
-        free = [s for s in range(shards) if loads.get(s, 0) < room]
-        # a link's members by shard, then each document's neighbours by shard
-        placed = member.join(state, "row")
-        by_link = placed.where("shard IS NOT NULL").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
-        open_to = F.col("shard").isin(free) if free else F.lit(False)
-        hist = by_link.groupBy("key").agg(F.collect_list(F.struct("shard", "n")).alias("hist"))  # at most one entry per shard
-        seen = member.join(hist, "key").select("row", F.explode("hist").alias("h")).groupBy("row", F.col("h.shard").alias("to")).agg(F.sum("h.n").alias("n"))
-        seen = seen.join(state, "row")
-        usable = seen.where((F.col("to") == F.col("shard")) | F.col("to").isin(free) if free else F.col("to") == F.col("shard"))
-        best = usable.groupBy("row").agg(F.max(F.struct("n", (F.col("to") == F.col("shard")).alias("here"), (-F.col("to")).alias("neg"))).alias("b"))
-        wish = state.join(best, "row", "left").select("row", "shard", (-F.col("b.neg")).alias("want"))
-        # homeless documents whose neighbours' shards are all full go where most room is
-        widest = sorted(free, key=lambda s: (loads.get(s, 0), s))[:1]
-        wish = wish.withColumn("want", F.coalesce("want", F.lit(widest[0] if widest else None).cast("int")))
-        moving = cut(wish.where("NOT want <=> shard AND want IS NOT NULL"), "shard-moves")
-        moved = _fit(state, moving, room, shards, loads)
-        changed = moved.exceptAll(state).limit(1).count()
-        state = moved
-        if not changed:
+        spare = {s: room - loads.get(s, 0) for s in range(shards)}
+        # a quarter shard holds any unit; less room is only tried when no shard has that much
+        most = min(max(spare.values()) * 4, room)
+        free = sorted((s for s in spare if spare[s] > 0 and spare[s] * 4 >= most), key=lambda s: (-spare[s], s))
+        # a link's members by shard, at most one entry for each; then each document's neighbours by shard
+        by_link = member.select("row", "key").join(state.where("shard IS NOT NULL"), "row").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
+        hist = cut(by_link.groupBy("key").agg(F.collect_list(F.struct("shard", "n")).alias("hist")), "shard-hist")
+        seen = member.select("row", "key").join(hist, "key").select("row", F.explode("hist").alias("h")).groupBy("row", F.col("h.shard").alias("to")).agg(F.sum("h.n").alias("n"))
+        here = F.col("to").eqNullSafe(F.col("shard"))
+        usable = seen.join(state, "row").where(here | F.col("to").isin(free) if free else here)
+        best = usable.groupBy("row").agg(F.max(F.struct("n", here.alias("here"), (-F.col("to")).alias("neg"))).alias("b"))
+        # without any, a unit tries one of the emptier shards
+        tries = F.element_at(F.array(*[F.lit(s) for s in free[: max(1, len(free) // 2)]]), (F.pmod("unit", F.lit(max(1, len(free) // 2))) + 1).cast("int")) if free else F.lit(None)
+        wish = state.join(best, "row", "left").withColumn("want", F.coalesce(-F.col("b.neg"), F.when(F.col("shard").isNull(), tries)).cast("int")).drop("b")
+        moving = cut(wish.where("want IS NOT NULL AND NOT want <=> shard"), "shard-moves")
+        if moving.isEmpty():
             break
+        state = _fit(state, moving, loads, room, shards)
     return _deal(facts, state, total, shards)
 
 
-def _fit(state: DataFrame, moving: DataFrame, room: int, shards: int, loads: dict | None = None) -> DataFrame:
-    """``state`` after as many of ``moving(row, shard, want)`` as their wished shards have room for."""
-    loads = loads or {}
-    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
+def _fit(state: DataFrame, moving: DataFrame, loads: dict[int, int], room: int, shards: int) -> DataFrame:
+    """``state`` after as many units of ``moving(row, unit, want)`` as their wished shards have room for."""
+    bucket = F.pmod(F.xxhash64("unit"), F.lit(BUCKETS))
     counts = moving.groupBy("want", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("want").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     spare = F.element_at(F.array(*[F.lit(max(0, room - loads.get(s, 0))) for s in range(shards)]), F.col("want") + 1)
     # at most shards * BUCKETS rows
     fits = counts.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= spare).select(F.col("want").alias("_want"), F.col("bucket").alias("_bucket"))
     accepted = moving.join(F.broadcast(fits), (F.col("want") == F.col("_want")) & (bucket == F.col("_bucket"))).select("row", F.col("want").alias("to"))
-    base = state if loads else state.withColumn("shard", F.lit(None).cast("int"))
-    return cut(base.join(accepted, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "shard-state")
+    return cut(state.join(accepted, "row", "left").select("row", "unit", F.coalesce("to", "shard").alias("shard")), "shard-state")
 
 
 def _deal(facts: DataFrame, state: DataFrame, total: int, shards: int) -> DataFrame:
@@ -91,7 +92,7 @@ def _deal(facts: DataFrame, state: DataFrame, total: int, shards: int) -> DataFr
     for s in range(shards):
         end += total // shards + (s < total % shards) - loads.get(s, 0)
         ends.append(end)
-    rows = cut(facts.drop("keys").join(state, "row", "left"), "shard-rows")
+    rows = cut(facts.drop("keys").join(state.drop("unit"), "row", "left"), "shard-rows")
     spread = F.xxhash64("row")
     loose = bucketed_rank(rows.where("shard IS NULL").drop("shard").withColumn("all", F.lit(0)), ["all"], [spread, F.col("row")], spread, name="place").drop("all")
     pick = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("place")))

@@ -58,7 +58,7 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: int = 7, cycle: tuple[int, ...] = (1, 2, 3), epochs: int = 3, per_task: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: int = 7, cycle: tuple[int, ...] = (1, 2, 3), epochs: int = 3, per_task: int = 1024) -> DataFrame:
     """How often the mix takes each document: ``doc_id, source, text_hash, size, source_size, target, copies, taken``.
 
     ``size`` is the number of words.  A source is first taken in as many complete epochs as its target

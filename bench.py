@@ -1,14 +1,14 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Prints one JSON line. Every timed query builds its stand-in cube from the
-``orders`` table on the fly (hash-distributed by key, so the cube is never
-shuffled) and the timing covers building the plan and running it: plans
-whose test pass uses collected weights run the ranking job while being
-built. ``cv_b320`` runs the full 3-fold condition-aware cross-validation on
-a cube of the protocol's own shape (320 configs x 8 measures per point).
-
-With ``BENCH_MATERIALIZE=1`` the cubes are also written as Parquet to the
-session's checkpoint folder (about 1.7 GB at sf0.1) and timed from there.
+Prints one JSON line. The cubes (stand-in B over ``orders``: 32 configs, and
+320 configs, the protocol's own shape) are written first, untimed, once as a
+plain Parquet folder and once as a bucketed table. The headline lines read the
+bucketed cube, which is never shuffled; ``plain_*`` lines read the plain one,
+which each pass shuffles by its index. Timing covers building the plan and
+running it: evaluations run their ranking job while they are built.
+``points`` is the number of points ranked and tested: every order.
+
+The files take about 4 GB at sf0.1, in the session's shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 import uuid
 
@@ -23,10 +24,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from condfuse.model import Protocol  # noqa: E402
 from condfuse.operators import folds as fo  # noqa: E402
+from condfuse.operators import points as po  # noqa: E402
 from condfuse.operators import scoring as sc  # noqa: E402
 from condfuse.plans import protocol as pr  # noqa: E402
 from condfuse.plans.registry import QUERIES  # noqa: E402
-from condfuse.session import checkpoint_dir, local_session  # noqa: E402
+from condfuse.session import local_session, shared_dir  # noqa: E402
 from condfuse.sources import cube as cu  # noqa: E402
 from condfuse.sources import standins as st  # noqa: E402
 
@@ -45,45 +47,42 @@ def run(build):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus)
-    q: dict[str, float] = {}
-
-    # warm-up (JVM, Python workers, codegen), untimed
-    QUERIES["point_flags"](spark, sf_dir).collect()
+    spark = local_session(cpus, checkpoint=tempfile.mkdtemp(prefix="condfuse-bench-"))
+    base = f"{shared_dir(spark)}/bench-{uuid.uuid4().hex[:8]}"
     p = Protocol(folds=3, seed=42)
     pts = fo.stratified_folds(st.b_points(spark, sf_dir), 3, 42)
-    run(lambda: pr.evaluate(st.b_cube(spark, sf_dir), pts, p))()
-
-    def b32():
-        return st.b_cube(spark, sf_dir)
-
-    def b320():
-        return st.b_cube_wide(spark, sf_dir, 320)
-
-    headline = {}
-    # scoring only (rank every point, sum per fold/label/config), as in BASELINE's own probe
-    headline["score_b32"] = timed(run(lambda: sc.fold_sums(b32(), pts)))
-    headline["score_b320"] = timed(run(lambda: sc.fold_sums(b320(), pts)))
-    headline["cv_b32"] = timed(run(lambda: pr.evaluate(b32(), pts, p)))
-    headline["cv_b320"] = timed(run(lambda: pr.evaluate(b320(), pts, p)))
-    headline["sweep_b32"] = timed(run(lambda: pr.sweep(b32(), st.b_scenario_points(spark, sf_dir),
-                                                       [1, 2, 3], [2, 3], ["Top25Percent", "Top3", "All"], p)))
+    n_points = po.usable(pts).count()
+    setup, plain, bucketed = {}, {}, {}
+    for n in (32, 320):
+        def cube(n=n):
+            return st.b_cube_wide(spark, sf_dir, n)
+
+        setup[f"write_plain_b{n}"] = timed(lambda: cu.write_cube(cube(), f"{base}/plain_b{n}"))
+        buckets = max(int(cpus), cu.bucket_count(n_points, n))
+        setup[f"write_bucketed_b{n}"] = timed(lambda: cu.write_cube(cube(), f"{base}/bucketed_b{n}", table=f"bench_b{n}", buckets=buckets))
+        plain[n], bucketed[n] = cu.read_cube(spark, f"{base}/plain_b{n}"), spark.table(f"bench_b{n}")
+
+    # warm-up (JVM, Python workers, codegen), untimed
+    run(lambda: pr.evaluate(bucketed[32], pts, p))()
+
+    scen = st.b_scenario_points(spark, sf_dir)
+    q = {}
+    for n in (32, 320):
+        # scoring only (rank every point, sum per fold/label/config), as in BASELINE's own probe
+        q[f"score_b{n}"] = timed(run(lambda: sc.fold_sums(bucketed[n], pts)))
+        q[f"cv_b{n}"] = timed(run(lambda: pr.evaluate(bucketed[n], pts, p)))
+        q[f"plain_score_b{n}"] = timed(run(lambda: sc.fold_sums(plain[n], pts)))
+        q[f"plain_cv_b{n}"] = timed(run(lambda: pr.evaluate(plain[n], pts, p)))
+    sweep = ([1, 2, 3], [2, 3], ["Top25Percent", "Top3", "All"], p)
+    q["sweep_b32"] = timed(run(lambda: pr.sweep(bucketed[32], scen, *sweep)))
+    q["plain_sweep_b32"] = timed(run(lambda: pr.sweep(plain[32], scen, *sweep)))
     for name in ("condition_aware_cv", "scenario_sweep", "topk_weights_top25pct", "metrics_long", "rank_scores"):
-        headline[name] = timed(run(lambda name=name: QUERIES[name](spark, sf_dir)))
-
-    if os.environ.get("BENCH_MATERIALIZE") == "1":
-        base = checkpoint_dir(spark).rstrip("/") + f"/bench-{uuid.uuid4().hex[:8]}"
-        p32, p320 = f"{base}/cube_b32", f"{base}/cube_b320"
-        q["setup_cube_b32"] = timed(lambda: cu.write_cube(b32(), p32))
-        q["setup_cube_b320"] = timed(lambda: cu.write_cube(b320(), p320))
-        q["parquet_cv_b32"] = timed(run(lambda: pr.evaluate(cu.read_cube(spark, p32), pts, p)))
-        q["parquet_cv_b320"] = timed(run(lambda: pr.evaluate(cu.read_cube(spark, p320), pts, p)))
-
-    q.update(headline)
-    n_points = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-    print(json.dumps({"metric": "total_query_time", "value": round(sum(headline.values()), 3), "unit": "sec",
-                      "queries": q, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
-                      "cpus": int(cpus), "cube_points": n_points}))
+        q[name] = timed(run(lambda name=name: QUERIES[name](spark, sf_dir)))
+    for n in (32, 320):
+        spark.sql(f"DROP TABLE IF EXISTS bench_b{n}")
+    print(json.dumps({"metric": "total_query_time", "value": round(sum(q.values()), 3), "unit": "sec", "queries": q,
+                      "setup": setup, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "cpus": int(cpus),
+                      "points": n_points}))
     spark.stop()
 
 

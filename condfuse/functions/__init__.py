@@ -5,8 +5,6 @@ from condfuse.functions.columns import (
     param_string,
     renamed,
     round6,
-    run_timestamp,
-    safe_div,
     score_cols,
     weight_cols,
     weighted_cols,
@@ -14,5 +12,4 @@ from condfuse.functions.columns import (
 
 __all__ = [
     "MEASURES", "fold_hash", "nan_to_null", "param_string", "renamed", "round6",
-    "run_timestamp", "safe_div", "score_cols", "weight_cols", "weighted_cols",
 ]

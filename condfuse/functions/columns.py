@@ -49,11 +49,6 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """``num / den`` with null instead of an error (or NaN) when ``den`` is 0."""
-    return F.when(den != 0, num / den)
-
-
 def fold_hash(global_index: Column | str, seed: int) -> Column:
     """Deterministic 32-bit hash of ``seed:global_index`` (first 8 hex digits of md5).
 
@@ -65,14 +60,15 @@ def fold_hash(global_index: Column | str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def round6(c: Column | str) -> Column:
+def not_missing(c: Column | str = "missing") -> Column:
+    """Only the value 1 means missing; 0, null and any other code do not."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return ~c.eqNullSafe(F.lit(1))
 
 
-def run_timestamp() -> Column:
-    """Wall-clock stamp used in output names (``yyyyMMdd_HHmmss``)."""
-    return F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
+def round6(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), 6)
 
 
 def param_string(*parts: Column | str) -> Column:

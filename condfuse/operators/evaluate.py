@@ -3,26 +3,36 @@
 Each usable point (label 0/1, not missing) is a test point of exactly one
 fold, and is scored there with two weight vectors: its own class's
 (``own``) and the merged one (``merged``). All seven report states are
-unions of these two results, so the cube is read once for testing.
+unions of these results, so the cube is read once for testing.
+
+The weight vectors are bounded by the parameters (#runs x #modes x folds x 3
+vectors of n_config x #measures doubles). That size is checked before they
+are collected; they then travel with the task, and each Arrow batch does one
+matrix product per measure and membership group. ``weighted_errors`` returns
+the errors per point; ``error_moments`` adds them up inside the task and
+returns a few rows of mergeable moments per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from condfuse.functions.columns import MEASURES, weight_cols, weighted_cols
-from condfuse.model import LABEL_ANOMALOUS, LABEL_NORMAL, STATE_MERGED
-from condfuse.operators.points import state_of
 from condfuse._ship import by_value
+from condfuse.functions.columns import MEASURES, param_string, weight_cols, weighted_cols
+from condfuse.model import ProtocolError
+from condfuse.operators.metrics import merge_moments, moment_cols
+from condfuse.operators.scoring import list_matrix, memberships
 
 by_value(__import__(__name__, fromlist=["_"]))
 
-# Rows of the weight-array table up to which it is broadcast. The table has
-# #runs x #modes x k x 3 rows (k <= 10), each n_config x #measures doubles.
-BROADCAST_WEIGHT_ROWS = 20_000
+# Bytes of weight vectors that may travel with a task; more is an error.
+WEIGHT_BYTES = 256 << 20
 
 # Report states fed by each (weights, label) combination.
 STATE_MEMBERSHIP: dict[tuple[str, int], tuple[str, ...]] = {
@@ -38,117 +48,29 @@ PREDICTION_STATES: dict[tuple[str, int], str] = {
     ("own", 1): "labelled_aware", ("own", 0): "non_labelled_aware",
     ("merged", 1): "labelled_unaware", ("merged", 0): "non_labelled_unaware",
 }
+OWN_STATE = {1: "labelled", 0: "non_labelled"}
 
 
-def dot(w: Column, e: Column) -> Column:
-    """sum_i w[i] * e[i], skipping NaN/null products; 0 when nothing is left."""
-    prod = F.zip_with(w, e, lambda a, b: a * b.cast("double"))
-    return F.aggregate(prod, F.lit(0.0),
-                       lambda acc, x: acc + F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x))
+# ---------------------------------------------------------------- weight vectors
 
+def collect_weights(warrays: DataFrame, n_vectors: int, n_config: int, measures: Sequence[str] = MEASURES,
+                    run_cols: Sequence[str] = (), weight_keys: Sequence[str] = ()) -> dict:
+    """Weight vectors as {(run..., fold, state): [(extra keys, (n_config, measures) array)]}.
 
-def test_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (), join: str = "shuffle_hash") -> DataFrame:
-    """Cube rows of usable points with (run..., fold, label), one row per
-    run membership."""
-    from condfuse.operators.scoring import scoring_rows
-
-    keyed = scoring_rows(cube, points, run_cols, join)
-    fields = [*run_cols, "fold", "label"]
-    return (keyed.select("*", F.explode("keys").alias("_m")).drop("keys")
-            .select("*", *[F.col("_m").getField(f).alias(f) for f in fields]).drop("_m"))
-
-
-def weighted_errors(rows: DataFrame, warrays: DataFrame, measures: Sequence[str] = MEASURES,
-                    run_cols: Sequence[str] = (), weight_keys: Sequence[str] = (),
-                    weight_rows_bound: int = 3 * 10) -> DataFrame:
-    """Weighted error of every test row under its own and the merged weights.
-
-    ``rows``: array-form cube rows with (run..., fold, label); ``warrays``:
-    ``weight_arrays`` output keyed by (run..., extra weight keys, fold, state).
-    The weight vectors of one (run, fold) -- every state and extra key such
-    as the top-k mode -- are gathered into one row first (at most
-    3 x #modes entries), so each test row joins exactly one weight row and
-    computes all its dot products in place; only the small scalar results
-    are exploded. ``weight_rows_bound`` is the caller's upper bound on the
-    weight table's row count (#runs x #modes x k x 3, known from the
-    parameters); the gathered table is broadcast only when that bound is
-    within ``BROADCAST_WEIGHT_ROWS``, otherwise joined by shuffle.
-    Returns ``(global_index, run..., extra keys, fold, label, kind, weighted_err_*)``.
+    ``n_vectors`` bounds the rows of ``warrays`` (#runs x #modes x folds x 3,
+    known from the parameters); ``ProtocolError`` if the vectors would exceed
+    ``WEIGHT_BYTES``. Null weights (nothing to normalise) count as 0.
     """
-    wc, out = weight_cols(measures), weighted_cols(measures)
-    entry = F.struct(F.col("state"), *[F.col(k) for k in weight_keys], *[F.col(w) for w in wc])
-    per_fold = warrays.groupBy(*run_cols, "fold").agg(F.collect_list(entry).alias("_ws"))
-    side = F.broadcast(per_fold) if weight_rows_bound <= BROADCAST_WEIGHT_ROWS else per_fold
-    j = rows.join(side, [*run_cols, "fold"])
-    own = state_of(F.col("label"))
-    picked = F.filter("_ws", lambda x: (x["state"] == own) | (x["state"] == F.lit(STATE_MERGED)))
-    results = F.transform(picked, lambda x: F.struct(
-        F.when(x["state"] == F.lit(STATE_MERGED), F.lit("merged")).otherwise(F.lit("own")).alias("kind"),
-        *[x[k].alias(k) for k in weight_keys],
-        *[dot(x[w], F.col(m)).alias(o) for w, m, o in zip(wc, measures, out)]))
-    return (j.select("global_index", *run_cols, "fold", "label", F.explode(results).alias("_r"))
-            .select("global_index", *run_cols, *[F.col("_r")[k].alias(k) for k in weight_keys], "fold", "label",
-                    F.col("_r.kind").alias("kind"), *[F.col("_r")[o].alias(o) for o in out]))
-
-
-def report_states(pred: DataFrame) -> DataFrame:
-    """Adds ``label_state``: each (kind, label) row is repeated once per report
-    state it belongs to (at most three)."""
-    expr = None
-    for (kind, label), states in STATE_MEMBERSHIP.items():
-        cond = (F.col("kind") == kind) & (F.col("label") == label)
-        arr = F.array(*[F.lit(s) for s in states])
-        expr = F.when(cond, arr) if expr is None else expr.when(cond, arr)
-    return pred.select("*", F.explode(expr).alias("label_state"))
-
-
-def prediction_table(pred: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = (),
-                     params: Sequence[int | str] | None = None) -> DataFrame:
-    """Per-point predictions of the four non-overlapping states; ``params``
-    (fold count, anomaly method, score method, search mode, top-k mode ids)
-    are joined with ``_`` into a ``param_string`` column."""
-    from condfuse.functions.columns import param_string
-
-    expr = None
-    for (kind, label), state in PREDICTION_STATES.items():
-        cond = (F.col("kind") == kind) & (F.col("label") == label)
-        expr = F.when(cond, F.lit(state)) if expr is None else expr.when(cond, F.lit(state))
-    extra = [param_string(*[F.lit(x) for x in params]).alias("param_string")] if params is not None else []
-    return pred.select(F.col("global_index").alias("test_index"), *keys, "fold",
-                       expr.alias("label_state"), *weighted_cols(measures), *extra)
-
-
-def usable(points: DataFrame) -> DataFrame:
-    return points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & (F.col("missing") == 0))
-
-
-# ---------------------------------------------------------------- Arrow test pass
-
-# Bytes of weight vectors up to which they are shipped to tasks as a Spark
-# broadcast variable for the Arrow test pass; above it the JVM join is used.
-BROADCAST_WEIGHT_BYTES = 256 << 20
-
-
-def collect_weights(warrays: DataFrame, measures: Sequence[str], run_cols: Sequence[str],
-                    weight_keys: Sequence[str], weight_rows_bound: int):
-    """Weight vectors as {(run..., fold, state): [(extra keys, (n, measures) array)]},
-    or None when they exceed the broadcast budget. The row count is bounded
-    by the parameters (checked before anything is collected)."""
-    import numpy as np
-
-    if weight_rows_bound > BROADCAST_WEIGHT_ROWS:
-        return None
-    from condfuse.operators.scoring import list_matrix
-
+    size = n_vectors * n_config * len(measures) * 8
+    if size > WEIGHT_BYTES:
+        raise ProtocolError(f"{n_vectors} weight vectors take {size} bytes, more than {WEIGHT_BYTES}; "
+                            "run fewer scenarios, fold counts or modes at once")
     wc = weight_cols(measures)
     keys = [*run_cols, *weight_keys, "fold", "state"]
-    # Arrow collection: the weight vectors arrive as columnar float64 buffers
     tbl = warrays.select(*keys, *wc).toArrow()
     if tbl.num_rows == 0:
         return {}
-    mats = np.stack([list_matrix(tbl.column(w)).astype(np.float64) for w in wc], axis=2)  # (rows, n, M)
-    if mats.nbytes > BROADCAST_WEIGHT_BYTES:
-        return None
+    mats = np.stack([np.nan_to_num(list_matrix(tbl.column(w)).astype(np.float64), nan=0.0) for w in wc], axis=2)
     kv = {c: tbl.column(c).to_pylist() for c in keys}
     table: dict = {}
     for i in range(tbl.num_rows):
@@ -157,80 +79,141 @@ def collect_weights(warrays: DataFrame, measures: Sequence[str], run_cols: Seque
     return table
 
 
-def weighted_errors_arrow(keyed: DataFrame, table, measures: Sequence[str] = MEASURES,
-                          run_cols: Sequence[str] = (), weight_keys: Sequence[str] = ()) -> DataFrame:
-    """Test pass as one ``mapInArrow`` over the array-form cube rows with
-    memberships (``scoring_rows`` output): per Arrow batch and membership
-    group, one matrix product per measure gives every (kind, mode) weighted
-    error at once. NaN/null products are skipped as in the JVM path."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    from pyspark.sql import types as T
-
-    from condfuse.operators.scoring import list_matrix
-
+# ---------------------------------------------------------------- test pass
+
+def batch_errors(batch: pa.RecordBatch, table: dict, measures: Sequence[str], fields: Sequence[str]):
+    """Weighted errors of one Arrow batch: per membership group the group's
+    key, its row numbers and, for each (kind, extra keys), a
+    (rows, measures) block. NaN and null products are skipped; 0 when
+    nothing is left."""
+    parent, keys = memberships(batch, "keys", fields)
+    if len(parent) == 0:
+        return
+    mats = [list_matrix(batch.column(m)) for m in measures]
+    uniq, inv = np.unique(keys, axis=0, return_inverse=True)
+    inv = inv.reshape(-1)
+    for u, key in enumerate(map(tuple, uniq.tolist())):
+        run_fold, label = key[:-1], key[-1]
+        entries = [("own", *e) for e in table.get((*run_fold, OWN_STATE.get(label)), [])]
+        entries += [("merged", *e) for e in table.get((*run_fold, "merged"), [])]
+        if not entries:
+            continue
+        rows = parent[inv == u]
+        out = np.empty((len(entries), len(rows), len(measures)))
+        for j, mat in enumerate(mats):
+            err = mat[rows].astype(np.float64)
+            w = np.stack([e[2][:, j] for e in entries], axis=1)  # (n_config, entries)
+            out[:, :, j] = (np.where(np.isnan(err), 0.0, err) @ w).T
+            odd = ~np.isfinite(err).all(axis=1)
+            if odd.any():  # products that may be NaN one by one (NaN or infinite errors)
+                out[:, odd, j] = np.nansum(err[odd][None, :, :] * w.T[:, None, :], axis=2)
+        yield key, rows, [(kind, extra, out[i]) for i, (kind, extra, _) in enumerate(entries)]
+
+
+def _key_fields(run_cols: Sequence[str], weight_keys: Sequence[str]) -> list[T.StructField]:
+    return ([T.StructField(c, T.IntegerType()) for c in run_cols] + [T.StructField(k, T.StringType()) for k in weight_keys]
+            + [T.StructField("fold", T.IntegerType()), T.StructField("label", T.IntegerType()),
+               T.StructField("kind", T.StringType())])
+
+
+def _key_arrays(key: tuple, extra: tuple, kind: str, n: int, n_runs: int) -> list[pa.Array]:
+    cols = [pa.array(np.full(n, x, np.int32)) for x in key[:n_runs]] + [pa.array([x] * n, pa.string()) for x in extra]
+    return cols + [pa.array(np.full(n, x, np.int32)) for x in key[n_runs:]] + [pa.array([kind] * n, pa.string())]
+
+
+def weighted_errors(keyed: DataFrame, table: dict, measures: Sequence[str] = MEASURES,
+                    run_cols: Sequence[str] = (), weight_keys: Sequence[str] = ()) -> DataFrame:
+    """Weighted error of every test point under its own and the merged
+    weights: ``(global_index, run..., extra keys, fold, label, kind,
+    weighted_err_*)``. ``keyed`` is ``scoring_rows`` output, ``table`` that
+    of ``collect_weights``."""
     out = weighted_cols(measures)
-    bc = keyed.sparkSession.sparkContext.broadcast(table)
     fields = [*run_cols, "fold", "label"]
-    schema = T.StructType(
-        [T.StructField("global_index", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in run_cols]
-        + [T.StructField(k, T.StringType()) for k in weight_keys]
-        + [T.StructField("fold", T.IntegerType()), T.StructField("label", T.IntegerType()),
-           T.StructField("kind", T.StringType())] + [T.StructField(o, T.DoubleType()) for o in out])
-    arrow_schema = pa.schema([(f.name, {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),
-                                        T.StringType(): pa.string(), T.DoubleType(): pa.float64()}[f.dataType])
-                              for f in schema.fields])
-    state = {1: "labelled", 0: "non_labelled"}
+    schema = T.StructType([T.StructField("global_index", T.LongType()), *_key_fields(run_cols, weight_keys),
+                           *[T.StructField(o, T.DoubleType()) for o in out]])
 
     def fn(batches):
-        wt = bc.value
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            mem = b.column("keys")
-            lens = pc.fill_null(pc.list_value_length(mem), 0).to_numpy(zero_copy_only=False)
-            parent = np.repeat(np.arange(b.num_rows), lens)
-            if len(parent) == 0:
-                continue
-            flat = mem.flatten()
-            keys = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
-            mats = [list_matrix(b.column(m)) for m in measures]  # one (rows, n) float32 block per measure
             gi = b.column("global_index").to_numpy(zero_copy_only=False)
-            uniq, inv = np.unique(keys, axis=0, return_inverse=True)
-            inv = inv.reshape(-1)
-            cols = {f.name: [] for f in schema.fields}
-            for u_i, u in enumerate(uniq):
-                run, fold, label = tuple(int(x) for x in u[:-2]), int(u[-2]), int(u[-1])
-                entries = [("own", e) for e in wt.get((*run, fold, state.get(label)), [])] + \
-                          [("merged", e) for e in wt.get((*run, fold, "merged"), [])]
-                if not entries:
-                    continue
-                rows_idx = parent[inv == u_i]
-                g, n_ent = len(rows_idx), len(entries)
-                res = np.empty((n_ent, g, len(measures)))
-                for j in range(len(measures)):
-                    E = mats[j][rows_idx].astype(np.float64)  # (g, n)
-                    Wj = np.stack([wm[:, j] for _, (_, wm) in entries], axis=1)  # (n, entries)
-                    res[:, :, j] = (np.where(np.isnan(E), 0.0, E) @ np.nan_to_num(Wj, nan=0.0)).T
-                    bad = ~np.isfinite(E).all(axis=1)
-                    if bad.any():  # exact skip-NaN sums where a product may be NaN (NaN or inf errors)
-                        res[:, bad, j] = np.nansum(E[bad][None, :, :] * Wj.T[:, None, :], axis=2)
-                for r, (kind, (extra, _)) in enumerate(entries):
-                    cols["global_index"].append(gi[rows_idx])
-                    for i, c in enumerate(run_cols):
-                        cols[c].append(np.full(g, run[i], np.int32))
-                    for i, k in enumerate(weight_keys):
-                        cols[k].append(np.full(g, extra[i], dtype=object))
-                    cols["fold"].append(np.full(g, fold, np.int32))
-                    cols["label"].append(np.full(g, label, np.int32))
-                    cols["kind"].append(np.full(g, kind, dtype=object))
-                    for j, o in enumerate(out):
-                        cols[o].append(res[r, :, j])
-            if not cols["global_index"]:
-                continue
-            arrays = [pa.array(np.concatenate(cols[f.name]), type=arrow_schema.field(f.name).type)
-                      for f in schema.fields]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+            for key, rows, blocks in batch_errors(b, table, measures, fields):
+                for kind, extra, err in blocks:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gi[rows]), *_key_arrays(key, extra, kind, len(rows), len(run_cols)),
+                         *[pa.array(np.ascontiguousarray(err[:, j])) for j in range(len(out))]], schema.names)
 
     return keyed.select("global_index", "keys", *measures).mapInArrow(fn, schema)
+
+
+def add_moments(held: np.ndarray | None, err: np.ndarray) -> np.ndarray:
+    """Moments (n, mean, M2, sum of absolute values; one column per measure)
+    of ``held`` and the rows of ``err`` together. NaN is skipped."""
+    ok = ~np.isnan(err)
+    n = ok.sum(0)
+    x = np.where(ok, err, 0.0)
+    mean = x.sum(0) / np.maximum(n, 1)
+    m2 = (np.where(ok, err - mean, 0.0) ** 2).sum(0)
+    new = np.stack([n, mean, m2, np.abs(x).sum(0)])
+    if held is None:
+        return new
+    total = held[0] + n
+    delta = mean - held[1]
+    share = n / np.maximum(total, 1)
+    return np.stack([total, held[1] + delta * share, held[2] + m2 + delta * delta * held[0] * share, held[3] + new[3]])
+
+
+def error_moments(keyed: DataFrame, table: dict, measures: Sequence[str] = MEASURES,
+                  run_cols: Sequence[str] = (), weight_keys: Sequence[str] = ()) -> DataFrame:
+    """Moments of the weighted errors per (run..., extra keys, fold, label,
+    kind): ``n_points`` and for each measure n, mean, M2 and sum of absolute
+    values. A task emits one row per group; the rows of all tasks are merged
+    on the group key."""
+    out = weighted_cols(measures)
+    fields = [*run_cols, "fold", "label"]
+    names = [c for o in out for c in moment_cols(o)]
+    schema = T.StructType([*_key_fields(run_cols, weight_keys), T.StructField("n_points", T.LongType()),
+                           *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def fn(batches):
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for key, rows, blocks in batch_errors(b, table, measures, fields):
+                for kind, extra, err in blocks:
+                    at = held.setdefault((key, extra, kind), [0, None])
+                    at[0] += len(rows)
+                    at[1] = add_moments(at[1], err)
+        for (key, extra, kind), (n, m) in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [*_key_arrays(key, extra, kind, 1, len(run_cols)), pa.array([n], pa.int64()),
+                 *[pa.array([float(m[i, j])]) for j in range(len(out)) for i in range(4)]], schema.names)
+
+    parts = keyed.select("keys", *measures).mapInArrow(fn, schema)
+    return merge_moments(parts, [f.name for f in _key_fields(run_cols, weight_keys)], measures)
+
+
+# ---------------------------------------------------------------- states and tables
+
+def _by_combination(values: dict):
+    expr = None
+    for (kind, label), value in values.items():
+        cond = (F.col("kind") == kind) & (F.col("label") == label)
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+    return expr
+
+
+def report_states(moments: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = ("fold",)) -> DataFrame:
+    """Moments per report state from the moments per (kind, label): each of
+    the four disjoint groups of a run and fold feeds the states it belongs
+    to. Works on the small moment table, not on points."""
+    states = F.explode(_by_combination({k: F.array(*[F.lit(s) for s in v]) for k, v in STATE_MEMBERSHIP.items()}))
+    return merge_moments(moments.withColumn("label_state", states), [*keys, "label_state"], measures)
+
+
+def prediction_table(pred: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = (),
+                     params: Sequence[int | str] | None = None) -> DataFrame:
+    """Per-point predictions of the four non-overlapping states; ``params``
+    (fold count, anomaly method, score method, search mode, top-k mode ids)
+    are joined with ``_`` into a ``param_string`` column."""
+    state = _by_combination({k: F.lit(v) for k, v in PREDICTION_STATES.items()})
+    extra = [param_string(*[F.lit(x) for x in params]).alias("param_string")] if params is not None else []
+    return pred.select(F.col("global_index").alias("test_index"), *keys, "fold",
+                       state.alias("label_state"), *weighted_cols(measures), *extra)

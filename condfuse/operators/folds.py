@@ -59,22 +59,13 @@ def stratified_folds(points: DataFrame, k: int | Column, seed: int = 0, bucket_b
             .drop("_h", "_b", "_start"))
 
 
-def stratified_folds_simple(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Same contract with one global window; for small inputs and for checks."""
-    _check_k(k)
-    w = Window.orderBy("label", "_h", "global_index")
-    return (points.withColumn("_h", fold_hash("global_index", seed))
-            .withColumn("fold", (((F.row_number().over(w) - 1) % F.lit(k)) + 1).cast("int"))
-            .drop("_h"))
-
-
 def class_fold_check(points: DataFrame, k: int) -> list[str]:
     """Class-size checks of the fold split; returns warnings, raises when k
-    exceeds the size of every class. Collects one row per class only."""
-    sizes = [r[0] for r in points.groupBy("label").count().select("count").collect()]
-    if not sizes or all(k > s for s in sizes):
+    exceeds the size of every class. Brings back one row."""
+    sizes = points.groupBy("label").count().agg(F.min("count").alias("lo"), F.max("count").alias("hi")).first()
+    if sizes["hi"] is None or k > sizes["hi"]:
         raise ProtocolError(f"fold count {k} is greater than the number of members in each class")
-    return [f"the smallest class has only {min(sizes)} members, fewer than {k} folds"] if k > min(sizes) else []
+    return [f"the smallest class has only {sizes['lo']} members, fewer than {k} folds"] if k > sizes["lo"] else []
 
 
 def train_test_split(points: DataFrame, k: int) -> DataFrame:

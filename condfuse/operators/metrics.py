@@ -13,16 +13,56 @@ from condfuse.functions.columns import MEASURES, nan_to_null, weighted_cols
 METRICS = ("AVG", "STD", "MAE")
 
 
-def error_metrics(pred_states: DataFrame, measures: Sequence[str] = MEASURES,
-                  keys: Sequence[str] = ("fold", "label_state")) -> DataFrame:
-    """Wide metrics per group: ``n_points``, ``avg_*``, ``std_*`` (sample,
-    ddof 1; null for one point) and ``mae_*`` (mean absolute value). NaN is
-    skipped like pandas does. Partial aggregation runs map-side."""
+def moment_cols(column: str) -> list[str]:
+    """Names of the count, mean, sum of squared deviations and sum of
+    absolute values of ``column``."""
+    return [f"{p}_{column}" for p in ("n", "mean", "m2", "sabs")]
+
+
+def moments_of(pred: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = ("fold", "label", "kind")) -> DataFrame:
+    """Moments per group from a table of weighted errors (one row per point).
+    NaN is skipped like pandas does; partial aggregation runs map-side."""
     aggs = [F.count(F.lit(1)).alias("n_points")]
     for o in weighted_cols(measures):
         v = nan_to_null(F.col(o))
-        aggs += [F.avg(v).alias("avg_" + o), F.stddev_samp(v).alias("std_" + o), F.avg(F.abs(v)).alias("mae_" + o)]
-    return pred_states.groupBy(*keys).agg(*aggs)
+        n, mean, m2, sabs = moment_cols(o)
+        aggs += [F.count(v).cast("double").alias(n), F.coalesce(F.avg(v), F.lit(0.0)).alias(mean),
+                 F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias(m2),
+                 F.coalesce(F.sum(F.abs(v)), F.lit(0.0)).alias(sabs)]
+    return pred.groupBy(*keys).agg(*aggs)
+
+
+def merge_moments(parts: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Adds up moment rows per ``keys``. Deviations are taken from the mean
+    of the whole group, so nothing cancels; a group holds one row per task or
+    per group merged, never points."""
+    group = Window.partitionBy(*keys)
+    out = weighted_cols(measures)
+    means = {}
+    for o in out:
+        n, mean, _, _ = moment_cols(o)
+        total = F.sum(n).over(group)
+        means[f"_all_{mean}"] = F.when(total > 0, F.sum(F.col(n) * F.col(mean)).over(group) / total).otherwise(0.0)
+    df = parts.select("*", *[c.alias(k) for k, c in means.items()])
+    aggs = [F.sum("n_points").cast("bigint").alias("n_points")]
+    for o in out:
+        n, mean, m2, sabs = moment_cols(o)
+        away = F.col(mean) - F.col(f"_all_{mean}")
+        aggs += [F.sum(n).alias(n), F.first(f"_all_{mean}").alias(mean),
+                 F.sum(F.col(m2) + F.col(n) * away * away).alias(m2), F.sum(sabs).alias(sabs)]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def error_metrics(states: DataFrame, measures: Sequence[str] = MEASURES,
+                  keys: Sequence[str] = ("fold", "label_state")) -> DataFrame:
+    """Wide metrics from moments: ``n_points``, ``avg_*``, ``std_*`` (sample,
+    ddof 1; null for one point) and ``mae_*`` (mean absolute value)."""
+    cols = []
+    for o in weighted_cols(measures):
+        n, mean, m2, sabs = (F.col(c) for c in moment_cols(o))
+        cols += [F.when(n > 0, mean).alias("avg_" + o), F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std_" + o),
+                 F.when(n > 0, sabs / n).alias("mae_" + o)]
+    return states.select(*keys, "n_points", *cols)
 
 
 def metrics_long(wide: DataFrame, measures: Sequence[str] = MEASURES, cv_fold_nr: int | None = None,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from condfuse.functions.columns import not_missing
 from condfuse.model import LABEL_ANOMALOUS, LABEL_MISSING, LABEL_NORMAL, STATE_LABELLED, STATE_NON_LABELLED
 
 
@@ -83,6 +84,11 @@ def prepare_points(flags: DataFrame, trim_start: int, per_day: int | None = None
     return mask_last_day(pts, n_days, per_day, vector_length, include_last)
 
 
+def index_gaps(cube: DataFrame, start: int, end: int) -> DataFrame:
+    """Indexes of [start, end) without a cube row."""
+    return point_range(cube.sparkSession, start, end).join(cube.select("global_index"), "global_index", "left_anti")
+
+
 def missing_points(points: DataFrame) -> DataFrame:
     """Indexes flagged missing."""
     return points.filter(F.col("missing") == 1).select("global_index")
@@ -96,7 +102,7 @@ def drop_missing(points: DataFrame, missing: DataFrame | None = None, how: str =
     DISTINCT on the index column (sorted-distinct set semantics).
     """
     if how == "filter":
-        return points.filter(F.col("missing") == 0)
+        return points.filter(not_missing())
     if missing is None:
         missing = missing_points(points)
     if how == "anti":
@@ -118,14 +124,6 @@ def split_by_label(points: DataFrame) -> DataFrame:
             .withColumn("state", state_of(F.col("label"))))
 
 
-def limit_points(points: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """First ``n`` points by index (trial-run sampling), per group of ``by``.
-
-    The grouped form is a ``row_number`` filter, which Spark plans as a
-    per-partition group limit before the shuffle."""
-    if not by:
-        return points.orderBy("global_index").limit(n)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy("global_index")
-    return points.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def usable(points: DataFrame) -> DataFrame:
+    """Points that are ranked and tested: label 0 or 1, not missing."""
+    return points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & not_missing())

@@ -7,10 +7,9 @@ null sort last, ties go to the lower config_index.
 Two engines compute the ranks:
 
 * ``arrow`` (default): ``mapInArrow`` over the array-form cube; one stable
-  numpy argsort per measure and Arrow batch. When ranks are summed, the same
-  task also sums them per membership key inside the batch (sorted segment
-  sums), so only (#keys x n_config) rows per batch reach the shuffle
-  (map-side combine before Spark's own partial aggregate).
+  numpy argsort per measure and Arrow batch. When ranks are summed, the task
+  adds them up per membership key over all its batches and emits one block of
+  (#keys x n_config) rows at its end, which is all that reaches the shuffle.
 * ``sql``: built-in ``array_sort`` over (nan flag, value, index) structs and a
   second ``array_sort`` to invert the permutation. JVM-only, but about six
   times slower on the sf0.1 stand-in, so it is kept for cross-checks.
@@ -33,13 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from condfuse.functions.columns import MEASURES, score_cols
-from condfuse.model import LABEL_ANOMALOUS, LABEL_NORMAL, STATE_MERGED
-from condfuse.operators.points import state_of
+from condfuse.model import STATE_MERGED, ProtocolError
+from condfuse.operators.points import state_of, usable
 from condfuse._ship import by_value
 
 
 by_value(__import__(__name__, fromlist=["_"]))
 
+# Bytes of score sums one task may hold: #runs x folds x 2 classes x n_config x
+# measures x 8 (123 KB for one 3-fold run of 320 configs); more is an error.
+TASK_SUM_BYTES = 512 << 20
+
 # ---------------------------------------------------------------- numpy helpers
 
 def list_matrix(arr: pa.Array) -> np.ndarray:
@@ -79,6 +82,17 @@ def group_sum(values: np.ndarray, parent: np.ndarray, inv: np.ndarray, n_keys: i
     return out
 
 
+def memberships(batch: pa.RecordBatch, key_col: str, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and int key fields of every membership in an Arrow batch."""
+    mem = batch.column(key_col)
+    lens = pc.fill_null(pc.list_value_length(mem), 0).to_numpy(zero_copy_only=False)
+    parent = np.repeat(np.arange(batch.num_rows), lens)
+    if len(parent) == 0:
+        return parent, np.zeros((0, len(fields)), np.int64)
+    flat = mem.flatten()
+    return parent, np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
+
+
 # ---------------------------------------------------------------- per-point ranks
 
 def _rank_arrays_arrow(cube: DataFrame, measures: Sequence[str], order: str) -> DataFrame:
@@ -164,82 +178,93 @@ def membership_sums(keyed: DataFrame, key_col: str = "keys", measures: Sequence[
         + [T.StructField("config_index", T.IntegerType()), T.StructField("n_points", T.LongType())]
         + [T.StructField(s, T.LongType()) for s in scores])
 
+    block = pa.schema([(f, pa.int32()) for f in fields] + [("config_index", pa.int32()), ("n_points", pa.int64())]
+                      + [(s, pa.int64()) for s in scores])
+
     def fn(batches):
+        held: dict[tuple, list] = {}  # key -> [points, (measures, n_config) sums]
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            mem = b.column(key_col)
-            lens = pc.fill_null(pc.list_value_length(mem), 0).to_numpy(zero_copy_only=False)
-            parent = np.repeat(np.arange(b.num_rows), lens)
+            parent, keys = memberships(b, key_col, fields)
             if len(parent) == 0:
                 continue
-            flat = mem.flatten()
-            keys = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
             uniq, inv = np.unique(keys, axis=0, return_inverse=True)
             inv = inv.reshape(-1)
-            counts = np.bincount(inv, minlength=len(uniq)).astype(np.int64)
-            sums = [group_sum(rank_matrix(list_matrix(b.column(m)), order), parent, inv, len(uniq))
-                    for m in measures]
-            n = sums[0].shape[1]
-            cols = [pa.array(np.repeat(uniq[:, i], n).astype(np.int32)) for i in range(len(fields))]
-            cols.append(pa.array(np.tile(np.arange(n, dtype=np.int32), len(uniq))))
-            cols.append(pa.array(np.repeat(counts, n)))
-            cols += [pa.array(s.reshape(-1)) for s in sums]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
-                [(f, pa.int32()) for f in fields] + [("config_index", pa.int32()), ("n_points", pa.int64())]
-                + [(s, pa.int64()) for s in scores]))
+            counts = np.bincount(inv, minlength=len(uniq))
+            sums = np.stack([group_sum(rank_matrix(list_matrix(b.column(m)), order), parent, inv, len(uniq))
+                             for m in measures], axis=1)
+            for u, key in enumerate(map(tuple, uniq.tolist())):
+                if key not in held:
+                    held[key] = [0, np.zeros_like(sums[u])]
+                elif held[key][1].shape != sums[u].shape:
+                    raise ValueError("every cube row needs the same number of configs")
+                held[key][0] += int(counts[u])
+                held[key][1] += sums[u]
+            if len(held) * sums[0].nbytes > TASK_SUM_BYTES:
+                raise ProtocolError(f"{len(held)} membership keys in a task; run fewer scenarios or fold counts at once")
+        items = list(held.items())
+        for at in range(0, len(items), 64):
+            part = items[at:at + 64]
+            n = part[0][1][1].shape[1]
+            cols = [pa.array(np.repeat([k[i] for k, _ in part], n).astype(np.int32)) for i in range(len(fields))]
+            cols.append(pa.array(np.tile(np.arange(n, dtype=np.int32), len(part))))
+            cols.append(pa.array(np.repeat([v[0] for _, v in part], n).astype(np.int64)))
+            cols += [pa.array(np.concatenate([v[1][j] for _, v in part])) for j in range(len(scores))]
+            yield pa.RecordBatch.from_arrays(cols, schema=block)
 
     partial = keyed.select(key_col, *measures).mapInArrow(fn, out_schema)
     return (partial.groupBy(*fields, "config_index")
             .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).alias(s) for s in scores]))
 
 
-# Budget for broadcasting the point-membership side of the cube join; the
-# estimate is a checked row count times an upper bound on the row size.
-BROADCAST_POINT_BYTES = 64 << 20
-
-
-def point_join_strategy(points: DataFrame, run_cols: Sequence[str] = ()) -> str:
-    """``broadcast`` when the usable points fit the broadcast budget (checked
-    with one count over the narrow point table), else ``shuffle_hash``."""
-    usable = points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & (F.col("missing") == 0))
-    row_bytes = 48 + 16 * (len(run_cols) + 2)
-    limit = BROADCAST_POINT_BYTES // row_bytes
-    n = usable.limit(limit + 1).count()
-    return "broadcast" if n <= limit else "shuffle_hash"
-
-
-def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (),
-                 join: str = "shuffle_hash") -> DataFrame:
+def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """Cube rows of the points that enter scoring (label 0/1, not missing),
     each with its memberships ``keys = [(run..., fold, label)]``.
 
     With several runs (scenarios, fold counts), memberships of one point are
     gathered first (one small shuffle of the point table, at most #runs
     entries per point), so the cube is joined and ranked once for all runs.
+
+    The point side is the build side of a shuffled hash join: the cube is
+    only streamed, never sorted or broadcast. A cube in a bucketed table (see
+    ``sources.cube.write_cube``) is read in place and only the points are
+    shuffled, to its buckets; any other cube is shuffled by its index.
+    Memberships are gathered by the index and its hash, a grouping that does
+    not serve the join: were the points already grouped by the index alone,
+    into more partitions than the cube has buckets, Spark would shuffle the
+    cube to them instead.
     """
-    usable = points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & (F.col("missing") == 0))
     key = F.struct(*[F.col(c).cast("int").alias(c) for c in (*run_cols, "fold", "label")])
+    pts = usable(points)
     if run_cols:
-        mem = usable.groupBy("global_index").agg(F.collect_list(key).alias("keys"))
+        mem = (pts.groupBy("global_index", F.xxhash64("global_index").alias("_h"))
+               .agg(F.collect_list(key).alias("keys")).drop("_h"))
     else:
-        mem = usable.select("global_index", F.array(key).alias("keys"))
-    # The membership side is the build side: broadcast when its checked size
-    # allows (the cube is then read in place, no shuffle), else hashed per
-    # partition of a shuffled join. The cube side is only streamed, never
-    # broadcast, even when its size is misjudged (e.g. arrays computed after
-    # a narrow shuffle look small to adaptive execution).
-    if join == "broadcast":
-        return cube.join(F.broadcast(mem), "global_index")
-    if join != "shuffle_hash":
-        raise ValueError(f"unknown join {join!r}")
+        mem = pts.select("global_index", F.array(key).alias("keys"))
     return cube.join(mem.hint("shuffle_hash"), "global_index")
 
 
 def fold_sums(cube: DataFrame, points: DataFrame, measures: Sequence[str] = MEASURES, order: str = "raw",
-              run_cols: Sequence[str] = (), engine: str = "arrow", join: str = "shuffle_hash") -> DataFrame:
+              run_cols: Sequence[str] = (), engine: str = "arrow") -> DataFrame:
     """Score sums per (run..., fold, label, config_index) over the points of each fold."""
-    return membership_sums(scoring_rows(cube, points, run_cols, join), "keys", measures, order, engine)
+    return membership_sums(scoring_rows(cube, points, run_cols), "keys", measures, order, engine)
+
+
+def check_coverage(sums: DataFrame, points: DataFrame, run_cols: Sequence[str] = ()) -> None:
+    """Raises ``ProtocolError`` unless every usable point was ranked exactly once.
+
+    Compares the point counts of ``fold_sums`` with those of the point table,
+    per (run, fold, label); the cube is not read again. Fewer ranked points
+    mean points without a cube row, more mean repeated cube rows."""
+    keys = [*run_cols, "fold", "label"]
+    got = sums.filter(F.col("config_index") == 0).select(*keys, F.col("n_points").alias("_got"))
+    want = usable(points).groupBy(*[F.col(c).cast("int").alias(c) for c in keys]).agg(F.count(F.lit(1)).alias("_want"))
+    more = F.coalesce("_want", F.lit(0)) - F.coalesce("_got", F.lit(0))
+    bad = want.join(got, keys, "full").agg(F.sum(F.greatest(more, F.lit(0))).alias("absent"),
+                                           F.sum(F.greatest(-more, F.lit(0))).alias("extra")).first()
+    if bad["absent"]:
+        raise ProtocolError(f"{bad['absent']} points have no cube row")
+    if bad["extra"]:
+        raise ProtocolError(f"{bad['extra']} cube rows repeat a point index")
 
 
 def train_sums(sums: DataFrame, k: int | DataFrame, measures: Sequence[str] = MEASURES,
@@ -270,30 +295,3 @@ def train_sums(sums: DataFrame, k: int | DataFrame, measures: Sequence[str] = ME
     return (spread.groupBy(*run_cols, F.col("_t.tf").cast("int").alias("fold"), F.col("_t.state").alias("state"),
                            "config_index")
             .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).cast("bigint").alias(s) for s in scores]))
-
-
-def train_sums_direct(cube: DataFrame, points: DataFrame, k: int, measures: Sequence[str] = MEASURES,
-                      order: str = "raw", limit: int | None = None, engine: str = "arrow") -> DataFrame:
-    """Training sums from explicit train lists (each point ranked once per
-    training set it belongs to). Needed when training lists are cut to their
-    first ``limit`` points (trial runs), where the fold complement does not
-    apply; also the reference form the complement is tested against."""
-    from pyspark.sql import Window
-
-    from condfuse.operators.folds import train_test_split
-
-    scores = score_cols(measures)
-    usable = points.filter(F.col("label").isin(LABEL_NORMAL, LABEL_ANOMALOUS) & (F.col("missing") == 0))
-    train = train_test_split(usable, k).filter(F.col("role") == "train")
-    if limit is not None:
-        w = Window.partitionBy("cv_fold", "label").orderBy("global_index")
-        train = train.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-    mem = train.groupBy("global_index").agg(
-        F.collect_list(F.struct(F.col("cv_fold").cast("int").alias("fold"), F.col("label").cast("int").alias("label")))
-        .alias("keys"))
-    sums = membership_sums(cube.join(mem, "global_index"), "keys", measures, order, engine)
-    own = sums.select(F.col("fold"), state_of(F.col("label")).alias("state"), "config_index", "n_points", *scores)
-    merged = (own.groupBy("fold", "config_index")
-              .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).cast("bigint").alias(s) for s in scores])
-              .select("fold", F.lit(STATE_MERGED).alias("state"), "config_index", "n_points", *scores))
-    return own.unionByName(merged)

@@ -1,7 +1,9 @@
-"""Input validation: parameters, cube shape, point coverage, class sizes.
+"""Input validation: cube shape, point coverage, class sizes.
 
-Parameter checks are driver-side (``Protocol``). Data checks run a few
-aggregates and bring back single rows only.
+Parameter checks are driver-side (``Protocol``). ``evaluate`` itself checks
+coverage and repeated rows from its score sums without reading the cube
+again; the operators here look at the inputs before a run, at the price of a
+scan of the cube.
 """
 
 from __future__ import annotations
@@ -9,33 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condfuse.functions.columns import MEASURES
 from condfuse.model import Protocol, ProtocolError
 from condfuse.operators.folds import class_fold_check
+from condfuse.operators.points import index_gaps
 from condfuse.sources.cube import cube_stats
 
 
+def input_profile(cube: DataFrame, points: DataFrame, measures=MEASURES) -> DataFrame:
+    """One row: ``cube_stats`` and the points without a cube row (``n_uncovered``)."""
+    uncovered = points.select("global_index").join(cube.select("global_index"), "global_index", "left_anti")
+    lost = uncovered.agg(F.count(F.lit(1)).alias("n_uncovered")).scalar()
+    return cube_stats(cube, measures).withColumn("n_uncovered", lost)
+
+
 def validate_inputs(cube: DataFrame, points: DataFrame, p: Protocol, min_points: int | None = None) -> list[str]:
     """Raises ``ProtocolError`` on unusable inputs; returns warnings.
 
-    Errors: duplicate cube indexes, measures of unequal length, fewer points
-    than ``min_points``, points without cube rows, k above every class size.
+    Errors: an empty cube, repeated indexes, measures of unequal length,
+    fewer points than ``min_points``, points without cube rows, k above every
+    class size. Warnings: index gaps (the first is named), small classes.
     """
     warnings: list[str] = []
-    s = cube_stats(cube, p.measures).first()
-    if s is None or s["n_points"] == 0:
+    s = input_profile(cube, points, p.measures).first()
+    if s["n_points"] == 0:
         raise ProtocolError("the cube is empty")
     if s["n_distinct"] != s["n_points"]:
         raise ProtocolError(f"the cube has {s['n_points'] - s['n_distinct']} duplicate point indexes")
     if s["min_configs"] != s["max_configs"]:
         raise ProtocolError(f"config counts differ between rows/measures: {s['min_configs']}..{s['max_configs']}")
     if s["n_points"] != s["max_index"] - s["min_index"] + 1:
-        warnings.append("the cube index has gaps")
+        gap = index_gaps(cube, s["min_index"], s["max_index"] + 1).agg(F.min("global_index")).first()[0]
+        warnings.append(f"the cube index has gaps, the first at {gap}")
     if min_points is not None and s["n_points"] < min_points:
         raise ProtocolError(f"the cube has {s['n_points']} points, fewer than {min_points}")
-    uncovered = points.select("global_index").join(cube.select("global_index"), "global_index", "left_anti") \
-        .agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if uncovered:
-        raise ProtocolError(f"{uncovered} points have no cube row")
-    labels = points.filter(F.col("label").isNotNull())
-    warnings += class_fold_check(labels, p.folds)
+    if s["n_uncovered"]:
+        raise ProtocolError(f"{s['n_uncovered']} points have no cube row")
+    warnings += class_fold_check(points.filter(F.col("label").isNotNull()), p.folds)
     return warnings

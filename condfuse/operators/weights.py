@@ -26,25 +26,28 @@ DEFAULT_KEYS = ("fold", "state")
 
 
 def _k_column(mode: str | Column, n: Column, fraction: float | Column | None) -> Column:
-    """Kept configs for a fixed mode name or a ``mode`` column; null = keep all."""
+    """Kept configs for a fixed mode name or a ``mode`` column; ``All`` keeps n.
+
+    A mode column may hold any defined mode name. An unknown name, and
+    ``TopXPercent`` without a fraction in [0, 1], raise an error when the row
+    is computed, as they do at once for a fixed mode.
+    """
     if isinstance(mode, str):
         mode = top_mode_name(mode)
-        if mode == "All":
-            return F.lit(None).cast("long")
-        if mode in TOP_COUNTS:
-            return F.lit(TOP_COUNTS[mode]).cast("long")
-        if mode == "TopXPercent":
+        if mode == "TopXPercent" and not isinstance(fraction, Column):
             top_k(mode, 1, fraction)  # validates the fraction
-            return F.floor(n * F.lit(float(fraction))).cast("long")
-        return F.floor(n * F.lit(TOP_FRACTIONS[mode])).cast("long")
-    frac = F.lit(None).cast("double") if fraction is None else (
-        fraction if isinstance(fraction, Column) else F.lit(float(fraction)))
-    expr = F.when(mode == "All", F.lit(None).cast("long"))
+        mode = F.lit(mode)
+    n = n.cast("long")
+    frac = fraction if isinstance(fraction, Column) else F.lit(fraction).cast("double")
+    expr = F.when(mode == "All", n)
     for name, cnt in TOP_COUNTS.items():
         expr = expr.when(mode == name, F.lit(cnt).cast("long"))
     for name, fr in TOP_FRACTIONS.items():
         expr = expr.when(mode == name, F.floor(n * F.lit(fr)).cast("long"))
-    return expr.when(mode == "TopXPercent", F.floor(n * frac).cast("long"))
+    expr = expr.when((mode == "TopXPercent") & frac.between(0.0, 1.0), F.floor(n * frac).cast("long"))
+    problem = F.concat(F.lit("undefined top-k mode, or TopXPercent without a fraction in [0, 1]: "),
+                       F.coalesce(mode, F.lit("null")))
+    return expr.otherwise(F.raise_error(problem).cast("long"))
 
 
 def shift_scores(sums: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequence[str] = DEFAULT_KEYS,
@@ -82,7 +85,7 @@ def make_weights(sums: DataFrame, measures: Sequence[str] = MEASURES, mode: str
     cut = []
     for s in scores:
         shifted = (F.col(s) - F.min(s).over(grp)) if min_zero else F.col(s)
-        cut.append(F.when(k.isNull() | (pos(s) <= k), shifted).otherwise(F.lit(0)).cast("bigint").alias(s))
+        cut.append(F.when(pos(s) <= k, shifted).otherwise(F.lit(0)).cast("bigint").alias(s))
     df = sums.select(*others, pos(scores[-1]).alias("last_rank"), *cut)
     return df.select("*", *[F.when(F.sum(s).over(grp) != 0, F.col(s) / F.sum(s).over(grp)).alias(w)
                             for s, w in zip(scores, weights)])
@@ -106,3 +109,10 @@ def weight_arrays(weights: DataFrame, measures: Sequence[str] = MEASURES, keys:
         raise ValueError(f"unknown align {align!r}")
     rows = F.array_sort(F.collect_list(F.struct(pos.alias("_pos"), *wc)))
     return weights.groupBy(*keys).agg(rows.alias("_w")).select(*keys, *[F.col("_w").getField(w).alias(w) for w in wc])
+
+
+def describe_weights(weights: DataFrame, configs: DataFrame) -> DataFrame:
+    """Weights with the parameters of their config. ``configs`` has one row
+    per config (``config_index`` and its parameters, n_config rows), which
+    bounds the broadcast side; a config without parameters keeps its weights."""
+    return weights.join(F.broadcast(configs), "config_index", "left")

@@ -5,31 +5,34 @@
 
 The anomaly method id picks the cube file and the anomaly flag file from
 the scenario catalog; both are read through the Spark data sources in
-``sources.binary`` (so they must sit on storage every executor can read).
-Outputs: the fold-averaged summary and the per-fold metrics, as Parquet and
-CSV under ``--out/<run name>/``.
+``sources.binary``. Written under ``--out/<run name>/``:
+
+* ``results_of_all_folds`` and ``avg_results_of_all_folds`` (the latter also as CSV),
+* ``running_average``: the average after each fold,
+* ``predictions`` with ``param_string`` (unless ``--no-predictions``),
+* ``weights`` per training set (with ``--weights``).
+
+``--align last_rank`` gives the reference's own result. ``--cube-table``
+names a bucketed table: the cube file is written to it once and read from it
+by this and later runs, which then do not shuffle the cube. ``--cache``
+names a folder for score sums that later runs can reuse.
 """
 
 from __future__ import annotations
 
 import argparse
-import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.model import (
-    SCORE_METHODS,
-    SEARCHABLE_METHODS,
-    TOP_MODES,
-    Protocol,
-    ProtocolError,
-)
+from condfuse.model import SCORE_METHODS, SEARCHABLE_METHODS, TOP_MODES, Protocol, ProtocolError
 from condfuse.operators import metrics as me
+from condfuse.operators.evaluate import prediction_table
 from condfuse.operators.points import prepare_points
 from condfuse.plans import protocol as pr
+from condfuse.sources import binary as bi
+from condfuse.sources import cube as cu
 from condfuse.sources import sinks
-from condfuse.sources.binary import read_binary_cube, read_flags
 from condfuse.sources.configs import SCENARIOS
 
 # Time layout and config count of the protocol's cube.
@@ -54,44 +57,78 @@ def parse(argv=None) -> argparse.Namespace:
     ap.add_argument("--n-config", type=int, default=N_CONFIG)
     ap.add_argument("--days", type=int, default=DAYS)
     ap.add_argument("--per-day", type=int, default=PER_DAY)
+    ap.add_argument("--align", choices=("config", "last_rank"), default="config")
+    ap.add_argument("--order", choices=("raw", "abs"), default="raw")
+    ap.add_argument("--no-predictions", action="store_true")
+    ap.add_argument("--weights", action="store_true")
+    ap.add_argument("--cube-table")
+    ap.add_argument("--cache")
     return ap.parse_args(argv)
 
 
+def protocol_of(a: argparse.Namespace) -> Protocol:
+    for value, known, what in ((a.anomaly_method_int, SCENARIOS, "anomaly method"), (a.score_method_int, SCORE_METHODS, "score method"),
+                               (a.searchable_method_int, SEARCHABLE_METHODS, "searchable method"), (a.top_tuple_method_int, TOP_MODES, "top tuple method")):
+        if value not in known:
+            raise ProtocolError(f"unknown {what} id {value}")
+    return Protocol(folds=a.cv_fold_nr, seed=0, mode=TOP_MODES[a.top_tuple_method_int], fraction=a.top_tuple_percentage,
+                    score_method=SCORE_METHODS[a.score_method_int], align=a.align, order=a.order)
+
+
+def read_cube(spark: SparkSession, a: argparse.Namespace, path: str) -> DataFrame:
+    cube = bi.read_binary_cube(spark, path, a.n_config)
+    if not a.cube_table:
+        return cube
+    if not spark.catalog.tableExists(a.cube_table):
+        points = bi.file_size(path) // (a.n_config * len(cu.MEASURES) * bi.FLOAT_BYTES)
+        cu.write_cube(cube, table=a.cube_table, buckets=cu.bucket_count(points, a.n_config))
+    return spark.table(a.cube_table)
+
+
+def read_points(spark: SparkSession, a: argparse.Namespace, flag_path: str) -> DataFrame:
+    """Point table from the two flag vectors; both must cover all days."""
+    need = a.days * a.per_day
+    lengths = {path: bi.vector_length(path) for path in (a.missing_flags, flag_path)}
+    for path, n in lengths.items():
+        if n < need:
+            raise ProtocolError(f"{path} has {n} flags, fewer than {a.days} days x {a.per_day}")
+    flags = bi.read_flags(spark, a.missing_flags, column="missing", end=need).join(
+        bi.read_flags(spark, flag_path, column="label", end=need), "global_index")
+    # trim, missing -> label 3 and the last-day mask happen in prepare_points, in the protocol's order
+    return prepare_points(flags, a.per_day + MAX_HORIZON, per_day=a.per_day, n_days=a.days,
+                          vector_length=lengths[a.missing_flags])
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> str:
-    if a.anomaly_method_int not in SCENARIOS:
-        raise ProtocolError(f"unknown anomaly method id {a.anomaly_method_int}")
-    if a.score_method_int not in SCORE_METHODS:
-        raise ProtocolError(f"unknown score method id {a.score_method_int}")
-    if a.searchable_method_int not in SEARCHABLE_METHODS:
-        raise ProtocolError(f"unknown searchable method id {a.searchable_method_int}")
-    if a.top_tuple_method_int not in TOP_MODES:
-        raise ProtocolError(f"unknown top tuple method id {a.top_tuple_method_int}")
+    p = protocol_of(a)
     method, cube_file, flag_file = SCENARIOS[a.anomaly_method_int]
-    p = Protocol(folds=a.cv_fold_nr, seed=0, mode=TOP_MODES[a.top_tuple_method_int],
-                 fraction=a.top_tuple_percentage, score_method=SCORE_METHODS[a.score_method_int])
-
-    cube = read_binary_cube(spark, os.path.join(a.cube_dir, cube_file), a.n_config)
-    missing = read_flags(spark, a.missing_flags, column="missing")
-    anomaly = read_flags(spark, os.path.join(a.flag_dir, flag_file), column="label")
-    # trim, missing -> label 3 and the last-day mask happen in prepare_points, in the protocol's order
-    flags = missing.join(anomaly, "global_index")
-    vector_length = missing.agg(F.max("global_index") + 1).scalar()
-    points = prepare_points(flags, a.per_day + MAX_HORIZON, per_day=a.per_day, n_days=a.days,
-                            vector_length=vector_length)
-
-    metrics = pr.evaluate(cube, points, p, validate=True)
-    params = [a.cv_fold_nr, a.anomaly_method_int, a.score_method_int, a.searchable_method_int,
-              a.top_tuple_method_int] + ([a.top_tuple_percentage] if a.top_tuple_percentage is not None else [])
-    out = os.path.join(a.out, sinks.run_name(params))
-    # the evaluation runs once: per-fold metrics are written, and the summary is read from them
-    per_fold = os.path.join(out, "results_of_all_folds")
-    sinks.write_report(metrics.withColumns({"anomaly_method": F.lit(method), "score_method": F.lit(p.score_method),
-                                            "top_tuple_method": F.lit(p.mode)}), per_fold, "parquet")
-    written = spark.read.parquet(per_fold).drop("anomaly_method", "score_method", "top_tuple_method")
-    summary = me.summary(me.fold_average(written), method, p.score_method, p.mode)
-    sinks.write_report(summary, os.path.join(out, "avg_results_of_all_folds"), "parquet")
-    sinks.write_report(spark.read.parquet(os.path.join(out, "avg_results_of_all_folds")),
-                       os.path.join(out, "avg_results_of_all_folds_csv"), "csv", single_file=True)
+    cube_path, flag_path = f"{a.cube_dir.rstrip('/')}/{cube_file}", f"{a.flag_dir.rstrip('/')}/{flag_file}"
+    cube = read_cube(spark, a, cube_path)
+    points = pr.with_folds(read_points(spark, a, flag_path), p)
+    params = [a.cv_fold_nr, a.anomaly_method_int, a.score_method_int, a.searchable_method_int, a.top_tuple_method_int]
+    params += [a.top_tuple_percentage] if a.top_tuple_percentage is not None else []
+    out = f"{a.out.rstrip('/')}/{sinks.run_name(params)}"
+
+    weights = sinks.materialize(lambda: pr.fit_weights(cube, points, p, cache=a.cache, sources=(cube_path, flag_path, a.missing_flags)))
+    if a.weights:
+        sinks.write_report(weights, f"{out}/weights")
+    if a.no_predictions:
+        keyed, table = pr.test_inputs(cube, points, weights, p)
+        moments = pr.error_moments(keyed, table, p.measures)
+    else:
+        # the test pass runs once: its errors are written, and the metrics are taken from them
+        sinks.write_report(pr.apply_weights(cube, points, weights, p), f"{out}/test_errors")
+        errors = spark.read.parquet(f"{out}/test_errors")
+        sinks.write_report(prediction_table(errors, p.measures, params=params), f"{out}/predictions")
+        moments = me.moments_of(errors, p.measures)
+    names = {"anomaly_method": F.lit(method), "score_method": F.lit(p.score_method), "top_tuple_method": F.lit(p.mode)}
+    sinks.write_report(pr.metrics_of(moments, p).withColumns(names), f"{out}/results_of_all_folds")
+    per_fold = spark.read.parquet(f"{out}/results_of_all_folds").drop(*names)
+    sinks.write_report(me.running_fold_average(per_fold), f"{out}/running_average", single_file=True)
+    summary = me.summary(me.fold_average(per_fold), method, p.score_method, p.mode)
+    sinks.write_report(summary, f"{out}/avg_results_of_all_folds", single_file=True)
+    sinks.write_report(spark.read.parquet(f"{out}/avg_results_of_all_folds"), f"{out}/avg_results_of_all_folds_csv",
+                       "csv", single_file=True)
     return out
 
 
@@ -99,7 +136,7 @@ def main(argv=None) -> None:
     a = parse(argv)
     spark = SparkSession.builder.appName("condfuse").getOrCreate()
     out = run(spark, a)
-    print(sinks.report_csv(spark.read.parquet(os.path.join(out, "avg_results_of_all_folds")), ["label", "metric"]))
+    print(sinks.report_csv(spark.read.parquet(f"{out}/avg_results_of_all_folds"), ["label", "metric"]))
 
 
 if __name__ == "__main__":

@@ -10,8 +10,6 @@ the Spark side (doubles rounded to 6 places, NaN and null last).
 from __future__ import annotations
 
 from condfuse.functions.columns import MEASURES, score_cols, weight_cols, weighted_cols
-from condfuse.operators.evaluate import PREDICTION_STATES, STATE_MEMBERSHIP
-from condfuse.operators.metrics import IMPROVEMENT_PAIRS
 from condfuse.plans import registry as R
 from condfuse.sources import standins as st
 
@@ -23,6 +21,22 @@ def _list(cols, fmt):
     return ", ".join(fmt.format(c=c, i=i) for i, c in enumerate(cols))
 
 
+# Fixed values, written out here once more so that a change in the library shows:
+# report states of the points tested with the weights of their own class or of
+# both classes merged, and the pairs compared by the improvement report.
+STATE_ROWS = """
+    ('own', 1, 'labelled_aware'), ('own', 0, 'non_labelled_aware'),
+    ('own', 1, 'both_aware'), ('own', 0, 'both_aware'),
+    ('merged', 1, 'labelled_unaware'), ('merged', 0, 'non_labelled_unaware'),
+    ('merged', 1, 'both_unaware'), ('merged', 0, 'both_unaware'),
+    ('own', 1, 'mixed'), ('merged', 0, 'mixed')"""
+SINGLE_STATE = """CASE WHEN kind = 'own' AND label = 1 THEN 'labelled_aware' WHEN kind = 'own' THEN 'non_labelled_aware'
+    WHEN label = 1 THEN 'labelled_unaware' ELSE 'non_labelled_unaware' END"""
+COMPARED = (("labelled", "labelled_aware", "labelled_unaware"),
+            ("non_labelled", "non_labelled_aware", "non_labelled_unaware"),
+            ("both", "both_aware", "both_unaware"), ("mixed", "mixed", "both_unaware"))
+
+
 # ---------------------------------------------------------------- inputs
 
 def a_cube_long() -> str:
@@ -34,7 +48,7 @@ def a_cube_long() -> str:
 
 def a_flags() -> str:
     return (f"SELECT vec_id AS global_index, CAST(CASE WHEN vec_id % {st.A_MISSING_MOD} = 0 THEN 1 ELSE 0 END AS INTEGER) AS missing, "
-            "CAST(CASE WHEN label IN (0, 1) THEN label ELSE 3 END AS INTEGER) AS label FROM embeddings")
+            "CAST(label % 2 AS INTEGER) AS label FROM embeddings")
 
 
 def a_points() -> str:
@@ -49,18 +63,18 @@ def a_points() -> str:
     WHERE f.global_index >= {st.A_TRIM} AND f.global_index < prm.n_days*{pd}"""
 
 
-def b_cube_long() -> str:
+def b_cube_long(n_config: int = st.B_CONFIGS, measures=M) -> str:
     errs = ", ".join(
-        f"CAST(((o_orderkey*(c+7)*({j}+3)) % {st.B_MOD})/{st.B_MOD}e0 + "
-        f"(CASE WHEN o_orderstatus = 'F' THEN {st.B_CONFIGS - 1}-c ELSE c END)*0.01e0 AS FLOAT) AS {m}"
-        for j, m in enumerate(M))
+        f"CAST(((o_orderkey*(c+7)*({M.index(m)}+3)) % {st.B_MOD})/{st.B_MOD}e0 + "
+        f"(CASE WHEN o_orderstatus = 'F' THEN {n_config - 1}-c ELSE c END)*0.01e0 AS FLOAT) AS {m}"
+        for m in measures)
     return (f"SELECT o_orderkey AS global_index, CAST(c AS INTEGER) AS config_index, {errs} "
-            f"FROM orders, (SELECT range AS c FROM range({st.B_CONFIGS})) cfg")
+            f"FROM orders, (SELECT range AS c FROM range({n_config})) cfg")
 
 
 def b_points() -> str:
-    return (f"SELECT o_orderkey AS global_index, CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE 3 END AS INTEGER) AS label, "
-            f"CAST(0 AS INTEGER) AS missing FROM orders WHERE o_orderkey >= {st.B_TRIM}")
+    return ("SELECT o_orderkey AS global_index, CAST(o_orderstatus = 'F' AS INTEGER) AS label, "
+            "CAST(0 AS INTEGER) AS missing FROM orders")
 
 
 def folds(points_sql: str, k: int, group: str = "") -> str:
@@ -161,8 +175,7 @@ def predictions(cube_sql: str, tests: str, wts: str, align: str = "config", run:
 
 
 def states_sql(pred: str) -> str:
-    vals = ", ".join(f"('{k}', {lab}, '{s}')" for (k, lab), ss in STATE_MEMBERSHIP.items() for s in ss)
-    return (f"SELECT p.*, m.label_state FROM ({pred}) p JOIN (VALUES {vals}) m(kind, label, label_state) "
+    return (f"SELECT p.*, m.label_state FROM ({pred}) p JOIN (VALUES {STATE_ROWS}) m(kind, label, label_state) "
             "ON p.kind = m.kind AND p.label = m.label")
 
 
@@ -252,35 +265,57 @@ def b_long_metrics(k=R.B_FOLDS):
     return long_metrics(wide_metrics(states_sql(predictions(b_cube_long(), usable(b_folded(k)), w))), k)
 
 
-def b_sweep() -> str:
+def b_sweep(scenarios=None, fold_counts=R.SWEEP_FOLDS, modes=R.SWEEP_MODES, fraction=None, reverse=False) -> str:
+    """Fold averages of the scenarios; ``reverse`` takes the cube with its configs in reverse order."""
+    scenarios = sorted(st.B_SCENARIOS) if scenarios is None else scenarios
     scen = ("SELECT s.scenario, o.o_orderkey AS global_index, "
             "CAST(CASE WHEN (s.scenario = 1 AND o.o_orderstatus = 'F') OR (s.scenario = 2 AND o.o_orderstatus = 'P') "
             "OR (s.scenario = 3 AND starts_with(o.o_orderpriority, '1')) THEN 1 ELSE 0 END AS INTEGER) AS label, "
-            f"CAST(0 AS INTEGER) AS missing FROM orders o, (VALUES {', '.join(f'({i})' for i in sorted(st.B_SCENARIOS))}) s(scenario) "
-            f"WHERE o.o_orderkey >= {st.B_TRIM}")
+            f"CAST(0 AS INTEGER) AS missing FROM orders o, (VALUES {', '.join(f'({i})' for i in scenarios)}) s(scenario)")
     runs = (f"SELECT sp.*, CAST(kf.cv_fold_nr AS INTEGER) AS cv_fold_nr FROM ({scen}) sp, "
-            f"(VALUES {', '.join(f'({k})' for k in R.SWEEP_FOLDS)}) kf(cv_fold_nr)")
+            f"(VALUES {', '.join(f'({k})' for k in fold_counts)}) kf(cv_fold_nr)")
     folded = f"""
     SELECT *, CAST((row_number() OVER (PARTITION BY scenario, cv_fold_nr ORDER BY label, h, global_index) - 1)
                    % cv_fold_nr + 1 AS INTEGER) AS fold
     FROM (SELECT *, ('0x' || substr(md5('{R.SEED}:' || CAST(global_index AS VARCHAR)), 1, 8))::BIGINT AS h
           FROM ({runs}) r) q"""
+    cube = b_cube_long()
+    if reverse:
+        cube = f"SELECT global_index, CAST({st.B_CONFIGS - 1} - config_index AS INTEGER) AS config_index, {', '.join(M)} FROM ({cube}) c"
     run = ("scenario", "cv_fold_nr")
-    tr = train_sums(ranked(b_cube_long()), usable(folded), max(R.SWEEP_FOLDS), run)
-    modes = ", ".join(f"('{m}')" for m in R.SWEEP_MODES)
-    trm = f"SELECT t.*, md.mode FROM ({tr}) t JOIN (VALUES {modes}) md(mode) ON true"
+    tr = train_sums(ranked(cube), usable(folded), max(fold_counts), run)
+    trm = f"SELECT t.*, md.mode FROM ({tr}) t JOIN (VALUES {', '.join(f"('{m}')" for m in modes)}) md(mode) ON true"
     keys = ("scenario", "cv_fold_nr", "mode", "fold", "state")
-    w = weights(trm, None, keys, mode_col="mode")
-    pred = predictions(b_cube_long(), usable(folded), w, "config", run, ("mode",))
+    w = weights(trm, None, keys, fraction, mode_col="mode")
+    pred = predictions(cube, usable(folded), w, "config", run, ("mode",))
     wide = wide_metrics(states_sql(pred), ("scenario", "cv_fold_nr", "mode", "fold", "label_state"))
     long = long_metrics(wide, None, ("scenario", "mode"))
     return select_round(fold_avg(long, ("scenario", "mode")), ["scenario", "mode", "label", "metric", "cv_fold_nr"], O)
 
 
+def describe_sql() -> str:
+    """Weights of two measures of the 320-config cube, one row per training set and config."""
+    cube = b_cube_long(320, ["err_flow1", "err_speed8"])
+    cols = ["flow1", "speed8"]
+    rank = ", ".join(f"320 - row_number() OVER (PARTITION BY global_index ORDER BY err_{c}, config_index) AS s_{c}" for c in cols)
+    scored = f"SELECT global_index, config_index, {rank} FROM ({cube}) c"
+    own = f"""SELECT k.fold, p.label, s.config_index, sum(s_flow1) AS s_flow1, sum(s_speed8) AS s_speed8
+              FROM ({scored}) s JOIN ({usable(b_folded())}) p USING (global_index)
+                   JOIN (SELECT CAST(range + 1 AS INTEGER) AS fold FROM range({R.B_FOLDS})) k ON k.fold <> p.fold GROUP BY ALL"""
+    both = f"""WITH own AS ({own}) SELECT fold, {state_expr('label')} AS state, config_index, s_flow1, s_speed8 FROM own
+               UNION ALL SELECT fold, 'merged', config_index, sum(s_flow1), sum(s_speed8) FROM own GROUP BY ALL"""
+    part = "PARTITION BY fold, state"
+    cut = ", ".join(f"CASE WHEN row_number() OVER ({part} ORDER BY s_{c} DESC, config_index) <= 80 THEN s_{c} - min(s_{c}) OVER ({part}) ELSE 0 END AS c_{c}" for c in cols)
+    w = ", ".join(f"c_{c}::DOUBLE / nullif(sum(c_{c}) OVER ({part})::DOUBLE, 0) AS weight_{c}" for c in cols)
+    return select_round(f"SELECT w.*, g.* EXCLUDE (config_index) FROM (SELECT fold, state, config_index, {w} FROM (SELECT fold, state, config_index, {cut} FROM ({both}) b) x) w "
+                        f"JOIN ({config_grid_sql()}) g ON g.config_index = w.config_index",
+                        ["fold", "state", "config_index", "search_step_length", "window_size", "k_level1"], ["weight_flow1", "weight_speed8"])
+
+
 def b_improvement() -> str:
     avg = fold_avg(b_long_metrics())
     parts = []
-    for name, aware, unaware in IMPROVEMENT_PAIRS:
+    for name, aware, unaware in COMPARED:
         cols = []
         for o in O:
             a = f"max(CASE WHEN label = '{aware}' THEN {o} END)"
@@ -310,7 +345,6 @@ def oracle_sql() -> dict[str, str]:
     tr = a_train()
     wa = a_weights()
     states = states_sql(pred)
-    pstate = "CASE " + " ".join(f"WHEN kind = '{k}' AND label = {lab} THEN '{s}'" for (k, lab), s in PREDICTION_STATES.items()) + " END"
     q: dict[str, str] = {
         "point_flags": a_flags(),
         "point_range": f"SELECT global_index FROM ({pts}) p",
@@ -322,16 +356,17 @@ def oracle_sql() -> dict[str, str]:
         "drop_missing_anti": f"SELECT global_index, label FROM ({split}) s WHERE global_index NOT IN ({miss})",
         "drop_missing_except": f"SELECT global_index FROM ({split}) s EXCEPT SELECT global_index FROM ({miss}) m",
         "split_by_label": sp,
-        "limit_points": f"SELECT global_index, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY global_index) AS rn "
-                        f"FROM ({usable(fa)}) t WHERE fold <> 1) x WHERE rn <= 30",
+        "index_gaps": "SELECT i.range AS global_index FROM range((SELECT max(vec_id) + 1 FROM embeddings)) i "
+                      "WHERE i.range % 41 = 7 OR i.range NOT IN (SELECT vec_id FROM embeddings)",
         "select_points_semi": select_round(f"SELECT * FROM ({a_cube_long()}) c WHERE global_index IN ({test1})",
                                            ["global_index", "config_index"], M),
         "cube_reshape": select_round(a_cube_long(), ["global_index", "config_index"], M),
-        "validate_inputs": "SELECT CAST(count(*) AS BIGINT) AS n_points, min(vec_id) AS min_index, max(vec_id) AS max_index, "
-                           "CAST(count(DISTINCT vec_id) AS BIGINT) AS n_distinct, CAST(min(len(embedding)) // 8 AS INTEGER) AS min_configs, "
-                           "CAST(max(len(embedding)) // 8 AS INTEGER) AS max_configs, "
-                           "CAST(count(*) = max(vec_id) - min(vec_id) + 1 AND count(DISTINCT vec_id) = count(*) AS INTEGER) AS dense "
-                           "FROM embeddings",
+        "validate_inputs": f"""
+            SELECT CAST(count(*) AS BIGINT) AS n_points, min(vec_id) AS min_index, max(vec_id) AS max_index,
+                   CAST(count(DISTINCT vec_id) AS BIGINT) AS n_distinct, CAST(min(len(embedding)) // 8 AS INTEGER) AS min_configs,
+                   CAST(max(len(embedding)) // 8 AS INTEGER) AS max_configs,
+                   (SELECT CAST(count(*) AS BIGINT) FROM ({pts}) p WHERE global_index % 41 = 7) AS n_uncovered
+            FROM embeddings WHERE vec_id % 41 <> 7""",
         "rank_scores": ranked_long,
         "rank_scores_abs": ranked(a_cube_long(), "abs"),
         "rank_scores_ties": ranked(cube_ties()),
@@ -341,11 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "score_shift": f"SELECT fold, state, config_index, {_list(S, 'CAST({c} - min({c}) OVER (PARTITION BY fold, state) AS BIGINT) AS {c}')} FROM ({tr}) t",
         "ensemble_weights": select_round(wa, ["fold", "state", "config_index", "CAST(last_rank AS INTEGER) AS last_rank",
                                               *[f"CAST({s} AS BIGINT) AS {s}" for s in S]], W),
-        "describe_weights": select_round(f"SELECT w.fold, w.state, w.config_index, g.search_step_length, g.window_size, g.k_level1, "
-                                         f"w.weight_flow1, w.weight_speed8 FROM ({wa}) w LEFT JOIN ({config_grid_sql()}) g "
-                                         f"ON w.config_index = g.config_index",
-                                         ["fold", "state", "config_index", "search_step_length", "window_size", "k_level1"],
-                                         ["weight_flow1", "weight_speed8"]),
+        "describe_weights": describe_sql(),
         "weighted_error": select_round(pred, ["global_index", "fold", "label", "kind"], O),
         "weighted_error_lastrank": select_round(a_pred(align="last_rank"), ["global_index", "fold", "label", "kind"], O),
         "error_metrics": select_round(wide_metrics(states), ["fold", "label_state", "n_points"],
@@ -358,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
                  (SELECT CAST(range + 1 AS INTEGER) AS fold FROM range({R.A_FOLDS})) k,
                  (VALUES ('test'), ('train')) r(role)
             GROUP BY ALL""",
-        "prediction_table": select_round(f"SELECT global_index AS test_index, fold, {pstate} AS label_state, {', '.join(O)}, "
+        "prediction_table": select_round(f"SELECT global_index AS test_index, fold, {SINGLE_STATE} AS label_state, {', '.join(O)}, "
                                          f"'{'_'.join(str(x) for x in R.PREDICTION_PARAMS)}' AS param_string FROM ({pred}) p",
                                          ["test_index", "fold", "label_state", "param_string"], O),
         "report_states": f"SELECT CAST(fold AS INTEGER) AS cv_fold_order, label_state, CAST(count(*) AS BIGINT) AS n_points, "
@@ -377,8 +408,6 @@ def oracle_sql() -> dict[str, str]:
         "topk_weights_top3": b_weights_sql("Top3"),
         "topk_weights_top10": b_weights_sql("Top10"),
         "topk_weights_topx": b_weights_sql("TopXPercent", R.TOPX_FRACTION),
-        "config_grid": f"SELECT g.* FROM (SELECT DISTINCT config_index FROM ({b_cube_long()}) c) u "
-                       f"JOIN ({config_grid_sql()}) g ON g.config_index = u.config_index",
         "stratified_folds": f"SELECT global_index, label, fold FROM ({b_folded()}) f",
         "train_test_split": f"""
             SELECT k.fold AS cv_fold, CASE WHEN k.fold = u.fold THEN 'test' ELSE 'train' END AS role, u.label,
@@ -388,6 +417,8 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY ALL""",
         "condition_aware_cv": select_round(b_long_metrics(), ["label", "metric", "cv_fold_order", "cv_fold_nr"], O),
         "scenario_sweep": b_sweep(),
+        "sweep_topx": b_sweep([1, 3], [2], ["TopXPercent", "Top1"], R.TOPX_FRACTION),
+        "sweep_two_cubes": f"{b_sweep([1, 2], [3], ['Top25Percent'])} UNION ALL {b_sweep([3], [3], ['Top25Percent'], reverse=True)}",
         "improvement_report": b_improvement(),
     }
     return q

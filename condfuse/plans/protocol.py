@@ -1,175 +1,173 @@
-"""The condition-aware cross-validation protocol as one lazy Spark plan.
-
-points -> stratified folds -> one ranking pass over the cube (score sums per
-fold and class) -> training sums by fold complement -> top-k weights (small,
-broadcast) -> one test pass over the cube (own + merged weights per point)
--> seven report states -> AVG/STD/MAE per fold -> fold average.
-
-The cube is joined with the point table once; the ranking pass and the test
-pass read the same joined rows, so Spark can reuse that exchange. Only the
-tiny score / weight / metric tables cross shuffles otherwise.
+"""The condition-aware cross-validation protocol.
+
+points -> stratified folds -> ranking pass over the cube (score sums per
+fold and class, one small table) -> training sums by fold complement ->
+top-k weights -> test pass over the cube (own + merged weights per point,
+moments per task) -> seven report states -> AVG/STD/MAE per fold -> fold
+average.
+
+The ranking pass is a job of its own: its sums are written to shared storage
+(and found there again by a later run with the same inputs, if a cache folder
+is given), their point counts are checked against the point table, and the
+weight vectors, whose size follows from the parameters, are collected from
+them. The test pass then is one lazy plan. A cube in a bucketed table is read
+in place by both passes; only the narrow point table is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condfuse._ship import has_context
-from condfuse.model import Protocol, top_mode_name
-from condfuse.operators.evaluate import (
-    collect_weights,
-    report_states,
-    test_rows,
-    usable,
-    weighted_errors,
-    weighted_errors_arrow,
-)
+from condfuse.functions.columns import score_cols
+from condfuse.model import MAX_FOLDS, MIN_FOLDS, Protocol, ProtocolError, top_k, top_mode_name
+from condfuse.operators.evaluate import collect_weights, error_moments, report_states, weighted_errors
 from condfuse.operators.folds import stratified_folds
 from condfuse.operators.metrics import error_metrics, fold_average, metrics_long
-from condfuse.operators.points import limit_points
-from condfuse.operators.scoring import fold_sums, scoring_rows, train_sums, train_sums_direct
+from condfuse.operators.scoring import check_coverage, fold_sums, scoring_rows, train_sums
 from condfuse.operators.weights import make_weights, weight_arrays
+from condfuse.sources.sinks import materialize
 
 
-def with_folds(points: DataFrame, p: Protocol, group_cols: Sequence[str] = ()) -> DataFrame:
-    if "fold" in points.columns:
-        return points
-    if group_cols:
-        raise ValueError("multi-run points need their folds assigned (see sweep)")
-    return stratified_folds(points, p.folds, p.seed)
+def with_folds(points: DataFrame, p: Protocol) -> DataFrame:
+    return points if "fold" in points.columns else stratified_folds(points, p.folds, p.seed)
 
 
-def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-                limit: int | None = None, join: str = "shuffle_hash") -> DataFrame:
-    """Weights per (fold, state, config_index) for the training set of every fold.
+def score_sums(cube: DataFrame, points: DataFrame, p: Protocol, run_cols: Sequence[str] = (),
+               cache: str | None = None, sources: Sequence[str] = (), engine: str = "arrow") -> DataFrame:
+    """Score sums per (run..., fold, label, config) as a written table, checked
+    for coverage: ``ProtocolError`` unless every usable point has exactly one
+    cube row. With ``cache`` (a folder) sums of the same parameters and data
+    are read instead of computed; ``sources`` are further files whose change
+    must miss the cache (inputs that Spark does not read itself). Neither the
+    top-k mode nor the alignment is part of the key."""
+    params = {"order": p.order, "measures": list(p.measures), "runs": list(run_cols)}
+    sums = materialize(lambda: fold_sums(cube, points, p.measures, p.order, run_cols, engine), cache, params,
+                       (cube, points), sources)
+    check_coverage(sums, points, run_cols)
+    return sums
 
-    ``limit`` cuts each training list to its first points (trial runs); the
-    fold complement does not hold then, so training sums are built from the
-    explicit lists.
-    """
-    pts = with_folds(points, p)
-    if limit is None:
-        tr = train_sums(fold_sums(cube, pts, p.measures, p.order, engine=engine, join=join), p.folds, p.measures)
-    else:
-        tr = train_sums_direct(cube, pts, p.folds, p.measures, p.order, limit=limit, engine=engine)
+
+def _train(cube, points, p, cache, sources, engine) -> DataFrame:
+    return train_sums(score_sums(cube, points, p, (), cache, sources, engine), p.folds, p.measures)
+
+
+def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
+                cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """Weights per (fold, state, config_index) for the training set of every fold."""
+    tr = _train(cube, with_folds(points, p), p, cache, sources, engine)
     return make_weights(tr, p.measures, p.mode, p.fraction, p.min_zero)
 
 
-def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol(),
-                  engine: str = "auto", join: str = "shuffle_hash") -> DataFrame:
-    """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``.
+def _n_config(table: DataFrame) -> int:
+    return (table.agg(F.max("config_index")).first()[0] or 0) + 1
 
-    ``sql``: broadcast join of the weight arrays plus built-in array lambdas,
-    one lazy plan. ``arrow``: the weight vectors (at most 3k rows of n_config
-    x #measures values) are computed, collected under a size check and
-    broadcast, and the test pass multiplies them per Arrow batch (falls back
-    to ``sql`` over the budget). ``auto`` picks by dot products per point."""
-    pts = with_folds(points, p)
+
+def test_inputs(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol) -> tuple[DataFrame, dict]:
+    """Cube rows with memberships, and the weight vectors, for a test pass."""
     warr = weight_arrays(weights, p.measures, ("fold", "state"), p.align)
-    return _test_pass(cube, pts, warr, p, (), (), 3 * p.folds, engine, join=join)
+    table = collect_weights(warr, 3 * p.folds, _n_config(weights), p.measures)
+    return scoring_rows(cube, with_folds(points, p)), table
 
 
-# Dot products per point (per measure) above which the Arrow test pass is
-# used by ``test_engine="auto"``. Measured at sf0.1: a single run (2 per
-# point) is faster as one lazy plan with the JVM join, since both cube passes
-# then share one exchange; an 18-run sweep with 3 modes (36 per point) is
-# faster with the per-batch matrix products.
-AUTO_ARROW_DOTS = 8
+def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol()) -> DataFrame:
+    """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``."""
+    keyed, table = test_inputs(cube, points, weights, p)
+    return weighted_errors(keyed, table, p.measures)
 
 
-def _test_pass(cube, pts, warr, p, runs, weight_keys, bound, engine, dots_per_point=2, join="shuffle_hash"):
-    if engine == "auto":
-        engine = "arrow" if dots_per_point > AUTO_ARROW_DOTS else "sql"
-    if engine == "arrow" and not has_context(cube.sparkSession):
-        engine = "sql"  # no broadcast variables without a SparkContext (Spark Connect)
-    if engine == "arrow":
-        table = collect_weights(warr, p.measures, runs, weight_keys, bound)
-        if table is not None:
-            return weighted_errors_arrow(scoring_rows(cube, pts, runs, join), table, p.measures, runs, weight_keys)
-    return weighted_errors(test_rows(cube, pts, runs, join), warr, p.measures, runs, weight_keys, bound)
+def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
+                cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """Weights of every training set, applied to its test points (one row per point and kind)."""
+    pts = with_folds(points, p)
+    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine, cache, sources), p)
 
 
-def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-                test_engine: str | None = None, join: str = "shuffle_hash",
-                limit: int | None = None, test_limit: int | None = None) -> DataFrame:
-    """``engine`` picks the ranking engine (``arrow`` / ``sql``);
-    ``test_engine`` the test pass (``auto`` / ``sql`` / ``arrow``; default
-    ``auto``, or ``sql`` when the ranking engine is ``sql``). ``join`` is the
-    cube-to-points join: ``shuffle_hash`` (default; point side hashed, cube
-    streamed, no cube shuffle for a bucketed cube) or ``broadcast`` (point
-    side broadcast; only for point tables known to be small, see
-    ``scoring.point_join_strategy`` for a checked choice).
-
-    Trial runs: ``limit`` keeps the first points (by index) of every
-    training list, ``test_limit`` those of every test list, per fold and
-    class; both are row_number filters planned as group limits."""
+def moments(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
+            cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """Moments of the weighted errors per (fold, label, kind)."""
     pts = with_folds(points, p)
-    te = test_engine or ("sql" if engine == "sql" else "auto")
-    weights = fit_weights(cube, pts, p, engine, limit=limit, join=join)
-    tests = pts if test_limit is None else limit_points(usable(pts), test_limit, by=("fold", "label"))
-    return apply_weights(cube, tests, weights, p, te, join=join)
+    keyed, table = test_inputs(cube, pts, fit_weights(cube, pts, p, engine, cache, sources), p)
+    return error_moments(keyed, table, p.measures)
 
 
-def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
-             wide: bool = False, test_engine: str | None = None, join: str = "shuffle_hash",
-             limit: int | None = None, test_limit: int | None = None, validate: bool = False) -> DataFrame:
-    """Flagship: metrics per fold and report state, in report rows
-    ``(label, metric, cv_fold_order, cv_fold_nr, weighted_err_*)``
-    (or the wide per-fold table with ``wide=True``). ``validate`` first runs
-    the input checks (a few aggregates; raises ``ProtocolError``, warns on
-    gaps and small classes)."""
-    if validate:
-        import warnings
-
-        from condfuse.operators.validate import validate_inputs
-
-        for w in validate_inputs(cube, points, p):
-            warnings.warn(w, stacklevel=2)
-    pred = predictions(cube, points, p, engine, test_engine, join, limit, test_limit)
-    w = error_metrics(report_states(pred), p.measures)
+def metrics_of(moments: DataFrame, p: Protocol, wide: bool = False) -> DataFrame:
+    """Report rows (or the wide per-fold table) of the seven states."""
+    w = error_metrics(report_states(moments, p.measures), p.measures)
     return w if wide else metrics_long(w, p.measures, p.folds)
 
 
+def evaluate(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow", wide: bool = False,
+             cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """Flagship: metrics per fold and report state, in report rows
+    ``(label, metric, cv_fold_order, cv_fold_nr, weighted_err_*)`` (or the
+    wide per-fold table with ``wide=True``). ``engine`` picks the ranking
+    engine. Raises ``ProtocolError`` when a usable point has no cube row."""
+    return metrics_of(moments(cube, points, p, engine, cache, sources), p, wide)
+
+
 def cv_report(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow") -> DataFrame:
     return fold_average(evaluate(cube, points, p, engine), p.measures)
 
 
 # ---------------------------------------------------------------- scenario sweep
 
-def sweep(cube: DataFrame, scenario_points: DataFrame, scenario_ids: Sequence[int], fold_counts: Sequence[int],
-          modes: Sequence[str], p: Protocol = Protocol(), fraction: float | None = None,
-          engine: str = "arrow", test_engine: str | None = None) -> DataFrame:
-    """Fold-averaged metrics for every (scenario, cv_fold_nr, mode) in one job.
+def sweep(cubes: DataFrame | Mapping[str, DataFrame], scenario_points: DataFrame, scenario_ids: Sequence[int],
+          fold_counts: Sequence[int], modes: Sequence[int | str], p: Protocol = Protocol(),
+          fraction: float | None = None, cube_of: Mapping[int, str] | None = None, engine: str = "arrow",
+          cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """Fold-averaged metrics for every (scenario, cv_fold_nr, mode).
 
     ``scenario_points``: ``(scenario, global_index, label, missing)``, one
-    point table per scenario stacked; ``scenario_ids`` lists the scenarios
-    it holds (other ids are ignored). Each point is ranked once for all
-    scenarios and fold counts (ranks depend on neither label nor fold); the
-    top-k mode is applied after summing, so score sums are shared by all
-    modes. Returns ``(scenario, mode, label, metric, cv_fold_nr, weighted_err_*)``.
+    point table per scenario stacked; ``scenario_ids`` lists the scenarios to
+    run (other ids are ignored). ``cubes`` is one cube for all scenarios, or
+    several by name with ``cube_of`` naming the cube of each scenario. Each
+    cube is ranked once for all its scenarios and fold counts (ranks depend
+    on neither label nor fold); the top-k mode is applied after summing, so
+    score sums are shared by all modes. Parameters are checked first.
+    Returns ``(scenario, mode, label, metric, cv_fold_nr, weighted_err_*)``.
     """
     modes = [top_mode_name(m) for m in modes]
+    for m in modes:
+        top_k(m, 1, fraction)
+    bad = [k for k in fold_counts if not MIN_FOLDS <= k <= MAX_FOLDS]
+    if bad or not fold_counts or not modes or not scenario_ids:
+        raise ProtocolError(f"fold counts must be in {MIN_FOLDS}..{MAX_FOLDS}, got {list(fold_counts)}; "
+                            "scenarios, fold counts and modes must not be empty")
+    if isinstance(cubes, DataFrame):
+        cubes, cube_of = {"cube": cubes}, {s: "cube" for s in scenario_ids}
+    unknown = [s for s in scenario_ids if (cube_of or {}).get(s) not in cubes]
+    if unknown:
+        raise ProtocolError(f"no cube is named for scenarios {unknown}")
+    parts = []
+    for name, cube in cubes.items():
+        if ids := [int(s) for s in scenario_ids if cube_of[s] == name]:
+            parts.append(_sweep_cube(cube, scenario_points, ids, [int(k) for k in fold_counts], modes, p, fraction,
+                                     engine, cache, sources))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sweep_cube(cube, scenario_points, ids, fold_counts, modes, p, fraction, engine, cache, sources) -> DataFrame:
     runs = ["scenario", "cv_fold_nr"]
     # one point copy per fold count (a generator over a literal list, no join)
-    pts = scenario_points.filter(F.col("scenario").isin(*[int(i) for i in scenario_ids]))
-    pts = pts.select("*", F.explode(F.array(*[F.lit(int(k)) for k in fold_counts])).alias("cv_fold_nr"))
+    pts = scenario_points.filter(F.col("scenario").isin(ids))
+    pts = pts.select("*", F.explode(F.array(*[F.lit(k) for k in fold_counts])).alias("cv_fold_nr"))
     pts = stratified_folds(pts, F.col("cv_fold_nr"), p.seed, group_cols=runs)
-    join = "shuffle_hash"
-    sums = fold_sums(cube, pts, p.measures, p.order, run_cols=runs, engine=engine, join=join)
-    run_table = scenario_points.sparkSession.createDataFrame(
-        [(int(sid), int(k)) for sid in scenario_ids for k in fold_counts], "scenario int, cv_fold_nr int")
+    sums = score_sums(cube, pts, p, runs, cache, sources, engine)
+    run_table = cube.sparkSession.createDataFrame([(s, k) for s in ids for k in fold_counts],
+                                                  "scenario int, cv_fold_nr int")
     tr = train_sums(sums, run_table, p.measures, run_cols=runs)
-    tr = tr.select("*", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
+    tr = tr.select(*runs, "fold", "state", "config_index", "n_points", *score_cols(p.measures),
+                   F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
     keys = (*runs, "mode", "fold", "state")
-    w = make_weights(tr, p.measures, F.col("mode"), fraction, p.min_zero, keys=keys)
-    warr = weight_arrays(w, p.measures, keys, p.align)
-    bound = len(scenario_ids) * len(fold_counts) * len(modes) * max(fold_counts) * 3
-    te = test_engine or ("sql" if engine == "sql" else "auto")
-    dots = 2 * len(modes) * len(scenario_ids) * len(fold_counts)
-    pred = _test_pass(cube, pts, warr, p, runs, ("mode",), bound, te, dots, join)
-    met = error_metrics(report_states(pred), p.measures, keys=(*runs, "mode", "fold", "label_state"))
+    warr = weight_arrays(make_weights(tr, p.measures, F.col("mode"), fraction, p.min_zero, keys=keys),
+                         p.measures, keys, p.align)
+    table = collect_weights(warr, 3 * len(ids) * len(modes) * sum(fold_counts), _n_config(sums), p.measures, runs, ("mode",))
+    mom = error_moments(scoring_rows(cube, pts, runs), table, p.measures, runs, ("mode",))
+    met = error_metrics(report_states(mom, p.measures, (*runs, "mode", "fold")), p.measures,
+                        keys=(*runs, "mode", "fold", "label_state"))
     long = metrics_long(met, p.measures, None, keys=("scenario", "mode"))
     return fold_average(long, p.measures, keys=("scenario", "mode"))

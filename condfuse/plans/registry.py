@@ -19,6 +19,7 @@ from condfuse.operators import folds as fo
 from condfuse.operators import metrics as me
 from condfuse.operators import points as po
 from condfuse.operators import scoring as sc
+from condfuse.operators import validate as va
 from condfuse.operators import weights as we
 from condfuse.plans import protocol as pr
 from condfuse.sources import cube as cu
@@ -32,6 +33,7 @@ B_FOLDS = 3
 TOPX_FRACTION = 0.4
 SWEEP_FOLDS = (2, 3)
 SWEEP_MODES = ("Top25Percent", "Top3", "All")
+TWO_CUBES = {1: "plain", 2: "plain", 3: "reversed"}
 # fold count, anomaly method, score method, search mode and top-k mode ids of the A runs
 PREDICTION_PARAMS = (A_FOLDS, 0, 0, 0, 0)
 
@@ -98,16 +100,9 @@ def q_split_by_label(spark, d):
     return po.split_by_label(st.a_points(spark, d)).select("global_index", "label", "state")
 
 
-def q_limit_points(spark, d):
-    """First 30 training points per class of fold 1 (the trial-run limit)."""
-    _, pts = a_inputs(spark, d)
-    train = ev.usable(pts).filter(F.col("fold") != 1)
-    return po.limit_points(train, 30, by=("label",)).select("global_index", "label")
-
-
 def q_select_points_semi(spark, d):
     cube, pts = a_inputs(spark, d)
-    test1 = ev.usable(pts).filter(F.col("fold") == 1)
+    test1 = po.usable(pts).filter(F.col("fold") == 1)
     return _r(cu.cube_to_long(cu.select_points(cube, test1)), MEASURES)
 
 
@@ -118,10 +113,17 @@ def q_cube_reshape(spark, d):
 
 
 def q_validate_inputs(spark, d):
-    s = cu.cube_stats(st.a_cube(spark, d))
-    dense = ((F.col("n_points") == F.col("max_index") - F.col("min_index") + 1)
-             & (F.col("n_distinct") == F.col("n_points"))).cast("int")
-    return s.withColumn("dense", dense)
+    """What ``validate_inputs`` looks at, over the cube without every 41st
+    point, so that gaps and uncovered points are found."""
+    cube = st.a_cube(spark, d).filter(F.col("global_index") % 41 != 7)
+    return va.input_profile(cube, st.a_points(spark, d))
+
+
+def q_index_gaps(spark, d):
+    """Indexes of the whole range of vectors that a cube without every 41st point lacks."""
+    cube = st.a_cube(spark, d)
+    end = cube.agg(F.max("global_index")).first()[0] + 1
+    return po.index_gaps(cube.filter(F.col("global_index") % 41 != 7), 0, end)
 
 
 # ---------------------------------------------------------------- scoring and weights
@@ -175,8 +177,10 @@ def q_ensemble_weights(spark, d):
 
 
 def q_describe_weights(spark, d):
-    w = we.make_weights(a_train(spark, d), MEASURES, PA.mode)
-    j = w.join(F.broadcast(config_grid(spark)), "config_index", "left")
+    """Weights of the 320-config cube with the parameters of each config."""
+    cube = st.b_cube_wide(spark, d, 320)
+    w = pr.fit_weights(cube, fo.stratified_folds(st.b_points(spark, d), B_FOLDS, SEED), PB)
+    j = we.describe_weights(w, config_grid(spark))
     return _r(j.select("fold", "state", "config_index", "search_step_length", "window_size", "k_level1",
                        "weight_flow1", "weight_speed8"), ["weight_flow1", "weight_speed8"])
 
@@ -210,7 +214,7 @@ def q_metrics_long(spark, d):
 
 def q_split_sizes(spark, d):
     _, pts = a_inputs(spark, d)
-    return fo.split_sizes(ev.usable(pts), A_FOLDS)
+    return fo.split_sizes(po.usable(pts), A_FOLDS)
 
 
 def q_prediction_table(spark, d):
@@ -218,9 +222,10 @@ def q_prediction_table(spark, d):
 
 
 def q_report_states(spark, d):
-    st_ = ev.report_states(_a_pred(spark, d))
-    return _r(st_.groupBy(F.col("fold").alias("cv_fold_order"), "label_state").agg(
-        F.count(F.lit(1)).alias("n_points"), F.sum("weighted_err_flow1").alias("sum_flow1")), ["sum_flow1"])
+    cube, pts = a_inputs(spark, d)
+    states = ev.report_states(pr.moments(cube, pts, PA))
+    return _r(states.select(F.col("fold").alias("cv_fold_order"), "label_state", "n_points",
+                            (F.col("mean_weighted_err_flow1") * F.col("n_points")).alias("sum_flow1")), ["sum_flow1"])
 
 
 def _a_metrics5(spark, d):
@@ -258,14 +263,6 @@ def _b_weights(mode, fraction=None):
     return q
 
 
-def q_config_grid(spark, d):
-    """Parameters of the configs present in the stand-in B cube (config dimension join)."""
-    cube = st.b_cube(spark, d)
-    used = cube.select(F.posexplode("err_flow1").alias("config_index", "_e")) \
-        .select(F.col("config_index").cast("int")).distinct()
-    return used.join(F.broadcast(config_grid(spark)), "config_index")
-
-
 def q_stratified_folds(spark, d):
     _, pts = b_inputs(spark, d)
     return pts.select("global_index", "label", "fold")
@@ -273,7 +270,7 @@ def q_stratified_folds(spark, d):
 
 def q_train_test_split(spark, d):
     _, pts = b_inputs(spark, d)
-    tt = fo.train_test_split(ev.usable(pts), B_FOLDS)
+    tt = fo.train_test_split(po.usable(pts), B_FOLDS)
     return tt.groupBy("cv_fold", "role", "label").agg(
         F.count(F.lit(1)).alias("n_points"), F.min("global_index").alias("min_index"),
         F.max("global_index").alias("max_index"), F.sum("global_index").alias("sum_index"))
@@ -290,6 +287,21 @@ def q_scenario_sweep(spark, d):
     return _r(res, O)
 
 
+def q_sweep_topx(spark, d):
+    """A sweep whose modes include a free fraction."""
+    res = pr.sweep(st.b_cube(spark, d), st.b_scenario_points(spark, d), [1, 3], (2,), ("TopXPercent", "Top1"), PB,
+                   fraction=TOPX_FRACTION)
+    return _r(res, O)
+
+
+def q_sweep_two_cubes(spark, d):
+    """Scenarios 1 and 2 on the stand-in cube, 3 on the one with reversed configs."""
+    cubes = {"plain": st.b_cube(spark, d), "reversed": st.b_cube_shifted(spark, d)}
+    res = pr.sweep(cubes, st.b_scenario_points(spark, d), sorted(st.B_SCENARIOS), (3,), ("Top25Percent",), PB,
+                   cube_of=TWO_CUBES)
+    return _r(res, O)
+
+
 def q_improvement_report(spark, d):
     cube, pts = b_inputs(spark, d)
     imp = me.improvement(me.fold_average(pr.evaluate(cube, pts, PB)))
@@ -306,7 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_missing_anti": q_drop_missing_anti,
     "drop_missing_except": q_drop_missing_except,
     "split_by_label": q_split_by_label,
-    "limit_points": q_limit_points,
+    "index_gaps": q_index_gaps,
     "select_points_semi": q_select_points_semi,
     "cube_reshape": q_cube_reshape,
     "validate_inputs": q_validate_inputs,
@@ -336,10 +348,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_weights_top3": _b_weights("Top3"),
     "topk_weights_top10": _b_weights("Top10"),
     "topk_weights_topx": _b_weights("TopXPercent", TOPX_FRACTION),
-    "config_grid": q_config_grid,
     "stratified_folds": q_stratified_folds,
     "train_test_split": q_train_test_split,
     "condition_aware_cv": q_condition_aware_cv,
     "scenario_sweep": q_scenario_sweep,
+    "sweep_topx": q_sweep_topx,
+    "sweep_two_cubes": q_sweep_two_cubes,
     "improvement_report": q_improvement_report,
 }

@@ -1,9 +1,9 @@
 """Session helper for tests, bench and scripts.
 
 A cluster session is built by its owner; library code only reads settings.
-``checkpoint_dir`` honours ``spark.checkpoint.dir`` when the session names
-one (the shared folder of a cluster) and only falls back to a fresh local
-folder when it is unset (local tests).
+``shared_dir`` is the folder named by ``spark.checkpoint.dir``, which driver
+and executors share. A fresh local folder is used only where that is unset
+(one machine).
 """
 
 from __future__ import annotations
@@ -13,32 +13,30 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "condfuse") -> SparkSession:
-    spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
-             .config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-             .config("spark.sql.adaptive.enabled", "true")
-             .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.driver.memory", os.environ.get("CONDFUSE_DRIVER_MEMORY", "8g"))
-             .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-             .getOrCreate())
+_own: list[str] = []
+
+
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "condfuse",
+                  checkpoint: str | None = None) -> SparkSession:
+    builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+               .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.driver.memory", os.environ.get("CONDFUSE_DRIVER_MEMORY", "8g"))
+               .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2048"))
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a new local folder only if unset."""
-    from condfuse._ship import has_context
-
-    if not has_context(spark):  # Spark Connect: the server owns the folder
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    d = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="condfuse-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables that later jobs read (``spark.checkpoint.dir``)."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="condfuse-"))
+    return _own[0]

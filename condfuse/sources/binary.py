@@ -1,172 +1,183 @@
-"""Fixed-stride binary error cube as a Spark Python data source.
-
-File layout: float32, native byte order, no header; point after point, each
-point holding ``n_config`` rows of ``len(measures)`` values (row-major), so
-point ``gi`` starts at byte ``gi * n_config * n_measures * 4``.
-
-The reader splits the index range into input partitions and yields Arrow
-batches in array form. Range filters on ``global_index`` are pushed into the
-reader (``spark.sql.python.filterPushdown.enabled`` must be true) and shrink
-the partitions that get planned.
-
-A companion ``flags`` source reads 1-D int vectors (``.npy`` or raw int32)
-positionally as ``(global_index, <name>)``.
+"""Fixed-stride binary error cube and flag vectors as Spark Python data sources.
+
+Cube layout: float32, native byte order, no header; point after point, each
+point holding ``n_config`` rows of one value per measure of the file
+(row-major), so point ``gi`` starts at byte ``gi * n_config * n_measures * 4``.
+
+Files are opened through ``pyarrow.fs``, so a path may be a plain path or a
+URI of any file system it knows (``file://``, ``s3://``, ``gs://``,
+``hdfs://``); executors and driver must see the same file. The index range
+and the measures are options of the read, so every scan of a DataFrame reads
+the same rows whatever query it stands in. A file whose length does not fit
+the layout is an error.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
-    In,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from condfuse.functions.columns import MEASURES
 from condfuse._ship import by_value
+from condfuse.functions.columns import MEASURES
+from condfuse.model import ProtocolError
 
 FLOAT_BYTES = 4
+PARTITION_BYTES = 128 << 20
+BATCH_BYTES = 16 << 20
 
 by_value(__import__(__name__, fromlist=["_"]))
 
 
+def open_fs(path: str):
+    """File system and path inside it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def file_size(path: str) -> int:
+    files, inner = open_fs(path)
+    info = files.get_file_info(inner)
+    if not info.is_file:
+        raise ProtocolError(f"no file {path}")
+    return info.size
+
+
 @dataclass
 class IndexRange(InputPartition):
     lo: int
     hi: int  # exclusive
 
 
-def _narrow(lo: int, hi: int, filters) -> tuple[int, int, list]:
-    """Applies pushed index filters to [lo, hi); returns the filters it could not use."""
-    rest = []
-    for f in filters:
-        if getattr(f, "attribute", None) != ("global_index",) or not hasattr(f, "value"):
-            rest.append(f)
-            continue
-        v = f.value
-        if isinstance(f, GreaterThan):
-            lo = max(lo, int(v) + 1)
-        elif isinstance(f, GreaterThanOrEqual):
-            lo = max(lo, int(v))
-        elif isinstance(f, LessThan):
-            hi = min(hi, int(v))
-        elif isinstance(f, LessThanOrEqual):
-            hi = min(hi, int(v) + 1)
-        elif isinstance(f, EqualTo):
-            lo, hi = max(lo, int(v)), min(hi, int(v) + 1)
-        elif isinstance(f, In) and len(v) > 0:
-            lo, hi = max(lo, int(min(v))), min(hi, int(max(v)) + 1)
-            rest.append(f)  # only the hull is applied
-        else:
-            rest.append(f)
-    return lo, max(lo, hi), rest
+def _ranges(lo: int, hi: int, step: int) -> list[IndexRange]:
+    return [IndexRange(a, min(a + step, hi)) for a in range(lo, hi, step)] or [IndexRange(lo, lo)]
+
+
+def _index_range(options, n: int) -> tuple[int, int]:
+    lo, hi = int(options.get("start", 0)), int(options.get("end", n))
+    if not 0 <= lo <= hi <= n:
+        raise ProtocolError(f"index range [{lo}, {hi}) outside the file's {n} points")
+    return lo, hi
 
 
 class _CubeReader(DataSourceReader):
-    def __init__(self, options, measures):
-        self.path = options["path"]
+    def __init__(self, options, layout, measures):
+        self.path, self.layout, self.measures = options["path"], layout, measures
         self.n_config = int(options["n_config"])
-        self.measures = measures
-        self.stride = self.n_config * len(measures)
-        size = os.path.getsize(self.path)
-        self.lo = 0
-        self.hi = size // (self.stride * FLOAT_BYTES)
-        self.per_partition = int(options.get("points_per_partition", 4096))
-        self.batch = int(options.get("points_per_batch", 1024))
-
-    def pushFilters(self, filters):
-        self.lo, self.hi, rest = _narrow(self.lo, self.hi, filters)
-        yield from rest
+        self.stride = self.n_config * len(layout) * FLOAT_BYTES
+        size = file_size(self.path)
+        if size % self.stride:
+            raise ProtocolError(f"{self.path} has {size} bytes, not a multiple of {self.stride} "
+                                f"({self.n_config} configs x {len(layout)} measures x {FLOAT_BYTES})")
+        self.lo, self.hi = _index_range(options, size // self.stride)
+        self.step = max(1, int(options.get("partition_bytes", PARTITION_BYTES)) // self.stride)
 
     def partitions(self):
-        step = max(1, self.per_partition)
-        parts = [IndexRange(a, min(a + step, self.hi)) for a in range(self.lo, self.hi, step)]
-        return parts or [IndexRange(self.lo, self.lo)]
+        return _ranges(self.lo, self.hi, self.step)
 
     def read(self, partition: IndexRange):
         import numpy as np
         import pyarrow as pa
 
-        names = ["global_index", *self.measures]
-        with open(self.path, "rb") as fh:
-            for a in range(partition.lo, partition.hi, self.batch):
-                b = min(a + self.batch, partition.hi)
-                fh.seek(a * self.stride * FLOAT_BYTES)
-                flat = np.fromfile(fh, dtype=np.float32, count=(b - a) * self.stride)
-                block = flat.reshape(b - a, self.n_config, len(self.measures))
+        files, inner = open_fs(self.path)
+        step = max(1, BATCH_BYTES // self.stride)
+        with files.open_input_file(inner) as file:
+            for a in range(partition.lo, partition.hi, step):
+                b = min(a + step, partition.hi)
                 cols = [pa.array(np.arange(a, b, dtype=np.int64))]
-                offsets = pa.array(np.arange(0, (b - a + 1) * self.n_config, self.n_config, dtype=np.int32))
-                for j in range(len(self.measures)):
-                    values = pa.array(np.ascontiguousarray(block[:, :, j]).reshape(-1))
-                    cols.append(pa.ListArray.from_arrays(offsets, values))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                if self.measures:
+                    raw = file.read_at((b - a) * self.stride, a * self.stride)
+                    block = np.frombuffer(raw, np.float32).reshape(b - a, self.n_config, len(self.layout))
+                    offsets = pa.array(np.arange(0, (b - a + 1) * self.n_config, self.n_config, dtype=np.int32))
+                    for m in self.measures:
+                        values = np.ascontiguousarray(block[:, :, self.layout.index(m)]).reshape(-1)
+                        cols.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
+                yield pa.RecordBatch.from_arrays(cols, names=["global_index", *self.measures])
 
 
 class BinaryCubeSource(DataSource):
-    """``spark.read.format("errorcube").option("n_config", 320).load(path)``."""
+    """``spark.read.format("errorcube").option("n_config", 320).load(path)``.
+
+    ``layout``: measures in the file, in order; ``measures``: those wanted
+    (default all; empty for the index alone, which reads no bytes);
+    ``start``/``end``: index range; ``partition_bytes``."""
 
     @classmethod
     def name(cls):
         return "errorcube"
 
-    def _measures(self):
-        raw = self.options.get("measures")
-        return tuple(raw.split(",")) if raw else MEASURES
+    def _names(self) -> tuple[list[str], list[str]]:
+        listed = lambda key, default: [m for m in self.options.get(key, ",".join(default)).split(",") if m]
+        layout = listed("layout", MEASURES)
+        measures = listed("measures", layout)
+        if unknown := [m for m in measures if m not in layout]:
+            raise ProtocolError(f"the file has no measures {unknown}")
+        return layout, measures
 
     def schema(self):
-        return "global_index bigint, " + ", ".join(f"{m} array<float>" for m in self._measures())
+        return ", ".join(["global_index bigint", *(f"{m} array<float>" for m in self._names()[1])])
 
     def reader(self, schema):
-        return _CubeReader(self.options, self._measures())
+        return _CubeReader(dict(self.options), *self._names())
+
+
+def _vector(path: str, dtype: str):
+    """(dtype, byte offset, length) of a 1-D int vector, from the header only."""
+    import numpy as np
+
+    size = file_size(path)
+    if not path.endswith(".npy"):
+        kind, offset = np.dtype(dtype), 0
+        if size % kind.itemsize:
+            raise ProtocolError(f"{path} has {size} bytes, not a multiple of {kind.itemsize}")
+        return kind, offset, size // kind.itemsize
+    files, inner = open_fs(path)
+    with files.open_input_file(inner) as file:
+        version = np.lib.format.read_magic(file)
+        header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, _, kind = header(file)
+        offset = file.tell()
+    if len(shape) != 1 or kind.kind not in "iub":
+        raise ProtocolError(f"{path} is no vector of integers (shape {shape}, {kind})")
+    if size - offset != shape[0] * kind.itemsize:
+        raise ProtocolError(f"{path} holds {size - offset} bytes for {shape[0]} values of {kind.itemsize}")
+    return kind, offset, shape[0]
+
+
+def vector_length(path: str, dtype: str = "int32") -> int:
+    return _vector(path, dtype)[2]
 
 
 class _FlagReader(DataSourceReader):
     def __init__(self, options):
-        import numpy as np
-
-        self.path = options["path"]
-        self.column = options.get("column", "flag")
-        if self.path.endswith(".npy"):
-            arr = np.load(self.path, mmap_mode="r")
-            self.dtype, self.offset, n = arr.dtype, arr.offset, arr.shape[0]
-        else:
-            self.dtype, self.offset = np.dtype(options.get("dtype", "int32")), 0
-            n = os.path.getsize(self.path) // self.dtype.itemsize
-        self.lo, self.hi = 0, n
-        self.per_partition = int(options.get("points_per_partition", 1 << 20))
-
-    def pushFilters(self, filters):
-        self.lo, self.hi, rest = _narrow(self.lo, self.hi, filters)
-        yield from rest
+        self.path, self.column = options["path"], options.get("column", "flag")
+        self.dtype, self.offset, n = _vector(self.path, options.get("dtype", "int32"))
+        self.lo, self.hi = _index_range(options, n)
+        self.step = max(1, int(options.get("partition_bytes", PARTITION_BYTES)) // 16)
 
     def partitions(self):
-        step = max(1, self.per_partition)
-        parts = [IndexRange(a, min(a + step, self.hi)) for a in range(self.lo, self.hi, step)]
-        return parts or [IndexRange(self.lo, self.lo)]
+        return _ranges(self.lo, self.hi, self.step)
 
     def read(self, partition: IndexRange):
         import numpy as np
         import pyarrow as pa
 
-        with open(self.path, "rb") as fh:
-            fh.seek(self.offset + partition.lo * self.dtype.itemsize)
-            vals = np.fromfile(fh, dtype=self.dtype, count=partition.hi - partition.lo)
+        files, inner = open_fs(self.path)
+        n = partition.hi - partition.lo
+        with files.open_input_file(inner) as file:
+            raw = file.read_at(n * self.dtype.itemsize, self.offset + partition.lo * self.dtype.itemsize)
+        values = np.frombuffer(raw, self.dtype).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(partition.lo, partition.hi, dtype=np.int64)), pa.array(vals.astype(np.int32))],
+            [pa.array(np.arange(partition.lo, partition.hi, dtype=np.int64)), pa.array(values)],
             names=["global_index", self.column])
 
 
 class FlagVectorSource(DataSource):
-    """``spark.read.format("flagvector").option("column", "missing").load(path)``."""
+    """``spark.read.format("flagvector").option("column", "missing").load(path)``:
+    a 1-D int vector (``.npy`` or raw ``dtype``) by position; ``start``/``end``."""
 
     @classmethod
     def name(cls):
@@ -176,24 +187,26 @@ class FlagVectorSource(DataSource):
         return f"global_index bigint, {self.options.get('column', 'flag')} int"
 
     def reader(self, schema):
-        return _FlagReader(self.options)
+        return _FlagReader(dict(self.options))
 
 
-def register(spark: SparkSession) -> None:
-    """Registers both sources and turns on Python filter pushdown."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(BinaryCubeSource)
-    spark.dataSource.register(FlagVectorSource)
+def _load(spark: SparkSession, source: type[DataSource], path: str, options: dict) -> DataFrame:
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name())
+    for key, value in options.items():
+        if value is not None:
+            reader = reader.option(key, str(value))
+    return reader.load(path)
 
 
-def read_binary_cube(spark: SparkSession, path: str, n_config: int, measures=MEASURES,
-                     points_per_partition: int = 4096) -> DataFrame:
-    register(spark)
-    return (spark.read.format("errorcube").option("n_config", n_config)
-            .option("measures", ",".join(measures))
-            .option("points_per_partition", points_per_partition).load(path))
+def read_binary_cube(spark: SparkSession, path: str, n_config: int, measures: Sequence[str] | None = None,
+                     layout: Sequence[str] = MEASURES, start: int | None = None, end: int | None = None,
+                     partition_bytes: int | None = None) -> DataFrame:
+    return _load(spark, BinaryCubeSource, path, {
+        "n_config": n_config, "layout": ",".join(layout), "start": start, "end": end,
+        "measures": None if measures is None else ",".join(measures), "partition_bytes": partition_bytes})
 
 
-def read_flags(spark: SparkSession, path: str, column: str = "flag", dtype: str = "int32") -> DataFrame:
-    register(spark)
-    return spark.read.format("flagvector").option("column", column).option("dtype", dtype).load(path)
+def read_flags(spark: SparkSession, path: str, column: str = "flag", dtype: str = "int32",
+               start: int | None = None, end: int | None = None) -> DataFrame:
+    return _load(spark, FlagVectorSource, path, {"column": column, "dtype": dtype, "start": start, "end": end})

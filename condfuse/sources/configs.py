@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.model import K_LEVEL1, SEARCH_STEP_LENGTHS, WINDOW_SIZES
+from condfuse.model import K_LEVEL1, SEARCH_STEP_LENGTHS, WINDOW_SIZES, ProtocolError
 
 DEFAULT_AXES: tuple[tuple[str, Sequence[int]], ...] = (
     ("search_step_length", SEARCH_STEP_LENGTHS),
@@ -36,7 +36,12 @@ def config_grid(spark: SparkSession, axes=DEFAULT_AXES) -> DataFrame:
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Config dimension from Parquet, one row per ``config_index``; repeated
+    indexes are an error, as each would repeat the weights it describes."""
+    df = spark.read.parquet(path)
+    if df.groupBy("config_index").count().filter("count > 1").limit(1).count():
+        raise ProtocolError(f"{path} repeats config indexes")
+    return df
 
 
 # Anomaly-detection scenarios of the protocol, keyed by method id:

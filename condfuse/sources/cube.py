@@ -32,15 +32,23 @@ def read_cube(spark: SparkSession, path: str, measures: Sequence[str] = MEASURES
     return df.select("global_index", *measures)
 
 
-def write_cube(cube: DataFrame, path: str, measures: Sequence[str] = MEASURES,
+def bucket_count(n_points: int, n_config: int, n_measures: int = len(MEASURES), bucket_bytes: int = 256 << 20) -> int:
+    """Buckets of about ``bucket_bytes`` each. The join with the point table
+    builds a hash map of one bucket's points (a few dozen bytes per 10 KB of
+    cube row), so this also bounds its memory."""
+    return max(1, -(-n_points * n_config * n_measures * 4 // bucket_bytes))
+
+
+def write_cube(cube: DataFrame, path: str | None = None, measures: Sequence[str] = MEASURES,
                files: int | None = None, table: str | None = None, buckets: int | None = None) -> None:
     """Writes an array-form cube.
 
-    Rows are range-partitioned and sorted on ``global_index`` so each file
-    covers one index range; Parquet min/max statistics then prune row groups
-    for index filters (point lookups, trims). With ``table`` and ``buckets``
-    the cube is saved as a bucketed table instead: joins with a points table
-    on ``global_index`` then shuffle only the points side, never the cube.
+    ``table`` and ``buckets`` (see ``bucket_count``) save it as a table
+    bucketed by ``global_index``: the layout to use, as ranking and testing
+    then read the cube in place and shuffle only the points. With ``path``
+    alone it becomes a plain Parquet folder: rows are range-partitioned and
+    sorted on ``global_index``, so min/max statistics prune row groups for
+    index filters, but a join with points shuffles the cube.
     """
     out = cube.select("global_index", *measures)
     if table is not None:
@@ -48,9 +56,13 @@ def write_cube(cube: DataFrame, path: str, measures: Sequence[str] = MEASURES,
             raise ValueError("a bucketed cube table needs a bucket count")
         # hash-partition by the bucket key first: each task then writes one
         # file per bucket instead of a file into every bucket
-        (out.repartition(buckets, "global_index").write.mode("overwrite").format("parquet").option("path", path)
-            .bucketBy(buckets, "global_index").sortBy("global_index").saveAsTable(table))
+        w = out.repartition(buckets, "global_index").write.mode("overwrite").format("parquet")
+        if path is not None:
+            w = w.option("path", path)
+        w.bucketBy(buckets, "global_index").sortBy("global_index").saveAsTable(table)
         return
+    if path is None:
+        raise ValueError("a path or a table name is needed")
     if files:
         out = out.repartitionByRange(files, "global_index")
     out.sortWithinPartitions("global_index").write.mode("overwrite").parquet(path)

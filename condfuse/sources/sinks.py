@@ -1,60 +1,98 @@
-"""Sinks: read-through cache of score sums, report writers.
+"""Sinks: written score sums with a read-through cache, report writers.
 
-Paths are folders on the cluster's shared storage (for example under the
-session's checkpoint folder); nothing is written to executor-local disks.
+Paths are folders on the cluster's shared storage; nothing is written to
+executor-local disks.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import json
+import re
+import uuid
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from condfuse.model import ProtocolError
+from condfuse.session import shared_dir
 
-def cache_key(params: dict, *inputs: DataFrame) -> str:
-    """Folder name for cached sums: the run parameters (fold count, scenario,
-    order, trial limit, ...) plus a fingerprint of the input plans, so a trial
-    run or a changed input never reads another run's sums."""
-    fp = [str(df.semanticHash()) for df in inputs]
-    raw = json.dumps({"params": params, "inputs": fp}, sort_keys=True, default=str)
-    return hashlib.sha1(raw.encode()).hexdigest()[:20]
 
+def _file_state(spark: SparkSession, files: Sequence[str]) -> str:
+    """Count, sizes, times and names of files as one short text, added up by
+    Spark; file contents are not read."""
+    if not files:
+        return "none"
+    info = spark.read.format("binaryFile").load(list(files)).select("path", "modificationTime", "length")
+    r = info.agg(F.count(F.lit(1)), F.sum("length"),
+                 F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return ":".join(str(x) for x in r)
 
-def materialize_scores(spark: SparkSession, base: str, params: dict, build: Callable[[], DataFrame],
-                       inputs: Sequence[DataFrame] = (), partition_cols: Sequence[str] = ()) -> DataFrame:
-    """Read-through cache: reads ``base/<key>`` if it exists, else builds the
-    (small) score table, writes it there as Parquet and reads it back.
-    Reading back also cuts the lineage, so later stages do not depend on
-    recomputing the ranking pass after an executor loss."""
-    path = f"{base.rstrip('/')}/{cache_key(params, *inputs)}"
+
+def _plan_text(df: DataFrame) -> str:
+    """The plan of ``df`` as text without the numbers that differ from run to run."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("simple")
+    return re.sub(r"#\d+L?|\[plan_id=\d+\]|\d+(?=\)\s*\*?\()", "", text.getvalue())
+
+
+def cache_key(params: dict, inputs: Sequence[DataFrame], sources: Sequence[str] = ()) -> str:
+    """Folder name for cached sums: the parameters, and for every input its
+    schema, its plan, and the names, sizes and times of the files it reads
+    (``sources`` adds files that Spark does not list itself). Rewritten data
+    at the same path, another filter or another formula change the key."""
+    parts = [[df.schema.simpleString(), _plan_text(df), _file_state(df.sparkSession, df.inputFiles())] for df in inputs]
+    if sources:
+        parts.append(_file_state(inputs[0].sparkSession, sources))
+    raw = json.dumps({"params": params, "inputs": parts}, sort_keys=True, default=str)
+    return hashlib.sha256(raw.encode()).hexdigest()[:24]
+
+
+def materialize(build: Callable[[], DataFrame], cache: str | None = None, params: dict | None = None,
+                inputs: Sequence[DataFrame] = (), sources: Sequence[str] = ()) -> DataFrame:
+    """Writes the (small) table of ``build`` to shared storage and reads it
+    back, which also cuts the lineage: later jobs do not repeat the work
+    behind it, also after an executor loss.
+
+    With ``cache`` the table is looked up first. It is written to a fresh
+    folder, and only then named in the one-row ``current`` table of its key;
+    a folder that no ``current`` names (a job that failed half-way) is never
+    read.
+    """
+    if cache is None:
+        df = build()
+        path = f"{shared_dir(df.sparkSession)}/condfuse/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = inputs[0].sparkSession
+    base = f"{cache.rstrip('/')}/{cache_key(params or {}, inputs, sources)}"
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(spark.read.parquet(f"{base}/current").first()["path"])
     except AnalysisException:
         pass
-    w = build().write.mode("overwrite")
-    if partition_cols:
-        w = w.partitionBy(*partition_cols)
-    w.parquet(path)
+    path = f"{base}/{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{base}/current")
     return spark.read.parquet(path)
 
 
-def run_name(params: Sequence[int | str], started: str | None = None) -> str:
-    """Folder name of one run's outputs: ``started_<yyyyMMdd_HHmmss>_param_<p1_p2_...>``
-    (UTC start stamp plus the run parameters joined with ``_``)."""
-    import datetime
-
-    stamp = started or datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    return f"started_{stamp}_param_{'_'.join(str(p) for p in params)}"
+def run_name(params: Sequence[int | float | str], started: datetime | None = None) -> str:
+    """Folder name of one run's outputs: parameters and UTC start time."""
+    when = (started or datetime.now(timezone.utc)).strftime("%Y%m%dT%H%M%SZ")
+    return f"run-{'-'.join(str(p) for p in params)}-{when}"
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
-    """Writes a report table as Parquet or CSV (with header). Reports are
-    small; ``single_file`` coalesces them into one file."""
-    out = df.coalesce(1) if single_file else df
-    w = out.write.mode("overwrite")
+    """Writes a table as Parquet or CSV (with header). ``single_file`` moves
+    the rows of a small report to one file by a shuffle, so the work behind
+    it keeps its parallelism."""
+    w = (df.repartition(1) if single_file else df).write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     elif fmt == "parquet":
@@ -63,7 +101,10 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", single_file: bo
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def report_csv(df: DataFrame, order_by: Sequence[str] = ()) -> str:
-    """The (small, bounded) report as CSV text, e.g. for a console summary."""
-    pdf = (df.orderBy(*order_by) if order_by else df).toPandas()
+def report_csv(df: DataFrame, order_by: Sequence[str] = (), max_rows: int = 10_000) -> str:
+    """A small report as CSV text, e.g. for the console; an error beyond
+    ``max_rows`` rows instead of an unbounded collect."""
+    pdf = (df.orderBy(*order_by) if order_by else df).limit(max_rows + 1).toPandas()
+    if len(pdf) > max_rows:
+        raise ProtocolError(f"the report has more than {max_rows} rows; write it to a folder instead")
     return pdf.to_csv(index=False)

@@ -6,13 +6,13 @@ from the given tables; their work grows with those tables.
 
 Stand-in A (``embeddings``): 64 values per vector = 8 configs x 8 measures,
 element i is config ``i div 8``, measure ``i mod 8``. Flags: missing where
-``vec_id % 37 = 0``; label 0/1 kept, every other label becomes 3.
+``vec_id % 37 = 0``; label ``label % 2``, so every row is normal or anomalous.
 Days of 50 points, trim below index 8.
 
 Stand-in B (``orders``): 32 configs; the error of measure j, config c is
 ``((key*(c+7)*(j+3)) % 1009)/1009 + 0.01*bias``, bias = 31-c for status F
-(anomalous, label 1) and c otherwise (O -> label 0, P -> 3). No missing
-points, no day structure, trim below key 40.
+(anomalous, label 1) and c otherwise (label 0). No missing points, no day
+structure; every order is ranked and tested.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ A_PER_DAY = 50
 A_TRIM = 8
 A_MISSING_MOD = 37
 B_CONFIGS = 32
-B_TRIM = 40
 B_MOD = 1009
 
 by_value(__import__(__name__, fromlist=["_"]))
@@ -61,7 +60,7 @@ def a_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("vec_id").alias("global_index"),
         F.when(F.col("vec_id") % A_MISSING_MOD == 0, 1).otherwise(0).cast("int").alias("missing"),
-        F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(3).cast("int").alias("label"))
+        (F.col("label") % 2).cast("int").alias("label"))
 
 
 def a_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -129,10 +128,10 @@ def b_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES) -> DataFrame:
     """The orders file is a single row group; its two narrow columns are
     hash-distributed by key before the arrays are built, so building and
-    ranking run in parallel (and a later join on the key finds the cube
-    already partitioned by it). The partition count is explicit: the key
-    rows are narrow, and adaptive execution would otherwise merge them into
-    one task, sizing by bytes what is really compute-heavy."""
+    ranking run in parallel. The partition count is explicit: the key rows
+    are narrow, and adaptive execution would otherwise merge them into one
+    task, sizing by bytes what is really compute-heavy. A join with points
+    shuffles the built rows; a stored cube should be a bucketed table."""
     return b_cube_from(b_orders(spark, sf_dir), measures)
 
 
@@ -143,14 +142,14 @@ def b_cube_wide(spark: SparkSession, sf_dir: str, n_config: int, measures: Seque
 
 
 def b_label(status: Column) -> Column:
-    return F.when(status == "F", 1).when(status == "O", 0).otherwise(3).cast("int")
+    return F.when(status == "F", 1).otherwise(0).cast("int")
 
 
 def b_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = b_orders(spark, sf_dir)
     flags = o.select(F.col("o_orderkey").alias("global_index"), F.lit(0).alias("missing"),
                      b_label(F.col("o_orderstatus")).alias("label"))
-    return prepare_points(flags, B_TRIM)
+    return prepare_points(flags, 0)
 
 
 # Anomaly definitions of the stand-in B scenario sweep
@@ -162,7 +161,7 @@ def b_scenario_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked point tables of the three stand-in B scenarios: anomalous =
     status F / status P / priority starting with '1'; every other order is
     normal (label 0)."""
-    o = b_orders(spark, sf_dir).filter(F.col("o_orderkey") >= B_TRIM)
+    o = b_orders(spark, sf_dir)
     flags = F.array(
         F.struct(F.lit(1).alias("scenario"), (F.col("o_orderstatus") == "F").alias("a")),
         F.struct(F.lit(2).alias("scenario"), (F.col("o_orderstatus") == "P").alias("a")),
@@ -171,3 +170,8 @@ def b_scenario_points(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("s.scenario").alias("scenario"), "global_index",
                     F.when(F.col("s.a"), 1).otherwise(0).cast("int").alias("label"),
                     F.lit(0).alias("missing")))
+
+
+def b_cube_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second stand-in cube over the same orders: configs in reverse order."""
+    return b_cube(spark, sf_dir).select("global_index", *[F.reverse(m).alias(m) for m in MEASURES])

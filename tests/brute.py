@@ -42,17 +42,16 @@ def weights(sums: np.ndarray, k_keep: int | None, min_zero: bool = True):
 
 
 def evaluate(errors: dict[int, np.ndarray], labels: dict[int, int], missing: dict[int, int], fold: dict[int, int],
-             k: int, k_keep, align: str = "config", order: str = "raw", limit: int | None = None,
-             test_limit: int | None = None):
+             k: int, k_keep, align: str = "config", order: str = "raw"):
     """errors: gi -> (configs, measures). Returns {(fold, gi, kind): weighted errors array}."""
-    usable = [g for g in errors if labels[g] in (0, 1) and missing[g] == 0]
+    usable = [g for g in errors if labels[g] in (0, 1) and missing[g] != 1]
     sc = {g: np.stack([ranks(errors[g][:, m][None, :], order)[0] for m in range(errors[g].shape[1])], axis=1)
           for g in usable}
     out = {}
     for f in range(1, k + 1):
         wts = {}
         for lab in (0, 1):
-            tr = sorted(g for g in usable if fold[g] != f and labels[g] == lab)[:limit]
+            tr = [g for g in usable if fold[g] != f and labels[g] == lab]
             if tr:
                 wts[lab] = sum(sc[g] for g in tr)
         if not wts:
@@ -60,11 +59,8 @@ def evaluate(errors: dict[int, np.ndarray], labels: dict[int, int], missing: dic
         merged = sum(wts.values())
         fitted = {lab: weights(s, k_keep) for lab, s in wts.items()}
         fitted["merged"] = weights(merged, k_keep)
-        tested = set()
-        for lab in (0, 1):
-            tested.update(sorted(g for g in usable if fold[g] == f and labels[g] == lab)[:test_limit])
         for g in usable:
-            if g not in tested:
+            if fold[g] != f:
                 continue
             for kind, key in (("own", labels[g]), ("merged", "merged")):
                 if key not in fitted:
@@ -79,3 +75,19 @@ def evaluate(errors: dict[int, np.ndarray], labels: dict[int, int], missing: dic
                 prod = w * e
                 out[(f, g, kind)] = np.where(np.isnan(prod), 0.0, prod).sum(axis=0)
     return out
+
+
+def report(weighted: dict, labels: dict[int, int], k: int):
+    """Rows {(fold, state): (n, avg, std, mae)} of the seven states from ``evaluate`` output."""
+    parts = {"labelled_aware": [("own", 1)], "non_labelled_aware": [("own", 0)], "both_aware": [("own", 1), ("own", 0)],
+             "labelled_unaware": [("merged", 1)], "non_labelled_unaware": [("merged", 0)],
+             "both_unaware": [("merged", 1), ("merged", 0)], "mixed": [("own", 1), ("merged", 0)]}
+    out = {}
+    for f in range(1, k + 1):
+        for state, groups in parts.items():
+            rows = [v for (ff, g, kind), v in weighted.items() if ff == f and (kind, labels[g]) in groups]
+            if rows:
+                x = np.stack(rows)
+                std = x.std(axis=0, ddof=1) if len(x) > 1 else np.full(x.shape[1], np.nan)
+                out[(f, state)] = (len(x), x.mean(axis=0), std, np.abs(x).mean(axis=0))
+    return out

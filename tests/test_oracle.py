@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from condfuse.plans.oracle import oracle_sql
+from condfuse.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, duck
 
-NAMES = list(E.queries())
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +17,13 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(oracle_sql()) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF_SMALL)
+    r = compare(spark, con, name, QUERIES[name], oracle_sql()[name], SF_SMALL)
     assert r["cols"], (r["s_cols"], r["d_cols"])
     assert r["rows"][0] == r["rows"][1]
     assert r["values"]

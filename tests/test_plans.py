@@ -5,11 +5,10 @@ import os
 from pyspark.sql import functions as F
 
 from condfuse.model import Protocol
-from condfuse.operators import evaluate as ev
 from condfuse.operators import folds as fo
-from condfuse.operators import points as po
+from condfuse.operators import scoring as sc
 from condfuse.plans import protocol as pr
-from condfuse.session import checkpoint_dir
+from condfuse.session import shared_dir
 from condfuse.sources import cube as cu
 from condfuse.sources import standins as st
 from tests.conftest import SF_SMALL
@@ -20,39 +19,64 @@ def _plan(df) -> str:
 
 
 def _parquet_cube(spark):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/plans-cube-{os.getpid()}"
+    path = f"{shared_dir(spark)}/plans-cube-{os.getpid()}"
     cu.write_cube(st.b_cube(spark, SF_SMALL), path)
     return path
 
 
-def test_single_run_ranks_once_and_never_broadcasts_the_cube(spark):
+def _above(plan: str, scan: str) -> list[str]:
+    """Operators between each scan of ``scan`` and the next join above it."""
+    lines = plan.splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if "FileScan parquet" in line and scan in line:
+            above = []
+            for up in reversed(lines[:i]):
+                if "Join" in up:
+                    break
+                above.append(up.strip())
+            out.append(" ".join(above))
+    return out
+
+
+def test_stored_cube_is_never_shuffled_or_broadcast(spark):
+    """Both passes of evaluate and sweep read a bucketed cube in place."""
+    table = "plans_bucketed"
+    cu.write_cube(st.b_cube(spark, SF_SMALL), table=table, buckets=4)
+    try:
+        cube = cu.read_cube(spark, table)
+        pts = fo.stratified_folds(st.b_points(spark, SF_SMALL), 3, 42)
+        p = Protocol(folds=3, seed=42)
+        plans = [_plan(sc.fold_sums(cube, pts)), _plan(pr.evaluate(cube, pts, p)),
+                 _plan(pr.sweep(cube, st.b_scenario_points(spark, SF_SMALL), [1, 2], [2, 3], ["Top3"], p))]
+        for plan in plans:
+            assert plan.count("MapInArrow") == 1
+            assert "ShuffledHashJoin" in plan
+            found = _above(plan, table)
+            assert found and not any("Exchange" in up for up in found), plan
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_test_pass_has_no_point_level_states(spark):
+    """No generator above the test pass but on the merged moments, and no array lambdas."""
     path = _parquet_cube(spark)
     pts = fo.stratified_folds(st.b_points(spark, SF_SMALL), 3, 42)
     plan = _plan(pr.evaluate(cu.read_cube(spark, path), pts, Protocol(folds=3, seed=42)))
-    assert plan.count("MapInArrow") == 1, plan
-    lines = plan.splitlines()
-    for i, line in enumerate(lines):
-        if "FileScan parquet" in line and "plans-cube" in line:
-            above = "\n".join(lines[max(0, i - 3):i])
-            assert "BroadcastExchange" not in above, above
-    assert "ShuffledHashJoin" in plan
+    assert "lambda" not in plan and "ArrowEvalPython" not in plan
+    body = plan[:plan.index("MapInArrow")]
+    assert body.index("Generate") < body.rindex("Aggregate")  # states come after the first merge of moments
 
 
 def test_measure_subset_prunes_the_cube_scan(spark):
     path = _parquet_cube(spark)
     pts = fo.stratified_folds(st.b_points(spark, SF_SMALL), 3, 42)
     p = Protocol(folds=3, seed=42, measures=("err_flow1", "err_speed8"))
-    plan = _plan(pr.evaluate(cu.read_cube(spark, path, p.measures), pts, p))
+    plan = _plan(sc.fold_sums(cu.read_cube(spark, path), pts, p.measures))
     schemas = [ln[ln.find("ReadSchema"):] for ln in plan.splitlines() if "plans-cube" in ln and "ReadSchema" in ln]
     assert schemas and all("err_flow2" not in sch and "err_flow1" in sch for sch in schemas), schemas
 
 
-def test_trial_limit_is_a_partial_group_limit(spark):
-    pts = fo.stratified_folds(st.a_points(spark, SF_SMALL), 3, 42)
-    plan = _plan(po.limit_points(ev.usable(pts), 5, by=("fold", "label")))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
-
-
 def test_index_filter_reaches_the_parquet_scan(spark):
     path = _parquet_cube(spark)
     plan = _plan(cu.read_cube(spark, path).filter(F.col("global_index").between(100, 199)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from condfuse.llm.common import SPACE, carried, cut, released
 
-PER_TASK = 256  # later documents that one copy of an earlier document meets
+PER_TASK = 64  # later documents that one copy of an earlier document meets
 
 
 def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:

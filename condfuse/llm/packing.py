@@ -37,14 +37,16 @@ def _coder(name: str):
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        full.encode_special_tokens = True
+        slow: list[Tokenizer] = []
 
         def encode(text: str) -> list[int]:
             try:
                 return fast.encode_ordinary(text)
             except Exception:  # noqa: BLE001  the pattern engine gives up on very long runs
-                return full.encode(text, add_special_tokens=False).ids
+                if not slow:
+                    slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+                    slow[0].encode_special_tokens = True
+                return slow[0].encode(text, add_special_tokens=False).ids
 
         _coders[name] = encode
     return _coders[name]

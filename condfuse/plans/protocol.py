@@ -6,9 +6,10 @@ top-k weights -> test pass over the cube (own + merged weights per point,
 moments per task) -> seven report states -> AVG/STD/MAE per fold -> fold
 average.
 
-The ranking pass is a job of its own: its sums are written to shared storage
-(and found there again by a later run with the same inputs, if a cache folder
-is given), their point counts are checked against the point table, and the
+The point table with its folds is written once and read by all passes. The
+ranking pass is a job of its own: its sums are written to shared storage (and
+found there again by a later run with the same inputs, if a cache folder is
+given), their point counts are checked against the point table, and the
 weight vectors, whose size follows from the parameters, are collected from
 them. The test pass then is one lazy plan. A cube in a bucketed table is read
 in place by both passes; only the narrow point table is shuffled.
@@ -37,61 +38,68 @@ def with_folds(points: DataFrame, p: Protocol) -> DataFrame:
 
 
 def score_sums(cube: DataFrame, points: DataFrame, p: Protocol, run_cols: Sequence[str] = (),
-               cache: str | None = None, sources: Sequence[str] = (), engine: str = "arrow") -> DataFrame:
+               cache: str | None = None, sources: Sequence[str] = (), engine: str = "arrow",
+               written: DataFrame | None = None) -> DataFrame:
     """Score sums per (run..., fold, label, config) as a written table, checked
     for coverage: ``ProtocolError`` unless every usable point has exactly one
     cube row. With ``cache`` (a folder) sums of the same parameters and data
     are read instead of computed; ``sources`` are further files whose change
     must miss the cache (inputs that Spark does not read itself). Neither the
-    top-k mode nor the alignment is part of the key."""
+    top-k mode nor the alignment is part of the key. ``written`` is a written
+    copy of ``points`` to read instead of them."""
+    pts = points if written is None else written
     params = {"order": p.order, "measures": list(p.measures), "runs": list(run_cols)}
-    sums = materialize(lambda: fold_sums(cube, points, p.measures, p.order, run_cols, engine), cache, params,
+    sums = materialize(lambda: fold_sums(cube, pts, p.measures, p.order, run_cols, engine), cache, params,
                        (cube, points), sources)
-    check_coverage(sums, points, run_cols)
+    check_coverage(sums, pts, run_cols)
     return sums
 
 
-def _train(cube, points, p, cache, sources, engine) -> DataFrame:
-    return train_sums(score_sums(cube, points, p, (), cache, sources, engine), p.folds, p.measures)
+def weights_of(sums: DataFrame, p: Protocol) -> DataFrame:
+    """Weights per (fold, state, config_index) from the score sums of one run."""
+    return make_weights(train_sums(sums, p.folds, p.measures), p.measures, p.mode, p.fraction, p.min_zero)
 
 
 def fit_weights(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
                 cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
     """Weights per (fold, state, config_index) for the training set of every fold."""
-    tr = _train(cube, with_folds(points, p), p, cache, sources, engine)
-    return make_weights(tr, p.measures, p.mode, p.fraction, p.min_zero)
+    return weights_of(score_sums(cube, with_folds(points, p), p, (), cache, sources, engine), p)
 
 
 def _n_config(table: DataFrame) -> int:
     return (table.agg(F.max("config_index")).first()[0] or 0) + 1
 
 
-def test_inputs(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol) -> tuple[DataFrame, dict]:
+def test_inputs(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol,
+                n_config: int | None = None) -> tuple[DataFrame, dict]:
     """Cube rows with memberships, and the weight vectors, for a test pass."""
     warr = weight_arrays(weights, p.measures, ("fold", "state"), p.align)
-    table = collect_weights(warr, 3 * p.folds, _n_config(weights), p.measures)
+    table = collect_weights(warr, 3 * p.folds, n_config or _n_config(weights), p.measures)
     return scoring_rows(cube, with_folds(points, p)), table
 
 
+def _fit_and_test(cube, points, p, engine, cache, sources) -> tuple[DataFrame, dict]:
+    folded = with_folds(points, p)
+    pts = materialize(lambda: folded)  # read by the ranking pass, the coverage check and the test pass
+    sums = score_sums(cube, folded, p, (), cache, sources, engine, pts)
+    return test_inputs(cube, pts, weights_of(sums, p), p, _n_config(sums))
+
+
 def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol()) -> DataFrame:
     """Weighted errors of every test point: ``(global_index, fold, label, kind, weighted_err_*)``."""
-    keyed, table = test_inputs(cube, points, weights, p)
-    return weighted_errors(keyed, table, p.measures)
+    return weighted_errors(*test_inputs(cube, points, weights, p), p.measures)
 
 
 def predictions(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
                 cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
     """Weights of every training set, applied to its test points (one row per point and kind)."""
-    pts = with_folds(points, p)
-    return apply_weights(cube, pts, fit_weights(cube, pts, p, engine, cache, sources), p)
+    return weighted_errors(*_fit_and_test(cube, points, p, engine, cache, sources), p.measures)
 
 
 def moments(cube: DataFrame, points: DataFrame, p: Protocol = Protocol(), engine: str = "arrow",
             cache: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
     """Moments of the weighted errors per (fold, label, kind)."""
-    pts = with_folds(points, p)
-    keyed, table = test_inputs(cube, pts, fit_weights(cube, pts, p, engine, cache, sources), p)
-    return error_moments(keyed, table, p.measures)
+    return error_moments(*_fit_and_test(cube, points, p, engine, cache, sources), p.measures)
 
 
 def metrics_of(moments: DataFrame, p: Protocol, wide: bool = False) -> DataFrame:
@@ -155,8 +163,9 @@ def _sweep_cube(cube, scenario_points, ids, fold_counts, modes, p, fraction, eng
     # one point copy per fold count (a generator over a literal list, no join)
     pts = scenario_points.filter(F.col("scenario").isin(ids))
     pts = pts.select("*", F.explode(F.array(*[F.lit(k) for k in fold_counts])).alias("cv_fold_nr"))
-    pts = stratified_folds(pts, F.col("cv_fold_nr"), p.seed, group_cols=runs)
-    sums = score_sums(cube, pts, p, runs, cache, sources, engine)
+    folded = stratified_folds(pts, F.col("cv_fold_nr"), p.seed, group_cols=runs)
+    pts = materialize(lambda: folded)
+    sums = score_sums(cube, folded, p, runs, cache, sources, engine, pts)
     run_table = cube.sparkSession.createDataFrame([(s, k) for s in ids for k in fold_counts],
                                                   "scenario int, cv_fold_nr int")
     tr = train_sums(sums, run_table, p.measures, run_cols=runs)

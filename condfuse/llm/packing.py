@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from condfuse.llm.common import bucketed_rank, cut
 
 PIECE = 1 << 18  # characters tokenised at once
-PER_TASK = 20_000  # rows of one size ranked in one task
+PER_TASK = 500  # rows of one size ranked in one task
 #: A blank between two ASCII letters begins a new word in any case, so a text may be cut before it.
 _CUT = re.compile(r"[A-Za-z](?= [A-Za-z])")
 _coders: dict[str, object] = {}

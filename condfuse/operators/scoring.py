@@ -216,6 +216,14 @@ def membership_sums(keyed: DataFrame, key_col: str = "keys", measures: Sequence[
             .agg(F.sum("n_points").alias("n_points"), *[F.sum(s).alias(s) for s in scores]))
 
 
+def index_range(cube: DataFrame, points: DataFrame) -> DataFrame:
+    """Cube rows between the first and the last usable point (one small
+    aggregate over the narrow point table). The bounds reach the scan, so
+    trimmed days are neither read nor shuffled."""
+    r = usable(points).agg(F.min("global_index").alias("lo"), F.max("global_index").alias("hi")).first()
+    return cube.filter(F.col("global_index").between(r["lo"], r["hi"])) if r["lo"] is not None else cube.limit(0)
+
+
 def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """Cube rows of the points that enter scoring (label 0/1, not missing),
     each with its memberships ``keys = [(run..., fold, label)]``.

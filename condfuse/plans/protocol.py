@@ -28,7 +28,7 @@ from condfuse.model import MAX_FOLDS, MIN_FOLDS, Protocol, ProtocolError, top_k,
 from condfuse.operators.evaluate import collect_weights, error_moments, report_states, weighted_errors
 from condfuse.operators.folds import stratified_folds
 from condfuse.operators.metrics import error_metrics, fold_average, metrics_long
-from condfuse.operators.scoring import check_coverage, fold_sums, scoring_rows, train_sums
+from condfuse.operators.scoring import check_coverage, fold_sums, index_range, scoring_rows, train_sums
 from condfuse.operators.weights import make_weights, weight_arrays
 from condfuse.sources.sinks import materialize
 
@@ -48,8 +48,9 @@ def score_sums(cube: DataFrame, points: DataFrame, p: Protocol, run_cols: Sequen
     top-k mode nor the alignment is part of the key. ``written`` is a written
     copy of ``points`` to read instead of them."""
     pts = points if written is None else written
+    rows = index_range(cube, pts)
     params = {"order": p.order, "measures": list(p.measures), "runs": list(run_cols)}
-    sums = materialize(lambda: fold_sums(cube, pts, p.measures, p.order, run_cols, engine), cache, params,
+    sums = materialize(lambda: fold_sums(rows, pts, p.measures, p.order, run_cols, engine), cache, params,
                        (cube, points), sources)
     check_coverage(sums, pts, run_cols)
     return sums
@@ -82,7 +83,7 @@ def _fit_and_test(cube, points, p, engine, cache, sources) -> tuple[DataFrame, d
     folded = with_folds(points, p)
     pts = materialize(lambda: folded)  # read by the ranking pass, the coverage check and the test pass
     sums = score_sums(cube, folded, p, (), cache, sources, engine, pts)
-    return test_inputs(cube, pts, weights_of(sums, p), p, _n_config(sums))
+    return test_inputs(index_range(cube, pts), pts, weights_of(sums, p), p, _n_config(sums))
 
 
 def apply_weights(cube: DataFrame, points: DataFrame, weights: DataFrame, p: Protocol = Protocol()) -> DataFrame:
@@ -175,7 +176,7 @@ def _sweep_cube(cube, scenario_points, ids, fold_counts, modes, p, fraction, eng
     warr = weight_arrays(make_weights(tr, p.measures, F.col("mode"), fraction, p.min_zero, keys=keys),
                          p.measures, keys, p.align)
     table = collect_weights(warr, 3 * len(ids) * len(modes) * sum(fold_counts), _n_config(sums), p.measures, runs, ("mode",))
-    mom = error_moments(scoring_rows(cube, pts, runs), table, p.measures, runs, ("mode",))
+    mom = error_moments(scoring_rows(index_range(cube, pts), pts, runs), table, p.measures, runs, ("mode",))
     met = error_metrics(report_states(mom, p.measures, (*runs, "mode", "fold")), p.measures,
                         keys=(*runs, "mode", "fold", "label_state"))
     long = metrics_long(met, p.measures, None, keys=("scenario", "mode"))

@@ -81,3 +81,10 @@ def test_index_filter_reaches_the_parquet_scan(spark):
     path = _parquet_cube(spark)
     plan = _plan(cu.read_cube(spark, path).filter(F.col("global_index").between(100, 199)))
     assert "PushedFilters: [IsNotNull(global_index), GreaterThanOrEqual(global_index,100)" in plan, plan
+
+
+def test_trimmed_points_are_not_read_from_the_cube(spark):
+    path = _parquet_cube(spark)
+    pts = fo.stratified_folds(st.b_points(spark, SF_SMALL).filter(F.col("global_index").between(300, 799)), 3, 42)
+    plan = _plan(pr.evaluate(cu.read_cube(spark, path), pts, Protocol(folds=3, seed=42)))
+    assert "GreaterThanOrEqual(global_index,300)" in plan and "LessThanOrEqual(global_index,799)" in plan

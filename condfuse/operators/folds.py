@@ -40,7 +40,7 @@ def stratified_folds(points: DataFrame, k: int | Column, seed: int = 0, bucket_b
     and fold count in a sweep); ``k`` may then be a column. The bucket table
     has at most (#groups x #labels x 2**bucket_bits) rows and is the only
     broadcast side; its size is bounded by the number of strata, not by the
-    number of points.
+    number of points. Points without a label are a stratum of their own.
     """
     if isinstance(k, int):
         _check_k(k)
@@ -51,12 +51,14 @@ def stratified_folds(points: DataFrame, k: int | Column, seed: int = 0, bucket_b
     keyed = points.withColumns({"_h": h, "_b": F.shiftright(h, shift)})
     counts = keyed.groupBy(*g, "label", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*g).orderBy("label", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, "label", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = [*g, "label", "_b"]
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in same],
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*g, "label", "_b").orderBy("_h", "global_index")
     pos = F.col("_start") + F.row_number().over(inside)
-    return (keyed.join(F.broadcast(offsets), [*g, "label", "_b"])
+    return (keyed.join(F.broadcast(offsets), [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in same])
             .withColumn("fold", (((pos - 1) % k) + 1).cast("int"))
-            .drop("_h", "_b", "_start"))
+            .drop("_h", "_b", "_start", *[f"_o_{c}" for c in same]))
 
 
 def class_fold_check(points: DataFrame, k: int) -> list[str]:

@@ -70,6 +70,13 @@ def test_two_level_folds_equal_simple(spark):
     assert all(r["spread"] <= 1 for r in counts)
 
 
+def test_points_without_label_keep_a_fold(spark):
+    pts = st.b_points(spark, SF_SMALL).withColumn("label", F.when(F.col("global_index") % 4 > 0, F.col("label")))
+    a = fo.stratified_folds(pts, 3, 7)
+    b = stratified_folds_simple(pts, 3, 7)
+    assert a.count() == pts.count() and a.select("global_index", "fold").exceptAll(b.select("global_index", "fold")).count() == 0
+
+
 def test_weights_normalised_and_cut(spark):
     cube, pts = _inputs(spark, SF_MID)
     tr = sc.train_sums(sc.fold_sums(cube, pts), 3)

@@ -90,18 +90,20 @@ def fit(docs: DataFrame, *, sample: int = 2048, landmarks: int = 128, ridge: flo
         return None
     got.sort(key=lambda r: (r["lang"], r["place"]))
     names = sorted({r["lang"] for r in got})
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got]).astype(np.float32)
+    packed = np.stack([np.frombuffer(r["bits"], np.uint8) for r in got])
     y = np.array([[r["lang"] == n for n in names] for r in got], float)
     per = max(1, landmarks // len(names))
-    points = x[[i for i, r in enumerate(got) if r["place"] <= per]]
-    kernel = _kernel(x, points)
+    unpacked = lambda bits: np.unpackbits(bits, axis=1).astype(np.float32)
+    chosen = packed[[i for i, r in enumerate(got) if r["place"] <= per]]
+    points = unpacked(chosen)
+    kernel = np.vstack([_kernel(unpacked(packed[at : at + BLOCK]), points) for at in range(0, len(packed), BLOCK)])
     vals, vecs = np.linalg.eigh(_kernel(points, points).astype(float))
     root = vecs / np.sqrt(np.maximum(vals, 1e-6))
-    phi = np.hstack([kernel @ root, np.ones((len(x), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(packed), 1))])
     even = (1 / (y * y.sum(0)).sum(1))[:, None]  # languages count alike
     penalty = np.diag([ridge / len(names) / 10] * root.shape[1] + [1e-9])
     w = np.linalg.solve(phi.T @ (phi * even) + penalty, phi.T @ (y * even))
-    return {"names": names, "points": np.packbits(points.astype(np.uint8), axis=1), "weights": root @ w[:-1], "bias": w[-1]}
+    return {"names": names, "points": chosen, "weights": root @ w[:-1], "bias": w[-1]}
 
 
 def _kernel(x: np.ndarray, points: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ from condfuse.llm.common import components, cut
 SAMPLE = 512  # vectors that the collision count is calibrated on
 BLOCK = 4096  # rows of one sorted line compared in one task
 PAIRS = 1 << 17  # pairs held at once while counting
+VALUES = 1 << 22  # projections held at once
 
 
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
@@ -23,6 +24,10 @@ def directions(dim: int, count: int, seed: int) -> np.ndarray:
 def lines_of(unit: np.ndarray, lines: np.ndarray, tops: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``tops`` projections of each vector that are largest in size: line numbers (ascending; a direction has a line for either sign) and
     values."""
+    step = max(16, VALUES // lines.shape[1])
+    if len(unit) > step:
+        parts = [lines_of(unit[at : at + step], lines, tops) for at in range(0, len(unit), step)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     value = unit.astype(np.float32) @ lines
     tops = min(tops, lines.shape[1])
     best = np.argpartition(-np.abs(value), tops - 1, axis=1)[:, :tops]
@@ -137,7 +142,7 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, np.ndarray] = {}
-        step = max(16, (1 << 22) // count)
+        step = max(16, VALUES // count)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)

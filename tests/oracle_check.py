@@ -58,10 +58,10 @@ if __name__ == "__main__":
     from condfuse.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(E.queries())
+    qs, sqls = E.queries(), E.oracle_sql()
+    names = sys.argv[2:] or [n for n in qs if n in sqls]
     spark = local_session(8)
     con = duck(sf_dir)
-    qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
     for n in names:
         try:

@@ -18,6 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_of(value) -> str:
+    """The text of a valid Arrow string; bytes that are no UTF-8 become replacement characters."""
+    return value.as_buffer().to_pybytes().decode("utf-8", "replace")
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """``docs`` as one column ``row``, so that no column of it can clash with a name of ours."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

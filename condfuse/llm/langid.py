@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from condfuse.llm.common import text_of
+
 BITS = 14  # n-grams fall into 2**BITS presence slots
 BLOCK = 256  # texts per matrix product
 PIECE = 1 << 20  # characters of a text handled at once
@@ -129,7 +131,7 @@ def identify(docs: DataFrame, model: dict | None = None, *, names: tuple[str, st
                 batch = whole.slice(at, BLOCK)
                 x[:] = 0
                 text = batch.column(batch.schema.get_field_index("text"))
-                known = [t.is_valid and presence(t.as_py(), x[i]) for i, t in enumerate(text)]
+                known = [t.is_valid and presence(text_of(t), x[i]) for i, t in enumerate(text)]
                 if model:
                     values = np.clip(_kernel(x[: len(known)], points) @ model["weights"] + model["bias"], 0, 1)
                     best = values.argmax(1) if len(known) else []

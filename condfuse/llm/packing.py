@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from condfuse.llm.common import bucketed_rank, cut
+from condfuse.llm.common import bucketed_rank, cut, text_of
 
 PIECE = 1 << 18  # characters tokenised at once
 PER_TASK = 500  # rows of one size ranked in one task
@@ -72,7 +72,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_b
         for batch in batches:
             owner, out = [], []
             for i, text in enumerate(batch.column(1)):
-                ids = token_ids(text.as_py(), tokenizer)
+                ids = token_ids(text_of(text), tokenizer)
                 bounds = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     owner.append(i)

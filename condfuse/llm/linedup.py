@@ -71,6 +71,26 @@ def _anchors(a: list[bytes], b: list[bytes], ia: list[int], ib: list[int], words
     return heaviest(pairs)
 
 
+def _grown(a: list[bytes], b: list[bytes], i: int, j: int) -> tuple[int, int]:
+    """The lines of ``b`` around ``j`` that equal those of ``a`` around ``i``."""
+    lo, hi = 0, 1
+    while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
+        lo += 1
+    while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
+        hi += 1
+    return j - lo, j + hi
+
+
+def _merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[list[int]] = []
+    for lo, hi in sorted(blocks):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    return [(lo, hi) for lo, hi in merged]
+
+
 def common_blocks(a: list[bytes], b: list[bytes], words_a: list[int], words_b: list[int], min_words: int) -> list[tuple[int, int]]:
     """Runs of lines of ``b`` (start, end) that stand in ``a`` as well, of ``min_words`` words or more.
 
@@ -85,61 +105,82 @@ def common_blocks(a: list[bytes], b: list[bytes], words_a: list[int], words_b: l
     dead = np.zeros(len(b), bool)
     blocks = []
 
-    def grow(i: int, j: int) -> tuple[int, int]:
-        lo, hi = 0, 1
-        while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
-            lo += 1
-        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-            hi += 1
-        return j - lo, j + hi
-
     while left:
         ia = sorted({i for *_, where in left for lo, hi in where for i in range(lo, hi)})
         ib = sorted({j for lo, hi, _ in left for j in range(lo, hi) if not dead[j]})
         found, upto = [], 0
         for i, j in _anchors(a, b, ia, ib, words_b):
             if j >= upto:
-                lo, upto = grow(i, j)
+                lo, upto = _grown(a, b, i, j)
                 if sum(words_b[lo:upto]) >= min_words:
                     found.append((lo, upto))
         if not any(not dead[lo:hi].all() for lo, hi in found):
-            found = [grow(left[0][2][0][0], left[0][0])]
+            found = [_grown(a, b, left[0][2][0][0], left[0][0])]
         for lo, hi in found:
             dead[lo:hi] = True
         blocks += found
         left = [x for x in left if not dead[x[0] : x[1]].all()]
-    merged: list[list[int]] = []
-    for lo, hi in sorted(blocks):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
-    return [(lo, hi) for lo, hi in merged]
+    return _merged(blocks)
+
+
+def rare_blocks(a: list[bytes], b: list[bytes], words_b: list[int], rare: set[bytes]) -> list[tuple[int, int]]:
+    """Runs of lines of ``b`` (start, end) that stand in ``a`` as well and hold a line of ``rare``, of any length.
+
+    Patience diff over the rare lines chooses the blocks; what it leaves (passages in another order, a
+    line that ``b`` has more often) grows from the copy in ``a`` with the same number, or the last one.
+    """
+    at_a, at_b = defaultdict(list), defaultdict(list)
+    for i, h in enumerate(a):
+        if h in rare:
+            at_a[h].append(i)
+    for j, h in enumerate(b):
+        if h in at_a:
+            at_b[h].append(j)
+    ia, ib = sorted(i for x in at_a.values() for i in x), sorted(j for x in at_b.values() for j in x)
+    rest = [(at_a[h][min(k, len(at_a[h]) - 1)], j) for h, where in at_b.items() for k, j in enumerate(where)]
+    dead = np.zeros(len(b), bool)
+    blocks = []
+    for i, j in [*_anchors(a, b, ia, ib, words_b), *rest]:
+        if not dead[j]:
+            lo, hi = _grown(a, b, i, j)
+            dead[lo:hi] = True
+            blocks.append((lo, hi))
+    return _merged(blocks)
+
+
+def shared_blocks(a: list[bytes], b: list[bytes], words_a: list[int], words_b: list[int], min_words: int, rare: set[bytes]) -> list[tuple[int, int]]:
+    """Blocks of ``b`` to delete: unbroken runs of ``min_words`` words, and blocks around rare lines if all have ``min_words`` together."""
+    blocks = _merged(common_blocks(a, b, words_a, words_b, min_words) + rare_blocks(a, b, words_b, rare))
+    return blocks if sum(sum(words_b[lo:hi]) for lo, hi in blocks) >= min_words else []
+
+
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, th, hashes, words, seeds`` of the documents long enough to have a block."""
+    """``doc_id, th, hashes, words, seeds, lines, long``: runs and lines as keys; ``long`` may lose a block."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, hashes, counts, seeds = [], [], [], []
-            for k, raw in enumerate(batch.column(2)):
+            hashes, counts, seeds, keys, long = [], [], [], [], []
+            for raw in batch.column(2):
                 lines = raw.as_py().split(b"\n")
                 words = [len(x.split()) for x in lines]
-                if sum(words) < min_words:
-                    continue
                 digest = [xxhash.xxh3_128_digest(x) for x in lines]
                 found = {xxhash.xxh3_64_intdigest(b"".join(digest[lo:hi])) - (1 << 63) for lo, hi in spans(words, min_words)}
-                keep.append(k)
                 hashes.append(b"".join(digest))
                 counts.append(np.array(words, "<i4").tobytes())
                 seeds.append(sorted(found))
-            taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], ["doc_id", "th", "hashes", "words", "seeds"])
+                keys.append(sorted({_key(h) for h, w in zip(digest, words, strict=True) if w}))
+                long.append(sum(words) >= min_words)
+            lists = pa.list_(pa.int64())
+            columns = [pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array(seeds, lists), pa.array(keys, lists), pa.array(long, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "th", "hashes", "words", "seeds", "lines", "long"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, th long, hashes binary, words binary, seeds array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, th long, hashes binary, words binary, seeds array<long>, lines array<long>, long boolean")
 
 
 def _align(min_words: int):
@@ -156,7 +197,9 @@ def _align(min_words: int):
                 if row["tag"] == 0:
                     first = hashes, words
                     continue
-                for lo, hi in common_blocks(first[0], hashes, first[1], words, min_words):
+                keys = set(row["rare"])
+                rare = {h for h in hashes if _key(h) in keys} if keys else set()
+                for lo, hi in shared_blocks(first[0], hashes, first[1], words, min_words, rare):
                     out.append((row["doc_id"], row["th"], row["f_id"], lo, hi, sum(words[lo:hi])))
             kinds = [batch.schema.field("doc_id").type, pa.int64(), batch.schema.field("f_id").type, pa.int32(), pa.int32(), pa.int64()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
@@ -165,37 +208,54 @@ def _align(min_words: int):
     return run
 
 
-def common_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def _rare_pairs(facts: DataFrame, rare: int) -> DataFrame:
+    """``doc_id, th, f_id, f_th, line`` for each rare line and each two documents that have it."""
+    held = facts.select("doc_id", "th", "long", "lines")
+    if not facts.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        held = held.dropDuplicates(["doc_id", "th"])  # a repeated row is one holder
+    held = held.select("doc_id", "th", "long", F.explode("lines").alias("line"))
+    few = held.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, rare)).select(F.col("line").alias("_line"))
+    held = held.join(few, F.col("line") == F.col("_line")).groupBy("line").agg(F.collect_list(F.struct("doc_id", "th", "long")).alias("all"))
+    late = held.select("line", "all", F.explode("all").alias("b")).where("b.long")
+    early = late.select("line", "b", F.explode(F.filter("all", lambda f: f["doc_id"] < F.col("b.doc_id"))).alias("f"))
+    return early.select("b.doc_id", "b.th", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"), "line")
+
+
+def common_lines(docs: DataFrame, min_words: int = 50, rare: int = 5) -> DataFrame:
     """The blocks to delete: ``doc_id, th, f_id, lo, hi, n_words``, one row per block and earlier document.
 
-    A run of lines with ``min_words`` words is rare enough to name the documents that share it; its hash
-    is counted with map-side folding, and every later document is paired with the first one (smallest id) that has it.  That is one
-    pair per document and run however many share it, and each run it shares is in the document it is paired with.
+    Documents are paired by two keys.  A line that at most ``rare`` documents have (counted over all of them, with
+    map-side folding) pairs all its holders, so a pair that shares rare lines is never missed.  A run of lines with ``min_words``
+    words, held by any number of documents, pairs every later document with the first one (smallest id) that has it:
+    one pair per document and run, and each run it shares is in the document it is paired with.
     Pairs are folded, then aligned; an early document with many partners goes to several tasks.
     """
     facts = cut(_lines(docs, min_words), "lines")
     seeds = facts.select("doc_id", "th", F.explode("seeds").alias("seed"))
     first = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("seed").alias("_seed"), F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"))
     pairs = seeds.join(first, F.col("seed") == F.col("_seed")).where("doc_id > f_id").select("doc_id", "th", "f_id", "f_th").distinct()
+    pairs = pairs.withColumn("line", F.lit(None).cast("long")).union(_rare_pairs(facts, rare))
+    pairs = pairs.groupBy("doc_id", "th", "f_id", "f_th").agg(F.collect_set("line").alias("rare"))
     pairs = cut(pairs, "line-pairs")
     groups = pairs.groupBy("f_id", "f_th").agg(F.ceil(F.count(F.lit(1)) / F.lit(PER_TASK)).cast("int").alias("nb"))
     known = facts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hashes", "words")
     early = groups.join(known, (F.col("f_id") == F.col("_id")) & (F.col("f_th") == F.col("_th"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    early = early.select("f_id", "f_th", "salt", F.lit(0).alias("tag"), F.col("_id").alias("doc_id"), F.col("_th").alias("th"), "hashes", "words")
+    early = early.select("f_id", "f_th", "salt", F.lit(0).alias("tag"), F.col("_id").alias("doc_id"), F.col("_th").alias("th"), "hashes", "words", F.array().cast("array<long>").alias("rare"))
     g = groups.select(F.col("f_id").alias("g_id"), F.col("f_th").alias("g_th"), "nb")
     late = pairs.join(g, (F.col("f_id") == F.col("g_id")) & (F.col("f_th") == F.col("g_th"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.col("nb")).cast("int"))
-    late = late.join(known, (F.col("doc_id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("f_id", "f_th", "salt", F.lit(1).alias("tag"), "doc_id", "th", "hashes", "words")
+    late = late.join(known, (F.col("doc_id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("f_id", "f_th", "salt", F.lit(1).alias("tag"), "doc_id", "th", "hashes", "words", "rare")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keys = ["f_id", "f_th", "salt"]
     meet = early.union(late).repartition(*keys).sortWithinPartitions(*keys, "tag")
     return meet.mapInArrow(_align(min_words), f"doc_id {id_type}, th long, f_id {id_type}, lo int, hi int, n_words long")
 
 
-def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = 50, rare: int = 5) -> DataFrame:
     """``docs`` with the text less its blocks, and ``n_lines, n_removed, words_removed, found_in``.
 
-    A block is a run of whole lines with ``min_words`` words or more that an earlier document (smaller ``doc_id``) has in
-    the same form; it goes from the later document.  Other lines keep their order; a text that loses every line is empty.
+    A block is a run of whole lines that an earlier document (smaller ``doc_id``) has in the same form and that has
+    ``min_words`` words or more, or a line that at most ``rare`` documents have.  The blocks with rare lines go if all blocks of
+    the two documents have ``min_words`` words together, a long run always; they go from the later document.  Other lines keep their order; a text that loses every line is empty.
     ``found_in`` lists the earlier documents (null where nothing was removed).  The first holder of a block
     always keeps it.
 
@@ -205,7 +265,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     new = ["n_lines", "n_removed", "words_removed", "found_in"]
     docs = docs.drop(*new)
     # blocks of two early documents may overlap; a line is in any of them or in none
-    gone = common_lines(docs, min_words).groupBy("doc_id", "th").agg(
+    gone = common_lines(docs, min_words, rare).groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"), F.array_sort(F.collect_set("f_id")).alias("found_in")
     )
     text = F.col("row.text")

@@ -153,6 +153,25 @@ def test_line_dedup_odd_rows(spark):
     assert linedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rare_lines_broken_up_by_others(spark):
+    """Lines of at most 5 documents count together, in any order; every pair that shares them is met."""
+    a, b, c, d, e = (prose(900 + k, 60).split("\n") for k in range(5))  # five lines of 12 words each
+    mixed = lambda k, lines: "\n".join(x for i, y in enumerate(lines) for x in (y, f"own {k} {i}"))
+    texts = {
+        1: mixed(1, a), 2: mixed(2, a), 3: mixed(3, a[:4]),  # 3 shares 48 words
+        10: mixed(10, b[:2]), 11: mixed(11, b[2:4]), 12: mixed(12, b), 13: mixed(13, b[::-1]),  # 12 is the first holder of b[4] only
+        20: "\n".join([*c, "own 20", *d[:2]]), 21: "\n".join([*d[:2], "own 21", *c]),
+        30: "\n".join(e), **{40 + k: mixed(40 + k, e) for k in range(5)},  # six holders: not rare
+    }
+    rows = [(k, t, "en", "s", 1) for k, t in texts.items()]
+    rows += [rows[1]] * 6  # a repeated row is one holder
+    got = {r.doc_id: (r.text, r.found_in, r.words_removed) for r in linedup.line_dedup(odd_frame(spark, rows)).collect()}
+    own = lambda k, n: "\n".join(f"own {k} {i}" for i in range(n))
+    want = {k: (t, None, 0) for k, t in texts.items()}
+    want[2], want[13], want[21] = (own(2, 5), [1], 60), (own(13, 5), [12], 60), ("own 21", [20], 84)
+    assert got == want
+
+
 # ---------------------------------------------------------------- embeddings
 
 

@@ -25,6 +25,8 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Where compressed data start: gzip, zlib, bzip2, xz.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
 WORDS = tuple(w.encode() for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _CLASS = bytes(97 if c in _ALPHABET else 32 for c in range(256))
@@ -58,55 +60,68 @@ class _Layer:
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
 
-def _text_layer(data: bytes, starts: np.ndarray, ends: np.ndarray) -> _Layer | None:
-    """Bytes with their source spans as a text layer; None where they are no plain text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or any(ord(c) < 32 and c not in "\t\n\r\f\v" for c in set(text)):
-        return None
-    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+def _widths(text: str) -> np.ndarray:
+    """The bytes of each character; a byte that is no UTF-8 stands as one (lone surrogate) character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+
+
+def _by_character(text: str, widths: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> _Layer:
+    first = np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(int)
     return _Layer(text, np.minimum.reduceat(starts, first), np.maximum.reduceat(ends, first))
 
 
-def _replaced(layer: _Layer, pattern: re.Pattern, value) -> _Layer | None:
-    """The layer with every run of matches decoded; unchanged characters keep their spans."""
+def _text_layers(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[_Layer]:
+    """Bytes with their source spans as text, whatever they are, and as UTF-16 where some are zero."""
+    text = data.decode("utf-8", "surrogateescape")
+    yield _Layer(text, starts, ends) if len(text) == len(data) else _by_character(text, _widths(text), starts, ends)
+    if b"\0" in data:
+        for at, kind in ((0, "utf-16-le"), (1, "utf-16-le"), (0, "utf-16-be"), (1, "utf-16-be")):
+            upto = len(data) - (len(data) - at) % 2
+            text = data[at:upto].decode(kind, "replace")
+            if re.search("[ -~]{3}", text):  # no match and no escape is shorter
+                units = 2 + 2 * (np.frombuffer(text.encode("utf-32-le"), "<u4") >= 0x10000)
+                yield _by_character(text, units, starts[at:upto], ends[at:upto])
+
+
+def _replaced(layer: _Layer, pattern: re.Pattern, value) -> tuple[bytes, np.ndarray, np.ndarray] | None:
+    """The bytes of the layer with every run of matches decoded; unchanged characters keep their spans."""
     parts, starts, ends, at = [], [], [], 0
+
+    def unchanged(upto: int) -> None:
+        body = layer.text[at:upto]
+        widths = 1 if body.isascii() else _widths(body)
+        parts.append(body.encode("utf-8", "surrogateescape"))
+        starts.append(np.repeat(layer.starts[at:upto], widths))
+        ends.append(np.repeat(layer.ends[at:upto], widths))
+
     for m in pattern.finditer(layer.text):
         new = value(m)
         if new is None:
             continue
-        parts += [layer.text[at : m.start()].encode(), new]
-        body = layer.text[at : m.start()]
-        widths = [len(c.encode()) for c in body] if not body.isascii() else 1
-        starts += [np.repeat(layer.starts[at : m.start()], widths), np.repeat(layer.starts[m.start()], len(new))]
-        ends += [np.repeat(layer.ends[at : m.start()], widths), np.repeat(layer.ends[m.end() - 1], len(new))]
+        unchanged(m.start())
+        parts.append(new)
+        starts.append(np.repeat(layer.starts[m.start()], len(new)))
+        ends.append(np.repeat(layer.ends[m.end() - 1], len(new)))
         at = m.end()
     if not parts:
         return None
-    tail = layer.text[at:]
-    widths = [len(c.encode()) for c in tail] if not tail.isascii() else 1
-    data = b"".join([*parts, tail.encode()])
-    starts, ends = np.concatenate([*starts, np.repeat(layer.starts[at:], widths)]), np.concatenate([*ends, np.repeat(layer.ends[at:], widths)])
-    # bytes that are no text after decoding stand as single characters
-    text = data.decode("utf-8", "surrogateescape")
-    if any("\udc80" <= c <= "\udcff" for c in set(text)):
-        lens = [1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text]
-        first = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(int)
-        return _Layer("".join("\ufffd" if "\udc80" <= c <= "\udcff" else c for c in text), np.minimum.reduceat(starts, first), np.maximum.reduceat(ends, first))
-    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return _Layer(text, np.minimum.reduceat(starts, first), np.maximum.reduceat(ends, first))
+    unchanged(len(layer.text))
+    return b"".join(parts), np.concatenate(starts), np.concatenate(ends)
 
 
 def _escape(m: re.Match) -> bytes | None:
     digits = next(g for g in m.groups() if g is not None)
     code = int(digits, 10 if m.lastindex == 6 else 16)
-    return chr(code).encode() if code < 0x110000 and not 0xD800 <= code < 0xE000 and (code >= 32 or code in (9, 10, 13)) else None
+    return chr(code).encode() if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """The decompressed bytes, None if the data are not compressed; MemoryError beyond ``most`` bytes."""
+def _escaped_byte(m: re.Match) -> bytes | None:
+    return bytes([int(m[4], 16)]) if m[4] else _escape(m)
+
+
+def _inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
+    """The decompressed bytes and how many bytes they took, None if the data are not compressed; MemoryError beyond ``most`` bytes."""
     if data[:2] == b"\x1f\x8b":
         tool = zlib.decompressobj(31)
     elif data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
@@ -123,7 +138,7 @@ def _inflate(data: bytes, most: int) -> bytes | None:
         return None
     if not tool.eof and len(out) >= most:
         raise MemoryError
-    return out if tool.eof else None
+    return (out, len(data) - len(tool.unused_data)) if tool.eof else None
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -150,12 +165,19 @@ def _from_runs(layer: _Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
 def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
     """Spans found in decoded layers, mapped to the text; the layers scanned; those refused.
 
-    The worklist starts with the text itself.  A layer gives the layers of its URL escapes and of its
-    Unicode escapes (the whole layer, decoded) and of each base64 run (unpacked as long as it is compressed).  A
-    layer seen before from the same place is not taken again, so the list runs dry.
+    The worklist starts with the text itself.  A layer gives the bytes of its URL escapes and of its
+    Unicode escapes (the whole layer, decoded; ``\\x`` above 7F as a character and as a byte) and of each base64 run.
+    Bytes are always scanned and decoded further: as text, where what is no UTF-8 stands as single characters, as UTF-16 where
+    some are zero, and unpacked wherever compressed data start in them.  Bytes or a layer
+    seen before from the same place are not taken again, so the list runs dry.
     """
     base = np.arange(len(text) + 1)
     work, seen, found, layers, held, refused = [_Layer(text, base[:-1], base[1:])], set(), set(), 0, 0, 0
+
+    def new(kind: str, data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
+        key = (kind, hashlib.blake2b(data, digest_size=16).digest(), int(starts.min()), int(ends.max()))
+        return key not in seen and not seen.add(key)
+
     while work:
         layer = work.pop()
         nxt = []
@@ -163,32 +185,35 @@ def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
             nxt.append(_replaced(layer, PERCENT, lambda m: bytes([int(m[0][1:], 16)])))
         if "\\" in layer.text or "&#" in layer.text:
             nxt.append(_replaced(layer, ESCAPE, _escape))
-        for data, starts, ends in _from_runs(layer):
-            was = {data}
-            try:
-                while (more := _inflate(data, LAYER_BYTES - held + 1)) is not None and more not in was:
-                    was.add(more)
-                    data, starts, ends = more, np.full(len(more), starts.min()), np.full(len(more), ends.max())
-            except MemoryError:
-                refused += 1
-                continue
-            if len(data):
-                nxt.append(_text_layer(data, starts, ends))
-        for new in nxt:
-            if new is None or not new.text:
+            if re.search(r"\\x[89A-Fa-f][0-9A-Fa-f]", layer.text):
+                nxt.append(_replaced(layer, ESCAPE, _escaped_byte))
+        nxt += _from_runs(layer)
+        while nxt:
+            piece = nxt.pop()
+            if piece is None or not piece[0] or not new("bytes", *piece):
                 continue
-            key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *new.span(0, len(new.text)))
-            if key in seen:
-                continue
-            if held + len(new.text) > LAYER_BYTES:
-                refused += 1
-                continue
-            seen.add(key)
-            held, layers = held + len(new.text), layers + 1
-            for a, kind, b in scan(new.text):
-                start, end = new.span(a, b)
-                found.add((start, kind, end))
-            work.append(new)
+            data, starts, ends = piece
+            for m in PACKED.finditer(data):
+                at = m.start()
+                try:
+                    more = _inflate(memoryview(data)[at:], LAYER_BYTES - held + 1)
+                except MemoryError:
+                    refused += 1
+                    continue
+                if more is not None and more[0]:
+                    source = slice(at, at + more[1])
+                    nxt.append((more[0], np.full(len(more[0]), starts[source].min()), np.full(len(more[0]), ends[source].max())))
+            for found_layer in _text_layers(data, starts, ends):
+                if not new("text", found_layer.text.encode("utf-8", "surrogateescape"), found_layer.starts, found_layer.ends):
+                    continue
+                if held + len(found_layer.text) > LAYER_BYTES:
+                    refused += 1
+                    continue
+                held, layers = held + len(found_layer.text), layers + 1
+                for a, kind, b in scan(found_layer.text):
+                    start, end = found_layer.span(a, b)
+                    found.add((start, kind, end))
+                work.append(found_layer)
     return found, layers, refused
 
 

@@ -98,6 +98,34 @@ def test_worklist_ends():
     assert one("%ff%fe " + KEY)[0] == [(7, 1, 7 + len(KEY))]
 
 
+def _percent(data):
+    return "".join(f"%{b:02x}" for b in data)
+
+
+@pytest.mark.parametrize("body", [
+    base64.b64encode(b"user\0password=hunter2x\0 " + KEY.encode()).decode(),
+    base64.b64encode(b"\xff\x01 latin \xe9 " + KEY.encode() + b"\xc3").decode(),
+    base64.b64encode(f"x é {KEY} y".encode("utf-16-le")).decode(),
+    base64.b64encode(b"odd" + f"\U0001f600 {KEY} y".encode("utf-16-be")).decode(),
+    base64.b64encode(gzip.compress(b"\xfe " + KEY.encode())).decode(),
+    base64.b64encode(b"head \x80" + gzip.compress(KEY.encode()) + b"tail").decode(),
+    _percent(gzip.compress(KEY.encode())),
+    quote(zlib.compress(KEY.encode() * 3)),
+    _percent(f"x {KEY} y".encode("utf-16-le")),
+    "".join(f"\\x{b:02x}" for b in gzip.compress(KEY.encode())),
+    base64.b64encode(b"\x80\xff" + _percent(KEY.encode()).encode()).decode(),
+])
+def test_layers_that_are_no_plain_text(body):
+    text = f"öö before /path/ {body} after"
+    at = text.index(body)
+    found, layers, refused = one(text)
+    assert layers and not refused
+    spans = [(a, b) for a, k, b in found if k == 1]
+    assert spans and all(at <= a < b <= at + len(body) for a, b in spans)
+    if body == base64.b64encode(b"user\0password=hunter2x\0 " + KEY.encode()).decode():
+        assert (0 in {k for _, k, _ in found})
+
+
 def test_prefilter_loses_nothing():
     for t in TEXTS:
         if brute(t) or secrets.decoded_spans(t)[0]:

@@ -23,14 +23,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs that have the 24 characte
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Stretches on lines that follow each other, each up to a line end and from a line start on.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n|\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Where compressed data start: gzip, zlib, bzip2, xz.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
 WORDS = tuple(w.encode() for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-_CLASS = bytes(97 if c in _ALPHABET else 32 for c in range(256))
-#: Bytes that the layers of one document may hold together; a layer beyond it is counted as refused.
+_CLASS = bytes(97 if c in _ALPHABET else 10 if c in b"\r\n" else 32 for c in range(256))
+#: Bytes that a layer and those it came from may hold together; a layer beyond it is counted as refused.
 LAYER_BYTES = 256 << 20
 
 
@@ -44,7 +46,10 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 def may_hold(raw: bytes) -> bool:
     """Whether a text can have a match or a layer at all: a keyword, an escape or a long run."""
-    if b"%" in raw or b"\\" in raw or b"&#" in raw or raw.translate(_CLASS).find(b"a" * 16) >= 0:
+    if b"%" in raw or b"\\" in raw or b"&#" in raw:
+        return True
+    lines = raw.translate(_CLASS).split(b"\n")
+    if b"".join([x.strip(b" ") for x in lines] if len(lines) > 1 else lines).find(b"a" * 16) >= 0:
         return True
     low = raw.lower()
     return any(w in low for w in WORDS)
@@ -141,25 +146,32 @@ def _inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
     return (out, len(data) - len(tool.unused_data)) if tool.eof else None
 
 
-def _unbase64(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    return base64.b64decode(body + "=" * (-len(body) % 4))
+def _from_runs(layer: _Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Base64 runs of a layer, decoded: the bytes, and the first and last character that each byte came from.
 
+    A run is an unbroken one, or one over several lines, without the line ends.  Each is decoded at the four
+    alignments, so whatever starts inside it, after a prefix or a separator, is in one of them up to the end of
+    the run; what ``/``, ``_`` or ``-`` bound on both sides is also decoded alone.
+    """
 
-def _from_runs(layer: _Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """Base64 runs of a layer, decoded, each byte with its span; a joined run is also tried in parts."""
-    for m in RUN.finditer(layer.text):
-        tries = [(m.start(), m[0])]
-        if re.search("[/_-]", m[0]):
-            tries += [(m.start() + p.start(), p[0]) for p in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", m[0])]
-        for at, run in tries:
-            data = _unbase64(run)
-            if not data:
-                continue
-            k = np.arange(len(data))
-            yield data, layer.starts[at + k * 4 // 3], layer.ends[at + np.minimum((k * 8 + 15) // 6, len(run.rstrip("="))) - 1]
+    def tries() -> Iterator[tuple[str, np.ndarray]]:
+        for m in RUN.finditer(layer.text):
+            body = m[0].rstrip("=")
+            at = np.arange(m.start(), m.start() + len(body))
+            yield from ((body[k:], at[k:]) for k in range(4))
+            if re.search("[/_-]", body):
+                yield from ((p[0], at[p.start() : p.end()]) for p in re.finditer(r"[A-Za-z0-9+]{16,}", body))
+        for m in WRAPPED.finditer(layer.text):
+            body = re.sub(r"[ \t\r\n=]+", "", m[0])
+            if len(body) >= 16:
+                at = m.start() + np.concatenate([np.arange(p.start(), p.end()) for p in re.finditer(r"[^ \t\r\n=]+", m[0])])
+                yield from ((body[k:], at[k:]) for k in range(4))
+
+    for body, at in tries():
+        n = len(body) - (len(body) % 4 == 1)  # the bits of a last single character are no byte
+        data = base64.b64decode(body[:n].replace("-", "+").replace("_", "/") + "=" * (-n % 4))
+        k = np.arange(len(data))
+        yield data, at[k * 4 // 3], at[np.minimum((k * 8 + 15) // 6, n) - 1]
 
 
 def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
@@ -169,51 +181,62 @@ def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
     Unicode escapes (the whole layer, decoded; ``\\x`` above 7F as a character and as a byte) and of each base64 run.
     Bytes are always scanned and decoded further: as text, where what is no UTF-8 stands as single characters, as UTF-16 where
     some are zero, and unpacked wherever compressed data start in them.  Bytes or a layer
-    seen before from the same place are not taken again, so the list runs dry.
+    seen before from the same place are not taken again, so the list runs dry.  What a layer gives is made one
+    by one and followed to its end, so only a layer and those it came from are held.
     """
     base = np.arange(len(text) + 1)
-    work, seen, found, layers, held, refused = [_Layer(text, base[:-1], base[1:])], set(), set(), 0, 0, 0
+    seen, found, layers, held, refused = set(), set(), 0, 0, 0
 
     def new(kind: str, data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
         key = (kind, hashlib.blake2b(data, digest_size=16).digest(), int(starts.min()), int(ends.max()))
         return key not in seen and not seen.add(key)
 
-    while work:
-        layer = work.pop()
-        nxt = []
+    def decoded(layer: _Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray] | None]:
         if "%" in layer.text:
-            nxt.append(_replaced(layer, PERCENT, lambda m: bytes([int(m[0][1:], 16)])))
+            yield _replaced(layer, PERCENT, lambda m: bytes([int(m[0][1:], 16)]))
         if "\\" in layer.text or "&#" in layer.text:
-            nxt.append(_replaced(layer, ESCAPE, _escape))
+            yield _replaced(layer, ESCAPE, _escape)
             if re.search(r"\\x[89A-Fa-f][0-9A-Fa-f]", layer.text):
-                nxt.append(_replaced(layer, ESCAPE, _escaped_byte))
-        nxt += _from_runs(layer)
-        while nxt:
-            piece = nxt.pop()
-            if piece is None or not piece[0] or not new("bytes", *piece):
+                yield _replaced(layer, ESCAPE, _escaped_byte)
+        for data, first, last in _from_runs(layer):
+            yield data, layer.starts[first], layer.ends[last]
+
+    def opened(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[_Layer | tuple[bytes, np.ndarray, np.ndarray]]:
+        nonlocal layers, refused
+        if not (b"\0" in data or PACKED.search(data) or may_hold(data)):
+            layers += 1  # nothing to find and nothing to decode
+            return
+        for m in PACKED.finditer(data):
+            at = m.start()
+            try:
+                more = _inflate(memoryview(data)[at:], LAYER_BYTES - held + 1)
+            except MemoryError:
+                refused += 1
                 continue
-            data, starts, ends = piece
-            for m in PACKED.finditer(data):
-                at = m.start()
-                try:
-                    more = _inflate(memoryview(data)[at:], LAYER_BYTES - held + 1)
-                except MemoryError:
-                    refused += 1
-                    continue
-                if more is not None and more[0]:
-                    source = slice(at, at + more[1])
-                    nxt.append((more[0], np.full(len(more[0]), starts[source].min()), np.full(len(more[0]), ends[source].max())))
-            for found_layer in _text_layers(data, starts, ends):
-                if not new("text", found_layer.text.encode("utf-8", "surrogateescape"), found_layer.starts, found_layer.ends):
-                    continue
-                if held + len(found_layer.text) > LAYER_BYTES:
-                    refused += 1
-                    continue
-                held, layers = held + len(found_layer.text), layers + 1
-                for a, kind, b in scan(found_layer.text):
-                    start, end = found_layer.span(a, b)
-                    found.add((start, kind, end))
-                work.append(found_layer)
+            if more is not None and more[0]:
+                source = slice(at, at + more[1])
+                yield more[0], np.broadcast_to(starts[source].min(), len(more[0])), np.broadcast_to(ends[source].max(), len(more[0]))
+        yield from _text_layers(data, starts, ends)
+
+    work = [(decoded(_Layer(text, base[:-1], base[1:])), 0)]
+    while work:
+        item = next(work[-1][0], work)
+        if item is work:
+            held -= work.pop()[1]
+        elif isinstance(item, _Layer):
+            if not new("text", item.text.encode("utf-8", "surrogateescape"), item.starts, item.ends):
+                continue
+            if held + len(item.text) > LAYER_BYTES:
+                refused += 1
+                continue
+            layers += 1
+            for a, kind, b in scan(item.text):
+                start, end = item.span(a, b)
+                found.add((start, kind, end))
+            held += len(item.text)
+            work.append((decoded(item), len(item.text)))
+        elif item is not None and item[0] and new("bytes", *item):
+            work.append((opened(*item), 0))
     return found, layers, refused
 
 
@@ -227,7 +250,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     The counts and ``base_sha256`` are of the matches in the text itself; ``spans`` has those and the
     matches in decoded layers, as ``kind:start:end`` in code points of the document's text.  A match in a layer spans the
     source of its characters: exact to the escape or base64 group, the whole run where it was compressed.
-    ``n_refused`` counts layers beyond ``LAYER_BYTES`` for the document (a decompression bomb); it is 0 otherwise.
+    Every layer is scanned and decoded further.  ``n_refused`` counts layers that with those they came from are beyond
+    ``LAYER_BYTES`` (a decompression bomb); it is 0 otherwise.
 
     Null text is empty text.  Rows are independent: no shuffle, any order, repeated rows give repeated
     results, an empty table none; other columns are not read.

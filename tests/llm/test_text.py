@@ -126,6 +126,42 @@ def test_layers_that_are_no_plain_text(body):
         assert (0 in {k for _, k, _ in found})
 
 
+def _lines(data, width, end="\n"):
+    run = base64.b64encode(data).decode()
+    return end.join(run[k : k + width] for k in range(0, len(run), width))
+
+
+NOISE = bytes((k * k * 7 + k * 13) % 251 for k in range(300))
+
+
+@pytest.mark.parametrize("before,body", [
+    ("key:\n", _lines(b"x" * 40 + KEY.encode() + b" y" * 20, 64)),
+    ("", _lines(b"x" * 50 + KEY.encode() + b" y" * 20, 76, "\r\n")),
+    ("a: |\n  ", _lines(b"x" * 40 + KEY.encode() + b" y" * 20, 64, "\n  ")),
+    ("on ", _lines(b"z" * 5 + KEY.encode(), 10)),
+    ("-----BEGIN X-----\n", _lines(gzip.compress(NOISE + KEY.encode() + NOISE[::-1], mtime=0), 64)),
+    ("/cb/", base64.b64encode(b"\xff\xff\xff" + KEY.encode() + b"\xff" * 9).decode()),
+    ("see /a/bc/", base64.b64encode(b"?>" * 9 + KEY.encode()).decode()),
+    ("x_", base64.urlsafe_b64encode(gzip.compress(NOISE + KEY.encode(), mtime=0)).decode().rstrip("=")),
+    ("", base64.b64encode(b"ab " + KEY.encode()).decode().rstrip("=") + "AAA"[: (1 - len(base64.b64encode(b"ab " + KEY.encode()).decode().rstrip("="))) % 4]),
+])
+def test_base64_over_lines_and_after_prefixes(before, body):
+    text = f"öö {before}{body}\n\nafter"
+    assert secrets.may_hold(text.encode())
+    found, layers, refused = one(text)
+    assert layers and not refused
+    spans = [(a, b) for a, k, b in found if k == 1]
+    assert spans and all(3 <= a < b <= len(text) - 7 for a, b in spans)
+
+
+def test_layers_are_given_back(monkeypatch):
+    """Only a layer and those it came from count."""
+    text = base64.b64encode(b" " * 3000 + KEY.encode()).decode()
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 4000)
+    found, _, refused = one(f"{text} and {text}")
+    assert len(found) == 2 and not refused
+
+
 def test_prefilter_loses_nothing():
     for t in TEXTS:
         if brute(t) or secrets.decoded_spans(t)[0]:

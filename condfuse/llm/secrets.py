@@ -125,25 +125,42 @@ def _escaped_byte(m: re.Match) -> bytes | None:
     return bytes([int(m[4], 16)]) if m[4] else _escape(m)
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
-    """The decompressed bytes and how many bytes they took, None if the data are not compressed; MemoryError beyond ``most`` bytes."""
+def _member(data: memoryview):
+    """A decompressor for the data that start here, None if they are not compressed."""
     if data[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\0":
-        tool = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = tool.decompress(data, most)
-    except (zlib.error, OSError, lzma.LZMAError):
-        return None
-    if not tool.eof and len(out) >= most:
-        raise MemoryError
-    return (out, len(data) - len(tool.unused_data)) if tool.eof else None
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(data: memoryview, most: int) -> tuple[bytes, int] | None:
+    """The decompressed bytes of all members that follow each other and how many bytes they took, None if
+    the data are not compressed; MemoryError if the first has ``most`` bytes, a later one is then left for
+    a start of its own.  Zero bytes between members are padding.
+    """
+    parts, size, took, at = [], 0, 0, 0
+    while (tool := _member(data[at:])) is not None:
+        try:
+            out = tool.decompress(data[at:], most - size)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        if size + len(out) >= most:
+            if parts:
+                break
+            raise MemoryError
+        if not tool.eof:
+            break
+        size += len(out)
+        parts.append(out)
+        at = took = len(data) - len(tool.unused_data)
+        while at < len(data) and data[at] == 0:
+            at += 1
+    return (b"".join(parts), took) if parts else None
 
 
 def _from_runs(layer: _Layer) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -206,15 +223,20 @@ def decoded_spans(text: str) -> tuple[set[tuple[int, int, int]], int, int]:
         if not (b"\0" in data or PACKED.search(data) or may_hold(data)):
             layers += 1  # nothing to find and nothing to decode
             return
+        upto = 0
         for m in PACKED.finditer(data):
             at = m.start()
+            if at < upto:
+                continue
             try:
                 more = _inflate(memoryview(data)[at:], LAYER_BYTES - held + 1)
             except MemoryError:
                 refused += 1
                 continue
+            if more is not None:
+                upto = at + more[1]
             if more is not None and more[0]:
-                source = slice(at, at + more[1])
+                source = slice(at, upto)
                 yield more[0], np.broadcast_to(starts[source].min(), len(more[0])), np.broadcast_to(ends[source].max(), len(more[0]))
         yield from _text_layers(data, starts, ends)
 

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from collections import Counter
@@ -154,6 +156,17 @@ def test_base64_over_lines_and_after_prefixes(before, body):
     assert spans and all(3 <= a < b <= len(text) - 7 for a, b in spans)
 
 
+@pytest.mark.parametrize("pack,pad", [(lambda b: gzip.compress(b, mtime=0), b""), (bz2.compress, b""), (lzma.compress, b"\0" * 8), (zlib.compress, b"")])
+def test_every_member_is_unpacked(pack, pad):
+    """A secret in a later member, and one that two members share, after an empty one too."""
+    data = pack(b"first ") + pad + pack(b"") + pack(b"second " + KEY[:12].encode()) + pad + pack(KEY[12:].encode() + b" third")
+    assert secrets._inflate(memoryview(data + b"rest"), 1000) == (f"first second {KEY} third".encode(), len(data))
+    assert secrets._inflate(memoryview(data), 20) == (b"first ", len(pack(b"first ") + pad + pack(b"")))
+    with pytest.raises(MemoryError):
+        secrets._inflate(memoryview(data), 5)
+    assert 1 in {k for _, k, _ in one("x " + base64.b64encode(data).decode())[0]}
+
+
 def test_layers_are_given_back(monkeypatch):
     """Only a layer and those it came from count."""
     text = base64.b64encode(b" " * 3000 + KEY.encode()).decode()

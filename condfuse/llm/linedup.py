@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from condfuse.llm.common import SPACE, carried, cut, released
 
 PER_TASK = 64  # later documents that one copy of an earlier document meets
+FOLDED = 200_000  # lines whose holders a task folds at a time
 
 
 def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -208,14 +209,41 @@ def _align(min_words: int):
     return run
 
 
+def _holders(rare: int):
+    """Rows of documents to ``line, n, held``: a line's holders in this task, none and ``rare`` + 1 where they are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, found = None, {}
+
+        def folded() -> pa.RecordBatch:
+            held = [x if len(x) <= rare else [] for x in found.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([len(x) for x in found.values()], pa.int64()), pa.array(held, kind)], ["line", "n", "held"])
+
+        for batch in batches:
+            kind = pa.list_(pa.struct([("doc_id", batch.schema.field("doc_id").type), ("th", pa.int64()), ("long", pa.bool_())]))
+            for row in batch.to_pylist():
+                who = {k: row[k] for k in ("doc_id", "th", "long")}
+                for line in row["lines"]:
+                    x = found.setdefault(line, [])
+                    if len(x) <= rare:
+                        x.append(who)
+            if len(found) > FOLDED:
+                yield folded()
+                found.clear()
+        if found:
+            yield folded()
+
+    return run
+
+
 def _rare_pairs(facts: DataFrame, rare: int) -> DataFrame:
     """``doc_id, th, f_id, f_th, line`` for each rare line and each two documents that have it."""
     held = facts.select("doc_id", "th", "long", "lines")
     if not facts.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         held = held.dropDuplicates(["doc_id", "th"])  # a repeated row is one holder
-    held = held.select("doc_id", "th", "long", F.explode("lines").alias("line"))
-    few = held.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, rare)).select(F.col("line").alias("_line"))
-    held = held.join(few, F.col("line") == F.col("_line")).groupBy("line").agg(F.collect_list(F.struct("doc_id", "th", "long")).alias("all"))
+    id_type = facts.schema["doc_id"].dataType.simpleString()
+    held = held.mapInArrow(_holders(rare), f"line long, n long, held array<struct<doc_id:{id_type},th:bigint,long:boolean>>")
+    held = held.groupBy("line").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("held")).alias("all")).where(F.col("n").between(2, rare))
     late = held.select("line", "all", F.explode("all").alias("b")).where("b.long")
     early = late.select("line", "b", F.explode(F.filter("all", lambda f: f["doc_id"] < F.col("b.doc_id"))).alias("f"))
     return early.select("b.doc_id", "b.th", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"), "line")

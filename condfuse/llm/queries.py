@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm import embeddup, exact, langid, linedup, mixing, packing, secrets, sharding, simhash, warc
+from condfuse.llm import bpe, embeddup, exact, langid, linedup, mixing, packing, secrets, sharding, simhash, warc
 from condfuse.llm.common import read_table, shared_dir
 
 
@@ -55,6 +55,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_and_decode(read_table(spark, sf_dir, "documents"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_warc": op2_warc,
@@ -66,6 +72,7 @@ QUERIES = {
     "op8_exact": op8_exact,
     "op9_pack": op9_pack,
     "op10_vectors": op10_vectors,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL = {

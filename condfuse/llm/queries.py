@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm import bpe, embeddup, exact, langid, linedup, mixing, packing, secrets, sharding, simhash, warc
+from condfuse.llm import bpe, codes, embeddup, exact, langid, linedup, mixing, packing, secrets, sharding, simhash, warc, whitening
 from condfuse.llm.common import read_table, shared_dir
 
 
@@ -55,12 +55,39 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.product_codes(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_and_decode(read_table(spark, sf_dir, "documents"))
     n = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _nearest(round_: int) -> str:
+    """SQL of one assignment: the nearest entry of every part by ``books{round_}``, ties to the lower index."""
+    return f"""
+        near{round_} AS (
+          SELECT r, part, x, min(d * 64 + entry)::BIGINT % 64 AS entry, min(d)::BIGINT AS d
+          FROM (SELECT p.r, p.part, p.x, b.entry, list_sum([(p.x[j] - b.c[j]) * (p.x[j] - b.c[j]) FOR j IN range(1, w + 1)]) AS d
+                FROM parts p JOIN books{round_} b USING (part), w) GROUP BY r, part, x)"""
+
+
+def _means(round_: int) -> str:
+    """SQL of the codebooks after ``near{round_}``: floored means, unused entries as they were."""
+    return f"""
+        books{round_ + 1} AS (
+          SELECT b.part, b.entry, COALESCE(g.c, b.c) AS c FROM books{round_} b LEFT JOIN (
+            SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c
+            FROM (SELECT part, entry, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM near{round_}, w, range(1, w + 1) t(j) GROUP BY part, entry, j)
+            GROUP BY part, entry) g USING (part, entry))"""
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_warc": op2_warc,
@@ -72,10 +99,22 @@ QUERIES = {
     "op8_exact": op8_exact,
     "op9_pack": op9_pack,
     "op10_vectors": op10_vectors,
+    "op11_codes": op11_codes,
+    "op12_whitening": op12_whitening,
     "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL = {
+    "op11_codes": f"""
+        WITH v AS (
+          SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS q
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        w AS (SELECT max(len(q)) // 16 AS w FROM v),
+        parts AS (SELECT r, i AS part, q[i * w + 1 : (i + 1) * w] AS x FROM v, w, range(16) t(i)),
+        books0 AS (SELECT part, r - 1 AS entry, x AS c FROM parts WHERE r <= 64),{_nearest(0)},{_means(0)},{_nearest(1)},{_means(1)},{_nearest(2)},
+        e AS (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY r),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN e USING (r), h""",
     "op1_mix": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -1,0 +1,202 @@
+"""Product codes over cover trees and bit-sliced whitening, against brute force."""
+
+import hashlib
+import math
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from condfuse.llm import codes, queries, whitening
+from tests.conftest import SF_MID, SF_SMALL
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def vectors(dims=16, n=60, seed=3):
+    """Clusters, exact copies, repeated ids, ties, null and broken vectors, null ids and labels."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 0.4, (5, dims))
+    rows = [(k, (centres[k % 5] + rng.normal(0, 0.05, dims)).astype(np.float32).tolist(), k % 3 if k % 7 else None) for k in range(n)]
+    rows += [(500 + k, rows[4][1], 1) for k in range(30)] + [(7, rows[9][1], 2), (7, rows[7][1], 2), (None, rows[2][1], None), (None, rows[3][1], 0)]
+    rows += [(900, None, 1), (901, [*rows[0][1][:-1], None], 1), (902, [float("nan"), *rows[0][1][1:]], 1), (903, [float("inf"), *rows[0][1][1:]], None)]
+    return rows + [(904, [0.0] * dims, 1), (905, [-x for x in rows[5][1]], 1)]
+
+
+def good(rows):
+    return [r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit("own") for c in ("x", "n", "code", "start", "component", "_key", "i", "s")})
+
+
+# ---------------------------------------------------------------- codes
+
+
+def brute_codes(rows, parts, entries, rounds):
+    rows = sorted(good(rows), key=lambda r: (r[0] is None, r[0], r[1]))
+    q = [[math.floor(256 * float(np.float32(x))) for x in r[1]] for r in rows]
+    w = len(q[0]) // parts
+    cut = [[v[p * w : p * w + w] for p in range(parts)] for v in q]
+    books = [[v[p] for v in cut[:entries]] for p in range(parts)]
+
+    def nearest(v, book):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(book))
+
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for v in cut:
+            for p in range(parts):
+                groups[p, nearest(v[p], books[p])[1]].append(v[p])
+        for (p, k), vs in groups.items():
+            books[p][k] = [sum(x) // len(vs) for x in zip(*vs, strict=True)]
+    out, by_label = [], Counter()
+    for r, v in zip(rows, cut, strict=True):
+        found = [nearest(v[p], books[p]) for p in range(parts)]
+        out.append((r[0], r[2], "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found)))
+        by_label[r[2]] += out[-1][3]
+    digest = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    return Counter((i, label, code, error, by_label[label], digest) for i, label, code, error in out)
+
+
+@pytest.mark.parametrize(("parts", "entries", "rounds"), [(16, 64, 2), (4, 5, 3), (2, 1, 0)])
+def test_codes_against_brute_force(spark, parts, entries, rounds):
+    rows = vectors()
+    got = codes.product_codes(frame(spark, rows), parts, entries, rounds)
+    want = brute_codes(rows, parts, entries, rounds)
+    assert Counter(tuple(r[c] for c in ("vec_id", "label", "code", "error", "label_error", "codebooks_sha256")) for r in got.collect()) == want
+    again = codes.product_codes(frame(spark, rows).repartition(7), parts, entries, rounds)
+    assert Counter(tuple(r[c] for c in ("vec_id", "label", "code", "error", "label_error", "codebooks_sha256")) for r in again.collect()) == want
+
+
+def test_codes_of_the_table_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF_MID}/embeddings.parquet')")
+    want = con.sql(queries.ORACLE_SQL["op11_codes"])
+    got = queries.op11_codes(spark, SF_MID)
+    assert Counter(tuple(r) for r in got.select(want.columns).collect()) == Counter(want.fetchall())
+
+
+def test_codes_odd_tables(spark):
+    assert codes.product_codes(spark.createDataFrame([], VECTORS)).count() == 0
+    assert codes.product_codes(spark.createDataFrame([(1, None, 1)], VECTORS)).count() == 0
+    with pytest.raises(Exception, match="equal parts"):
+        codes.product_codes(spark.createDataFrame([(1, [1.0] * 17, 1)], VECTORS))
+    with pytest.raises(Exception, match="unequal length"):
+        codes.product_codes(spark.createDataFrame([(1, [1.0] * 16, 1), (2, [1.0] * 32, 1)], VECTORS).coalesce(1))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 9, 300])
+def test_cover_trees(rows):
+    """Every point is in one leaf, balls hold their points, siblings' centres are apart, and most points need no comparison."""
+    rng = np.random.default_rng(rows)
+    q = np.floor(rng.normal(0, 60, (rows, 8))).astype(np.int64)
+    q[rows // 2 :] = q[: rows - rows // 2][rng.integers(0, 3, rows - rows // 2) % (rows - rows // 2)] + rng.integers(-1, 2, (rows - rows // 2, 8))
+    f = codes.plant(q, 2, leaf=4)
+    assert (f.points == codes.parted(q, 2)[np.repeat([0, rows], rows) + f.row]).all()
+    leaves = np.flatnonzero(f.children == 0)
+    assert sorted(x for k in leaves for x in range(f.start[k], f.end[k])) == list(range(2 * rows))
+    for k in range(len(f.start)):
+        d = np.sqrt(((f.points[f.start[k] : f.end[k]] - f.points[f.start[k]]) ** 2).sum(1))
+        assert d.max() == f.radius[k]
+        below = range(f.child[k], f.child[k] + f.children[k])
+        assert not len(below) or [f.start[k], *(f.end[c] for c in below)] == [*(f.start[c] for c in below), f.end[k]]
+        centres = f.points[f.start[list(below)]] if len(below) else np.zeros((0, 4))
+        assert all(np.sqrt(((a - b) ** 2).sum()) > f.radius[k] / 2 for i, a in enumerate(centres) for b in centres[:i])
+    books = codes.parted(q[:6], 2).reshape(2, min(rows, 6), -1)
+    start, end, entry, compared = codes.assign(f, books)
+    want = ((codes.parted(q, 2)[:, None] - np.repeat(books, rows, 0)) ** 2).sum(2).argmin(1)
+    got = np.empty(2 * rows, int)
+    for a, b, e in zip(start, end, entry, strict=True):
+        got[a:b] = e
+    assert (got == want[np.repeat([0, rows], rows) + f.row]).all()
+    if rows == 300:
+        assert compared < 2 * rows * 6 / 2 and len(start) < 2 * rows
+
+
+def test_group_sums_of_hot_and_rare_keys(spark):
+    rows = [(k, None if k % 5 == 0 else k % 90, k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, label int, error long")
+    want = Counter()
+    for _, label, e in rows:
+        want[label] += e
+    for hot in (3, 60, 1000):
+        got = codes.with_group_sum(df, "label", "error", "total", hot).collect()
+        assert Counter(tuple(r) for r in got) == Counter((*r, want[r[1]]) for r in rows)
+
+
+# ---------------------------------------------------------------- whitening
+
+
+@pytest.mark.parametrize("bits", [[1, 1], [0, 3, 9], [13, 2, 13, 7]])
+@pytest.mark.parametrize("rows", [1, 63, 64, 200])
+def test_cross_products_from_bit_planes(bits, rows):
+    rng = np.random.default_rng(rows)
+    y = np.stack([rng.integers(0, 1 << b, rows) for b in bits], axis=1)
+    assert (whitening.cross_products(y, bits) == y.T @ y).all()
+
+
+def brute_whitening(rows, k):
+    x = [[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in r[1]] for r in rows]
+    fit = sorted(set(map(tuple, x)))
+    n, dims = len(fit), len(fit[0])
+    s = [sum(c) for c in zip(*fit, strict=True)]
+    away = [[n * a - b for a, b in zip(v, s, strict=True)] for v in fit]
+    v = np.array([[sum(a[i] * a[j] for a in away) / n**3 for j in range(dims)] for i in range(dims)])
+    e, c = np.linalg.eigh(v)
+    e, c = e[::-1][:k], c[:, ::-1][:, :k]
+    own = [[n * a - b for a, b in zip(r, s, strict=True)] for r in x]
+    return n, [sum(a * a for a in r) for r in own], np.array(own, float) / n @ c / np.sqrt(e), e / np.trace(v)
+
+
+@pytest.mark.parametrize(("dims", "k"), [(16, 16), (5, 16), (24, 3)])
+def test_whitening_against_brute_force(spark, dims, k):
+    rows = vectors(dims)
+    out = whitening.whiten(frame(spark, rows).repartition(5), k).collect()
+    kept = good(rows)
+    n, deviation, white, explained = brute_whitening(kept, k)
+    k = min(k, dims)
+    assert len(out) == len(kept) * k and {r.n for r in out} == {n} and len({r.identity_error for r in out}) == 1
+    assert max(r.identity_error for r in out) < 1e-9
+    assert Counter((r.vec_id, r.deviation) for r in out if r.component == 1) == Counter((r[0], d) for r, d in zip(kept, deviation, strict=True))
+    single = [i for i, r in enumerate(kept) if sum(x[0] == r[0] for x in kept) == 1]
+    got = {(r.vec_id, r.component): r for r in out}
+    mine = np.array([[got[kept[i][0], c + 1].whitened for c in range(k)] for i in single])
+    sign = np.sign((mine * white[single]).sum(0))
+    assert mine == pytest.approx(white[single] * sign, abs=1e-7)
+    assert [got[kept[0][0], c + 1].explained for c in range(k)] == pytest.approx(explained.tolist(), rel=1e-9)
+
+
+def test_whitening_keeps_digits_far_from_zero(spark):
+    """Entries near 2^30 with differences of one: sums of squares pass 2^63, the centred matrix is exact."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (500, 3)) + (1 << 30)
+    rows = [(k, [float(a) for a in r], 0) for k, r in enumerate(x)]
+    out = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 3).collect()
+    fit = np.unique(x, axis=0).astype(object)
+    n, s = len(fit), fit.sum(0)
+    assert {r.n for r in out} == {n} and max(r.identity_error for r in out) < 1e-9
+    want = {k: int(((64 * n * x[k].astype(object) - 64 * s) ** 2).sum()) for k in range(500)}
+    assert all(r.deviation == want[r.vec_id] for r in out)
+
+
+def test_whitening_odd_tables(spark):
+    shape = "vec_id long, embedding array<float>"
+    assert whitening.whiten(spark.createDataFrame([], shape)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, None), (2, [None]), (3, [float("nan")])], shape)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, []), (2, [])], shape)).count() == 0
+    one = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], shape)).collect()
+    assert [(r.vec_id, r.component, r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in sorted(one)] == [(v, c, 1, 0, None, 0.0, 0.0) for v in (1, 2) for c in (1, 2)]
+    line = whitening.whiten(spark.createDataFrame([(k, [float(k), 2.0 * k]) for k in range(9)], shape)).collect()
+    assert {r.component for r in line if r.whitened is None} == {2} and all(r.explained == pytest.approx(1.0) for r in line if r.component == 1)
+    with pytest.raises(ValueError, match="1 to 2 entries"):
+        whitening.whiten(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], shape))
+
+
+def test_whitening_of_the_table(spark):
+    out = queries.op12_whitening(spark, SF_SMALL)
+    n = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").count()
+    assert out.count() == 16 * n and out.agg(F.max("identity_error")).first()[0] < 1e-9

@@ -19,6 +19,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condfuse.llm.common import shared_dir
+from condfuse.llm.common import cut, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
+LEXICON_WORDS = 200_000
 LONGEST = 64  # bytes of a word in the lexicon
 PIECE = 4 << 20  # bytes of text split at once
 HELD = 300_000  # entries of each memo of a task, and of its counts
@@ -292,7 +294,7 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             line = file.readline()
-        self.a = {name: np.memmap(path, kind, "r", len(line) + at, (n,)) if n else np.zeros(0, kind) for name, (kind, n, at) in json.loads(line).items()}
+        self.a = {name: np.asarray(np.memmap(path, kind, "r", len(line) + at, (n,))) if n else np.zeros(0, kind) for name, (kind, n, at) in json.loads(line).items()}
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """The ids of each word as little-endian unsigned 32-bit numbers; None where the lexicon lacks it."""
@@ -329,17 +331,29 @@ class Lexicon:
         return out
 
 
-def build_lexicon(docs: DataFrame, tokenizer: str = TOKENIZER, lexicon_words: int = 100_000) -> str:
-    """Count the words of all documents, compile the most frequent ones that occur at least twice (ties: byte
-    order) and hand the file to the executors.  Returns its name there.  ``lexicon_words`` bounds what
-    passes through the driver, whatever the input."""
-    spark = docs.sparkSession
-    often = word_counts(docs).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).orderBy(F.col("n").desc(), "word").limit(lexicon_words)
-    coder = _Coder(rules(tokenizer), None)
-    words = [w.as_py() for w in often.select("word").toArrow().column(0)]
-    coder.learn(words)
+def frequent_words(docs: DataFrame, lexicon_words: int) -> list[bytes]:
+    """The words that occur most often over all documents, at least twice, at most ``lexicon_words`` of them:
+    those above the lowest count that the limit allows, counts being taken in steps of a 64th of a power of two."""
+    step = F.floor(F.log2("n") * 64).cast("int")
+    words = cut(word_counts(docs).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).withColumn("step", step), "words")
+    least, room = None, lexicon_words
+    for r in words.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():  # a few thousand rows at most
+        room -= r.n
+        if room < 0:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return [w.as_py() for w in words.where(F.col("step") >= least).select("word").toArrow().column(0)]
+
+
+def build_lexicon(docs: DataFrame, tokenizer: str = TOKENIZER, lexicon_words: int = LEXICON_WORDS) -> str:
+    """Count the words of all documents, compile the most frequent ones and hand the file to the executors.
+    Returns its name there.  ``lexicon_words`` bounds what passes through the driver, whatever the input."""
+    coder, words = _Coder(rules(tokenizer), None), frequent_words(docs, lexicon_words)
+    coder.learn(set(words))
     data = pack_arrays(compile_lexicon([(w, tuple(np.frombuffer(coder.chunks[w], "<u4").tolist())) for w in words]))
-    return ship(spark, data)
+    return ship(docs.sparkSession, data)
 
 
 def ship(spark: SparkSession, data: bytes) -> str:
@@ -366,21 +380,22 @@ class _Coder:
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str | int, bytes] = {}
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, chunks: set[bytes]) -> None:
         """See that the ids of all ``chunks`` are at hand; a full memo starts anew."""
-        fresh = {c for c in chunks if c not in self.chunks}
+        fresh = [c for c in chunks if c not in self.chunks]
         if not fresh:
             return
         if len(self.chunks) + len(fresh) > HELD:
-            self.chunks, fresh = {}, set(chunks)
+            self.chunks, fresh = {}, list(chunks)
         if len(self.words) > HELD:
             self.words = {}
-        self.chunks.update(self._found(list(fresh)))
-        rest = [c for c in fresh if c not in self.chunks]
-        split = self.rule.split(rest)
+        self.chunks.update(self._found(fresh))
+        rest = {c: None for c in fresh if c not in self.chunks}
+        split = self.rule.split(list(rest))
         new = list({w for ws in split for w in ws if w not in self.words})
         # a word of plain ASCII is also a chunk of that one word, so the lexicon may have it
-        self.words.update((w.decode(), ids) for w, ids in self._found([w.encode() for w in new if isinstance(w, str) and w.isascii()]).items())
+        plain = [w.encode() for w in new if isinstance(w, str) and w.isascii()]
+        self.words.update((w.decode(), ids) for w, ids in self._found([w for w in plain if w not in rest]).items())
         self.words.update((w, w.to_bytes(4, "little")) for w in new if isinstance(w, int))
         unseen = [w for w in new if w not in self.words]
         self.words.update(zip(unseen, self.rule.merge(unseen), strict=True))
@@ -395,10 +410,16 @@ class _Coder:
     def encode(self, text: bytes) -> bytes:
         parts = []
         for chunks in chunk_lists(text):
-            self.learn(chunks)
+            self.learn(set(chunks))
             parts.append(b"".join([self.chunks[c] for c in chunks]))
         return b"".join(parts)
 
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each of several short texts, which learn their new chunks together."""
+        lists = [t.split() for t in texts]
+        self.learn(set(chain.from_iterable(lists)))
+        return [b"".join([self.chunks[c] for c in chunks]) for chunks in lists]
+
 
 def encode(docs: DataFrame, lexicon: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, ids``: the ids of every whole text as little-endian unsigned 32-bit numbers, as the
@@ -417,15 +438,11 @@ def encode(docs: DataFrame, lexicon: str | None = None, tokenizer: str = TOKENIZ
         for batch in batches:
             rows, out, held = [], [], 0
             texts = batch.column(1)
-            # a group of texts learns its new chunks together, so that the lexicon is walked by many words at once
             for a, b in _groups(texts):
                 group = [texts[k].as_buffer().to_pybytes() for k in range(a, b)]
-                if b - a > 1:
-                    coder.learn(b"\n".join(group).split())
-                for k, text in enumerate(group, a):
-                    rows.append(k)
-                    out.append(coder.encode(text))
-                    held += len(out[-1])
+                rows += range(a, b)
+                out += coder.encode_all(group) if b - a > 1 else [coder.encode(group[0])]
+                held += sum(map(len, out[len(out) - (b - a) :]))
                 if held > PIECE:
                     yield _rows(batch, rows, out, pa.binary(), "ids")
                     rows, out, held = [], [], 0
@@ -480,7 +497,7 @@ def decode(coded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return coded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(run, f"doc_id {id_type.simpleString()}, decoded string")
 
 
-def encode_and_decode(docs: DataFrame, tokenizer: str = TOKENIZER, lexicon_words: int = 100_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, tokenizer: str = TOKENIZER, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``doc_id, ids, decoded`` of every document, the ids decoded back in the task that made them."""
     lexicon = build_lexicon(docs, tokenizer, lexicon_words)
     both = encode(docs, lexicon, tokenizer).select(F.struct("doc_id", "ids").alias("doc_id"), "ids")

@@ -16,10 +16,14 @@ def by_value(module: types.ModuleType) -> None:
         from pyspark import cloudpickle
     except ImportError:  # pragma: no cover
         return
-    try:
-        cloudpickle.register_pickle_by_value(module)
-    except (ValueError, AttributeError):  # already registered / old cloudpickle
-        pass
+    import condfuse.functions.columns
+    import condfuse.model
+
+    for m in (module, condfuse.model, condfuse.functions.columns):
+        try:
+            cloudpickle.register_pickle_by_value(m)
+        except (ValueError, AttributeError):  # already registered / old cloudpickle
+            pass
 
 
 def has_context(spark) -> bool:

@@ -51,6 +51,10 @@ class ProtocolError(ValueError):
     """Invalid parameter or input of the weighting protocol."""
 
 
+class ProtocolWarning(UserWarning):
+    """Inputs that a run can use, but that its user should know of."""
+
+
 def top_mode_name(mode: int | str) -> str:
     if isinstance(mode, int):
         if mode not in TOP_MODES:

@@ -1,21 +1,90 @@
 """Input validation: cube shape, point coverage, class sizes.
 
-Parameter checks are driver-side (``Protocol``). ``evaluate`` itself checks
-coverage and repeated rows from its score sums without reading the cube
-again; the operators here look at the inputs before a run, at the price of a
-scan of the cube.
+Parameter checks are driver-side (``Protocol``). A run validates its inputs
+in passing (``CubeWatch``, ``class_notes``): the ranking pass counts the
+cube rows it reads, and its score sums tell which points were covered, so the
+cube is not read again. ``validate_inputs`` looks at the inputs before a run, at
+the price of a scan of the cube.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+from collections.abc import Callable, Sequence
+
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from condfuse.functions.columns import MEASURES
-from condfuse.model import Protocol, ProtocolError
-from condfuse.operators.folds import class_fold_check
+from condfuse.model import Protocol, ProtocolError, ProtocolWarning
+from condfuse.operators.folds import class_fold_check, class_sizes_warnings, empty_set_warnings
 from condfuse.operators.points import index_gaps
-from condfuse.sources.cube import cube_stats
+from condfuse.sources.binary import CubeFile
+from condfuse.sources.cube import cube_stats, row_sizes
+from condfuse.sources.provenance import source_of
+
+
+def warn(text: str) -> None:
+    warnings.warn(text, ProtocolWarning, stacklevel=3)
+
+
+class CubeWatch:
+    """Counts the cube rows of one scan while another job reads them.
+
+    ``on(cube)`` adds the counters to the scan; after the job ``notes`` says
+    what they found: indexes without a row, repeated ones, configs of
+    unequal number (a ``ProtocolError``). A cube file needs no counters, as its
+    length fixes all of that.
+    """
+
+    def __init__(self, measures: Sequence[str] = MEASURES):
+        self.measures, self.seen = measures, None
+
+    def on(self, cube: DataFrame) -> DataFrame:
+        if isinstance(source_of(cube), CubeFile):
+            return cube
+        self.seen = Observation()
+        least, most = row_sizes(self.measures)
+        return cube.observe(self.seen, F.count(F.lit(1)).alias("n"), F.min("global_index").alias("lo"),
+                            F.max("global_index").alias("hi"), F.min(least).alias("least"), F.max(most).alias("most"))
+
+    def _counts(self) -> dict | None:
+        try:
+            self.seen._jo.getOrEmpty()  # get alone would wait for ever where the scan was optimised away
+        except (AttributeError, Py4JError):
+            return None
+        return self.seen.get
+
+    def notes(self) -> list[str]:
+        got = self._counts() if self.seen is not None else None
+        if not got or not got["n"]:
+            return []
+        if got["least"] != got["most"]:
+            raise ProtocolError(f"config counts differ between rows/measures: {got['least']}..{got['most']}")
+        width = got["hi"] - got["lo"] + 1
+        if got["n"] < width:
+            return [f"the cube index has gaps: {width - got['n']} or more of {got['lo']}..{got['hi']} have no row"]
+        return [f"the cube repeats {got['n'] - width} or more indexes of {got['lo']}..{got['hi']}"] if got["n"] > width else []
+
+
+def class_notes(counts: Sequence[Row], run_cols: Sequence[str], k_of: Callable[[Row], int]) -> list[str]:
+    """Class sizes of every run from the point counts per (run..., fold, label):
+    ``ProtocolError`` where the fold count exceeds every class; small
+    classes and empty test or training sets are returned as notes."""
+    runs: dict[tuple, dict] = {}
+    for r in counts:
+        classes = runs.setdefault(tuple(r[c] for c in run_cols), {"k": k_of(r), "n": {}})["n"]
+        classes.setdefault(r["label"], []).append(r["n"])
+    out = []
+    for run, found in sorted(runs.items()):
+        k, sizes = found["k"], {label: [n for n in ns if n] for label, ns in found["n"].items()}
+        totals = [sum(ns) for ns in sizes.values()]
+        notes = class_sizes_warnings(k, min(totals), max(totals))
+        for label, ns in sorted(sizes.items()):
+            notes += empty_set_warnings(label, len(ns), k)
+        out += [f"run {run}: {text}" if run else text for text in notes]
+    return out
 
 
 def input_profile(cube: DataFrame, points: DataFrame, measures=MEASURES) -> DataFrame:

@@ -9,7 +9,8 @@ Per training set (a group of ``keys``) and measure:
    k = 0), where the protocol would divide 0 by 0.
 
 All of it is window functions over the small score table (one window
-partition per training set, n_config rows each).
+partition per training set, n_config rows each). Scores are integers (ranks)
+or, from a scorer of the user's own, doubles; they keep their type.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def shift_scores(sums: DataFrame, measures: Sequence[str] = MEASURES, keys: Sequ
     if not min_zero:
         return sums
     w = Window.partitionBy(*keys)
-    return sums.withColumns({s: (F.col(s) - F.min(s).over(w)).cast("bigint") for s in score_cols(measures)})
+    return sums.withColumns({s: (F.col(s) - F.min(s).over(w)).cast(sums.schema[s].dataType) for s in score_cols(measures)})
 
 
 def make_weights(sums: DataFrame, measures: Sequence[str] = MEASURES, mode: str | Column = "Top25Percent",
@@ -85,7 +86,7 @@ def make_weights(sums: DataFrame, measures: Sequence[str] = MEASURES, mode: str
     cut = []
     for s in scores:
         shifted = (F.col(s) - F.min(s).over(grp)) if min_zero else F.col(s)
-        cut.append(F.when(pos(s) <= k, shifted).otherwise(F.lit(0)).cast("bigint").alias(s))
+        cut.append(F.when(pos(s) <= k, shifted).otherwise(F.lit(0)).cast(sums.schema[s].dataType).alias(s))
     df = sums.select(*others, pos(scores[-1]).alias("last_rank"), *cut)
     return df.select("*", *[F.when(F.sum(s).over(grp) != 0, F.col(s) / F.sum(s).over(grp)).alias(w)
                             for s, w in zip(scores, weights)])

@@ -5,22 +5,26 @@
 
 The anomaly method id picks the cube file and the anomaly flag file from
 the scenario catalog; both are read through the Spark data sources in
-``sources.binary``. Written under ``--out/<run name>/``:
+``sources.binary``. Every run has a folder of its own, ``--out/<run name>-<id>/``:
 
 * ``results_of_all_folds`` and ``avg_results_of_all_folds`` (the latter also as CSV),
 * ``running_average``: the average after each fold,
 * ``predictions`` with ``param_string`` (unless ``--no-predictions``),
-* ``weights`` per training set (with ``--weights``).
-
-``--align last_rank`` gives the reference's own result. ``--cube-table``
-names a bucketed table: the cube file is written to it once and read from it
-by this and later runs, which then do not shuffle the cube. ``--cache``
-names a folder for score sums that later runs can reuse.
+* ``weights`` per training set (with ``--weights``),
+* ``manifest``, written last: arguments, inputs and outputs. A folder without
+  it is of a run that goes on or was killed (``sinks.complete_runs`` lists the others).
+
+``--align last_rank`` gives the reference's own result. The cube file is read
+by seeking to the blocks of the usable points. ``--cube-table`` names
+bucketed tables to read instead: a file is written to its own one, once, and
+again when the file has changed. ``--cache`` names a folder for score sums
+that later runs can reuse.
 """
 
 from __future__ import annotations
 
 import argparse
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,24 +80,19 @@ def protocol_of(a: argparse.Namespace) -> Protocol:
 
 
 def read_cube(spark: SparkSession, a: argparse.Namespace, path: str) -> DataFrame:
-    cube = bi.read_binary_cube(spark, path, a.n_config)
-    if not a.cube_table:
-        return cube
-    if not spark.catalog.tableExists(a.cube_table):
-        points = bi.file_size(path) // (a.n_config * len(cu.MEASURES) * bi.FLOAT_BYTES)
-        cu.write_cube(cube, table=a.cube_table, buckets=cu.bucket_count(points, a.n_config))
-    return spark.table(a.cube_table)
+    """The cube file, read by seeking, or its bucketed table (see ``stored_cube``)."""
+    file = bi.CubeFile(path, a.n_config)
+    return cu.stored_cube(spark, a.cube_table, file) if a.cube_table else file.frame(spark)
 
 
 def read_points(spark: SparkSession, a: argparse.Namespace, flag_path: str) -> DataFrame:
-    """Point table from the two flag vectors; both must cover all days."""
+    """Point table from the two flag vectors, read side by side; both must cover all days."""
     need = a.days * a.per_day
     lengths = {path: bi.vector_length(path) for path in (a.missing_flags, flag_path)}
     for path, n in lengths.items():
         if n < need:
             raise ProtocolError(f"{path} has {n} flags, fewer than {a.days} days x {a.per_day}")
-    flags = bi.read_flags(spark, a.missing_flags, column="missing", end=need).join(
-        bi.read_flags(spark, flag_path, column="label", end=need), "global_index")
+    flags = bi.read_vectors(spark, {"missing": a.missing_flags, "label": flag_path}, end=need)
     # trim, missing -> label 3 and the last-day mask happen in prepare_points, in the protocol's order
     return prepare_points(flags, a.per_day + MAX_HORIZON, per_day=a.per_day, n_days=a.days,
                           vector_length=lengths[a.missing_flags])
@@ -101,34 +100,46 @@ def read_points(spark: SparkSession, a: argparse.Namespace, flag_path: str) -> D
 
 def run(spark: SparkSession, a: argparse.Namespace) -> str:
     p = protocol_of(a)
+    started = datetime.now(timezone.utc)
     method, cube_file, flag_file = SCENARIOS[a.anomaly_method_int]
     cube_path, flag_path = f"{a.cube_dir.rstrip('/')}/{cube_file}", f"{a.flag_dir.rstrip('/')}/{flag_file}"
     cube = read_cube(spark, a, cube_path)
-    points = pr.with_folds(read_points(spark, a, flag_path), p)
     params = [a.cv_fold_nr, a.anomaly_method_int, a.score_method_int, a.searchable_method_int, a.top_tuple_method_int]
     params += [a.top_tuple_percentage] if a.top_tuple_percentage is not None else []
-    out = f"{a.out.rstrip('/')}/{sinks.run_name(params)}"
+    out = sinks.run_folder(a.out, params)
+    folded = pr.with_folds(read_points(spark, a, flag_path), p)
+    points = sinks.materialize(lambda: folded)
 
     weights = sinks.materialize(lambda: pr.fit_weights(cube, points, p, cache=a.cache, sources=(cube_path, flag_path, a.missing_flags)))
+    written = []
+
+    def write(df: DataFrame, name: str, *how, **options) -> None:
+        sinks.write_report(df, f"{out}/{name}", *how, **options)
+        written.append(name)
+
     if a.weights:
-        sinks.write_report(weights, f"{out}/weights")
+        write(weights, "weights")
+    # the fit has checked that every point has its cube row
+    keyed, table = pr.test_inputs(cube, points, weights, p)
     if a.no_predictions:
-        keyed, table = pr.test_inputs(cube, points, weights, p)
         moments = pr.error_moments(keyed, table, p.measures)
     else:
         # the test pass runs once: its errors are written, and the metrics are taken from them
-        sinks.write_report(pr.apply_weights(cube, points, weights, p), f"{out}/test_errors")
+        write(pr.weighted_errors(keyed, table, p.measures), "test_errors")
         errors = spark.read.parquet(f"{out}/test_errors")
-        sinks.write_report(prediction_table(errors, p.measures, params=params), f"{out}/predictions")
+        write(prediction_table(errors, p.measures, params=params), "predictions")
         moments = me.moments_of(errors, p.measures)
     names = {"anomaly_method": F.lit(method), "score_method": F.lit(p.score_method), "top_tuple_method": F.lit(p.mode)}
-    sinks.write_report(pr.metrics_of(moments, p).withColumns(names), f"{out}/results_of_all_folds")
+    write(pr.metrics_of(moments, p).withColumns(names), "results_of_all_folds")
     per_fold = spark.read.parquet(f"{out}/results_of_all_folds").drop(*names)
-    sinks.write_report(me.running_fold_average(per_fold), f"{out}/running_average", single_file=True)
+    write(me.running_fold_average(per_fold), "running_average", single_file=True)
     summary = me.summary(me.fold_average(per_fold), method, p.score_method, p.mode)
-    sinks.write_report(summary, f"{out}/avg_results_of_all_folds", single_file=True)
-    sinks.write_report(spark.read.parquet(f"{out}/avg_results_of_all_folds"), f"{out}/avg_results_of_all_folds_csv",
-                       "csv", single_file=True)
+    write(summary, "avg_results_of_all_folds", single_file=True)
+    write(spark.read.parquet(f"{out}/avg_results_of_all_folds"), "avg_results_of_all_folds_csv", "csv", single_file=True)
+    sinks.write_manifest(spark, out, {
+        "arguments": vars(a), "params": params, "anomaly_method": method, "outputs": written, "started": started.isoformat(),
+        "finished": datetime.now(timezone.utc).isoformat(), "cube": bi.CubeFile(cube_path, a.n_config).identity(),
+        "flags": {path: bi.file_info(path) for path in (flag_path, a.missing_flags)}})
     return out
 
 

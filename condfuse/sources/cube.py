@@ -8,13 +8,21 @@ column pruning still works per measure.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from condfuse.functions.columns import MEASURES
+from condfuse.sources.binary import CubeFile, file_info
+from condfuse.sources.provenance import Files, TableVersion, digest, noted, source_of
+
+# Table properties of a cube table: its version, and the file it was made from.
+VERSION = "condfuse.version"
+SOURCE = "condfuse.source"
 
 
 def cube_schema(measures: Sequence[str] = MEASURES) -> T.StructType:
@@ -28,8 +36,13 @@ def read_cube(spark: SparkSession, path: str, measures: Sequence[str] = MEASURES
     """Reads an array-form cube (only the listed measures) from a Parquet
     folder, or from a catalog table when ``path`` has no slash (for example
     a bucketed cube written by ``write_cube(..., table=..., buckets=...)``)."""
-    df = spark.table(path) if "/" not in path else spark.read.parquet(path)
-    return df.select("global_index", *measures)
+    columns = ("global_index", *measures)
+    if "/" not in path:
+        version = table_properties(spark, path).get(VERSION)
+        df = spark.table(path).select(*columns)
+        return noted(df, TableVersion(path, version, columns)) if version else df
+    df = spark.read.parquet(path)
+    return noted(df.select(*columns), Files(tuple(df.inputFiles()), columns))
 
 
 def bucket_count(n_points: int, n_config: int, n_measures: int = len(MEASURES), bucket_bytes: int = 256 << 20) -> int:
@@ -40,7 +53,8 @@ def bucket_count(n_points: int, n_config: int, n_measures: int = len(MEASURES),
 
 
 def write_cube(cube: DataFrame, path: str | None = None, measures: Sequence[str] = MEASURES,
-               files: int | None = None, table: str | None = None, buckets: int | None = None) -> None:
+               files: int | None = None, table: str | None = None, buckets: int | None = None,
+               source: str | None = None) -> None:
     """Writes an array-form cube.
 
     ``table`` and ``buckets`` (see ``bucket_count``) save it as a table
@@ -48,7 +62,10 @@ def write_cube(cube: DataFrame, path: str | None = None, measures: Sequence[str]
     then read the cube in place and shuffle only the points. With ``path``
     alone it becomes a plain Parquet folder: rows are range-partitioned and
     sorted on ``global_index``, so min/max statistics prune row groups for
-    index filters, but a join with points shuffles the cube.
+    index filters, but a join with points shuffles the cube. A table gets
+    a version, and the text ``source`` says what it was made from, as
+    table properties; they are set last, so a table without a version is one
+    whose write did not end.
     """
     out = cube.select("global_index", *measures)
     if table is not None:
@@ -60,6 +77,9 @@ def write_cube(cube: DataFrame, path: str | None = None, measures: Sequence[str]
         if path is not None:
             w = w.option("path", path)
         w.bucketBy(buckets, "global_index").sortBy("global_index").saveAsTable(table)
+        marks = {VERSION: uuid.uuid4().hex, **({SOURCE: source} if source else {})}
+        pairs = ", ".join("'{}' = '{}'".format(k, v.replace("\\", "\\\\").replace("'", "\\'")) for k, v in marks.items())
+        out.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({pairs})")
         return
     if path is None:
         raise ValueError("a path or a table name is needed")
@@ -68,6 +88,32 @@ def write_cube(cube: DataFrame, path: str | None = None, measures: Sequence[str]
     out.sortWithinPartitions("global_index").write.mode("overwrite").parquet(path)
 
 
+def table_properties(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+
+
+def stored_cube(spark: SparkSession, name: str, file: CubeFile, buckets: int | None = None) -> DataFrame:
+    """A cube file as a bucketed table, written where it is not there yet.
+
+    Every file has a table of its own, ``name`` and a hash of path and layout.
+    The file's size and time and the bucket count are properties of the table and
+    compared on every read; where they differ, or a write did not end, the
+    table is written anew, to a fresh folder of the warehouse.
+    """
+    size, time = file_info(file.path)
+    buckets = buckets or bucket_count(size // file.stride, file.n_config, len(file.layout))
+    table = f"{name}_{digest([file.path, file.n_config, file.layout])[:12]}"
+    made_from = json.dumps({"path": file.path, "bytes": size, "modified": time, "n_config": file.n_config,
+                            "layout": file.layout, "buckets": buckets})
+    found = table_properties(spark, table) if spark.catalog.tableExists(table) else {}
+    if VERSION not in found or found.get(SOURCE) != made_from:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table}-{uuid.uuid4().hex[:8]}"
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        whole = CubeFile(file.path, file.n_config, file.layout)
+        write_cube(whole.frame(spark), folder, file.layout, table=table, buckets=buckets, source=made_from)
+    return read_cube(spark, table, file.wanted)
+
+
 def cube_to_long(cube: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
     """Array form -> (global_index, config_index, one FLOAT column per measure)."""
     z = F.posexplode(F.arrays_zip(*[F.col(m).alias(m) for m in measures]))
@@ -92,12 +138,27 @@ def select_points(cube: DataFrame, points: DataFrame) -> DataFrame:
 def cube_stats(cube: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
     """One-row profile used by input validation: point count, index range,
     number of index gaps, and the smallest/largest array length."""
-    sizes = [F.size(m) for m in measures]
+    least, most = row_sizes(measures)
     return cube.agg(
         F.count(F.lit(1)).alias("n_points"),
         F.min("global_index").alias("min_index"),
         F.max("global_index").alias("max_index"),
         F.countDistinct("global_index").alias("n_distinct"),
-        F.min(F.least(*sizes)).alias("min_configs"),
-        F.max(F.greatest(*sizes)).alias("max_configs"),
+        F.min(least).alias("min_configs"),
+        F.max(most).alias("max_configs"),
     )
+
+
+def row_sizes(measures: Sequence[str]) -> tuple[Column, Column]:
+    """Smallest and largest array length of a cube row; a null measure counts as -1."""
+    sizes = F.array(*[F.coalesce(F.size(m), F.lit(-1)) for m in measures])
+    return F.array_min(sizes), F.array_max(sizes)
+
+
+def config_count(cube: DataFrame, measure: str) -> int:
+    """Configs per point: of the file's layout, or of one row of the cube (0 where it has none)."""
+    file = source_of(cube)
+    if isinstance(file, CubeFile):
+        return file.n_config
+    row = cube.select(F.size(measure).alias("n")).first()
+    return max(row["n"] or 0, 0) if row else 0

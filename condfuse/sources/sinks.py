@@ -6,52 +6,33 @@ executor-local disks.
 
 from __future__ import annotations
 
-import contextlib
-import hashlib
-import io
 import json
-import re
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from condfuse.model import ProtocolError
 from condfuse.session import shared_dir
-
-
-def _file_state(spark: SparkSession, files: Sequence[str]) -> str:
-    """Count, sizes, times and names of files as one short text, added up by
-    Spark; file contents are not read."""
-    if not files:
-        return "none"
-    info = spark.read.format("binaryFile").load(list(files)).select("path", "modificationTime", "length")
-    r = info.agg(F.count(F.lit(1)), F.sum("length"),
-                 F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
-    return ":".join(str(x) for x in r)
-
-
-def _plan_text(df: DataFrame) -> str:
-    """The plan of ``df`` as text without the numbers that differ from run to run."""
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain("simple")
-    return re.sub(r"#\d+L?|\[plan_id=\d+\]|\d+(?=\)\s*\*?\()", "", text.getvalue())
+from condfuse.sources.provenance import digest, file_state, identity
 
 
 def cache_key(params: dict, inputs: Sequence[DataFrame], sources: Sequence[str] = ()) -> str:
-    """Folder name for cached sums: the parameters, and for every input its
-    schema, its plan, and the names, sizes and times of the files it reads
-    (``sources`` adds files that Spark does not list itself). Rewritten data
-    at the same path, another filter or another formula change the key."""
-    parts = [[df.schema.simpleString(), _plan_text(df), _file_state(df.sparkSession, df.inputFiles())] for df in inputs]
+    """Folder name for cached sums: the parameters and the content of every
+    input. An input that a reader of this package returned as it stands is
+    known by its files (names, sizes, times) or its table version; any other,
+    for example in-memory rows or a derived cube, by a checksum of its rows,
+    which takes one pass over it. ``sources`` adds files that Spark does not
+    list itself. Neither plans nor names of variables matter."""
+    parts = [identity(df) for df in inputs]
     if sources:
-        parts.append(_file_state(inputs[0].sparkSession, sources))
-    raw = json.dumps({"params": params, "inputs": parts}, sort_keys=True, default=str)
-    return hashlib.sha256(raw.encode()).hexdigest()[:24]
+        parts.append(file_state(inputs[0].sparkSession, sources))
+    return digest({"params": params, "inputs": parts})
+
+
+MANIFEST = "manifest"
 
 
 def materialize(build: Callable[[], DataFrame], cache: str | None = None, params: dict | None = None,
@@ -88,6 +69,28 @@ def run_name(params: Sequence[int | float | str], started: datetime | None = Non
     return f"run-{'-'.join(str(p) for p in params)}-{when}"
 
 
+def run_folder(out: str, params: Sequence[int | float | str]) -> str:
+    """A folder of its own for one run's outputs under ``out``."""
+    return f"{out.rstrip('/')}/{run_name(params)}-{uuid.uuid4().hex[:8]}"
+
+
+def write_manifest(spark: SparkSession, folder: str, info: dict) -> None:
+    """Marks a run as complete: writes ``info`` (JSON) to its folder, after
+    all other outputs. A folder without it belongs to a run that goes on or
+    was killed."""
+    text = json.dumps(info, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{MANIFEST}")
+
+
+def complete_runs(spark: SparkSession, out: str) -> dict[str, dict]:
+    """The manifests of all complete runs under ``out``, by folder."""
+    try:
+        rows = spark.read.text(f"{out.rstrip('/')}/run-*/{MANIFEST}", wholetext=True).select("value", "_metadata.file_path").collect()
+    except AnalysisException:  # no run has a manifest
+        return {}
+    return {r["file_path"].rsplit(f"/{MANIFEST}/", 1)[0]: json.loads(r["value"]) for r in rows}
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
     """Writes a table as Parquet or CSV (with header). ``single_file`` moves
     the rows of a small report to one file by a shuffle, so the work behind

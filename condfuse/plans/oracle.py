@@ -103,18 +103,23 @@ def state_expr(label: str) -> str:
     return f"CASE WHEN {label} = 1 THEN 'labelled' ELSE 'non_labelled' END"
 
 
-def train_sums(scored: str, pts: str, k: int, run: tuple[str, ...] = ()) -> str:
+def closeness(cube_sql: str) -> str:
+    cols = _list(list(zip(M, S)), "1e0 / (1e0 + CAST({c[0]} AS DOUBLE) * CAST({c[0]} AS DOUBLE)) AS {c[1]}")
+    return f"SELECT global_index, config_index, {cols} FROM ({cube_sql}) c"
+
+
+def train_sums(scored: str, pts: str, k: int, run: tuple[str, ...] = (), kind: str = "BIGINT") -> str:
     """Direct training sums: a point adds to every fold k it is not tested in."""
     rsel = "".join(f"p.{r}, " for r in run)
     rgrp = "".join(f"{r}, " for r in run)
     kk = f"p.cv_fold_nr" if "cv_fold_nr" in run else str(k)
-    sums = _list(S, "CAST(sum(s.{c}) AS BIGINT) AS {c}")
+    sums = _list(S, "CAST(sum(s.{c}) AS " + kind + ") AS {c}")
     own = f"""
     SELECT {rsel}k.fold, {state_expr('p.label')} AS state, s.config_index, CAST(count(*) AS BIGINT) AS n_points, {sums}
     FROM ({scored}) s JOIN ({pts}) p ON s.global_index = p.global_index
          JOIN (SELECT CAST(range + 1 AS INTEGER) AS fold FROM range(10)) k ON k.fold <= {kk} AND p.fold <> k.fold
     GROUP BY ALL"""
-    merged_sums = _list(S, "CAST(sum({c}) AS BIGINT) AS {c}")
+    merged_sums = _list(S, "CAST(sum({c}) AS " + kind + ") AS {c}")
     return f"""
     SELECT * FROM ({own}) o
     UNION ALL
@@ -374,6 +379,9 @@ def oracle_sql() -> dict[str, str]:
         "config_score_sum": f"SELECT * FROM ({tr}) t WHERE state <> 'merged'",
         "merged_scores": f"SELECT fold, config_index, n_points, {', '.join(S)} FROM ({tr}) t WHERE state = 'merged'",
         "score_shift": f"SELECT fold, state, config_index, {_list(S, 'CAST({c} - min({c}) OVER (PARTITION BY fold, state) AS BIGINT) AS {c}')} FROM ({tr}) t",
+        "scorer_weights": select_round(
+            weights(train_sums(closeness(a_cube_long()), usable(a_folded()), R.A_FOLDS, kind="DOUBLE"), "All"),
+            ["fold", "state", "config_index", "n_points"], [*S, *W]),
         "ensemble_weights": select_round(wa, ["fold", "state", "config_index", "CAST(last_rank AS INTEGER) AS last_rank",
                                               *[f"CAST({s} AS BIGINT) AS {s}" for s in S]], W),
         "describe_weights": describe_sql(),

@@ -176,6 +176,18 @@ def q_ensemble_weights(spark, d):
     return _r(w.select("fold", "state", "config_index", "last_rank", *S, *W), W)
 
 
+def closeness(errors):
+    """A scorer that is no rank: 1 for no error, falling with its square."""
+    return 1.0 / (1.0 + errors.astype("float64") ** 2)
+
+
+def q_scorer_weights(spark, d):
+    """Weights from a scorer of the user's own, over all configs."""
+    cube, pts = a_inputs(spark, d)
+    w = pr.fit_weights(cube, pts, Protocol(folds=A_FOLDS, seed=SEED, mode="All"), scorer=closeness)
+    return _r(w.select("fold", "state", "config_index", "n_points", *S, *W), [*S, *W])
+
+
 def q_describe_weights(spark, d):
     """Weights of the 320-config cube with the parameters of each config."""
     cube = st.b_cube_wide(spark, d, 320)
@@ -330,6 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merged_scores": q_merged_scores,
     "score_shift": q_score_shift,
     "ensemble_weights": q_ensemble_weights,
+    "scorer_weights": q_scorer_weights,
     "describe_weights": q_describe_weights,
     "weighted_error": q_weighted_error,
     "weighted_error_lastrank": q_weighted_error_lastrank,

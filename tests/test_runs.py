@@ -1,0 +1,233 @@
+"""Seek join, pushdown, vectors side by side, fold positions, run groups, validation in passing."""
+
+import os
+import tempfile
+import warnings
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as hs
+from pyspark.sql import functions as F
+
+from condfuse.functions.columns import MEASURES, weighted_cols
+from condfuse.model import TOP_MODES, Protocol, ProtocolError, ProtocolWarning
+from condfuse.operators import evaluate as ev
+from condfuse.operators import folds as fo
+from condfuse.operators import metrics as me
+from condfuse.operators import scoring as sc
+from condfuse.plans import cli
+from condfuse.plans import protocol as pr
+from condfuse.sources import binary as bi
+from condfuse.sources import standins as st
+from condfuse.sources.configs import SCENARIOS
+from tests.conftest import SF_SMALL
+from tests.test_provenance import cube_file, some_points
+
+O = weighted_cols(MEASURES)
+P = Protocol(folds=3, seed=42)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def norm(rows):
+    return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+
+
+# ---------------------------------------------------------------- cube files
+
+
+@given(hs.lists(hs.integers(0, 3000), max_size=60), hs.integers(1, 50), hs.integers(1, 400), hs.integers(0, 100))
+def test_seek_blocks(index, stride, batch, gap):
+    index = np.sort(np.array(index, dtype=np.int64))
+    blocks = list(bi.seek_blocks(index, stride, batch, gap))
+    assert [k for a, b in blocks for k in range(a, b)] == list(range(len(index)))
+    read = 0
+    for a, b in blocks:
+        span = int(index[b - 1] - index[a] + 1) * stride
+        assert span <= batch or index[a] == index[b - 1]
+        assert all((y - x - 1) * stride <= gap for x, y in zip(index[a:b], index[a + 1:b], strict=False))
+        read += span
+    # what is read beyond the points' own blocks are the gaps passed over
+    assert read <= len(index) * (stride + gap)
+
+
+def test_evaluate_over_a_cube_file_never_moves_the_cube(spark):
+    cube = bi.read_binary_cube(spark, cube_file(300, 6), 6, partition_bytes=100 * 6 * 8 * 4)
+    pts = some_points(spark, 300)
+    for df in (pr.evaluate(cube, pts, P), pr.predictions(cube, pts, P)):
+        text = plan(df)
+        assert "errorcube" not in text.lower() and "BatchScan" not in text and "Join" not in text
+        below = text[text.rindex("MapInArrow"):]
+        assert "rangepartitioning(global_index" in below and "err_flow1" not in below.split("Exchange", 1)[1]
+    assert norm(pr.evaluate(cube, pts, P).collect()) == norm(pr.evaluate(cube.select("*"), pts, P).collect())
+
+
+def test_seek_of_scattered_repeated_and_foreign_points(spark, monkeypatch):
+    path = cube_file(500, 3)
+    data = np.fromfile(path, np.float32).reshape(500, 3, 8)
+    rows = [(g, k) for k, g in enumerate([0, 499, 7, 7, 8, 250, 251, 499, 500, 9999, -1, None])]
+    points = spark.createDataFrame(rows, "global_index long, k int").repartition(3)
+    for file in (bi.CubeFile(path, 3), bi.CubeFile(path, 3, partition_bytes=2000), bi.CubeFile(path, 3, start=8, end=300)):
+        got = file.seek(points, ("err_speed8", "err_flow1")).collect()
+        lo, hi = file.bounds()
+        assert sorted(r["k"] for r in got) == [k for g, k in rows if g is not None and lo <= g < hi]
+        for r in got:
+            assert np.array_equal(r["err_flow1"], data[r["global_index"], :, 0]) and np.array_equal(r["err_speed8"], data[r["global_index"], :, 7])
+    with pytest.raises(ProtocolError, match="no measures"):
+        bi.CubeFile(path, 3).seek(points, ("err_flow3",))
+    assert bi.CubeFile(path, 3).seek(points.limit(0)).count() == 0
+
+
+def test_bounds_narrow_one_scan_of_a_cube_file(spark):
+    stride = 4 * 8 * 4
+    cube = bi.read_binary_cube(spark, cube_file(100, 4), 4, partition_bytes=10 * stride)
+    narrow = sc.index_range(cube, some_points(spark).filter("global_index BETWEEN 20 AND 39"))
+    assert cube.rdd.getNumPartitions() == 10 and narrow.rdd.getNumPartitions() <= 3
+    assert narrow.agg(F.min("global_index"), F.max("global_index")).first()[:] == (21, 38) or narrow.count() <= 20
+    assert cube.count() == 100 and cube.rdd.getNumPartitions() == 10
+    two = sc.index_range(bi.read_binary_cube(spark, cube_file(100, 4), 4, measures=["err_speed2"]), some_points(spark))
+    assert two.columns == ["global_index", "err_speed2"]
+
+
+def test_vectors_side_by_side(spark):
+    d = tempfile.mkdtemp(prefix="condfuse-vec-")
+    a, b = np.arange(1000) % 7, (np.arange(1200) % 5 == 0)
+    np.save(f"{d}/a.npy", a.astype(np.int64))
+    np.save(f"{d}/b.npy", b.astype(np.int8))
+    (np.arange(1000, dtype=np.int32) * 2).tofile(f"{d}/c.bin")
+    df = bi.read_vectors(spark, {"missing": f"{d}/a.npy", "label": f"{d}/b.npy", "raw": f"{d}/c.bin"}, end=1000)
+    assert [tuple(r) for r in df.orderBy("global_index").collect()] == [(k, int(a[k]), int(b[k]), 2 * k) for k in range(1000)]
+    assert "Exchange" not in plan(df) and plan(df).count("Scan") == 1
+    assert df.filter("raw = 6").count() == 1 and df.count() == 1000
+    with pytest.raises(Exception, match="unequal length"):
+        bi.read_vectors(spark, {"a": f"{d}/a.npy", "b": f"{d}/b.npy"}).count()
+    with pytest.raises(Exception, match="outside the file"):
+        bi.read_vectors(spark, {"a": f"{d}/a.npy", "b": f"{d}/b.npy"}, end=1100).count()
+
+
+def test_points_of_the_command_line_have_no_exchange(spark):
+    d = tempfile.mkdtemp(prefix="condfuse-pts-")
+    np.save(f"{d}/m.npy", np.zeros(480, np.int64))
+    np.save(f"{d}/{SCENARIOS[2][2]}", np.arange(480) % 2)
+    a = cli.parse(["3", "2", "0", "0", "0", "--cube-dir", d, "--flag-dir", d, "--missing-flags", f"{d}/m.npy", "--out", d, "--days", "10", "--per-day", "48"])
+    points = cli.read_points(spark, a, os.path.join(d, SCENARIOS[2][2]))
+    assert "Exchange" not in plan(points) and "Join" not in plan(points)
+    assert points.count() == 480 - 48 - cli.MAX_HORIZON
+
+
+# ---------------------------------------------------------------- folds and run groups
+
+
+def test_one_position_gives_the_folds_of_every_count(spark):
+    scen = st.b_scenario_points(spark, SF_SMALL)
+    placed = fo.fold_positions(scen, 42, group_cols=["scenario"])
+    text = plan(placed)
+    assert text.count("row_number()") >= 1 and "Generate" not in text[text.index("Window"):text.index("row_number()")]
+    for k in (2, 7, 10):
+        want = {(r["scenario"], r["global_index"], r["fold"]) for r in fo.stratified_folds(scen, k, 42, group_cols=["scenario"]).collect()}
+        assert {(r["scenario"], r["global_index"], r["f"]) for r in placed.withColumn("f", fo.fold_of(F.col("position"), k)).collect()} == want
+
+
+@given(hs.lists(hs.integers(1, 40), max_size=30), hs.integers(1, 60))
+def test_packed_groups(sizes, limit):
+    items = list(enumerate(sizes))
+    groups = pr.packed(items, lambda x: x[1], limit)
+    assert [x for g in groups for x in g] == items
+    assert all(len(g) == 1 or sum(n for _, n in g) <= limit for g in groups)
+    assert all(sum(n for _, n in a) + b[0][1] > limit for a, b in zip(groups, groups[1:], strict=False))
+
+
+def test_run_groups_give_the_same_report(spark, monkeypatch):
+    cube, scen = st.b_cube(spark, SF_SMALL), st.b_scenario_points(spark, SF_SMALL)
+    args = (cube, scen, [1, 2, 3], [2, 3], ["Top25Percent", "Top3"], Protocol(seed=42))
+    want = norm(pr.sweep(*args).collect())
+    passes = []
+    score_sums = pr.score_sums
+    monkeypatch.setattr(pr, "score_sums", lambda *a, **k: passes.append(a) or score_sums(*a, **k))
+    monkeypatch.setattr(ev, "WEIGHT_BYTES", 3 * 3 * 2 * 32 * 8 * 8 + 1)
+    monkeypatch.setattr(sc, "TASK_SUM_BYTES", 2 * (3 + 2 + 3) * 32 * 8 * 8)
+    assert norm(pr.sweep(*args).collect()) == want
+    assert len(passes) == 2
+
+
+def test_all_methods_fold_counts_and_modes_in_one_call(spark, monkeypatch):
+    """13 scenarios x 9 fold counts x 7 modes, in several groups, against single runs."""
+    cube = bi.read_binary_cube(spark, cube_file(80, 4), 4)
+    scen = spark.createDataFrame([(s, k, int((k * 3 + s) % 7 < 2 + s % 3), 0) for s in range(13) for k in range(80)],
+                                 "scenario int, global_index long, label int, missing int")
+    monkeypatch.setattr(ev, "WEIGHT_BYTES", 1 << 21)
+    p = Protocol(seed=42, fraction=0.5, measures=("err_flow1",))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", ProtocolWarning)
+        got = {(r["scenario"], r["cv_fold_nr"], r["mode"], r["label"], r["metric"]): r["weighted_err_flow1"]
+               for r in pr.sweep(cube, scen, range(13), range(2, 11), list(TOP_MODES), p, fraction=0.5).collect()}
+        assert len(got) == 13 * 9 * 7 * 21
+        for s, k, mode in ((0, 2, "Top1"), (12, 10, "TopXPercent")):
+            one = Protocol(folds=k, seed=42, mode=mode, fraction=0.5, measures=("err_flow1",))
+            for r in pr.cv_report(cube, scen.filter(F.col("scenario") == s).drop("scenario"), one).collect():
+                assert got[s, k, mode, r["label"], r["metric"]] == pytest.approx(r["weighted_err_flow1"], abs=1e-9)
+
+
+# ---------------------------------------------------------------- validation in passing
+
+
+def test_applied_weights_need_every_cube_row(spark):
+    whole = bi.read_binary_cube(spark, cube_file(60, 4), 4)
+    pts = some_points(spark)
+    weights = pr.fit_weights(whole, pts, P)
+    assert pr.apply_weights(whole, pts, weights, P).count() == 120
+    for cut in (whole.filter("global_index < 50"), bi.read_binary_cube(spark, cube_file(50, 4), 4)):
+        with pytest.raises(ProtocolError, match="10 points have no cube row"):
+            pr.apply_weights(cut, pts, weights, P)
+    with pytest.raises(ProtocolError, match="1 cube rows repeat"):
+        pr.apply_weights(whole.unionByName(whole.filter("global_index = 5")), pts, weights, P)
+
+
+def test_trimmed_points_bound_the_test_pass(spark):
+    cube = st.a_cube(spark, SF_SMALL)
+    path = f"{tempfile.mkdtemp(prefix='condfuse-trim-')}/cube"
+    cube.write.parquet(path)
+    pts = fo.stratified_folds(st.a_points(spark, SF_SMALL).filter("global_index BETWEEN 30 AND 90"), 3, 42)
+    stored = spark.read.parquet(path)
+    text = plan(pr.apply_weights(stored, pts, pr.fit_weights(stored, pts, P), P))
+    assert "GreaterThanOrEqual(global_index,3" in text and "LessThanOrEqual(global_index," in text
+
+
+def notes(call):
+    with warnings.catch_warnings(record=True) as found:
+        warnings.simplefilter("always")
+        call()
+    return [str(w.message) for w in found if issubclass(w.category, ProtocolWarning)]
+
+
+def test_a_run_reports_what_is_odd_about_its_inputs(spark):
+    cube = bi.read_binary_cube(spark, cube_file(60, 4), 4).select("*")
+    pts = some_points(spark)
+    assert notes(lambda: pr.evaluate(cube, pts, P)) == []
+    thin = pts.filter("global_index % 10 <> 7")
+    assert notes(lambda: pr.evaluate(cube.filter("global_index % 10 <> 7"), thin, P)) == ["the cube index has gaps: 6 or more of 0..59 have no row"]
+    extra = cube.unionByName(cube.filter("global_index = 7"))
+    assert notes(lambda: pr.fit_weights(extra, thin, P)) == ["the cube repeats 1 or more indexes of 0..59"]
+    rare = pts.filter("label = 0 OR global_index < 4")
+    found = notes(lambda: pr.fit_weights(cube, rare, P))
+    assert any("smallest class has only 2 members" in x for x in found) and any("class 1 has no test points" in x for x in found)
+    with pytest.raises(ProtocolError, match="greater than"):
+        pr.evaluate(cube, pts.filter("global_index < 2"), P)
+    swept = thin.drop("fold").withColumn("scenario", F.lit(4))
+    assert any("run (4, 9)" in x for x in notes(lambda: pr.sweep(cube, swept.filter("label = 0 OR global_index < 8"), [4], [2, 9], ["All"], P)))
+
+
+def test_rows_of_unequal_length_are_an_error(spark):
+    cube = bi.read_binary_cube(spark, cube_file(60, 4), 4)
+    odd = cube.withColumns({m: F.when(F.col("global_index") == 30, F.slice(m, 1, 3)).otherwise(F.col(m)) for m in MEASURES})
+    with pytest.raises(Exception, match="same.* number of configs|config counts differ"):
+        pr.evaluate(odd, some_points(spark), P)
+
+
+def test_empty_sets_are_named(spark):
+    pts = spark.createDataFrame([(k, int(k == 3), 0, k % 3 + 1) for k in range(12)], "global_index long, label int, missing int, fold int")
+    found = notes(lambda: fo.split_sizes(pts, 3))
+    assert found == ["class 1 has no test points in 2 of 3 folds", "class 1 has no training points for one fold"] and me.METRICS and O

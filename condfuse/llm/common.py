@@ -60,13 +60,14 @@ def bucketed_rank(df: DataFrame, by: list[str], order: list[Column], spread: Col
     """Add ``name``: the 0-based gapless rank of each row within its ``by`` class.
 
     ``by`` must have few classes (its counts are broadcast); a class may hold any share of the rows.
-    It is split into buckets of about ``per_task`` rows by the hash ``spread``; bucket counts give the
-    offsets and ``row_number`` runs inside a bucket only.  Rows go by bucket, then by ``order``.
+    It is split into buckets of about ``per_task`` rows, ranges of the 64-bit hash ``spread``; bucket counts
+    give the offsets and ``row_number`` runs inside a bucket only.  Rows go by ``spread``, then by the rest of ``order``
+    (which must begin with it), whatever the number of buckets.
     ``df`` is read three times, so it should be a written table.
     """
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).cast("long").alias("_nb"))
     rows = df.join(F.broadcast(sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_nb")), [df[c].eqNullSafe(F.col(f"_by_{c}")) for c in by])
-    rows = rows.drop(*[f"_by_{c}" for c in by]).withColumn("_bucket", F.pmod(spread, F.col("_nb"))).drop("_nb")
+    rows = rows.drop(*[f"_by_{c}" for c in by]).withColumn("_bucket", F.floor((spread.cast("double") / 2.0**64 + 0.5) * F.col("_nb"))).drop("_nb")
     part = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     part = part.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

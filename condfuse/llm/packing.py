@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,8 @@ def _coder(name: str):
     """Token ids of a text by the vocabulary ``name`` of the public tokenizers, loaded once per process.
 
     ``tiktoken`` reads the same vocabulary as ranks and gives the ids of ``tokenizers`` (the tests compare them) in a
-    quarter of the time; texts that it refuses go to ``tokenizers``.
+    quarter of the time.  Texts that it refuses, and texts with the string of a special token, which ``tokenizers``
+    turns into that token, go to ``tokenizers``.
     """
     if name not in _coders:
         import public_tokenizers
@@ -37,16 +39,14 @@ def _coder(name: str):
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow: list[Tokenizer] = []
+        slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
         def encode(text: str) -> list[int]:
-            try:
-                return fast.encode_ordinary(text)
-            except Exception:  # noqa: BLE001  the pattern engine gives up on very long runs
-                if not slow:
-                    slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
-                    slow[0].encode_special_tokens = True
-                return slow[0].encode(text, add_special_tokens=False).ids
+            if not any(t in text for t in special):
+                with contextlib.suppress(Exception):  # the pattern engine gives up on very long runs
+                    return fast.encode_ordinary(text)
+            return slow.encode(text, add_special_tokens=False).ids
 
         _coders[name] = encode
     return _coders[name]
@@ -111,10 +111,7 @@ def _sweep(state: DataFrame, items: dict[int, int], gaps: dict[int, int]) -> Dat
         level -= items.get(size, 0)
     ends = F.broadcast(state.sparkSession.createDataFrame(classes, "_kind int, _size long, level0 long"))
     spread = F.xxhash64("id", "slot")
-    if max([*items.values(), *gaps.values()]) > PER_TASK:
-        ranked = bucketed_rank(cut(state, "pack-wide"), ["kind", "size"], [spread, F.col("id"), F.col("slot")], spread, name="rank", per_task=PER_TASK)
-    else:
-        ranked = state.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "size").orderBy(spread, "id", "slot")) - 1)
+    ranked = bucketed_rank(cut(state, "pack-wide"), ["kind", "size"], [spread, F.col("id"), F.col("slot")], spread, name="rank", per_task=PER_TASK)
     ranked = ranked.join(ends, (F.col("kind") == F.col("_kind")) & (F.col("size") == F.col("_size")))
     at = F.when(F.col("kind") == 0, F.col("level0") + F.col("rank") + 1).otherwise(F.col("level0") - F.col("rank"))
     line = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")

@@ -8,26 +8,31 @@ from pyspark.sql.window import Window
 
 from condfuse.llm.common import bucketed_rank, cut
 
-BUCKETS = 1024  # hash buckets in which a shard's arrivals are counted against its room
+IDLE = 2  # rounds without a move after which cut links are released, or the rounds end
+RELEASES = 2
+BUCKETS = 128  # hash buckets in which a shard's arrivals are counted against its room
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, *, rounds: int = 8, links: list[str] | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, *, rounds: int = 24, links: list[str] | None = None, report: list[dict] | None = None) -> DataFrame:
     """Put documents into ``shards`` shards whose row counts differ by one at most (law ``rows``):
     ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Documents with an equal link key are linked: equal texts, and equal values of each column named in
-    ``links``.  A linked document belongs to a unit, the members of its largest link or, where that is
-    large, a part of them of about a quarter shard; a unit starts in the shard that the hash of the link picks, the
-    parts of a large link in as many shards as hold it.  In each round a link counts its members by
-    shard (pre-aggregated, so a hot link costs each task a few rows), every linked document adds up
-    the counts of its links, and wants the shard with most of its neighbours among its own and those
-    with room.  Arrivals fill the room by counted hash buckets of units; who does not fit stays, or without a shard
-    tries another one in the next round.  Rounds end when no document moves.  Then documents without links, and
-    what found no shard, fill every shard to its exact quota.
+    ``links``.  Linked documents start apart, each where the hash of its row points.  In each round a link counts its
+    members by shard (pre-aggregated, so a hot link costs each task a few rows), every linked document adds up the counts of
+    its links and wants the shard with most of its neighbours; ties go by the hash of link and shard, so both ends of
+    a pair want the same one.  In every other round a small link only looks at shards that would have room for all of it, its
+    neighbours' or another one, and a large one at shards with room.  What may move is
+    counted by shard left, shard wanted and hash bucket of the unit (the members of a document's largest link or,
+    where that is large, a part of them of about a quarter shard); each shard lets in as many buckets as it has room for, counting
+    those who leave.  When two rounds move no one, small links
+    that are still cut leave their shards and are placed anew as a whole; the second time after that the rounds end.  Then documents without links, and what found no
+    shard, fill every shard to its exact quota.
 
     ``size`` is the UTF-8 length plus 8, ``slot`` a gapless number inside the shard, ``grown_shard`` null.  A null
     text has size 8 and is linked with nothing, empty texts are equal texts.  Repeated rows are rows like others.
-    Null ids are allowed.  An empty table gives no rows; columns not named are not read.
+    Null ids are allowed.  An empty table gives no rows; columns not named are not read.  A list given as
+    ``report`` gets the linked pairs and those cut, before and after each round.
     """
     body = F.coalesce("text", F.lit(""))
     keys = [F.when(F.col("text").isNotNull(), F.concat(F.lit("text:"), F.md5("text")))]
@@ -44,45 +49,105 @@ def shard_rows(docs: DataFrame, shards: int = 24, *, rounds: int = 8, links: lis
     shared = facts.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = cut(facts.select("row", F.explode("keys").alias("key")).join(cut(shared, "shard-shared"), "key"), "shard-links")
     main = member.groupBy("row").agg(F.max(F.struct("n", "key")).alias("m")).select("row", "m.n", "m.key")
-    quarters = F.when(F.col("n") * 4 > room, F.ceil(F.col("n") / F.lit(max(1, room))) * 4).otherwise(1)
-    part = F.pmod(F.xxhash64("row"), quarters)
-    unit = F.xxhash64("key", part)
-    first = F.pmod(F.xxhash64("key") + F.floor(part / 4), F.lit(shards)).cast("int")
-    units = cut(main.select("row", unit.alias("unit"), F.lit(None).cast("int").alias("shard"), first.alias("want")), "shard-units")
-    state = _fit(units.drop("want"), units, {}, room, shards)
-    for _ in range(rounds):
-        loads = dict(state.where("shard IS NOT NULL").groupBy("shard").count().collect())  # one row per shard
+    quarters = F.when(F.col("n") * 2 > room, F.ceil(F.col("n") / F.lit(max(1, room))) * 4).otherwise(1)
+    unit = F.xxhash64("key", F.pmod(F.xxhash64("row"), quarters))
+    state = cut(main.select("row", "key", "n", unit.alias("unit"), F.lit(None).cast("int").alias("shard")), "shard-units")
+    apart = state.withColumn("want", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(-1), "row"), F.lit(BUCKETS)))
+    state, _ = _moved(state, cut(apart, "shard-moves"), room, shards)
+    if report is not None:
+        report.append(cut_pairs(member, state))
+    idle = released = 0
+    for k in range(rounds):
+        loads = _loads(state)
         spare = {s: room - loads.get(s, 0) for s in range(shards)}
         # a quarter shard holds any unit; less room is only tried when no shard has that much
-        most = min(max(spare.values()) * 4, room)
-        free = sorted((s for s in spare if spare[s] > 0 and spare[s] * 4 >= most), key=lambda s: (-spare[s], s))
+        free = sorted((s for s in spare if spare[s] > 0 and spare[s] * 4 >= min(max(spare.values()) * 4, room)), key=lambda s: (-spare[s], s))
         # a link's members by shard, at most one entry for each; then each document's neighbours by shard
-        by_link = member.select("row", "key").join(state.where("shard IS NOT NULL"), "row").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
-        hist = cut(by_link.groupBy("key").agg(F.collect_list(F.struct("shard", "n")).alias("hist")), "shard-hist")
-        seen = member.select("row", "key").join(hist, "key").select("row", F.explode("hist").alias("h")).groupBy("row", F.col("h.shard").alias("to")).agg(F.sum("h.n").alias("n"))
-        here = F.col("to").eqNullSafe(F.col("shard"))
-        usable = seen.join(state, "row").where(here | F.col("to").isin(free) if free else here)
-        best = usable.groupBy("row").agg(F.max(F.struct("n", here.alias("here"), (-F.col("to")).alias("neg"))).alias("b"))
-        # without any, a unit tries one of the emptier shards
-        tries = F.element_at(F.array(*[F.lit(s) for s in free[: max(1, len(free) // 2)]]), (F.pmod("unit", F.lit(max(1, len(free) // 2))) + 1).cast("int")) if free else F.lit(None)
-        wish = state.join(best, "row", "left").withColumn("want", F.coalesce(-F.col("b.neg"), F.when(F.col("shard").isNull(), tries)).cast("int")).drop("b")
-        moving = cut(wish.where("want IS NOT NULL AND NOT want <=> shard"), "shard-moves")
+        by_link = cut(member.select("row", "key").join(state.where("shard IS NOT NULL").select("row", "shard"), "row").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), "shard-hist")
+        hist = by_link.groupBy("key").agg(F.collect_list(F.struct("shard", "n")).alias("hist"))
+        seen = member.select("row", "key").join(hist, "key").select("row", F.explode("hist").alias("h")).groupBy("row", F.col("h.shard").alias("to")).agg(F.sum("h.n").alias("near"))
+        near = seen.join(state, "row")
+        room_at = lambda shard: F.element_at(F.array(*[F.lit(spare[s]) for s in range(shards)]), shard + 1)
+        small = F.col("n") * 2 <= room
+        if k % 2:
+            # a small link only looks where all of it would have room, a large one where there is any
+            here = F.col("to").eqNullSafe(F.col("shard"))
+            near = near.where(F.when(small, room_at(F.col("to")) >= F.col("n") - F.col("near")).otherwise(here | (F.col("to").isin(free) if free else F.lit(False))))
+        best = near.groupBy("row").agg(F.max(F.struct("near", F.xxhash64("key", "to").alias("tie"), "to")).alias("b")).select("row", F.col("b.to").alias("best"))
+        wish = state.join(best, "row", "left")
+        want = F.col("best")
+        if free:
+            # without such a shard a unit tries one of the emptier ones
+            some = free[: max(1, len(free) // 2)]
+            tries = F.element_at(F.array(*[F.lit(s) for s in some]), (F.pmod(F.xxhash64(F.lit(k), F.when(small, F.xxhash64("key")).otherwise(F.col("unit"))), F.lit(len(some))) + 1).cast("int"))
+            lost = F.when(small, (F.col("shard").isNull() | F.lit(k % 2 == 1)) & (room_at(tries) >= F.col("n"))).otherwise(F.col("shard").isNull())
+            want = F.coalesce("best", F.when(lost, tries))
+        wish = wish.withColumn("want", want).drop("best")
+        moving = wish.where("want IS NOT NULL AND NOT want <=> shard").withColumn("bucket", F.pmod(F.xxhash64(F.lit(k), "unit"), F.lit(BUCKETS)))
+        moving = cut(moving, "shard-moves")
         if moving.isEmpty():
+            if k % 2 == 0:
+                break
+            continue
+        state, moves = _moved(state, moving, room, shards)
+        if report is not None:
+            report.append({"moves": moves, **cut_pairs(member, state)})
+        idle = 0 if moves else idle + 1
+        if idle == IDLE and released == RELEASES:
             break
-        state = _fit(state, moving, loads, room, shards)
-    return _deal(facts, state, total, shards)
+        if idle == IDLE:
+            # small links that are still cut leave their shards, and look for one again as a whole
+            idle, released = 0, released + 1
+            most = by_link.groupBy("key").agg(F.max("n").alias("most"))
+            leave = small & (F.coalesce("most", F.lit(0)) < F.col("n"))
+            state = cut(state.join(most, "key", "left").select("row", "key", "n", "unit", F.when(~leave, F.col("shard")).alias("shard")), "shard-state")
+    return _deal(facts, state.select("row", "shard"), total, shards)
 
 
-def _fit(state: DataFrame, moving: DataFrame, loads: dict[int, int], room: int, shards: int) -> DataFrame:
-    """``state`` after as many units of ``moving(row, unit, want)`` as their wished shards have room for."""
-    bucket = F.pmod(F.xxhash64("unit"), F.lit(BUCKETS))
-    counts = moving.groupBy("want", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("want").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    spare = F.element_at(F.array(*[F.lit(max(0, room - loads.get(s, 0))) for s in range(shards)]), F.col("want") + 1)
-    # at most shards * BUCKETS rows
-    fits = counts.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= spare).select(F.col("want").alias("_want"), F.col("bucket").alias("_bucket"))
-    accepted = moving.join(F.broadcast(fits), (F.col("want") == F.col("_want")) & (bucket == F.col("_bucket"))).select("row", F.col("want").alias("to"))
-    return cut(state.join(accepted, "row", "left").select("row", "unit", F.coalesce("to", "shard").alias("shard")), "shard-state")
+def _loads(state: DataFrame) -> dict[int, int]:
+    return dict(state.where("shard IS NOT NULL").groupBy("shard").count().collect())  # one row per shard
+
+
+def cut_pairs(member: DataFrame, state: DataFrame) -> dict[str, int]:
+    """Linked pairs, and those of them that stand in different shards or have no shard yet."""
+    spread = member.select("row", "key").join(state.select("row", "shard"), "row").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda n: (n * (n - 1) / 2).cast("decimal(38,0)")
+    whole = F.when(F.col("shard").isNotNull(), pairs(F.col("n"))).otherwise(F.lit(0).cast("decimal(38,0)"))
+    r = spread.groupBy("key").agg(pairs(F.sum("n")).alias("all"), F.sum(whole).alias("whole")).agg(F.sum("all").alias("all"), F.sum("whole").alias("whole")).first()
+    return {"pairs": int(r["all"] or 0), "cut": int((r["all"] or 0) - (r["whole"] or 0))}
+
+
+def _limits(counts: list[tuple[int | None, int, int, int]], loads: dict[int, int], room: int, shards: int) -> tuple[list[int], int]:
+    """How many buckets each shard lets in, and the moves that makes.  ``counts`` has the documents that
+    want to go (from, to, bucket, n).  Limits only fall: one that lets in too many is lowered, which
+    keeps others from leaving, until no shard holds more than ``room``."""
+    upto: dict[tuple, list[int]] = {}
+    for left, to, bucket, n in counts:
+        upto.setdefault((left, to), [0] * (BUCKETS + 1))[bucket + 1] += n
+    for sums in upto.values():
+        for k in range(BUCKETS):
+            sums[k + 1] += sums[k]
+    limit, falls = [BUCKETS] * shards, True
+    while falls:
+        falls = False
+        for to in range(shards):
+            leaving = sum(sums[limit[t]] for (left, t), sums in upto.items() if left == to)
+            spare = room - loads.get(to, 0) + leaving
+            arriving = [sums for (_, t), sums in upto.items() if t == to]
+            while limit[to] and sum(sums[limit[to]] for sums in arriving) > max(spare, 0):
+                limit[to] -= 1
+                falls = True
+    return limit, sum(sums[limit[to]] for (_, to), sums in upto.items())
+
+
+def _moved(state: DataFrame, moving: DataFrame, room: int, shards: int) -> tuple[DataFrame, int]:
+    """``state`` after as many of the units in ``moving(row, shard, want, bucket)`` as their wished shards let in, and how many rows that are."""
+    counts = moving.groupBy("shard", "want", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most shards^2 * BUCKETS rows
+    limit, moves = _limits([tuple(r) for r in counts], _loads(state), room, shards)
+    if not moves:
+        return state, 0
+    let_in = moving.where(F.col("bucket") < F.element_at(F.array(*[F.lit(x) for x in limit]), F.col("want") + 1)).select("row", F.col("want").alias("to"))
+    return cut(state.join(let_in, "row", "left").select("row", "key", "n", "unit", F.coalesce("to", "shard").alias("shard")), "shard-state"), moves
 
 
 def _deal(facts: DataFrame, state: DataFrame, total: int, shards: int) -> DataFrame:
@@ -92,7 +157,7 @@ def _deal(facts: DataFrame, state: DataFrame, total: int, shards: int) -> DataFr
     for s in range(shards):
         end += total // shards + (s < total % shards) - loads.get(s, 0)
         ends.append(end)
-    rows = cut(facts.drop("keys").join(state.drop("unit"), "row", "left"), "shard-rows")
+    rows = cut(facts.drop("keys").join(state, "row", "left"), "shard-rows")
     spread = F.xxhash64("row")
     loose = bucketed_rank(rows.where("shard IS NULL").drop("shard").withColumn("all", F.lit(0)), ["all"], [spread, F.col("row")], spread, name="place").drop("all")
     pick = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("place")))

@@ -15,6 +15,9 @@ from condfuse.llm.common import SPACE, carried, cut, released
 
 PER_TASK = 64  # later documents that one copy of an earlier document meets
 FOLDED = 200_000  # lines whose holders a task folds at a time
+PATIENCE = 4  # rounds of patience diff; passages that they leave out of order are taken run by run
+_PRIME, _BASE = (1 << 127) - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835 % ((1 << 127) - 1)
+_powers = [1]
 
 
 def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -31,6 +34,18 @@ def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def run_keys(lines: list[bytes], runs: list[tuple[int, int]]) -> list[int]:
+    """A 127-bit key for each run (start, end) of lines, equal for equal lines: differences of a rolling sum, so a
+    key costs the same however long its run."""
+    sums = [0]
+    for h in lines:
+        sums.append((sums[-1] * _BASE + int.from_bytes(h[:16], "little") + 1) % _PRIME)
+    longest = max((hi - lo for lo, hi in runs), default=0)
+    while len(_powers) <= longest:
+        _powers.append(_powers[-1] * _BASE % _PRIME)
+    return [(sums[hi] - sums[lo] * _powers[hi - lo]) % _PRIME for lo, hi in runs]
+
+
 def heaviest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Of ``(i, j, weight)`` the chain that rises in both and weighs most (a Fenwick tree over j)."""
     pairs = sorted(pairs)
@@ -97,33 +112,56 @@ def common_blocks(a: list[bytes], b: list[bytes], words_a: list[int], words_b: l
 
     The lines of both that lie in shared runs are aligned by patience diff (the chain of anchors with the
     most words); anchors grow into blocks over equal neighbours.  What is left, such as passages in another order, is aligned
-    again; if no anchor leads to a block, the next shared run itself does.
+    again, a few times; then each shared run that is left grows by itself.  Work follows the number of lines, also where
+    one line repeats throughout.
     """
     at_a = defaultdict(list)
-    for lo, hi in spans(words_a, min_words):
-        at_a[b"".join(a[lo:hi])].append((lo, hi))
-    left = [(lo, hi, at_a[k]) for lo, hi in spans(words_b, min_words) if (k := b"".join(b[lo:hi])) in at_a]
+    runs = spans(words_a, min_words)
+    for k, run in zip(run_keys(a, runs), runs, strict=True):
+        at_a[k].append(run)
+    runs = spans(words_b, min_words)
+    left = [(*run, k) for k, run in zip(run_keys(b, runs), runs, strict=True) if k in at_a]
     dead = np.zeros(len(b), bool)
     blocks = []
 
-    while left:
-        ia = sorted({i for *_, where in left for lo, hi in where for i in range(lo, hi)})
-        ib = sorted({j for lo, hi, _ in left for j in range(lo, hi) if not dead[j]})
-        found, upto = [], 0
+    def take(lo: int, hi: int) -> None:
+        dead[lo:hi] = True
+        blocks.append((lo, hi))
+
+    for _ in range(PATIENCE):
+        if not left:
+            break
+        in_a, in_b = np.zeros(len(a) + 1, int), np.zeros(len(b) + 1, int)
+        for k in {k for *_, k in left}:
+            for lo, hi in at_a[k]:
+                in_a[lo] += 1
+                in_a[hi] -= 1
+        for lo, hi, _ in left:
+            in_b[lo] += 1
+            in_b[hi] -= 1
+        ia = np.flatnonzero(np.cumsum(in_a[:-1]) > 0).tolist()
+        ib = np.flatnonzero((np.cumsum(in_b[:-1]) > 0) & ~dead).tolist()
+        upto = 0
         for i, j in _anchors(a, b, ia, ib, words_b):
             if j >= upto:
                 lo, upto = _grown(a, b, i, j)
                 if sum(words_b[lo:upto]) >= min_words:
-                    found.append((lo, upto))
-        if not any(not dead[lo:hi].all() for lo, hi in found):
-            found = [_grown(a, b, left[0][2][0][0], left[0][0])]
-        for lo, hi in found:
-            dead[lo:hi] = True
-        blocks += found
-        left = [x for x in left if not dead[x[0] : x[1]].all()]
+                    take(lo, upto)
+        left = _alive(left, dead)
+    upto = 0  # runs rise, so lines before the end of the last block taken are dead if the next run starts inside it
+    for lo, hi, k in left:
+        if hi > upto and not dead[max(lo, upto) : hi].all():
+            take(*_grown(a, b, at_a[k][0][0], lo))
+            upto = blocks[-1][1]
     return _merged(blocks)
 
 
+def _alive(runs: list[tuple[int, int, int]], dead: np.ndarray) -> list[tuple[int, int, int]]:
+    """The runs with a line that is not dead."""
+    gone = np.concatenate([[0], np.cumsum(dead)])
+    return [x for x in runs if gone[x[1]] - gone[x[0]] < x[1] - x[0]]
+
+
 def rare_blocks(a: list[bytes], b: list[bytes], words_b: list[int], rare: set[bytes]) -> list[tuple[int, int]]:
     """Runs of lines of ``b`` (start, end) that stand in ``a`` as well and hold a line of ``rare``, of any length.
 
@@ -170,7 +208,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 lines = raw.as_py().split(b"\n")
                 words = [len(x.split()) for x in lines]
                 digest = [xxhash.xxh3_128_digest(x) for x in lines]
-                found = {xxhash.xxh3_64_intdigest(b"".join(digest[lo:hi])) - (1 << 63) for lo, hi in spans(words, min_words)}
+                found = {(k & ((1 << 64) - 1)) - (1 << 63) for k in run_keys(digest, spans(words, min_words))}
                 hashes.append(b"".join(digest))
                 counts.append(np.array(words, "<i4").tobytes())
                 seeds.append(sorted(found))
@@ -242,8 +280,10 @@ def _rare_pairs(facts: DataFrame, rare: int) -> DataFrame:
     if not facts.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         held = held.dropDuplicates(["doc_id", "th"])  # a repeated row is one holder
     id_type = facts.schema["doc_id"].dataType.simpleString()
-    held = held.mapInArrow(_holders(rare), f"line long, n long, held array<struct<doc_id:{id_type},th:bigint,long:boolean>>")
-    held = held.groupBy("line").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("held")).alias("all")).where(F.col("n").between(2, rare))
+    held = cut(held.mapInArrow(_holders(rare), f"line long, n long, held array<struct<doc_id:{id_type},th:bigint,long:boolean>>"), "line-holders")
+    # counted first: only the holders of rare lines, at most ``rare`` of each, are gathered
+    counts = held.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n").between(2, rare)).select(F.col("line").alias("_line"))
+    held = held.where(F.col("n") <= rare).join(counts, F.col("line") == F.col("_line"), "left_semi").groupBy("line").agg(F.flatten(F.collect_list("held")).alias("all"))
     late = held.select("line", "all", F.explode("all").alias("b")).where("b.long")
     early = late.select("line", "b", F.explode(F.filter("all", lambda f: f["doc_id"] < F.col("b.doc_id"))).alias("f"))
     return early.select("b.doc_id", "b.th", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"), "line")

@@ -1,5 +1,6 @@
 import random
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -121,6 +122,36 @@ def test_common_blocks_equal_all_shared_runs():
         assert kept == runs_removed(texts, 50)[1]
 
 
+@pytest.mark.parametrize("case", range(6))
+def test_long_texts_of_repeated_lines(case):
+    """100,000 lines in seconds: one line throughout, blank lines, passages in reverse order."""
+    block = [[f"line {i} of block {k} with words" for i in range(8)] for k in range(10_000)]
+    flat = lambda q: [x for y in q for x in y]
+    a, b, gone = [
+        (["two words"] * 100_000, ["two words"] * 100_000, 100_000),
+        (["two words"] * 100_000, ["two words"] * 70_000 + ["x"] + ["two words"] * 30_000, 100_000),
+        (flat(block), flat(block[::-1]), 80_000),
+        ([""] * 90_000 + ["one word"] * 30, ["one word"] * 30 + [""] * 90_000, 30),
+        ((["w"] + [""] * 1000) * 90, (["w"] + [""] * 1000) * 90, 90 * 1001),
+        (["a b c"] * 20, ["a b c"] * 90_000, 90_000),
+    ][case]
+    rare = {x.encode() for x in a[:1]}
+    began = time.time()
+    found = linedup.shared_blocks(*[[x.encode() + b"\0" for x in t] for t in (a, b)], *[[len(x.split()) for x in t] for t in (a, b)], 50, rare)
+    assert time.time() - began < 30 and sum(hi - lo for lo, hi in found) == gone
+
+
+def test_run_keys_are_those_of_the_lines():
+    rng = random.Random(3)
+    lines = [rng.choice([b"a", b"b", b"", b"ab"]) + b"\0" for _ in range(200)]
+    runs = [(lo, lo + n) for lo in range(0, 190, 3) for n in (0, 1, 2, 7)]
+    by_key, by_lines = defaultdict(set), defaultdict(set)
+    for run, k in zip(runs, linedup.run_keys(lines, runs), strict=True):
+        by_key[k].add(run)
+        by_lines[tuple(lines[slice(*run)])].add(run)
+    assert sorted(map(sorted, by_key.values())) == sorted(map(sorted, by_lines.values()))
+
+
 def test_line_dedup_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linedup, "PER_TASK", 3)
     rng = random.Random(4)

@@ -64,15 +64,14 @@ def fit(docs: DataFrame, *, sample: int = 2048, landmarks: int = 128, ridge: flo
     """The model from a bounded sample of the labelled rows that are not held out.
 
     ``sample`` bounds the rows over all languages, ``landmarks`` those kept as Nystroem points; each language
-    gives an equal part of both, its rows with the smallest id hash.  None if no row is labelled.
+    gives an equal part of both, its rows with the smallest id hash.  Of more than ``landmarks`` languages
+    those with most labelled rows are learned (ties: code-point order).  None if no row is labelled.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().limit(sample + 1).collect()  # one row per language
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(min(landmarks, sample)).collect()  # one row per language
     if not counts:
         return None
-    if len(counts) > sample:
-        raise ValueError(f"more than {sample} languages")
     quota = max(1, sample // len(counts))
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     share = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 3 * quota / r["count"] + 0.0)) for r in counts], "_lang string, share double"))

@@ -15,10 +15,16 @@ from condfuse.llm.common import carried, cut, read_table, released
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; texts that are null or have no letter go."""
+    """Documents in which a language is found; texts that are null or have no letter go.  A document
+    without ``lang`` gets the predicted one.  Where no document is labelled there is nothing to predict;
+    all texts with a letter then stay as they are."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = ("stage held out", "stage language", "stage score")
-    found = langid.identify(docs, names=names).where(F.col("`stage language`") != langid.UNKNOWN)
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = langid.identify(docs, model, names=names).where(F.col("`stage language`") != langid.UNKNOWN)
+    lang = F.coalesce("lang", F.col("`stage language`")).alias("lang")
+    return found.select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +37,15 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group.  Of rows that repeat its id and text
-    one stays; rows without id stay where no document of their group has one."""
-    groups = simhash.simhash_groups(docs, shingle=3, radius=3)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """One document of each SimHash group: that with the smallest id, of several texts under it that with the
+    smallest text hash.  A document without id stays only where its whole group has none.  Of rows that
+    repeat id and text one stays."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"))
+    groups = simhash.simhash_groups(docs.select(key.alias("doc_id"), "text"), shingle=3, radius=3)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.doc_id", F.col("doc_id.h").alias("first_h")).distinct()
     rows = carried(docs).withColumn("id", F.col("row.doc_id")).withColumn("h", F.xxhash64("row.text"))
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("first_h")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))  # a task keeps one row of each before the shuffle
     return released(kept.withColumn("place", place).where("place = 1"), docs.columns)
 
 

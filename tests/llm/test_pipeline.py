@@ -98,6 +98,37 @@ def test_mix_repeated_rows_share_their_copies(spark, folder):
     assert mixed.count() == copies
 
 
+def test_languages_fill_what_is_missing(spark, folder):
+    """A null lang becomes the predicted one; known ones stay; no clean document goes."""
+    from tests.llm.test_text import labelled
+
+    rows = [(d, t, None if d % 5 == 0 else g, s, n) for d, t, g, s, n in labelled(300)] + [(900, "12 34", None, "s", 1), (901, None, "en", "s", 1)]
+    truth = {d: g for d, _, g, *_ in labelled(300)}
+    got = {r.doc_id: r.lang for r in cp.keep_languages(spark, odd_frame(spark, rows), folder).collect()}
+    assert got.keys() == truth.keys() and all(got[d] == g for d, g in truth.items() if d % 5)
+    filled = [d for d in truth if d % 5 == 0]
+    assert sum(got[d] == truth[d] for d in filled) >= 0.95 * len(filled)
+
+
+def test_nothing_is_lost_where_no_document_is_labelled(spark, folder):
+    rows = [(d, t, None, s, n) for d, t, _, s, n in odd_documents()]
+    got = cp.keep_languages(spark, odd_frame(spark, rows), folder)
+    want = [r for r in rows if r[1] is not None and any(c.isalpha() for c in r[1])]
+    assert rows_of(got) == Counter((r[0], r[1], None, r[3]) for r in want) and len(want) > 40
+
+
+def test_one_document_of_each_near_group(spark, folder):
+    """Also where ids are null or used twice."""
+    base = prose(5, 600, line=600)
+    near = lambda k: base[:k].upper() + base[k:]  # noqa: E731  other texts of one fingerprint
+
+    rows = [(7, near(1), "en", "s", 1), (7, "quite another text", "en", "s", 1), (9, near(2), "en", "s", 1), (None, near(3), "en", "s", 1), (None, near(3), "en", "s", 1),
+            (7, near(4), "en", "t", 1), (None, prose(6, 300), "en", "s", 1), (None, prose(6, 300), "en", "u", 1), (None, "words without a twin", None, None, None)]
+    got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), folder).collect()]
+    assert len(got) == 4 and {t for _, t in got} >= {"quite another text", prose(6, 300), "words without a twin"}
+    assert sum(d == 7 and t in (near(1), near(4)) for d, t in got) == 1
+
+
 @pytest.mark.parametrize("name,stage", cp.STAGES)
 def test_stage_of_nothing(spark, folder, name, stage):
     assert stage(spark, spark.createDataFrame([], DOCS), folder).count() == 0
@@ -111,7 +142,7 @@ def test_other_columns_pass_through(spark, folder, name, stage):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
@@ -128,7 +159,7 @@ def test_bytes_that_are_no_utf8(spark, folder):
     df.write.parquet(f"{folder}/documents.parquet")
     n = df.count()
     for name, query in queries.QUERIES.items():
-        if name not in ("op2_warc", "op10_vectors"):
+        if name not in ("op2_warc", "op10_vectors", "op11_codes", "op12_whitening"):
             got = query(spark, folder).count()
             assert got == n or (name == "op9_pack" and got >= n), name
     assert cp.run(spark, folder).count() > 0

@@ -243,3 +243,36 @@ def test_training_sample_is_bounded(spark):
     assert model["names"] == ["de", "en", "fr"] and len(model["points"]) <= 12
     assert langid.fit(docs.where(F.lit(False))) is None
     assert Counter(r.lang_pred for r in langid.identify(docs, model).collect()).keys() <= {"de", "en", "fr"}
+
+
+def test_the_most_frequent_of_many_languages_are_learned(spark):
+    rows = [(k, speech(k, "en", 12), f"dirty {k}", "s", 1) for k in range(400)] + [(1000 + d, t, g, s, n) for d, t, g, s, n in labelled(90)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), sample=60, landmarks=12)
+    assert len(model["names"]) == 12 and {"de", "en", "fr"} <= set(model["names"])
+
+
+def test_kernel_ridge_against_plain_numpy(spark):
+    """Landmarks are all training rows here, so the features are exact: the scores are those of ridge regression on the kernel matrix."""
+    import numpy as np
+
+    rows = [r for r in labelled(60) if zlib.crc32(str(r[0]).encode()) % 4 != 2][:24]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(docs, sample=300, landmarks=300, ridge=0.3)
+    grams = []
+    for r in rows:
+        bits = np.zeros(1 << langid.BITS, np.uint8)
+        assert langid.presence(r[1], bits)
+        grams.append(set(np.flatnonzero(bits).tolist()))
+    names, n = sorted({r[2] for r in rows}), len(rows)
+    assert model["names"] == names and len(model["points"]) == n
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    y = np.array([[float(r[2] == name) for name in names] for r in rows])
+    even = np.array([1 / y.sum(0)[names.index(r[2])] for r in rows])
+    # minimise the weighted squares of K c + b - y, plus ridge c' K c, b (all but) free
+    lam = 0.3 / len(names) / 10
+    big = np.block([[k @ (even[:, None] * k) + lam * k, (k @ even)[:, None]], [(even @ k)[None, :], np.array([[even.sum() + 1e-9]])]])
+    c = np.linalg.solve(big + 1e-12 * np.eye(n + 1), np.vstack([k @ (even[:, None] * y), even @ y]))
+    want = np.clip(k @ c[:-1] + c[-1], 0, 1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for i, r in enumerate(rows):
+        assert got[r[0]][0] == names[want[i].argmax()] and abs(got[r[0]][1] - want[i].max()) < 1e-3

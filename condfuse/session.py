@@ -2,17 +2,20 @@
 
 A cluster session is built by its owner; library code only reads settings.
 ``shared_dir`` is the folder named by ``spark.checkpoint.dir``, which driver
-and executors share. A fresh local folder is used only where that is unset
-(one machine).
+and executors share. Where that is unset, a local master gets a fresh folder of
+its own and any other is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+from condfuse.model import ProtocolError
+
 _own: list[str] = []
 
 
@@ -37,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that later jobs read (``spark.checkpoint.dir``)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ProtocolError("spark.checkpoint.dir is not set; a cluster needs a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="condfuse-"))
     return _own[0]

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from condfuse.llm.common import cut
+
 CHUNK_SCHEMA = (
     "record_id string, warc_type string, target_uri string, refers_to string, declared_digest string, "
     "chunk_no int, chunk binary, bytes_so_far long, sha1_so_far string, last boolean"
@@ -37,10 +39,11 @@ def write_warc(records: DataFrame, path: str, *, segment_chars: int = 65_536, da
         "payload_digest",
         "refers_to",
     )
-    segments = F.greatest(F.ceil(n_chars / F.lit(segment_chars)), F.lit(1)).cast("int")
-    rows = rows.withColumn("segments", segments).withColumn("total", F.octet_length("payload"))
-    rows = rows.withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("segments"))))
-    rows = rows.withColumn("block", F.col("payload").substr((F.col("segment") - 1) * segment_chars + 1, F.lit(segment_chars)))
+    # one pass over the payload, whatever its number of segments
+    blocks = F.when(n_chars > segment_chars, F.regexp_extract_all("payload", F.lit(f"(?s).{{1,{segment_chars}}}"), F.lit(0))).otherwise(F.array("payload"))
+    rows = rows.select("record_id", "target_uri", "payload_digest", "refers_to", F.octet_length("payload").alias("total"), blocks.alias("blocks"))
+    rows = rows.select("*", F.size("blocks").alias("segments"), F.posexplode("blocks").alias("segment", "block")).drop("blocks")
+    rows = rows.withColumn("segment", F.col("segment") + 1)
 
     def line(name: str, value, when=None):
         text = F.concat(F.lit(f"{name}: "), value, F.lit(end))
@@ -122,7 +125,8 @@ def read_warc(spark: SparkSession, path: str, *, chunk_bytes: int = 1 << 20) ->
 
     ``bytes_so_far`` and ``sha1_so_far`` run along a record; the row with ``last`` has them for the
     whole payload.  A task reads an archive from its first byte, as compressed text is not split; it
-    holds one line and one chunk.  A broken archive raises ``ValueError``.
+    holds one line of the archive and one chunk.  In archives of ``write_warc`` a line is at most a segment; in others a
+    payload without line ends is one line.  A broken archive raises ``ValueError``.
     """
     names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 
@@ -152,7 +156,8 @@ def read_warc(spark: SparkSession, path: str, *, chunk_bytes: int = 1 << 20) ->
 
 def archive_pages(pages: DataFrame, path: str, *, min_revisit_bytes: int = 1000) -> DataFrame:
     """Write one record per ``pages(page_id, url, html)`` row to ``path`` and return the records read back:
-    ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+    ``page_id, payload_bytes, payload_digest, record_type, refers_to``.  The archives are read once, to a narrow table of
+    their records, where revisits find their responses.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes the one with the largest
     ``page_id`` is the response and the others revisit it; a null ``page_id`` never is the one referred to
@@ -179,6 +184,7 @@ def archive_pages(pages: DataFrame, path: str, *, min_revisit_bytes: int = 1000)
     )
     write_warc(records, path)
     read = read_warc(spark, path).where("last").select("record_id", "warc_type", "refers_to", "declared_digest", "bytes_so_far", "sha1_so_far")
+    read = cut(read, "warc")
     target = (
         read.where("warc_type = 'response'")
         .groupBy(F.col("record_id").alias("t_id"), F.col("sha1_so_far").alias("t_digest"))

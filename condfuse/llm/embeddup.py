@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,29 @@ VALUES = 1 << 22  # projections held at once
 
 
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim, count]).standard_normal((dim, count)).astype(np.float32)
+    rng, out = np.random.default_rng([seed, dim, count]), np.empty((dim, count), np.float32)
+    for row in out:  # one row in double precision at a time
+        row[:] = rng.standard_normal(count)
+    return out
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def packed_rows(x: np.ndarray) -> list[bytes]:
+    """Each vector's bytes, in single precision where that is exact (as the components of a float column are)."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    exact = (single == x).all(1)
+    return [(s if e else v).tobytes() for s, v, e in zip(single, x, exact, strict=True)]
+
+
+def unpacked_rows(raw: list[bytes], dim: int) -> np.ndarray:
+    if all(len(r) == 4 * dim for r in raw):
+        return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(float)
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else float).astype(float) for r in raw])
 
 
 def lines_of(unit: np.ndarray, lines: np.ndarray, tops: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +70,7 @@ def calibrate(sample: np.ndarray, lines: np.ndarray, cosine: float, recall: floa
 
     Each sampled vector gets a partner turned by the limit angle in a random direction.  The window holds 99.5 % of
     their distances on shared lines; the fewest lines are taken with which a count of two (or else one)
-    keeps ``recall`` of the pairs.
+    keeps ``recall`` of the pairs.  A warning tells if none does.
     """
     noise = np.random.default_rng([seed, 1]).standard_normal(sample.shape)
     noise -= (noise * sample).sum(1, keepdims=True) * sample
@@ -62,6 +85,8 @@ def calibrate(sample: np.ndarray, lines: np.ndarray, cosine: float, recall: floa
         for count in (2, 1):
             if (hits >= count).mean() >= recall:
                 return {"tops": tops, "half": half, "count": count}
+    kept = float((hits >= 1).mean())
+    warnings.warn(f"{kept:.3f} of the pairs planted at cosine {cosine} collide on 48 lines, fewer than the wanted {recall}", stacklevel=2)
     return {"tops": 48, "half": half, "count": 1}
 
 
@@ -137,8 +162,7 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
     for dim in [r["d"] for r in classes.select(F.size("vec").alias("d")).distinct().collect()]:  # the lengths in use
         taken = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("vec"), "cid").limit(SAMPLE).select("vec").collect()
         x = np.array([r["vec"] for r in taken], float)
-        x /= np.abs(x).max(1, keepdims=True)
-        rules[dim] = calibrate(x / np.linalg.norm(x, axis=1, keepdims=True), directions(dim, count, seed), cosine, recall, seed)
+        rules[dim] = calibrate(unit_rows(x), directions(dim, count, seed), cosine, recall, seed)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, np.ndarray] = {}
@@ -152,26 +176,24 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
                         lines[dim] = directions(dim, count, seed)
                     picked = [k for k, v in enumerate(vecs) if len(v) == dim]
                     x = np.array([vecs[k] for k in picked], float)
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    line, value = lines_of(x, lines[dim], rules[dim]["tops"])
+                    line, value = lines_of(unit_rows(x), lines[dim], rules[dim]["tops"])
                     tops = line.shape[1]
                     owner = np.repeat(np.arange(len(picked)), tops)
-                    packed = [[a.tobytes() for a in m] for m in (x, line, value.astype(np.float32))]
+                    packed = [packed_rows(x), *([a.tobytes() for a in m] for m in (line, value.astype(np.float32)))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(owner), dim, np.int32)), pa.array(line.reshape(-1)), pa.array(value.reshape(-1).astype(np.float32))]
                         + [batch.column(c).take(pa.array([picked[o] for o in owner], pa.int64())) for c in (1, 2)]
                         + [pa.array([m[o] for o in owner], pa.binary()) for m in packed],
-                        ["dim", "line", "at", "cid", "n", "unit", "on", "values"],
+                        ["dim", "line", "at", "cid", "n", "vec", "on", "values"],
                     )
 
-    spots = classes.select("vec", "cid", "n").mapInArrow(project, "dim int, line int, at float, cid long, n long, unit binary, on binary, values binary")
+    spots = classes.select("vec", "cid", "n").mapInArrow(project, "dim int, line int, at float, cid long, n long, vec binary, on binary, values binary")
     spots = cut(spots, "lines")
     long = spots.groupBy("dim", "line").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb")).where("nb > 1")
     long = long.select(F.col("dim").alias("_dim"), F.col("line").alias("_line"), "nb")  # at most rows * tops / BLOCK lines
     spots = spots.join(long, (F.col("dim") == F.col("_dim")) & (F.col("line") == F.col("_line")), "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     spots = spots.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spots = spots.select("dim", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "at", "own", "cid", "n", "unit", "on", "values")
+    spots = spots.select("dim", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "at", "own", "cid", "n", "vec", "on", "values")
     keys = ["dim", "line", "i", "j"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +204,7 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
             k, dim = t.num_rows, int(key[0])
             flat = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(k, -1)
             (a, n), (b, root) = _linked(
-                flat("unit", np.float64), flat("on", np.int32), flat("values", np.float32), t.column("own").to_numpy(), t.column("n").to_numpy(), t.column("cid").to_numpy(), int(key[1]), int(key[2]), int(key[3]), rules[dim], cosine
+                unit_rows(unpacked_rows(t.column("vec").to_pylist(), dim)), flat("on", np.int32), flat("values", np.float32), t.column("own").to_numpy(), t.column("n").to_numpy(), t.column("cid").to_numpy(), int(key[1]), int(key[2]), int(key[3]), rules[dim], cosine
             )
             nothing = pa.nulls(len(a), pa.int64())
             return pa.RecordBatch.from_arrays(

@@ -256,3 +256,20 @@ def test_planted_pairs_at_the_limit_are_calibrated():
         rule = embeddup.calibrate(x, lines, 0.9, 0.97, 11)
         other = embeddup.calibrate(x[:200], lines, 0.9, 0.97, 12)
         assert rule["count"] >= 1 and abs(rule["half"] - other["half"]) < 0.3
+
+
+def test_vectors_travel_exactly():
+    """Single precision where it is exact, double where not, and what is computed from them is the same."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.standard_normal((3, 8)).astype(np.float32).astype(float), rng.standard_normal((2, 8)), np.full((1, 8), 1e300), np.full((1, 8), 1e-300)])
+    raw = embeddup.packed_rows(x)
+    assert [len(r) for r in raw] == [32] * 3 + [64] * 4
+    assert (embeddup.unpacked_rows(raw, 8) == x).all() and (embeddup.unpacked_rows(raw[:3], 8) == x[:3]).all()
+    assert np.allclose(np.linalg.norm(embeddup.unit_rows(x), axis=1), 1)
+
+
+def test_calibration_that_misses_the_recall_warns():
+    x = np.random.default_rng(6).standard_normal((50, 512))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    with pytest.warns(UserWarning, match="fewer than the wanted"):
+        embeddup.calibrate(x, embeddup.directions(512, 1 << 13, 11), 0.3, 0.999, 11)

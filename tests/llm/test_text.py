@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,43 @@ def test_language_of_held_out_documents(spark):
     assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in again} == {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in got}
 
 
+def _slots(text):
+    """The presence slots of a text, n-gram by n-gram."""
+    kept = "".join(c if c.isalpha() else " " for c in text.lower()).lstrip(" ")
+    points, size = [ord(c) for c in re.sub(" +", " ", kept)], 1 << 32
+    out = set()
+    for i, c in enumerate(points):
+        out.add(c * 2654435769 % size >> 18)
+        if i + 1 < len(points):
+            two = c * 2246822519 % size ^ points[i + 1] * 3266489917 % size
+            out.add(two * 2654435769 % size >> 18)
+            if i + 2 < len(points):
+                out.add((two * 374761393 % size ^ points[i + 2] * 668265263 % size) * 2654435769 % size >> 18)
+    return out
+
+
+def test_kernel_ridge_against_plain_numpy(spark):
+    """Scores equal those of a regression written out: sets for the kernel, a triangular Nystroem root, least squares."""
+    rows = [r for r in labelled(240)] + [(900, "12 34", "en", "s", 1)]
+    got = {r.doc_id: r for r in langid.identify(odd_frame(spark, rows), landmarks=30).collect()}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and _slots(r[1])]
+    unit = lambda r: int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16)
+    marks = [_slots(r[1]) for g in ("de", "en", "fr") for r in sorted((r for r in train if r[2] == g), key=unit)[:10]]
+    kernel = lambda xs, ys: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in ys] for x in xs])
+    root = np.linalg.inv(np.linalg.cholesky(kernel(marks, marks))).T
+    names = ["de", "en", "fr"]
+    phi = kernel([_slots(r[1]) for r in train], marks) @ root
+    y = np.array([[r[2] == n for n in names] for r in train], float)
+    even = np.sqrt([1 / sum(q[2] == r[2] for q in train) for r in train])[:, None]
+    left = np.vstack([even * np.hstack([phi, np.ones((len(phi), 1))]), np.hstack([np.eye(30) * 0.01**0.5, np.zeros((30, 1))])])  # 0.3 over 3 languages over 10
+    w = np.linalg.lstsq(left, np.vstack([even * y, np.zeros((30, 3))]), rcond=None)[0]
+    for r in rows[:-1]:
+        values = np.clip(kernel([_slots(r[1])], marks) @ root @ w[:-1] + w[-1], 0, 1)[0]
+        assert abs(got[r[0]].score - values.max()) < 1e-3
+        assert got[r[0]].lang_pred == names[values.argmax()] or np.sort(values)[-2] > values.max() - 1e-3
+    assert got[900].lang_pred == "und"
+
+
 def test_language_odd_rows(spark):
     docs = odd_frame(spark)
     got = langid.identify(docs).collect()

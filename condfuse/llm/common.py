@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,12 @@ def released(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session without that setting (tests, one machine) gets a folder of its own.
+    Where it is unset, a session on one machine gets a folder of its own and any other is an error.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="corpus-"))
     return _own_folder[0]

@@ -90,13 +90,12 @@ def calibrate(sample: np.ndarray, lines: np.ndarray, cosine: float, recall: floa
     return {"tops": 48, "half": half, "count": 1}
 
 
-def _linked(vec, line, value, own, weight, cid, here: int, i: int, j: int, rule: dict, cosine: float):
-    """Links among the rows of one line (sorted by value): (class, weight of its links) and a tree of links.
+def _handled(line, value, own, here: int, i: int, j: int, rule: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one line (sorted by value) that collide often enough, in parts.
 
     A pair is counted on all lines of its rows but handled on the first on which it collides, so once.
     """
-    half, k = rule["half"], len(cid)
-    total, root = np.zeros(k, np.int64), np.arange(k)
+    half, k = rule["half"], len(line)
     at = np.take_along_axis(value, (line == here).argmax(1)[:, None], 1)[:, 0]
     ends = np.searchsorted(at, at + np.float32(half), side="right")
     reach = ends - np.arange(k) - 1
@@ -113,25 +112,55 @@ def _linked(vec, line, value, own, weight, cid, here: int, i: int, j: int, rule:
             a, b = first[lo : lo + PAIRS], second[lo : lo + PAIRS]
             hit = collisions(line[a], value[a], line[b], value[b], half)
             mine = (hit.sum(1) >= rule["count"]) & (line[a, hit.argmax(1)] == here) & hit.any(1)
-            a, b = a[mine], b[mine]
-            near = np.einsum("ij,ij->i", vec[a], vec[b]) >= cosine
-            a, b = a[near], b[near]
-            np.add.at(total, a, weight[b])
-            np.add.at(total, b, weight[a])
-            while True:
-                ra, rb = root[a], root[b]
-                apart = ra != rb
-                if not apart.any():
-                    break
-                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-                np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-                while (root[root] != root).any():
-                    root = root[root]
+            yield a[mine], b[mine]
+
+
+def _linked(vec, weight, cid, pairs, cosine: float):
+    """Links among ``pairs`` of rows: (class, weight of its links) and a tree of links."""
+    k = len(cid)
+    total, root = np.zeros(k, np.int64), np.arange(k)
+    for a, b in pairs:
+        near = np.einsum("ij,ij->i", vec[a], vec[b]) >= cosine
+        a, b = a[near], b[near]
+        np.add.at(total, a, weight[b])
+        np.add.at(total, b, weight[a])
+        while True:
+            ra, rb = root[a], root[b]
+            apart = ra != rb
+            if not apart.any():
+                break
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (root[root] != root).any():
+                root = root[root]
     moved = np.flatnonzero(root != np.arange(k))
     some = np.flatnonzero(total)
     return (cid[some], total[some]), (cid[moved], cid[root[moved]])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Runs of rows with equal values in the first ``keys`` columns, two rows or more."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ks = np.stack([batch.column(c).to_numpy() for c in range(keys)], axis=1)
+        cuts = np.flatnonzero((ks[1:] != ks[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(ks)], strict=True):
+            if held and not (ks[lo] == key).all():
+                if sum(h.num_rows for h in held) > 1:
+                    yield key, pa.Table.from_batches(held)
+                held = []
+            key = ks[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held and sum(h.num_rows for h in held) > 1:
+        yield key, pa.Table.from_batches(held)
+
+
+def _flat(t: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
+
+
 def _usable(vec: Column) -> Column:
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
@@ -140,11 +169,12 @@ def _usable(vec: Column) -> Column:
 def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97, seed: int = 11) -> DataFrame:
     """One row per vector of ``rows(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``.
 
-    Equal vectors are folded to a class first.  Random directions give many sorted lines; a vector stands
-    on those where its projection is largest in size, as there the lines are thin, and its window on a line holds the rows
-    near its own value.  Pairs are counted over all lines and verified by their cosine in double precision if they
+    Equal vectors (by SHA-256 of their components) are folded to a class first.  Random directions give many sorted
+    lines; a vector stands on those where its projection is largest in size, as there the lines are thin, and its window
+    on a line holds the rows near its own value.  Pairs are counted over all lines and verified by their cosine in double precision if they
     collide as often as ``calibrate`` asks for the wanted recall.  A row carries all its lines, so a pair is counted where it meets
-    and leaves no row: a task returns links per class and a tree of links.  The number of directions follows
+    and leaves no row.  That happens twice: first without vectors, which gives the rows of each line that have a pair to verify
+    there; only to those the vector is brought, and a task returns links per class and a tree of links.  The number of directions follows
     the number of vectors, so lines stay of one length; a line that is long all the same is split in blocks.
 
     Vectors that are null, empty, zero or hold null, NaN or infinite components link with nothing.  Vectors of
@@ -153,14 +183,17 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
     """
     spark = rows.sparkSession
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).withColumn("vec", F.when(_usable(F.col("vec")), F.col("vec")))
-    classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # no negative zero
+    rows = cut(rows.withColumn("key", F.sha2(F.col("vec").cast("string"), 256)).withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.min("rid").alias("cid"), F.min(F.size("vec")).alias("dim"))
+    classes = cut(classes, "vector-classes")
     total = classes.count()
     # lines of about 64 rows: the directions double as the vectors do
     count = 1 << min(16, max(8, (max(total, 1) // 12).bit_length()))
     rules = {}
-    for dim in [r["d"] for r in classes.select(F.size("vec").alias("d")).distinct().collect()]:  # the lengths in use
-        taken = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("vec"), "cid").limit(SAMPLE).select("vec").collect()
+    for dim in [r["dim"] for r in classes.select("dim").distinct().collect()]:  # the lengths in use
+        taken = classes.where(F.col("dim") == dim).orderBy("key").limit(SAMPLE).select("key", "cid")
+        taken = rows.select("rid", "vec").join(F.broadcast(taken), F.col("rid") == F.col("cid")).orderBy("key").select("vec").collect()
         x = np.array([r["vec"] for r in taken], float)
         rules[dim] = calibrate(unit_rows(x), directions(dim, count, seed), cosine, recall, seed)
 
@@ -178,61 +211,58 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
                     x = np.array([vecs[k] for k in picked], float)
                     line, value = lines_of(unit_rows(x), lines[dim], rules[dim]["tops"])
                     tops = line.shape[1]
-                    owner = np.repeat(np.arange(len(picked)), tops)
-                    packed = [packed_rows(x), *([a.tobytes() for a in m] for m in (line, value.astype(np.float32)))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(owner), dim, np.int32)), pa.array(line.reshape(-1)), pa.array(value.reshape(-1).astype(np.float32))]
-                        + [batch.column(c).take(pa.array([picked[o] for o in owner], pa.int64())) for c in (1, 2)]
-                        + [pa.array([m[o] for o in owner], pa.binary()) for m in packed],
-                        ["dim", "line", "at", "cid", "n", "vec", "on", "values"],
-                    )
-
-    spots = classes.select("vec", "cid", "n").mapInArrow(project, "dim int, line int, at float, cid long, n long, vec binary, on binary, values binary")
-    spots = cut(spots, "lines")
+                    owner, size = np.repeat(np.arange(len(picked)), tops), len(picked)
+                    own = [batch.column(c).take(pa.array(picked, pa.int64())) for c in (1, 2)]
+                    packed = [[a.tobytes() for a in m] for m in (line, value.astype(np.float32))]
+                    at_lines = [pa.array(line.reshape(-1)), pa.array(value.reshape(-1).astype(np.float32)), *(c.take(pa.array(owner)) for c in own)]
+                    at_lines += [pa.array([m[o] for o in owner], pa.binary()) for m in packed]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), dim, np.int32)), *at_lines, pa.nulls(len(owner), pa.binary())], spot.names)
+                    nothing = [pa.nulls(size, f.type) for f in spot]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, dim, np.int32)), *nothing[1:3], own[0], *nothing[4:7], pa.array(packed_rows(x), pa.binary())], spot.names)
+
+    spot = pa.schema([("dim", pa.int32()), ("line", pa.int32()), ("at", pa.float32()), ("cid", pa.int64()), ("n", pa.int64()), ("on", pa.binary()), ("values", pa.binary()), ("vec", pa.binary())])
+    # one row per class and line without the vector, and one per class with it
+    ones = rows.select("rid", "vec").join(classes.select("cid", "n"), F.col("rid") == F.col("cid")).select("vec", "cid", "n")
+    written = cut(ones.mapInArrow(project, "dim int, line int, at float, cid long, n long, on binary, values binary, vec binary"), "lines")
+    spots, vectors = written.where("line IS NOT NULL").drop("vec"), written.where("line IS NULL").select(F.col("cid").alias("_cid"), "vec")
     long = spots.groupBy("dim", "line").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb")).where("nb > 1")
     long = long.select(F.col("dim").alias("_dim"), F.col("line").alias("_line"), "nb")  # at most rows * tops / BLOCK lines
     spots = spots.join(long, (F.col("dim") == F.col("_dim")) & (F.col("line") == F.col("_line")), "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     spots = spots.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spots = spots.select("dim", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "at", "own", "cid", "n", "vec", "on", "values")
+    spots = spots.select("dim", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "at", "own", "cid", "n", "on", "values")
     keys = ["dim", "line", "i", "j"]
 
+    def pairs(key: np.ndarray, t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        dim, here, i, j = (int(v) for v in key)
+        return _handled(_flat(t, "on", np.int32), _flat(t, "values", np.float32), t.column("own").to_numpy(), here, i, j, rules[dim])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def links():
-            t = pa.Table.from_batches(held)
-            k, dim = t.num_rows, int(key[0])
-            flat = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(k, -1)
-            (a, n), (b, root) = _linked(
-                unit_rows(unpacked_rows(t.column("vec").to_pylist(), dim)), flat("on", np.int32), flat("values", np.float32), t.column("own").to_numpy(), t.column("n").to_numpy(), t.column("cid").to_numpy(), int(key[1]), int(key[2]), int(key[3]), rules[dim], cosine
-            )
+        for key, t in _groups(batches, 4):
+            paired = np.zeros(t.num_rows, bool)
+            for a, b in pairs(key, t):
+                paired[a] = paired[b] = True
+            if paired.any():
+                yield from t.filter(pa.array(paired)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _groups(batches, 4):
+            vec = unit_rows(unpacked_rows(t.column("vec").to_pylist(), int(key[0])))
+            (a, n), (b, root) = _linked(vec, t.column("n").to_numpy(), t.column("cid").to_numpy(), pairs(key, t), cosine)
             nothing = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())]), pa.concat_arrays([nothing, pa.array(root, pa.int64())]), pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(len(b), pa.int64())])],
                 ["a", "b", "n"],
             )
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ks = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
-            cuts = np.flatnonzero((ks[1:] != ks[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(ks)], strict=True):
-                if held and not (ks[lo] == key).all():
-                    if sum(h.num_rows for h in held) > 1:
-                        yield links()
-                    held = []
-                key = ks[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held and sum(h.num_rows for h in held) > 1:
-            yield links()
-
-    found = cut(spots.repartition(*keys).sortWithinPartitions(*keys, "at", "cid").mapInArrow(meet, "a long, b long, n long"), "vector-links")
+    order = [*keys, "at", "cid"]
+    paired = cut(spots.repartition(*keys).sortWithinPartitions(*order).mapInArrow(meet, spots.schema), "vector-pairs")
+    paired = paired.join(vectors, F.col("cid") == F.col("_cid")).drop("_cid")
+    found = cut(paired.repartition(*keys).sortWithinPartitions(*order).mapInArrow(verify, "a long, b long, n long"), "vector-links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("_cid")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     least = placed.groupBy("root").agg(F.min("low").alias("component"))
-    known = placed.join(links, F.col("cid") == F.col("_cid"), "left").join(least, "root").select(F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
-    out = rows.join(known, F.col("vec") == F.col("_vec"), "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))
+    known = placed.join(links, F.col("cid") == F.col("_cid"), "left").join(least, "root").select(F.col("key").alias("_key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
+    out = rows.select("vec_id", "key").join(known, F.col("key") == F.col("_key"), "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -16,6 +16,7 @@ SAMPLE = 512  # vectors that the collision count is calibrated on
 BLOCK = 4096  # rows of one sorted line compared in one task
 PAIRS = 1 << 17  # pairs held at once while counting
 VALUES = 1 << 22  # projections held at once
+SIGNS = 256  # further projections that a pair is counted on by their signs
 
 
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
@@ -60,6 +61,18 @@ def lines_of(unit: np.ndarray, lines: np.ndarray, tops: int) -> tuple[np.ndarray
     return np.take_along_axis(line, order, 1).astype(np.int32), np.take_along_axis(np.abs(got), order, 1)
 
 
+def signs_of(unit: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The signs of the projections, packed into bytes."""
+    return np.packbits(unit.astype(np.float32) @ lines > 0, axis=1)
+
+
+def most_apart(cosine: float) -> int:
+    """How many of ``SIGNS`` signs may differ at ``cosine``: each does with the angle's share of a half turn; four deviations
+    above the mean, which one in 30,000 pairs at the limit passes, and fewer of the closer ones."""
+    share = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
+    return int(np.ceil(SIGNS * share + 4 * np.sqrt(SIGNS * share * (1 - share))))
+
+
 def collisions(la: np.ndarray, va: np.ndarray, lb: np.ndarray, vb: np.ndarray, half: float) -> np.ndarray:
     """For pairs of rows, whether each line of the first collides: shared with the second and inside the window."""
     return ((la[:, :, None] == lb[:, None, :]) & (np.abs(va[:, :, None] - vb[:, None, :]) <= half)).any(2)
@@ -90,10 +103,10 @@ def calibrate(sample: np.ndarray, lines: np.ndarray, cosine: float, recall: floa
     return {"tops": 48, "half": half, "count": 1}
 
 
-def _handled(line, value, own, here: int, i: int, j: int, rule: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _handled(line, value, signs, own, here: int, i: int, j: int, rule: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one line (sorted by value) that collide often enough, in parts.
 
-    A pair is counted on all lines of its rows but handled on the first on which it collides, so once.
+    Signs are counted first, as they tell most pairs apart at the least cost.  A pair is counted on all lines of its rows but handled on the first on which it collides, so once.
     """
     half, k = rule["half"], len(line)
     at = np.take_along_axis(value, (line == here).argmax(1)[:, None], 1)[:, 0]
@@ -110,6 +123,8 @@ def _handled(line, value, own, here: int, i: int, j: int, rule: dict) -> Iterato
             first, second = first[cross], second[cross]
         for lo in range(0, len(first), PAIRS):
             a, b = first[lo : lo + PAIRS], second[lo : lo + PAIRS]
+            close = np.bitwise_count(signs[a] ^ signs[b]).sum(1) <= rule["apart"]
+            a, b = a[close], b[close]
             hit = collisions(line[a], value[a], line[b], value[b], half)
             mine = (hit.sum(1) >= rule["count"]) & (line[a, hit.argmax(1)] == here) & hit.any(1)
             yield a[mine], b[mine]
@@ -172,7 +187,8 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
     Equal vectors (by SHA-256 of their components) are folded to a class first.  Random directions give many sorted
     lines; a vector stands on those where its projection is largest in size, as there the lines are thin, and its window
     on a line holds the rows near its own value.  Pairs are counted over all lines and verified by their cosine in double precision if they
-    collide as often as ``calibrate`` asks for the wanted recall.  A row carries all its lines, so a pair is counted where it meets
+    collide as often as ``calibrate`` asks for the wanted recall, and if the signs of 256 further projections agree as often as
+    they do at ``cosine`` (``most_apart``).  A row carries all its lines, so a pair is counted where it meets
     and leaves no row.  That happens twice: first without vectors, which gives the rows of each line that have a pair to verify
     there; only to those the vector is brought, and a task returns links per class and a tree of links.  The number of directions follows
     the number of vectors, so lines stay of one length; a line that is long all the same is split in blocks.
@@ -195,10 +211,11 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
         taken = classes.where(F.col("dim") == dim).orderBy("key").limit(SAMPLE).select("key", "cid")
         taken = rows.select("rid", "vec").join(F.broadcast(taken), F.col("rid") == F.col("cid")).orderBy("key").select("vec").collect()
         x = np.array([r["vec"] for r in taken], float)
-        rules[dim] = calibrate(unit_rows(x), directions(dim, count, seed), cosine, recall, seed)
+        rules[dim] = calibrate(unit_rows(x), directions(dim, count, seed), cosine, recall, seed) | {"apart": most_apart(cosine)}
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, np.ndarray] = {}
+        sides: dict[int, np.ndarray] = {}
         step = max(16, VALUES // count)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
@@ -206,35 +223,36 @@ def near_vectors(rows: DataFrame, *, cosine: float = 0.9, recall: float = 0.97,
                 vecs = batch.column(0).to_pylist()
                 for dim in sorted({len(v) for v in vecs}):
                     if dim not in lines:
-                        lines[dim] = directions(dim, count, seed)
+                        lines[dim], sides[dim] = directions(dim, count, seed), directions(dim, SIGNS, seed + 1)
                     picked = [k for k, v in enumerate(vecs) if len(v) == dim]
                     x = np.array([vecs[k] for k in picked], float)
-                    line, value = lines_of(unit_rows(x), lines[dim], rules[dim]["tops"])
+                    unit = unit_rows(x)
+                    line, value = lines_of(unit, lines[dim], rules[dim]["tops"])
                     tops = line.shape[1]
                     owner, size = np.repeat(np.arange(len(picked)), tops), len(picked)
                     own = [batch.column(c).take(pa.array(picked, pa.int64())) for c in (1, 2)]
-                    packed = [[a.tobytes() for a in m] for m in (line, value.astype(np.float32))]
+                    packed = [[a.tobytes() for a in m] for m in (line, value.astype(np.float32), signs_of(unit, sides[dim]))]
                     at_lines = [pa.array(line.reshape(-1)), pa.array(value.reshape(-1).astype(np.float32)), *(c.take(pa.array(owner)) for c in own)]
                     at_lines += [pa.array([m[o] for o in owner], pa.binary()) for m in packed]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), dim, np.int32)), *at_lines, pa.nulls(len(owner), pa.binary())], spot.names)
                     nothing = [pa.nulls(size, f.type) for f in spot]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, dim, np.int32)), *nothing[1:3], own[0], *nothing[4:7], pa.array(packed_rows(x), pa.binary())], spot.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, dim, np.int32)), *nothing[1:3], own[0], *nothing[4:8], pa.array(packed_rows(x), pa.binary())], spot.names)
 
-    spot = pa.schema([("dim", pa.int32()), ("line", pa.int32()), ("at", pa.float32()), ("cid", pa.int64()), ("n", pa.int64()), ("on", pa.binary()), ("values", pa.binary()), ("vec", pa.binary())])
+    spot = pa.schema([("dim", pa.int32()), ("line", pa.int32()), ("at", pa.float32()), ("cid", pa.int64()), ("n", pa.int64()), ("on", pa.binary()), ("values", pa.binary()), ("signs", pa.binary()), ("vec", pa.binary())])
     # one row per class and line without the vector, and one per class with it
     ones = rows.select("rid", "vec").join(classes.select("cid", "n"), F.col("rid") == F.col("cid")).select("vec", "cid", "n")
-    written = cut(ones.mapInArrow(project, "dim int, line int, at float, cid long, n long, on binary, values binary, vec binary"), "lines")
+    written = cut(ones.mapInArrow(project, "dim int, line int, at float, cid long, n long, on binary, values binary, signs binary, vec binary"), "lines")
     spots, vectors = written.where("line IS NOT NULL").drop("vec"), written.where("line IS NULL").select(F.col("cid").alias("_cid"), "vec")
     long = spots.groupBy("dim", "line").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb")).where("nb > 1")
     long = long.select(F.col("dim").alias("_dim"), F.col("line").alias("_line"), "nb")  # at most rows * tops / BLOCK lines
     spots = spots.join(long, (F.col("dim") == F.col("_dim")) & (F.col("line") == F.col("_line")), "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     spots = spots.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spots = spots.select("dim", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "at", "own", "cid", "n", "on", "values")
+    spots = spots.select("dim", "line", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "at", "own", "cid", "n", "on", "values", "signs")
     keys = ["dim", "line", "i", "j"]
 
     def pairs(key: np.ndarray, t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         dim, here, i, j = (int(v) for v in key)
-        return _handled(_flat(t, "on", np.int32), _flat(t, "values", np.float32), t.column("own").to_numpy(), here, i, j, rules[dim])
+        return _handled(_flat(t, "on", np.int32), _flat(t, "values", np.float32), _flat(t, "signs", np.uint64), t.column("own").to_numpy(), here, i, j, rules[dim])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in _groups(batches, 4):

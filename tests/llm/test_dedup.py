@@ -273,3 +273,27 @@ def test_calibration_that_misses_the_recall_warns():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     with pytest.warns(UserWarning, match="fewer than the wanted"):
         embeddup.calibrate(x, embeddup.directions(512, 1 << 13, 11), 0.3, 0.999, 11)
+
+
+def test_signs_keep_pairs_at_the_limit_and_part_random_ones():
+    rng = np.random.default_rng(3)
+    for dim in (16, 64, 512):
+        x, noise = (embeddup.unit_rows(rng.standard_normal((4000, dim))) for _ in range(2))
+        noise = embeddup.unit_rows(noise - (noise * x).sum(1, keepdims=True) * x)
+        lines = embeddup.directions(dim, embeddup.SIGNS, 12)
+        apart = lambda a, b: np.bitwise_count(embeddup.signs_of(a, lines) ^ embeddup.signs_of(b, lines)).sum(1)
+        assert (apart(x, 0.9 * x + np.sqrt(1 - 0.81) * noise) <= embeddup.most_apart(0.9)).mean() > 0.998
+        assert (apart(x, noise) > embeddup.most_apart(0.9)).mean() > 0.998
+    assert embeddup.most_apart(1.0) == 0 and embeddup.most_apart(-1.0) == embeddup.SIGNS
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from condfuse.llm.common import shared_dir
+
+    conf = {"spark.master": "spark://host:1"}
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf))
+    conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_dir(SimpleNamespace(conf=conf)) == "hdfs:///shared"

@@ -40,6 +40,7 @@ from condfuse.functions.columns import MEASURES, score_cols
 from condfuse.model import STATE_MERGED, ProtocolError
 from condfuse.operators.points import state_of, usable
 from condfuse.sources.binary import CubeFile
+from condfuse.sources.cube import BuiltCube
 from condfuse.sources.provenance import source_of
 from condfuse._ship import by_value
 
@@ -256,13 +257,15 @@ def index_range(cube: DataFrame, points: DataFrame) -> DataFrame:
     """Cube rows between the first and the last usable point (one small
     aggregate over the narrow point table). The bounds reach the scan, so
     trimmed days are neither read nor shuffled; a read of a cube file becomes
-    a narrower read."""
+    a narrower read, and of a built cube only these rows are built."""
     r = usable(points).agg(F.min("global_index").alias("lo"), F.max("global_index").alias("hi")).first()
     if r["lo"] is None:
         return cube.limit(0)
     file = source_of(cube)
     if isinstance(file, CubeFile):
         return file.between(r["lo"], r["hi"] + 1).frame(cube.sparkSession)
+    if isinstance(file, BuiltCube):
+        return file.between(r["lo"], r["hi"]).frame()
     return cube.filter(F.col("global_index").between(r["lo"], r["hi"]))
 
 
@@ -289,7 +292,8 @@ def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (
 
     A cube file as ``read_binary_cube`` returns it is read by seeking: only
     the points are shuffled, to ranges of the index, and each task reads
-    their blocks (``CubeFile.seek``).
+    their blocks (``CubeFile.seek``). A built cube is joined by its narrow rows
+    and built behind the join (``BuiltCube.joined``).
 
     Elsewhere the point side is the build side of a shuffled hash join: the cube is
     only streamed, never sorted or broadcast. A cube in a bucketed table (see
@@ -304,6 +308,8 @@ def scoring_rows(cube: DataFrame, points: DataFrame, run_cols: Sequence[str] = (
     file = source_of(cube)
     if isinstance(file, CubeFile):
         return file.seek(mem, measures)
+    if isinstance(file, BuiltCube):
+        return file.joined(mem, measures)
     return cube.join(mem.hint("shuffle_hash"), "global_index")
 
 
@@ -347,7 +353,8 @@ def check_covered(cube: DataFrame, points: DataFrame) -> None:
         lo, hi = file.bounds()
         found = pts.select(F.col("global_index").between(lo, hi - 1).cast("long").alias("n"))
     else:
-        found = (cube.select("global_index", F.lit(1).alias("_c")).join(pts.distinct(), "global_index", "right")
+        rows = file.rows if isinstance(file, BuiltCube) else cube
+        found = (rows.select("global_index", F.lit(1).alias("_c")).join(pts.distinct(), "global_index", "right")
                  .groupBy("global_index").agg(F.count("_c").alias("n")))
     r = found.agg(F.count_if(F.col("n") == 0).alias("absent"), F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).alias("extra")).first()
     if r["absent"]:

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from condfuse.functions.columns import MEASURES
@@ -21,7 +22,7 @@ from condfuse.model import Protocol, ProtocolError, ProtocolWarning
 from condfuse.operators.folds import class_fold_check, class_sizes_warnings, empty_set_warnings
 from condfuse.operators.points import index_gaps
 from condfuse.sources.binary import CubeFile
-from condfuse.sources.cube import cube_stats, row_sizes
+from condfuse.sources.cube import BuiltCube, cube_stats, row_sizes
 from condfuse.sources.provenance import source_of
 
 
@@ -35,18 +36,23 @@ class CubeWatch:
     ``on(cube)`` adds the counters to the scan; after the job ``notes`` says
     what they found: indexes without a row, repeated ones, configs of
     unequal number (a ``ProtocolError``). A cube file needs no counters, as its
-    length fixes all of that.
+    length fixes all of that; of a built cube the narrow rows are counted.
     """
 
     def __init__(self, measures: Sequence[str] = MEASURES):
         self.measures, self.seen = measures, None
 
     def on(self, cube: DataFrame) -> DataFrame:
-        if isinstance(source_of(cube), CubeFile):
+        source = source_of(cube)
+        if isinstance(source, CubeFile):
             return cube
         self.seen = Observation()
-        least, most = row_sizes(self.measures)
-        return cube.observe(self.seen, F.count(F.lit(1)).alias("n"), F.min("global_index").alias("lo"),
+        if isinstance(source, BuiltCube):
+            return replace(source, rows=self._observed(source.rows, F.lit(source.n_config), F.lit(source.n_config))).frame()
+        return self._observed(cube, *row_sizes(self.measures))
+
+    def _observed(self, rows: DataFrame, least: Column, most: Column) -> DataFrame:
+        return rows.observe(self.seen, F.count(F.lit(1)).alias("n"), F.min("global_index").alias("lo"),
                             F.max("global_index").alias("hi"), F.min(least).alias("least"), F.max(most).alias("most"))
 
     def _counts(self) -> dict | None:

@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from condfuse._ship import by_value
 from condfuse.functions.columns import MEASURES
 from condfuse.sources.binary import CubeFile, file_info
-from condfuse.sources.provenance import Files, TableVersion, digest, noted, source_of
+from condfuse.sources.provenance import Files, TableVersion, checksum, digest, noted, source_of
+
+by_value(__import__(__name__, fromlist=["_"]))
 
 # Table properties of a cube table: its version, and the file it was made from.
 VERSION = "condfuse.version"
@@ -45,6 +50,57 @@ def read_cube(spark: SparkSession, path: str, measures: Sequence[str] = MEASURES
     return noted(df.select(*columns), Files(tuple(df.inputFiles()), columns))
 
 
+# Bytes of arrays that a built cube gives out at once.
+BUILT_BYTES = 16 << 20
+
+
+@dataclass(frozen=True, eq=False)
+class BuiltCube:
+    """A cube whose arrays are built from narrow rows, one cube row from each.
+
+    ``rows`` has ``global_index`` and what ``build`` needs besides; ``build``
+    takes an Arrow batch of them and a list of measures and returns a list array of ``n_config``
+    floats per row for each of these. A pass over the cube joins ``rows`` with
+    the points and builds the arrays in the task that uses them, so a
+    shuffle carries narrow rows only.
+    """
+
+    rows: DataFrame
+    build: Callable[[pa.RecordBatch, Sequence[str]], list[pa.Array]]
+    n_config: int
+    measures: tuple[str, ...]
+
+    def frame(self) -> DataFrame:
+        """The cube in array form, noted as this one."""
+        return noted(self._built(self.rows, ["global_index"], self.measures), self)
+
+    def identity(self, spark: SparkSession) -> str:
+        return checksum(self.frame())
+
+    def between(self, lo: int, hi: int) -> BuiltCube:
+        """The cube rows from index ``lo`` to ``hi``."""
+        return replace(self, rows=self.rows.filter(F.col("global_index").between(lo, hi)))
+
+    def joined(self, points: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
+        """The cube rows of ``points`` with their columns; the points are the
+        build side of a shuffled hash join and go where ``rows`` are."""
+        return self._built(self.rows.join(points.hint("shuffle_hash"), "global_index"), points.columns, measures or self.measures)
+
+    def _built(self, rows: DataFrame, kept: Sequence[str], measures: Sequence[str]) -> DataFrame:
+        build, step = self.build, max(1, BUILT_BYTES // max(1, 4 * self.n_config * len(measures)))
+        kept, measures = list(kept), list(measures)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *build(part, measures)], names=[*kept, *measures])
+
+        fields = {f.name: f for f in rows.schema.fields}
+        schema = T.StructType([*[fields[c] for c in kept], *[T.StructField(m, T.ArrayType(T.FloatType())) for m in measures]])
+        return rows.mapInArrow(run, schema)
+
+
 def bucket_count(n_points: int, n_config: int, n_measures: int = len(MEASURES), bucket_bytes: int = 256 << 20) -> int:
     """Buckets of about ``bucket_bytes`` each. The join with the point table
     builds a hash map of one bucket's points (a few dozen bytes per 10 KB of
@@ -156,9 +212,9 @@ def row_sizes(measures: Sequence[str]) -> tuple[Column, Column]:
 
 
 def config_count(cube: DataFrame, measure: str) -> int:
-    """Configs per point: of the file's layout, or of one row of the cube (0 where it has none)."""
+    """Configs per point: of the file's layout, as built, or of one row of the cube (0 where it has none)."""
     file = source_of(cube)
-    if isinstance(file, CubeFile):
+    if isinstance(file, (CubeFile, BuiltCube)):
         return file.n_config
     row = cube.select(F.size(measure).alias("n")).first()
     return max(row["n"] or 0, 0) if row else 0

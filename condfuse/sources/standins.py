@@ -19,12 +19,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condfuse._ship import by_value
 from condfuse.functions.columns import MEASURES
 from condfuse.operators.points import prepare_points
+from condfuse.sources.cube import BuiltCube
 
 # Fixed values of the stand-ins (see the module docstring).
 A_CONFIGS = 8
@@ -33,6 +37,8 @@ A_TRIM = 8
 A_MISSING_MOD = 37
 B_CONFIGS = 32
 B_MOD = 1009
+# Orders in one partition of the B stand-ins, at most (on average).
+B_TASK_ROWS = 250_000
 
 by_value(__import__(__name__, fromlist=["_"]))
 
@@ -78,51 +84,49 @@ def a_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- stand-in B
 
-def b_cube_from(orders: DataFrame, measures: Sequence[str] = MEASURES, n_config: int = B_CONFIGS) -> DataFrame:
-    """Array-form cube built from (already distributed) orders rows.
+def b_cube_from(orders: DataFrame, measures: Sequence[str] = MEASURES, n_config: int = B_CONFIGS, backwards: bool = False) -> DataFrame:
+    """Array-form cube built from (already distributed) orders rows, as a
+    ``BuiltCube``: a pass over it joins the narrow rows with its points and builds
+    the arrays behind the join.
 
     Error of measure j, config c: ``((key*(c+7)*(j+3)) % 1009) / 1009`` plus
-    ``0.01 * bias`` in double precision, rounded to float32. The values are
-    generated per Arrow batch with numpy (int64 products, IEEE double
-    division and rounding, so bit-identical to the same formula in SQL); an
-    interpreted per-element SQL lambda costs far more than the protocol
-    itself once there are hundreds of configs.
+    ``0.01 * bias`` in double precision, rounded to float32; ``backwards`` puts
+    the configs in reverse order. The values are generated per Arrow batch with
+    numpy (int64 products, IEEE double division and rounding, so bit-identical
+    to the same formula in SQL); an interpreted per-element SQL lambda costs
+    far more than the protocol itself once there are hundreds of configs.
     """
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
+    at = {m: j for j, m in enumerate(measures)}
 
-    names = ["global_index", *measures]
-    n_meas = len(measures)
-
-    def gen(batches):
+    def gen(batch: pa.RecordBatch, wanted: Sequence[str]) -> list[pa.Array]:
         c = np.arange(n_config, dtype=np.int64)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            key = b.column("o_orderkey").to_numpy(zero_copy_only=False).astype(np.int64)
-            anom = pc.fill_null(pc.equal(b.column("o_orderstatus"), "F"), False).to_numpy(zero_copy_only=False)
-            bias = np.where(anom[:, None], (n_config - 1) - c[None, :], c[None, :]).astype(np.float64)
-            offsets = pa.array(np.arange(0, (len(key) + 1) * n_config, n_config, dtype=np.int32))
-            cols = [pa.array(key)]
-            for j in range(n_meas):
-                frac = ((key[:, None] * (c[None, :] + 7) * (j + 3)) % B_MOD) / float(B_MOD)
-                vals = (frac + bias * 0.01).astype(np.float32)
-                cols.append(pa.ListArray.from_arrays(offsets, pa.array(vals.reshape(-1))))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = "global_index bigint, " + ", ".join(f"{m} array<float>" for m in measures)
-    return orders.select("o_orderkey", "o_orderstatus").mapInArrow(gen, schema)
+        c = c[::-1] if backwards else c
+        key = pc.fill_null(batch.column("global_index"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        anom = pc.fill_null(pc.equal(batch.column("o_orderstatus"), "F"), False).to_numpy(zero_copy_only=False)
+        bias = np.where(anom[:, None], (n_config - 1) - c[None, :], c[None, :]).astype(np.float64)
+        offsets = pa.array(np.arange(0, (len(key) + 1) * n_config, n_config, dtype=np.int32))
+        cols = []
+        for j in [at[m] for m in wanted]:
+            frac = ((key[:, None] * (c[None, :] + 7) * (j + 3)) % B_MOD) / float(B_MOD)
+            vals = (frac + bias * 0.01).astype(np.float32)
+            cols.append(pa.ListArray.from_arrays(offsets, pa.array(vals.reshape(-1))))
+        return cols
+
+    rows = orders.select(F.col("o_orderkey").cast("long").alias("global_index"), "o_orderstatus")
+    return BuiltCube(rows, gen, n_config, tuple(measures)).frame()
 
 
 def b_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrow orders columns the B stand-ins need, hash-distributed by
-    key over the cluster's cores. Cube, points and scenario points all start
-    from this, so one plan shares the exchange and every derived column
-    (array building, fold hashing) is computed in parallel even though the
-    source file is a single row group."""
+    key. Cube, points and scenario points all start from this, so one plan
+    shares the exchange and every derived column (array building, fold
+    hashing) is computed in parallel even though the source file is a single
+    row group. One partition per core, more where that exceeds
+    ``B_TASK_ROWS`` rows each: the join with points keeps these partitions and
+    holds the points of one in memory."""
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return o.repartition(compute_partitions(spark), F.col("o_orderkey"))
+    parts = max(compute_partitions(spark), -(-o.count() // B_TASK_ROWS))
+    return o.repartition(parts, F.col("o_orderkey"))
 
 
 def b_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -130,8 +134,9 @@ def b_cube(spark: SparkSession, sf_dir: str, measures: Sequence[str] = MEASURES)
     hash-distributed by key before the arrays are built, so building and
     ranking run in parallel. The partition count is explicit: the key rows
     are narrow, and adaptive execution would otherwise merge them into one
-    task, sizing by bytes what is really compute-heavy. A join with points
-    shuffles the built rows; a stored cube should be a bucketed table."""
+    task, sizing by bytes what is really compute-heavy. A pass shuffles
+    the points to these partitions and builds the arrays there, so no built
+    row is shuffled."""
     return b_cube_from(b_orders(spark, sf_dir), measures)
 
 
@@ -174,4 +179,4 @@ def b_scenario_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b_cube_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second stand-in cube over the same orders: configs in reverse order."""
-    return b_cube(spark, sf_dir).select("global_index", *[F.reverse(m).alias(m) for m in MEASURES])
+    return b_cube_from(b_orders(spark, sf_dir), backwards=True)

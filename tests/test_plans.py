@@ -88,3 +88,36 @@ def test_trimmed_points_are_not_read_from_the_cube(spark):
     pts = fo.stratified_folds(st.b_points(spark, SF_SMALL).filter(F.col("global_index").between(300, 799)), 3, 42)
     plan = _plan(pr.evaluate(cu.read_cube(spark, path), pts, Protocol(folds=3, seed=42)))
     assert "GreaterThanOrEqual(global_index,300)" in plan and "LessThanOrEqual(global_index,799)" in plan
+
+
+def test_built_cube_is_built_behind_the_join(spark):
+    """Both passes shuffle narrow rows; the arrays are built in the task that uses them."""
+    cube, pts = st.b_cube_shifted(spark, SF_SMALL), fo.stratified_folds(st.b_points(spark, SF_SMALL), 3, 42)
+    p = Protocol(folds=3, seed=42)
+    for df in (sc.fold_sums(sc.index_range(cube, pts), pts), pr.evaluate(cube, pts, p),
+               pr.sweep(cube, st.b_scenario_points(spark, SF_SMALL), [1, 2], [2, 3], ["Top3"], p)):
+        lines = _plan(df).splitlines()
+        used, built = [i for i, line in enumerate(lines) if "MapInArrow" in line]
+        assert not any("Exchange" in line or "Join" in line for line in lines[used + 1:built]), lines
+        assert any("ShuffledHashJoin" in line for line in lines[built + 1:])
+
+
+def test_built_cube_gives_the_rows_of_a_join(spark):
+    """Repeated keys, null keys and null values, built in several pieces."""
+    orders = spark.createDataFrame([(5, "F"), (5, "O"), (9, None), (None, "F"), (700001, "F")], "o_orderkey long, o_orderstatus string")
+    cube = st.b_cube_from(orders, n_config=40)
+    points = spark.createDataFrame([(5, 1), (9, 2), (9, 3), (10, 4)], "global_index long, tag int")
+    limit, cu.BUILT_BYTES = cu.BUILT_BYTES, 4 * 40 * 8 * 2
+    try:
+        found = cu.source_of(cube).joined(points).select("global_index", "tag", *cube.columns[1:])
+        assert sorted(found.collect()) == sorted(cube.join(points, "global_index").select(*found.columns).collect())
+        assert [r[0] for r in found.select("global_index").orderBy("global_index").collect()] == [5, 5, 9, 9]
+        row = found.filter("global_index = 9 AND tag = 2").first()
+        for j, m in enumerate(cube.columns[1:]):
+            assert all(abs(row[m][c] - (9 * (c + 7) * (j + 3) % 1009 / 1009 + 0.01 * c)) < 1e-6 for c in range(40))
+        back = st.b_cube_from(orders, n_config=40, backwards=True)
+        want = cube.select("global_index", *[F.reverse(m).alias(m) for m in cube.columns[1:]])
+        assert sorted(back.dropna().collect()) == sorted(want.dropna().collect())
+        assert cu.config_count(back, cube.columns[1]) == 40
+    finally:
+        cu.BUILT_BYTES = limit

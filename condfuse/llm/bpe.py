@@ -32,7 +32,7 @@ from condfuse.llm.common import cut, shared_dir
 TOKENIZER = "word_bpe_49k.json"
 LEXICON_WORDS = 200_000
 LONGEST = 64  # bytes of a word in the lexicon
-PIECE = 4 << 20  # bytes of text split at once
+PIECE = 1 << 20  # bytes of text split at once, of ids or texts given out at once
 HELD = 300_000  # entries of each memo of a task, and of its counts
 _GAP = re.compile(rb"[ \t-\r]")
 _PLAIN = re.compile(rb"[!-~]+")
@@ -431,25 +431,30 @@ def encode(docs: DataFrame, lexicon: str | None = None, tokenizer: str = TOKENIZ
     stays null; an empty table gives no rows; other columns of ``docs`` are not read.  Memory
     follows the longest text and the longest stretch without white space in it.
     """
-    id_type = docs.schema["doc_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder(rules(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
-        for batch in batches:
-            rows, out, held = [], [], 0
-            texts = batch.column(1)
-            for a, b in _groups(texts):
-                group = [texts[k].as_buffer().to_pybytes() for k in range(a, b)]
-                rows += range(a, b)
-                out += coder.encode_all(group) if b - a > 1 else [coder.encode(group[0])]
-                held += sum(map(len, out[len(out) - (b - a) :]))
-                if held > PIECE:
-                    yield _rows(batch, rows, out, pa.binary(), "ids")
-                    rows, out, held = [], [], 0
-            if rows:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _texts(docs).mapInArrow(lambda batches: _encoded(batches, lexicon, tokenizer), f"doc_id {kind}, ids binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], lexicon: str | None, tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, ids`` of batches of ``doc_id, text``."""
+    coder = _Coder(rules(tokenizer), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+    for batch in batches:
+        rows, out, held = [], [], 0
+        texts = batch.column(1)
+        for a, b in _groups(texts):
+            group = [texts[k].as_buffer().to_pybytes() for k in range(a, b)]
+            rows += range(a, b)
+            out += coder.encode_all(group) if b - a > 1 else [coder.encode(group[0])]
+            held += sum(map(len, out[len(out) - (b - a) :]))
+            if held > PIECE:
                 yield _rows(batch, rows, out, pa.binary(), "ids")
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {id_type.simpleString()}, ids binary")
+                rows, out, held = [], [], 0
+        if rows:
+            yield _rows(batch, rows, out, pa.binary(), "ids")
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -473,32 +478,40 @@ def decode(coded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, decoded`` of ``coded(doc_id, ids)``: the tokens with a blank between them, as the library's
     ``decode(ids, skip_special_tokens=False)`` gives them for this file, which names no decoder.  Ids that
     the file does not know are left out, as there; null or empty ids give an empty text."""
-    id_type = coded.schema["doc_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = rules(tokenizer).tokens
-        for batch in batches:
-            rows, out, held = [], [], 0
-            for k, value in enumerate(batch.column(1)):
-                ids, parts = np.frombuffer(value.as_buffer(), "<u4"), []
-                for at in range(0, len(ids), PIECE >> 2):
-                    some = [tokens[i] for i in ids[at : at + (PIECE >> 2)].tolist() if i in tokens]
-                    if some:
-                        parts.append(b" ".join(some))
-                rows.append(k)
-                out.append(b" ".join(parts))
-                held += len(out[-1])
-                if held > PIECE:
-                    yield _rows(batch, rows, out, pa.string(), "decoded")
-                    rows, out, held = [], [], 0
-            if rows:
-                yield _rows(batch, rows, out, pa.string(), "decoded")
-
-    return coded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(run, f"doc_id {id_type.simpleString()}, decoded string")
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    given = coded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"))
+    return given.mapInArrow(lambda batches: (part for part, _ in _decoded(batches, tokenizer)), f"doc_id {kind}, decoded string")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """``doc_id, decoded`` of batches of ``doc_id, ids``, each with the ids of its rows."""
+    tokens = rules(tokenizer).tokens
+    for batch in batches:
+        rows, out, held = [], [], 0
+        for k, value in enumerate(batch.column(1)):
+            ids, parts = np.frombuffer(value.as_buffer(), "<u4"), []
+            for at in range(0, len(ids), PIECE >> 2):
+                some = [tokens[i] for i in ids[at : at + (PIECE >> 2)].tolist() if i in tokens]
+                if some:
+                    parts.append(b" ".join(some))
+            rows.append(k)
+            out.append(b" ".join(parts))
+            held += len(out[-1])
+            if held > PIECE:
+                yield _rows(batch, rows, out, pa.string(), "decoded"), batch.column(1).take(pa.array(rows, pa.int64()))
+                rows, out, held = [], [], 0
+        if rows:
+            yield _rows(batch, rows, out, pa.string(), "decoded"), batch.column(1).take(pa.array(rows, pa.int64()))
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str = TOKENIZER, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """``doc_id, ids, decoded`` of every document, the ids decoded back in the task that made them."""
+    """``doc_id, ids, decoded`` of every document, the ids decoded back in the process that made them: one Python
+    worker a task, where ``decode`` behind ``encode`` would hold two with the tokenizer's tables each."""
     lexicon = build_lexicon(docs, tokenizer, lexicon_words)
-    both = encode(docs, lexicon, tokenizer).select(F.struct("doc_id", "ids").alias("doc_id"), "ids")
-    return decode(both, tokenizer).select("doc_id.doc_id", "doc_id.ids", "decoded")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids in _decoded(_encoded(batches, lexicon, tokenizer), tokenizer):
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(1)], ["doc_id", "ids", "decoded"])
+
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

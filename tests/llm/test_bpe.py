@@ -116,3 +116,14 @@ def test_query(spark, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    """A task holds the tokenizer's tables once: one Python pass from the texts to the decoded ones."""
+    rows = [(1, prose(5, 30)), (2, None), (2, noise(3)), (3, ""), (None, "a b")]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)
+    both = bpe.encode_and_decode(df)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.encode(df)
+    assert sorted(r.ids for r in both.collect()) == sorted(r.ids for r in apart.collect())
+    assert sorted(r.decoded for r in both.collect()) == sorted(r.decoded for r in bpe.decode(apart).collect())

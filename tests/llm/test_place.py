@@ -160,6 +160,33 @@ def test_shards_full_of_links_still_swap(spark):
     assert report[-1]["cut"] <= 0.25 * report[0]["cut"]
 
 
+def test_rounds_cost_few_jobs_and_rows(spark, monkeypatch):
+    """A round costs a few jobs, and a hot link as many rows as it has units and shards, however many members."""
+    rows = [(k, "hot text", None, "s", 1) for k in range(3000)] + [(5000 + k, f"single {k}", None, "s", 1) for k in range(1000)]
+    df = spark.createDataFrame(rows, DOCS)
+    context = spark.sparkContext
+
+    def jobs(rounds):
+        context.setJobGroup(f"shard-rounds-{rounds}", "")
+        sharding.shard_rows(df, 8, rounds=rounds)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return len(context.statusTracker().getJobIdsForGroup(f"shard-rounds-{rounds}"))
+
+    assert jobs(4) - jobs(0) <= 4 * 10
+    sizes, keep = [], sharding.cut
+
+    def counted(table, name):
+        out = keep(table, name)
+        sizes.extend([out.count()] if name == "shard-state" else [])
+        return out
+
+    monkeypatch.setattr(sharding, "cut", counted)
+    check_rows_law(sharding.shard_rows(df, 8).collect(), 4000, 8)
+    units = 3000 // 500 * 4
+    assert 0 < max(sizes) <= units * 9
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_limits_never_overfill(seed):
     rng = np.random.default_rng(seed)
